@@ -121,6 +121,22 @@ union all select o_orderkey, 11, 'Document/CdtTrfTxInf/RmtInf/Ustrd', o_orderpri
 union all select o_orderkey, 12, 'Document/CdtTrfTxInf/RmtInf/Strd/Ref', o_orderstatus from orders where o_orderkey % 71 = 0
 """)
 
+# catalog of those messages, and a later version of it
+define("msg_paths", ("msg_leaf",), """
+with leaf as (select path, min(ord) as seq from msg_leaf where ord <> 6 group by path),
+up1 as (select regexp_replace(path, '/[^/]*$', '') as path, seq from leaf), up2 as (select regexp_replace(path, '/[^/]*$', '') as path, seq from up1),
+up3 as (select regexp_replace(path, '/[^/]*$', '') as path, seq from up2), up4 as (select regexp_replace(path, '/[^/]*$', '') as path, seq from up3)
+select path, cast(min(seq) as int) as seq from (select * from leaf union all select * from up1 union all select * from up2 union all select * from up3 union all select * from up4) p group by path
+""")
+
+define("msg_target", ("msg_paths",), """
+select path, seq * 10 + length(path) - length(replace(path, '/', '')) as seq, case when path like '%/LEI' or path like '%/Strd%' or path like '%/Dbtr/Nm' then '0' else '1' end as min_occurs
+from msg_paths where path not like '%/BICFI' and path not like '%/Ustrd' and path not like '%/NbOfTxs'
+union all select 'Document/CdtTrfTxInf/RmtInf/Txt', 118, '0' union all select 'Document/CdtTrfTxInf/ChrgBr', 97, '1'
+union all select 'Document/CdtTrfTxInf/DbtrAgt/FinInstnId/BIC', 70, '0' union all select 'Document/GrpHdr/Nb', 45, '1' union all select 'Document/CdtTrfTxInf/Purp', 150, '0'
+union all select 'Document/CdtTrfTxInf/Purp/Cd', 151, '1'
+""")
+
 # the same messages as a later system would send them: some fields changed, dropped or added
 define("msg_leaf_b", ("msg_leaf",), """
 select msg_id, ord, path, case when ord = 10 and msg_id % 5 = 0 then 'FR7630006000011234567890189'

@@ -149,7 +149,12 @@ def schema_diff(a: DataFrame, b: DataFrame, by: Sequence[str] = (), right_name:
 
     ``by`` names extra key columns present on both sides, for example a pair of versions.
     """
-    pairs = with_type_facets(pair_by_path(a, b, by), facets_a, facets_b)
+    pairs = pair_by_path(a, b, by)
+    same = F.col("in_a") & F.col("in_b")
+    for f in FIELDS[2:]:
+        same = same & F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))
+    # most fields of two versions agree; drop them before any text is built
+    pairs = with_type_facets(pairs.filter(~same), facets_a, facets_b)
     side = lambda f: [t.blank(f"a_{f}").alias(f"left_{f}"), t.blank(f"b_{f}").alias(f"right_{f}")]
     return pairs.select(
         *by, "path", F.coalesce("a_tag", "b_tag").alias("element"),
