@@ -12,31 +12,39 @@ from fieldlens.operators import joins
 from fieldlens.session import checkpoint
 
 MAX_DEPTH = 30
-CUT_EVERY = 8
 
 
 def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, mode: str = "skip", by: Sequence[str] = (),
                  sep: str = "/") -> DataFrame:
-    """Every path reachable from the roots: (by, path, node, depth, sort_key, circular).
+    """Every path reachable from the roots: (by, path, node, depth, sort_key, circular, edge_id).
 
-    ``edges`` is (by, parent, child, pos), ``roots`` (by, node, pos). One join per level; a
-    node met again on its own path is left out (``skip``) or kept as a flagged leaf
-    (``circular``). The frontier is kept between levels and its lineage is cut every few levels.
+    ``edges`` is (by, parent, child, pos), ``roots`` (by, node, pos). Optional ``label`` names a
+    step in the path when it is not the node itself (an element and its type); optional
+    ``edge_id`` is handed through. One join per level; a (label, node) met again on its own
+    path is left out (``skip``) or kept as a flagged leaf (``circular``). Every level is stored
+    once (checkpoint), so no level is computed again for the next and lost executors cost little.
     """
+    extra = lambda df, name, default: F.col(name) if name in df.columns else default
+    label = extra(roots, "label", F.col("node"))
+    key = lambda lab, node: F.concat_ws("\u0001", lab, F.coalesce(node, F.lit("")))
     level = roots.select(
-        *by, F.col("node").alias("path"), "node", F.lit(0).alias("depth"), F.array(F.col("pos").cast("bigint")).alias("sort_key"),
-        F.array("node").alias("visited"), F.lit(False).alias("circular"))
-    steps = edges.select(*by, F.col("parent").alias("node"), "child", F.col("pos").cast("bigint").alias("pos"))
+        *by, label.alias("path"), "node", F.lit(0).alias("depth"), F.array(F.col("pos").cast("bigint")).alias("sort_key"),
+        F.array(key(label, F.col("node"))).alias("visited"), F.lit(False).alias("circular"),
+        extra(roots, "edge_id", F.lit(None)).cast("bigint").alias("edge_id"))
+    steps = edges.select(*by, F.col("parent").alias("node"), "child", F.col("pos").cast("bigint").alias("pos"),
+                         extra(edges, "label", F.col("child")).alias("label"), extra(edges, "edge_id", F.lit(None)).cast("bigint").alias("step_id"))
     out = level
     for depth in range(1, max_depth + 1):
-        seen = F.array_contains("visited", F.col("child"))
-        nxt = level.filter(~F.col("circular")).join(steps, [*by, "node"])
+        me = key(F.col("label"), F.col("child"))
+        seen = F.array_contains("visited", me)
+        nxt = level.filter(~F.col("circular")).drop("edge_id").join(steps, [*by, "node"])
         if mode == "skip":
             nxt = nxt.filter(~seen)
         nxt = nxt.select(
-            *by, F.concat("path", F.lit(sep), "child").alias("path"), F.col("child").alias("node"), F.lit(depth).alias("depth"),
-            F.concat("sort_key", F.array("pos")).alias("sort_key"), F.concat("visited", F.array("child")).alias("visited"), seen.alias("circular"))
-        nxt = checkpoint(nxt) if depth % CUT_EVERY == 0 else nxt.persist()
+            *by, F.concat("path", F.lit(sep), "label").alias("path"), F.col("child").alias("node"), F.lit(depth).alias("depth"),
+            F.concat("sort_key", F.array("pos")).alias("sort_key"), F.concat("visited", F.array(me)).alias("visited"),
+            seen.alias("circular"), F.col("step_id").alias("edge_id"))
+        nxt = checkpoint(nxt)
         if nxt.isEmpty():
             break
         out = out.unionByName(nxt)
@@ -131,8 +139,7 @@ def root_rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Top level of JSON texts: keys of an object, ``[i]`` of an array, ``root`` of a scalar."""
     parsed = df.select(doc_id, F.try_parse_json(F.col(text)).alias("v")).filter(F.col("v").isNotNull())
     container = variant_type(F.col("v")).isin("object", "array")
-    parsed.createOrReplaceTempView("fieldlens_json_docs")
-    opened = df.sparkSession.sql(f"select d.{doc_id}, e.pos, e.key, e.value from fieldlens_json_docs d, lateral variant_explode(d.v) e")
+    opened = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
     inner = opened.select(doc_id, F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("key"), variant_type(F.col("value")).alias("type"))
     scalar = parsed.filter(~container).select(doc_id, F.lit("root").alias("key"), variant_type(F.col("v")).alias("type"))
     return inner.unionByName(scalar)
