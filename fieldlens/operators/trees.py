@@ -55,7 +55,7 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH,
 # ---- JSON --------------------------------------------------------------------------
 
 JSON_FIELDS = (("node_id", "int"), ("parent_id", "int"), ("key", "string"), ("path", "string"), ("depth", "int"), ("type", "string"),
-               ("value", "string"), ("child_count", "int"), ("extra", "string"), ("ancestors", "array<int>"))
+               ("value", "string"), ("child_count", "int"), ("extra", "string"), ("ancestors", "array<int>"), ("pointer", "string"), ("raw", "string"))
 _ARROW = {"int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
@@ -67,11 +67,11 @@ def _json_type(v) -> str:
     return "object"
 
 
-def _json_rows(text: str | None):
+def _json_rows(text: str | None, raw: bool):
     try:
         data = json.loads(text)
     except (TypeError, ValueError):
-        yield (0, None, "", "", 0, "invalid", None, 0, "", [])
+        yield (0, None, "", "", 0, "invalid", None, 0, "", [], "", None)
         return
     if isinstance(data, dict):
         top = [(str(k), v, str(k)) for k, v in data.items()]
@@ -80,9 +80,10 @@ def _json_rows(text: str | None):
     else:
         top = [("root", data, "root")]
     next_id = 0
-    stack = [(None, k, v, p, 0, []) for k, v, p in reversed(top)]
+    escape = lambda k: k.strip("[]").replace("~", "~0").replace("/", "~1") if k[:1] == "[" else k.replace("~", "~0").replace("/", "~1")
+    stack = [(None, k, v, p, 0, [], "/" + escape(k)) for k, v, p in reversed(top)]
     while stack:
-        parent, key, value, path, depth, ancestors = stack.pop()
+        parent, key, value, path, depth, ancestors, pointer = stack.pop()
         kind, node_id = _json_type(value), next_id
         next_id += 1
         if kind == "object":
@@ -94,14 +95,16 @@ def _json_rows(text: str | None):
         else:
             kids, extra, shown = [], "", str(value)
             shown = shown[:100] + "…" if len(shown) > 100 else shown
-        yield (node_id, parent, key, path, depth, kind, shown, len(kids), extra, ancestors)
-        stack.extend((node_id, k, v, p, depth + 1, [*ancestors, node_id]) for k, v, p in reversed(kids))
+        yield (node_id, parent, key, path, depth, kind, shown, len(kids), extra, ancestors, pointer,
+               json.dumps(value, ensure_ascii=False) if raw else None)
+        stack.extend((node_id, k, v, p, depth + 1, [*ancestors, node_id], f"{pointer}/{escape(k)}") for k, v, p in reversed(kids))
 
 
-def flatten_json(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row per JSON value in document order: key, path, depth, type, value, child count.
+def flatten_json(df: DataFrame, doc_id: str, text: str, raw: bool = False) -> DataFrame:
+    """One row per JSON value in document order: key, path, depth, type, value, child count, pointer.
 
-    Unreadable text gives one row of type ``invalid``.
+    Unreadable text gives one row of type ``invalid``. ``raw`` adds each value as JSON text,
+    untruncated; meant for specifications, where examples are shown in full.
     """
     id_type = df.schema[doc_id].dataType.simpleString()
     schema = f"{doc_id} {id_type}, " + ", ".join(f"`{n}` {t}" for n, t in JSON_FIELDS)
@@ -110,7 +113,7 @@ def flatten_json(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         for batch in batches:
             ids, owner, rows = batch.column(0), [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                for row in _json_rows(value):
+                for row in _json_rows(value, raw):
                     owner.append(i)
                     rows.append(row)
                 if len(rows) >= 20_000:
