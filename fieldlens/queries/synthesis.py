@@ -84,8 +84,8 @@ def synth_mandatory(spark, sf_dir):
 def synth_is_valid(spark, sf_dir):
     """Synthetic messages pass every message rule, repetitions included."""
     xml = sy.synthetic_messages(_rows(spark, sf_dir))
-    issues = vd.validate(xml).agg(F.count("*").alias("issues"))
-    return xml.agg(F.count("*").alias("messages")).join(issues).select("messages", F.col("issues").cast("int").alias("issues"))
+    marks = xml.select(F.lit(1).alias("m"), F.lit(0).alias("i")).unionByName(vd.validate(xml).select(F.lit(0).alias("m"), F.lit(1).alias("i")))
+    return marks.agg(F.sum("m").alias("messages"), F.sum("i").cast("int").alias("issues"))
 
 
 @GROUP.add("synth_repetitions")
