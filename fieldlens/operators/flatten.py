@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -23,55 +22,82 @@ _ARROW = {
     "array<string>": pa.list_(pa.string()),
 }
 BATCH_ROWS = 20_000
+# what the leaf tables and the validation rules read
+LEAF_COLUMNS = ("node_id", "path", "occ_path", "kind", "value")
+RULE_COLUMNS = ("path", "tag", "kind", "value", "attrs", "child_tags", "tag_occ", "tag_total")
 
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _node_rows(xml: str, pairing: bool, keep_ns: bool) -> Iterator[tuple]:
+_NO_TAGS: list[str] = []
+_NO_ATTRS: dict[str, str] = {}
+
+
+def _node_rows(xml: str, pairing: bool, keep_ns: bool) -> list[tuple]:
     """Rows of one document in document order; one parse_error row when it is malformed."""
     pad = (None,) * len(PAIR_FIELDS) if pairing else ()
     try:
         root = ET.fromstring(xml)
     except (ET.ParseError, TypeError, ValueError) as exc:
-        yield (0, None, 0, 0, "", "", "Document", "parse_error", f"XML parsing error: {exc}", {}, [], [], 0, 1, 1, *pad)
-        return
+        return [(0, None, 0, 0, "", "", "Document", "parse_error", f"XML parsing error: {exc}", {}, [], [], 0, 1, 1, *pad)]
     name = (lambda t: t) if keep_ns else _local
-    totals = Counter(name(e.tag) for e in root.iter())
-    seen: Counter = Counter()
-    # element, parent id, position, depth, parent path, parent occurrence path, occurrence, pairing state
-    stack = [(root, None, 0, 0, "", "", 1, ("", "", "", False))]
-    next_id = 0
+    totals: dict[str, int] = {}
+    for e in root.iter():
+        tag = name(e.tag)
+        totals[tag] = totals.get(tag, 0) + 1
+    seen: dict[str, int] = {}
+    rows: list[tuple] = []
+    # element, tag, parent id, position, depth, parent path, parent occurrence path, occurrence, pairing state
+    stack = [(root, name(root.tag), None, 0, 0, "", "", 1, ("", "", "", False))]
+    node_id = 0
     while stack:
-        elem, parent_id, pos, depth, parent, parent_occ, occ, (ppos, pkey, key, shadowed) = stack.pop()
-        tag = name(elem.tag)
-        node_id = next_id
-        seen[tag] += 1
-        path = f"{parent}/{tag}" if parent else tag
-        occ_path = f"{parent_occ}/{tag}[{occ}]" if parent_occ else f"{tag}[{occ}]"
-        children = list(elem)
-        tags = [name(c.tag) for c in children]
-        attrs = {(k if keep_ns else _local(k)): v for k, v in elem.attrib.items()}
-        text = (elem.text or "").strip() or None
-        pos_path, key_path = f"{ppos}/{pos}", f"{pkey}/{key}"
-        extra = (pos_path, key_path, key, shadowed) if pairing else ()
-        yield (node_id, parent_id, pos, depth, path, occ_path, tag, "element", text, attrs,
-               list(dict.fromkeys(tags)), tags[:3], len(tags), seen[tag], totals[tag], *extra)
-        next_id += 1
+        elem, tag, parent_id, pos, depth, parent, parent_occ, occ, state = stack.pop()
+        me = node_id
+        node_id += 1
+        seen[tag] = seen.get(tag, 0) + 1
+        path = f"{parent}{tag}"
+        occ_path = f"{parent_occ}{tag}[{occ}]"
+        text = elem.text
+        text = (text.strip() or None) if text else None
+        attrs = elem.attrib
+        if attrs:
+            attrs = dict(attrs) if keep_ns else {_local(k): v for k, v in attrs.items()}
+        else:
+            attrs = _NO_ATTRS
+        extra = ()
+        if pairing:
+            ppos, pkey, key, shadowed = state
+            pos_path, key_path = f"{ppos}/{pos}", f"{pkey}/{key}"
+            extra = (pos_path, key_path, key, shadowed)
+        if len(elem):
+            tags = [name(c.tag) for c in elem]
+            rows.append((me, parent_id, pos, depth, path, occ_path, tag, "element", text, attrs,
+                         list(dict.fromkeys(tags)), tags[:3], len(tags), seen[tag], totals[tag], *extra))
+        else:
+            tags = _NO_TAGS
+            rows.append((me, parent_id, pos, depth, path, occ_path, tag, "element", text, attrs, tags, tags, 0, seen[tag], totals[tag], *extra))
         for attr, value in attrs.items():
-            yield (next_id, node_id, -1, depth + 1, f"{path}/@{attr}", f"{occ_path}/@{attr}", f"@{attr}", "attribute",
-                   value, {}, [], [], 0, 1, 1, *pad)
-            next_id += 1
-        keys = [_pair_key(c, t, i, name) for i, (c, t) in enumerate(zip(children, tags))] if pairing else [""] * len(tags)
-        last = {k: i for i, k in enumerate(keys)}
-        per_tag: Counter = Counter()
+            rows.append((node_id, me, -1, depth + 1, f"{path}/@{attr}", f"{occ_path}/@{attr}", f"@{attr}", "attribute",
+                         value, _NO_ATTRS, _NO_TAGS, _NO_TAGS, 0, 1, 1, *pad))
+            node_id += 1
+        if not tags:
+            continue
+        if pairing:
+            keys = [_pair_key(c, t, i, name) for i, (c, t) in enumerate(zip(elem, tags))]
+            last = {k: i for i, k in enumerate(keys)}
+            states = [(pos_path, key_path, k, shadowed or last[k] != i) for i, k in enumerate(keys)]
+        per_tag: dict[str, int] = {}
         todo = []
-        for i, (child, child_tag) in enumerate(zip(children, tags)):
-            per_tag[child_tag] += 1
-            state = (pos_path, key_path, keys[i], shadowed or last[keys[i]] != i) if pairing else ("", "", "", False)
-            todo.append((child, node_id, i, depth + 1, path, occ_path, per_tag[child_tag], state))
-        stack.extend(reversed(todo))
+        below, below_occ = path + "/", occ_path + "/"
+        for i, child in enumerate(elem):
+            child_tag = tags[i]
+            n = per_tag[child_tag] = per_tag.get(child_tag, 0) + 1
+            todo.append((child, child_tag, me, i, depth + 1, below, below_occ, n, states[i] if pairing else state))
+        todo.reverse()
+        stack.extend(todo)
+    return rows
 
 
 def _pair_key(elem: ET.Element, tag: str, index: int, name) -> str:
@@ -85,14 +111,18 @@ def _pair_key(elem: ET.Element, tag: str, index: int, name) -> str:
     return f"{tag}[{index}]"
 
 
-def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing: bool = False, keep_ns: bool = False) -> DataFrame:
+def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing: bool = False, keep_ns: bool = False,
+                columns: Sequence[str] | None = None) -> DataFrame:
     """One row per element and attribute of every document, in document order.
 
     Each element carries its attributes, child tags and tag counts, so that rules about a
     node and its surroundings need neither a join nor a shuffle. A malformed document gives
     one row of kind ``parse_error``. ``pairing`` adds the keys used to compare documents.
+    ``columns`` names the ones wanted; the others are not handed over to Spark.
     """
-    fields = NODE_FIELDS + (PAIR_FIELDS if pairing else ())
+    every = NODE_FIELDS + (PAIR_FIELDS if pairing else ())
+    fields = tuple(f for f in every if columns is None or f[0] in columns)
+    index = [every.index(f) for f in fields]
     id_type = df.schema[doc_id].dataType.simpleString()
     schema = f"{doc_id} {id_type}, " + ", ".join(f"{n} {t}" for n, t in fields)
 
@@ -102,22 +132,22 @@ def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing
             owner: list[int] = []
             rows: list[tuple] = []
             for i, text in enumerate(texts.to_pylist()):
-                for row in _node_rows(text, pairing, keep_ns):
-                    owner.append(i)
-                    rows.append(row)
+                found = _node_rows(text, pairing, keep_ns)
+                owner.extend([i] * len(found))
+                rows += found
                 if len(rows) >= BATCH_ROWS:
-                    yield _to_batch(ids, owner, rows, fields)
+                    yield _to_batch(ids, owner, rows, fields, index)
                     owner, rows = [], []
             if rows:
-                yield _to_batch(ids, owner, rows, fields)
+                yield _to_batch(ids, owner, rows, fields, index)
 
     return df.select(doc_id, xml).mapInArrow(run, schema)
 
 
-def _to_batch(ids, owner, rows, fields) -> pa.RecordBatch:
+def _to_batch(ids, owner, rows, fields, index) -> pa.RecordBatch:
     columns = list(zip(*rows))
     arrays = [ids.take(pa.array(owner, pa.int64()))]
-    for (name, kind), values in zip(fields, columns):
+    for (_, kind), values in zip(fields, (columns[i] for i in index)):
         if kind.startswith("map"):
             values = [list(v.items()) if v is not None else None for v in values]
         arrays.append(pa.array(values, _ARROW[kind]))

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlens.functions import text as t
 from fieldlens.operators.flatten import node_summary
+from fieldlens.session import checkpoint
 
-SIDE = ("path", "tag", "value", "attrs", "node_id", "n_children", "summary", "pos", "key", "parent_key")
+SIDE = ("path", "tag", "value", "attrs", "summary", "pos", "key", "parent_key")
+# what the comparison reads of a flattened document
+DIFF_COLUMNS = ("path", "tag", "kind", "value", "attrs", "head_tags", "n_children", "pos", "pos_path", "key_path", "key", "shadowed")
 
 
 def _side(nodes: DataFrame, doc_id: str, prefix: str, ordered: bool) -> DataFrame:
@@ -46,7 +49,8 @@ def message_diff(a: DataFrame, b: DataFrame, doc_id: str = "msg_id", ignore_orde
     """
     ordered = not ignore_order
     left, right = _side(a, doc_id, "a", ordered), _side(b, doc_id, "b", ordered)
-    pairs = left.join(right, [doc_id, "pair_key"], "full")
+    # one join, stored once; the changes and both one-sided lists read it
+    pairs = checkpoint(left.join(right, [doc_id, "pair_key"], "full"))
 
     both = F.col("a_path").isNotNull() & F.col("b_path").isNotNull()
     comparable = t.parent_path("a_path") == t.parent_path("b_path")
@@ -67,12 +71,12 @@ def message_diff(a: DataFrame, b: DataFrame, doc_id: str = "msg_id", ignore_orde
         found = F.concat(found, F.when(same_tag, _attr_changes(path)).otherwise(F.filter(_attr_changes(path), lambda r: F.lit(False))))
     changed = pairs.filter(both & comparable).select(doc_id, F.col("a_pos").alias("pos"), F.inline(found))
 
-    def one_sided(mine: str, other_nodes: DataFrame, other: str, kind: str) -> DataFrame:
+    def one_sided(mine: str, other: str, kind: str) -> DataFrame:
         """Elements of one side whose parent meets an equal parent on the other side."""
         alone = pairs.filter(F.col(f"{other}_path").isNull()).select(
             doc_id, F.col(f"{mine}_parent_key").alias("parent_key"), t.parent_path(f"{mine}_path").alias("parent_path"),
             *[F.col(f"{mine}_{c}").alias(c) for c in ("tag", "summary", "pos", "key")])
-        parents = other_nodes.select(doc_id, F.col("pair_key").alias("parent_key"), F.col(f"{other}_path").alias("parent_path"))
+        parents = pairs.filter(both).select(doc_id, F.col("pair_key").alias("parent_key"), F.col(f"{other}_path").alias("parent_path"))
         last = (F.concat("tag", F.lit("["), (F.col("pos") + 1).cast("string"), F.lit("]")) if ordered else F.col("key"))
         none = F.lit(None).cast("string")
         lv, rv = (none, F.col("summary")) if kind == "added" else (F.col("summary"), none)
@@ -80,8 +84,8 @@ def message_diff(a: DataFrame, b: DataFrame, doc_id: str = "msg_id", ignore_orde
             doc_id, "pos", F.lit(kind).alias("diff_type"), F.concat("parent_path", F.lit("/"), last).alias("path"),
             F.col("tag").alias("element"), lv.alias("left_value"), rv.alias("right_value"), F.lit(f"Element {kind}").alias("details"))
 
-    return (changed.unionByName(one_sided("a", right, "b", "removed"))
-            .unionByName(one_sided("b", left, "a", "added")))
+    return (changed.unionByName(one_sided("a", "b", "removed"))
+            .unionByName(one_sided("b", "a", "added")))
 
 
 def message_diff_stats(diff: DataFrame, messages: DataFrame, doc_id: str = "msg_id") -> DataFrame:

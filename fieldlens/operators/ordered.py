@@ -52,47 +52,40 @@ def row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: s
     )
 
 
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column] | None = None,
+            lasts: dict[str, Column] | None = None, width: int = CHUNK_ROWS) -> DataFrame:
+    """Cumulative sums and latest non-null values up to each row, all in one pass."""
+    sums, lasts = sums or {}, lasts or {}
+    chunked = _chunked(df, order, width)
+    for name, value in {**sums, **lasts}.items():
+        chunked = chunked.withColumn(f"__v_{name}", value)
+    at = F.struct(*order)
+    known = lambda name: F.col(f"__v_{name}").isNotNull()
+    aggs = [F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums]
+    aggs += [F.max_by(F.when(known(n), F.col(f"__v_{n}")), F.when(known(n), at)).alias(f"__t_{n}") for n in lasts]
+    before = _earlier(keys)
+    carry = chunked.groupBy(*keys, _CHUNK).agg(*aggs).select(
+        *keys, _CHUNK, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums],
+        *[F.last(f"__t_{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts])
+    window = _local(keys, order).rowsBetween(W.unboundedPreceding, 0)
+    local = chunked.select("*", *[F.coalesce(F.sum(f"__v_{n}").over(window), F.lit(0)).alias(f"__l_{n}") for n in sums],
+                           *[F.last(f"__v_{n}", ignorenulls=True).over(window).alias(f"__l_{n}") for n in lasts])
+    joined = _attach(local, carry, keys)
+    return joined.select(
+        *df.columns, *[(F.col(f"__l_{n}") + F.col(f"__c_{n}")).cast("bigint").alias(n) for n in sums],
+        *[F.coalesce(f"__l_{n}", f"__c_{n}").alias(n) for n in lasts])
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
                 name: str, width: int = CHUNK_ROWS) -> DataFrame:
     """Cumulative sum of ``value`` up to and including each row."""
-    chunked = _chunked(df, order, width).withColumn("__v", value.cast("bigint"))
-    carry = (
-        chunked.groupBy(*keys, _CHUNK).agg(F.sum("__v").alias("__s"))
-        .withColumn(_CARRY, F.coalesce(F.sum("__s").over(_earlier(keys)), F.lit(0)))
-        .drop("__s")
-    )
-    window = _local(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    local = chunked.withColumn(_LOCAL, F.coalesce(F.sum("__v").over(window), F.lit(0)))
-    return (
-        _attach(local, carry, keys)
-        .withColumn(name, F.col(_LOCAL) + F.col(_CARRY))
-        .drop(_LOCAL, _CARRY, _CHUNK, "__v")
-    )
+    return running(df, keys, order, sums={name: value.cast("bigint")}, width=width)
 
 
 def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
                name: str, width: int = CHUNK_ROWS) -> DataFrame:
     """Latest non-null ``value`` at or before each row."""
-    chunked = _chunked(df, order, width).withColumn("__v", value)
-    carry = (
-        chunked.filter(F.col("__v").isNotNull())
-        .groupBy(*keys, _CHUNK)
-        .agg(F.max_by("__v", F.struct(*order)).alias("__last"))
-    )
-    # every chunk needs a carry row, also one without any value of its own
-    every = chunked.groupBy(*keys, _CHUNK).agg(F.lit(1).alias("__one")).drop("__one")
-    carry = (
-        every.join(carry, [*keys, _CHUNK], "left")
-        .withColumn(_CARRY, F.last("__last", ignorenulls=True).over(_earlier(keys)))
-        .drop("__last")
-    )
-    window = _local(keys, order).rowsBetween(W.unboundedPreceding, 0)
-    local = chunked.withColumn(_LOCAL, F.last("__v", ignorenulls=True).over(window))
-    return (
-        _attach(local, carry, keys)
-        .withColumn(name, F.coalesce(_LOCAL, _CARRY))
-        .drop(_LOCAL, _CARRY, _CHUNK, "__v")
-    )
+    return running(df, keys, order, lasts={name: value}, width=width)
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,

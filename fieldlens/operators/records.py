@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlens import fixed
 from fieldlens.functions import lists, text as t
 from fieldlens.operators import ordered
+from fieldlens.session import checkpoint
 
 
 def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: Column, name: str = "rec",
@@ -46,20 +47,23 @@ def depth_path(lines: Column) -> Column:
     return F.array_join(last["path"], "/")
 
 
-def label_values(block: Column) -> Column:
-    """Requirement block to a map label -> value; text before the first label is ``Rules``."""
+def with_label_values(rows: DataFrame, block: Column, out: str = "labels") -> DataFrame:
+    """Adds a map label -> value of a requirement block; text before the first label is ``Rules``.
+
+    The block is cut once into a column of its parts, so no label repeats the pattern matching.
+    """
     mark, mid = "\u0001", "\u0002"
-    labels = "|".join(fixed.REQUIREMENT_LABELS)
-    marked = F.regexp_replace(t.collapse_ws(block), f"({labels})\\s+", f"{mark}$1{mid}")
-    parts = F.split(marked, mark)
-    pairs = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.struct(
-        F.split_part(p, F.lit(mid), F.lit(1)).alias("label"), F.trim(F.split_part(p, F.lit(mid), F.lit(2))).alias("value")))
-    pre = F.trim(F.element_at(parts, 1))
-    every = F.when(pre != "", F.concat(F.array(F.struct(F.lit("Rules").alias("label"), pre.alias("value"))), pairs)).otherwise(pairs)
-    names = F.array_distinct(F.transform(every, lambda x: x["label"]))
+    pattern = "|".join(fixed.REQUIREMENT_LABELS)
+    parts = F.split(F.regexp_replace(t.collapse_ws(block), f"({pattern})\\s+", f"{mark}$1{mid}"), mark)
+    pair = lambda p: F.struct(F.substring_index(p, mid, 1).alias("label"), F.trim(F.substring_index(p, mid, -1)).alias("value"))
+    first = F.trim(F.element_at("__parts", 1))
+    labelled = F.transform(F.slice("__parts", 2, 1000), pair)
+    pairs = F.when(first != "", F.concat(F.array(F.struct(F.lit("Rules").alias("label"), first.alias("value"))), labelled)).otherwise(labelled)
+    cut = rows.withColumn("__parts", parts).withColumn("__pairs", pairs).withColumn(
+        "__names", F.array_distinct(F.transform("__pairs", lambda x: x["label"])))
     # a label seen twice continues its first value
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(
-        F.transform(F.filter(every, lambda x: x["label"] == n), lambda x: x["value"]), " ")))
+    values = F.transform("__names", lambda n: F.array_join(F.transform(F.filter("__pairs", lambda x: x["label"] == n), lambda x: x["value"]), " "))
+    return cut.withColumn(out, F.map_from_arrays("__names", values)).drop("__parts", "__pairs", "__names")
 
 
 def guide_records(cells: DataFrame, keys: Sequence[str] = ("doc_id",), order: str = "row_no", width: int = ordered.CHUNK_ROWS) -> DataFrame:
@@ -85,7 +89,7 @@ def guide_records(cells: DataFrame, keys: Sequence[str] = ("doc_id",), order: st
     some = lambda f: F.filter(F.transform("parts", lambda p: p[f]), lambda x: x != "")
     lines = F.when(choice, F.filter(F.array("choice_line"), lambda x: x != "")).otherwise(some("c2"))
     block = F.when(choice, F.lit("XML Tag xs:choice")).otherwise(F.array_join(some("c3"), " "))
-    parsed = per.withColumn("xpath", depth_path(lines)).withColumn("labels", label_values(block))
+    parsed = with_label_values(per.withColumn("xpath", depth_path(lines)), block)
     get = lambda *names: F.coalesce(*[F.try_element_at("labels", F.lit(n)) for n in names], F.lit(""))
     colour = F.when(choice, F.col("first_rank")).otherwise(F.col("rank"))
     return parsed.select(
@@ -184,8 +188,10 @@ def change_log(rows: DataFrame, doc_id: str = "doc_id", order: str = "row_no", w
     marked = kept.select(
         doc_id, order, "cells", number.alias("number"), F.when(number == "", F.nullif(infer_dataset(joined), F.lit(""))).alias("marker"),
         F.when(number != "", (n >= 6) & cell(4).isin(*fixed.LOG_STATUS)).alias("layout"))
-    carried = ordered.last_known(marked, [doc_id], [order], F.col("marker"), "carried", width)
-    numbered = islands(carried, [doc_id], [order], F.col("number") != "", "rec", width).filter("rec > 0")
+    # read three times below; the pattern matching above is done once
+    marked = checkpoint(marked)
+    starts = F.when(F.col("number") != "", 1).otherwise(0).cast("bigint")
+    numbered = ordered.running(marked, [doc_id], [order], {"rec": starts}, {"carried": F.col("marker")}, width).filter("rec > 0")
     extra = (F.when((F.col("number") != "") | F.col("marker").isNotNull(), "").when((n > 3) & (cell(3) != ""), cell(3))
              .when((cell(0) != "") & ~cell(0).startswith("N"), cell(0)).otherwise(""))
     first = F.struct(order)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldlens import fixed
 from fieldlens.functions import text as t
 from fieldlens.operators import joins
-from fieldlens.operators.flatten import flatten_xml
+from fieldlens.operators.flatten import RULE_COLUMNS, flatten_xml
 
 ISSUE = ("severity", "category", "path", "element", "message", "value", "expected", "suggestion")
 
@@ -94,7 +94,7 @@ def validate_nodes(nodes: DataFrame, doc_id: str = "msg_id") -> DataFrame:
 
 def validate(messages: DataFrame, doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
     """Issues of raw messages: parse once, then every node-local rule in the same stage."""
-    return validate_nodes(flatten_xml(messages, doc_id, xml), doc_id)
+    return validate_nodes(flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS), doc_id)
 
 
 def validate_schema(messages: DataFrame, xsd_path: str, doc_id: str = "msg_id", xml: str = "xml", row_tag: str = "Document") -> DataFrame:

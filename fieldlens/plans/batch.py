@@ -21,7 +21,7 @@ def validate_batch(messages: DataFrame, doc_id: str = "msg_id", xml: str = "xml"
 def migrate_batch(messages: DataFrame, source: DataFrame, target: DataFrame, custom: DataFrame | None = None, add_defaults: bool = True,
                   now: datetime | None = None, doc_id: str = "msg_id", xml: str = "xml") -> dict[str, DataFrame]:
     """Migrated messages with actions and statistics. ``target`` needs path, seq and min_occurs."""
-    nodes, parse_issues = fl.parse_guard(fl.flatten_xml(messages, doc_id, xml), doc_id)
+    nodes, parse_issues = fl.parse_guard(fl.flatten_xml(messages, doc_id, xml, columns=fl.LEAF_COLUMNS), doc_id)
     values = checkpoint(fl.leaf_map(nodes, doc_id))
     mapping = checkpoint(mp.build_mapping(source, target, custom))
     migrated = checkpoint(mp.migrate(values, mapping, target, add_defaults, now, doc_id))

@@ -18,7 +18,7 @@ NOW = datetime(2024, 1, 15, 10, 30, 0)
 
 
 def _pair(spark, sf_dir):
-    one = lambda name: fl.flatten_xml(messages(spark, sf_dir, name, damaged=False), pairing=True)
+    one = lambda name: fl.flatten_xml(messages(spark, sf_dir, name, damaged=False), pairing=True, columns=md.DIFF_COLUMNS)
     return one("msg_leaf"), one("msg_leaf_b")
 
 
@@ -106,7 +106,7 @@ RENAMED = (("Document/CdtTrfTxInf/RmtInf/Ustrd", "Document/CdtTrfTxInf/RmtInf/Tx
 
 def _migration(spark, sf_dir):
     # the leaf table is read several times below, so it is stored once instead of parsed again
-    values = checkpoint(fl.leaf_map(fl.flatten_xml(messages(spark, sf_dir, damaged=False))))
+    values = checkpoint(fl.leaf_map(fl.flatten_xml(messages(spark, sf_dir, damaged=False), columns=fl.LEAF_COLUMNS)))
     target = checkpoint(fx.frame(spark, sf_dir, "msg_target"))
     custom = spark.createDataFrame(list(RENAMED), "source_path string, target_path string")
     mapping = checkpoint(mp.exact_path_map(fx.frame(spark, sf_dir, "msg_paths"), target).drop("how").unionByName(custom))

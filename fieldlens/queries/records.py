@@ -62,8 +62,8 @@ def label_values(spark, sf_dir):
     rows = fx.frame(spark, sf_dir, "guide_cells").filter("line in (1, 3)")
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("line", "c3"))), lambda x: x["c3"])
     # the block is doubled, so a repeated label has to be appended
-    labels = rc.label_values(F.concat_ws(" ", F.lit("free words"), F.array_join("b", " "), F.element_at("b", -1)))
-    m = rows.groupBy("rec_key").agg(blocks.alias("b")).withColumn("m", labels)
+    block = F.concat_ws(" ", F.lit("free words"), F.array_join("b", " "), F.element_at("b", -1))
+    m = rc.with_label_values(rows.groupBy("rec_key").agg(blocks.alias("b")), block, "m")
     rule = F.try_element_at("m", F.lit("SEPA Usage Rule(s)"))
     return m.select("rec_key", F.split_part(F.try_element_at("m", F.lit("XML Tag")), F.lit(" "), F.lit(1)).alias("tag"), rule.alias("rule"), F.try_element_at("m", F.lit("Rules")).alias("rules"))
 
