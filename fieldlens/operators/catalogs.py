@@ -16,25 +16,34 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def business_entity(entities: dict[str, str] = fixed.ENTITIES) -> Column:
     """Entity by exact tag, else by the first key found in the path, else by pattern, else ''."""
     tag, path = F.col("tag"), F.col("path")
-    in_path = F.try_element_at(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in entities.items()]),
-                                        lambda e: path.contains(e["k"])), F.lit(1))["v"]
     pattern = F.lit("")
     for has, lacks, label in reversed(fixed.ENTITY_PATTERNS):
         cond = tag.contains(has) if lacks is None else tag.contains(has) & ~tag.contains(lacks)
         pattern = F.when(cond, label).otherwise(pattern)
+    if not entities:
+        return pattern
+    in_path = F.try_element_at(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in entities.items()]),
+                                        lambda e: path.contains(e["k"])), F.lit(1))["v"]
     return F.coalesce(_lookup(entities, tag), in_path, pattern)
 
 
 def business_entity_by(catalog: DataFrame, entities: DataFrame) -> DataFrame:
     """Like ``business_entity`` for a user table (key, entity, ord).
 
-    Keys are matched as parts of words, so the few keys travel as one array with every row
-    when their number is checked to be small.
+    A key inside a path is found by joining the path's pieces of the keys' lengths, once per
+    distinct path, so neither table is compared with all of the other.
     """
-    if not joins.is_small(entities, 5_000):
-        raise ValueError("an entity table holds at most 5,000 keys")
-    keys = [r.asDict() for r in entities.orderBy("ord").collect()]
-    return catalog.withColumn("entity", business_entity({r["key"]: r["entity"] for r in keys}))
+    sizes = entities.select(F.length("key").alias("size")).distinct().filter("size > 0")
+    # as many rows as there are different key lengths
+    lengths = [r.size for r in sizes.collect()]
+    paths = catalog.select("path").distinct()
+    sized = paths.withColumn("size", F.explode(F.array(*[F.lit(n) for n in lengths]))).filter(F.length("path") >= F.col("size"))
+    pieces = sized.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.length("path") - F.col("size") + 1),
+                                                        lambda i: F.substring(F.col("path"), i, F.col("size")))).alias("key")).distinct()
+    inside = joins.dim_join(pieces, entities, ["key"], "inner").groupBy("path").agg(F.min_by("entity", "ord").alias("__inside"))
+    exact = entities.groupBy(F.col("key").alias("tag")).agg(F.min_by("entity", "ord").alias("__exact"))
+    known = joins.dim_join(joins.dim_join(catalog, exact, ["tag"]), inside, ["path"])
+    return known.withColumn("entity", F.coalesce("__exact", "__inside", business_entity({}))).drop("__exact", "__inside")
 
 
 def mapping_sample(base_type: str = "type") -> Column:

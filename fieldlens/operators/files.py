@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlens import fixed
-from fieldlens.operators import ordered
+from fieldlens.operators import joins
 
 
 def extension(file: str = "file") -> Column:
@@ -22,7 +22,7 @@ def inventory(files: DataFrame, allowed: Sequence[str] = fixed.UPLOAD_EXTENSIONS
 
 
 def admit(files: DataFrame, allowed: Sequence[str] = fixed.UPLOAD_EXTENSIONS, max_bytes: int = fixed.MAX_FILE_BYTES,
-          max_files: int | None = fixed.MAX_FILES, batch: str = "batch", order: str = "age_hours", width: int = ordered.CHUNK_ROWS) -> DataFrame:
+          max_files: int | None = fixed.MAX_FILES, batch: str = "batch") -> DataFrame:
     """Reason per file: bad extension, too large, empty, over the batch limit, or ok."""
     reason = (F.when(~extension().isin(*allowed), "invalid type").when(F.col("size") > max_bytes, "too large")
               .when(F.col("size") == 0, "empty").otherwise("ok"))
@@ -30,8 +30,7 @@ def admit(files: DataFrame, allowed: Sequence[str] = fixed.UPLOAD_EXTENSIONS, ma
     if max_files is None:
         return rows
     counts = files.groupBy(batch).agg(F.count("*").alias("__n"))
-    # one row per batch
-    return rows.join(counts, batch).withColumn("reason", F.when(F.col("__n") > max_files, "too many files").otherwise(F.col("reason"))).drop("__n")
+    return joins.dim_join(rows, counts, [batch], "inner").withColumn("reason", F.when(F.col("__n") > max_files, "too many files").otherwise(F.col("reason"))).drop("__n")
 
 
 def expired(files: DataFrame, hours: int, age: str = "age_hours") -> DataFrame:

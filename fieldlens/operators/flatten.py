@@ -16,6 +16,8 @@ NODE_FIELDS = (
     ("attrs", "map<string,string>"), ("child_tags", "array<string>"), ("head_tags", "array<string>"),
     ("n_children", "int"), ("tag_occ", "int"), ("tag_total", "int"),
 )
+# true on the last valued row of each path of a document
+LAST_FIELD = ("path_last", "boolean")
 PAIR_FIELDS = (("pos_path", "string"), ("key_path", "string"), ("key", "string"), ("shadowed", "boolean"))
 _ARROW = {
     "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "map<string,string>": pa.map_(pa.string(), pa.string()),
@@ -23,7 +25,7 @@ _ARROW = {
 }
 BATCH_ROWS = 20_000
 # what the leaf tables and the validation rules read
-LEAF_COLUMNS = ("node_id", "path", "occ_path", "kind", "value")
+LEAF_COLUMNS = ("node_id", "path", "occ_path", "kind", "value", "path_last")
 RULE_COLUMNS = ("path", "tag", "kind", "value", "attrs", "child_tags", "tag_occ", "tag_total")
 
 
@@ -100,6 +102,12 @@ def _node_rows(xml: str, pairing: bool, keep_ns: bool) -> list[tuple]:
     return rows
 
 
+def _mark_last(rows: list[tuple]) -> list[tuple]:
+    """Appends whether a row is the last one of its path with a value."""
+    last = {row[4]: i for i, row in enumerate(rows) if row[8] is not None}
+    return [(*row, last.get(row[4]) == i) for i, row in enumerate(rows)]
+
+
 def _pair_key(elem: ET.Element, tag: str, index: int, name) -> str:
     """tag[Id=value] from the first identifying child, else tag[index]."""
     first: dict[str, str | None] = {}
@@ -120,7 +128,8 @@ def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing
     one row of kind ``parse_error``. ``pairing`` adds the keys used to compare documents.
     ``columns`` names the ones wanted; the others are not handed over to Spark.
     """
-    every = NODE_FIELDS + (PAIR_FIELDS if pairing else ())
+    with_last = columns is not None and LAST_FIELD[0] in columns
+    every = NODE_FIELDS + (PAIR_FIELDS if pairing else ()) + ((LAST_FIELD,) if with_last else ())
     fields = tuple(f for f in every if columns is None or f[0] in columns)
     index = [every.index(f) for f in fields]
     id_type = df.schema[doc_id].dataType.simpleString()
@@ -133,6 +142,8 @@ def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing
             rows: list[tuple] = []
             for i, text in enumerate(texts.to_pylist()):
                 found = _node_rows(text, pairing, keep_ns)
+                if with_last:
+                    found = _mark_last(found)
                 owner.extend([i] * len(found))
                 rows += found
                 if len(rows) >= BATCH_ROWS:
@@ -170,8 +181,13 @@ def leaves(nodes: DataFrame) -> DataFrame:
 
 
 def leaf_map(nodes: DataFrame, doc_id: str = "msg_id", keep: str = "last") -> DataFrame:
-    """One value per document and path (the last one), or all of them with their position."""
+    """One value per document and path (the last one), or all of them with their position.
+
+    With the ``path_last`` column of ``flatten_xml`` the last value is a filter, without a shuffle.
+    """
     rows = leaves(nodes)
+    if keep == "last" and "path_last" in nodes.columns:
+        return rows.filter("path_last").select(doc_id, "path", "value")
     if keep == "all":
         return rows.select(doc_id, "path", "value", "node_id", "occ_path")
     return rows.groupBy(doc_id, "path").agg(F.max_by("value", "node_id").alias("value"))

@@ -28,6 +28,8 @@ def dim_join(facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "le
     on = list(on)
     if is_small(dim, max_rows):
         return facts.join(F.broadcast(dim), on, how)
-    salted_facts = facts.withColumn("__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    # maps and variants cannot be hashed; the other columns tell rows apart
+    hashable = [f.name for f in facts.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    salted_facts = facts.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(salted_dim, [*on, "__salt"], how).drop("__salt")

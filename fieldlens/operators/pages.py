@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import lists, text as t
-from fieldlens.operators import ordered
+from fieldlens.operators import joins, ordered
 
 WORD_LIMIT = 2000
 
@@ -36,8 +36,8 @@ def pair_pages(pages: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> Da
     """Page n meets page n of the paired document; unmatched pages are one-sided."""
     def side(column, name):
         keys = pairs.select("pair_id", F.col(column).alias(doc_id))
-        return (pages.join(keys, doc_id).select(
-            "pair_id", "page_no", F.col("text").alias(f"{name}_text"), F.col("raw").alias(f"{name}_raw")))
+        return joins.dim_join(pages, keys, [doc_id], "inner").select(
+            "pair_id", "page_no", F.col("text").alias(f"{name}_text"), F.col("raw").alias(f"{name}_raw"))
 
     return side("left_doc", "a").join(side("right_doc", "b"), ["pair_id", "page_no"], "full")
 
@@ -170,7 +170,7 @@ def concat_pages(pages: DataFrame, doc_id: str = "doc_id", width: int = ordered.
     counts = page_counts(pages, doc_id).withColumn("doc_pos", F.col(doc_id).cast("bigint"))
     total = ordered.running_sum(counts, [], ["doc_pos"], F.col("pages"), "through", width)
     offsets = total.select(doc_id, (F.col("through") - F.col("pages")).alias("offset"))
-    return pages.join(offsets, doc_id).select(doc_id, "page_no", (F.col("offset") + F.col("page_no")).alias("out_page"))
+    return joins.dim_join(pages, offsets, [doc_id], "inner").select(doc_id, "page_no", (F.col("offset") + F.col("page_no")).alias("out_page"))
 
 
 # ---- tables on pages ---------------------------------------------------------------

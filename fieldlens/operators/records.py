@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import lists, text as t
-from fieldlens.operators import ordered
+from fieldlens.operators import joins, ordered
 from fieldlens.session import checkpoint
 
 
@@ -118,13 +118,15 @@ def section_stats(records: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFr
 
 def section_headings(pages: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All 'n.n Use of X (aaaa.nnn.nnn.nn)' headings; dotted contents lines are skipped."""
-    with_context = r"(?is)(.{0,10})(?<!\d)(?<!\d\.)" + fixed.SECTION_PATTERN.removeprefix("(?i)") + r"(?=(.{0,20}))"
+    heading = fixed.SECTION_PATTERN.removeprefix("(?i)")
+    with_context = r"(?is)(.{0,10})(?<!\d)(?<!\d\.)" + heading + r"(?=(.{0,20}))"
     part = lambda i: F.regexp_extract_all(F.col(text), F.lit(with_context), F.lit(i))
-    found = pages.select(doc_id, "page_no", F.posexplode(F.arrays_zip(
-        part(0).alias("whole"), part(2).alias("number"), part(3).alias("label"), part(4).alias("message"), part(5).alias("after"))).alias("i", "h"))
+    # few pages carry a heading; the others are not matched at all
+    likely = pages.filter(F.lower(F.col(text)).contains("use of"))
+    found = likely.select(doc_id, "page_no", F.posexplode(F.arrays_zip(part(0).alias("whole"), part(5).alias("after"))).alias("i", "h"))
+    group = lambda i: F.trim(F.regexp_extract("h.whole", r"(?is)(?<!\d)(?<!\d\.)" + heading + "$", i))
     return (found.filter(~F.concat("h.whole", "h.after").rlike(r"\.{5,}"))
-            .select(doc_id, F.col("page_no").alias("page_start"), "i", F.trim("h.number").alias("section_number"),
-                    F.trim("h.label").alias("label"), F.lower(F.trim("h.message")).alias("message")))
+            .select(doc_id, F.col("page_no").alias("page_start"), "i", group(1).alias("section_number"), group(2).alias("label"), F.lower(group(3)).alias("message")))
 
 
 def dedupe_first(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -204,7 +206,7 @@ def change_log(rows: DataFrame, doc_id: str = "doc_id", order: str = "row_no", w
     kind = F.when(kind.isin(*fixed.LOG_TYPES), kind).otherwise("CHAN")
     text = t.collapse_ws(F.concat_ws(" ", F.array(cell(3)), F.transform("more", lambda m: m["extra"])))
     own = F.nullif(infer_dataset(F.concat(cell(1), F.lit(" "), cell(2))), F.lit(""))
-    return entries.join(layouts, doc_id).select(
+    return joins.dim_join(entries, layouts, [doc_id], "inner").select(
         doc_id, "rec", "number", cell(1).alias("section_ref"), cell(2).alias("element_ref"), text.alias("description"),
         F.when(wide, cell(4)).otherwise("").alias("status"), kind.alias("change_type"),
         F.coalesce(own, "carried", F.lit(fixed.GENERAL_DATASET)).alias("dataset"),
@@ -241,4 +243,5 @@ def contiguous_blocks(rows: DataFrame, keys: Sequence[str], position: str, flag:
 def format_once(rows: DataFrame, keys: Sequence[str], order: str, layout: Column) -> DataFrame:
     """The first known layout per document on all of its rows."""
     first = rows.withColumn("__l", layout).filter(F.col("__l").isNotNull()).groupBy(*keys).agg(F.min_by("__l", order).alias("layout"))
-    return rows.join(first, list(keys), "left")
+    # one document may hold most of the rows
+    return joins.dim_join(rows, first, list(keys))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlens import fixed
 from fieldlens.functions import text as t
 from fieldlens.operators import joins
+from fieldlens.session import checkpoint
 
 REPEAT_SHARE = 0.3
 _BICS = ("DEUTDEFF", "BNPAFRPP", "BARCGB22", "CRESCHZZ")
@@ -72,7 +73,7 @@ def plan_paths(catalog: DataFrame, rules: Sequence = fixed.EITHER_OR) -> DataFra
              .groupBy("schema_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "step"))), lambda x: x["step"]).alias("steps")))
     parents = rows.filter(~F.col("tag").startswith("@")).select("schema_id", F.col("parent").alias("path")).distinct().withColumn("has_children", F.lit(True))
     return (rows.drop("rule", "rule_prefer").join(chain, ["schema_id", "path"]).join(parents, ["schema_id", "path"], "left")
-            .withColumn("has_children", F.coalesce("has_children", F.lit(False))))
+            .withColumn("has_children", F.coalesce("has_children", F.lit(False))).withColumn("kind", value_kind()))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -85,7 +86,8 @@ def synthesize(messages: DataFrame, catalog: DataFrame, profiles: DataFrame, mod
 
     ``messages`` is (msg_id, schema_id, profile), ``profiles`` the rows of ``read_profiles``.
     """
-    plan = plan_paths(kept_paths(catalog, mode))
+    # as small as the schema and read by every task: stored once
+    plan = checkpoint(plan_paths(kept_paths(catalog, mode)))
     rows = joins.dim_join(messages, plan, ["schema_id"], "inner")
     seeded = rows.withColumn("seed", F.lit(seed))
     grow = f"""aggregate(steps, array(struct('' as occ, '' as ord)), (acc, s) -> flatten(transform(acc, p ->
@@ -98,15 +100,14 @@ def synthesize(messages: DataFrame, catalog: DataFrame, profiles: DataFrame, mod
     kept = placed.filter(picked)
     with_profile = joins.dim_join(kept, profiles.withColumnRenamed("name", "profile"), ["profile"])
     now = now or datetime.now()
-    value = F.when(F.col("has_children") & ~F.col("tag").startswith("@"), F.lit(None).cast("string")).otherwise(synth_value(now))
     group = F.element_at("steps", -1)["options"]
     return with_profile.select(
-        "msg_id", "schema_id", "path", F.regexp_replace("occ", r"(/@[^/\[]+)\[1\]$", "$1").alias("occ_path"), "ord", "tag", value.alias("value"),
+        "msg_id", "schema_id", "path", F.regexp_replace("occ", r"(/@[^/\[]+)\[1\]$", "$1").alias("occ_path"), "ord", "tag", synth_value(now).alias("value"),
         F.when(group.isNotNull(), F.col("group_kind")).alias("picked_by"), (F.col("field_class") == "YELLOW").alias("is_yellow"))
 
 
-def synth_value(now: datetime) -> Column:
-    """Value of one field: fixed, code, pattern family, amount, integer, or text by name and context."""
+def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
+    """(kind, condition on the schema's columns, value): fixed, code, pattern family, amount, integer, or text by name and context."""
     lit = F.lit
     tag, low, path = F.regexp_replace("tag", "^@", ""), F.lower(F.regexp_replace("tag", "^@", "")), F.lower("path")
     h = F.xxhash64("seed", "msg_id", "occ")
@@ -147,43 +148,64 @@ def synth_value(now: datetime) -> Column:
     six = F.upper(F.substring(hexes, 1, 6))
     ident = (F.when(low == "msgid", F.concat(lit("MSG" + stamp), six)).when(low == "uetr", uuid).when(low == "endtoendid", F.concat(lit("E2E" + stamp), six))
              .when(low == "txid", F.concat(lit("TX" + stamp), six)).otherwise(F.concat(tag, F.substring(hexes, 1, 12))))
-    basic = (
-        F.when(low.contains("bic"), bic).when(low.contains("iban"), iban)
-        .when(low == "lei", F.concat(letters(_UPPER + _DIGITS, lit(18)), lit("00")))
-        .when((low == "nm") | low.contains("name"), name).when(low.isin("ctry", "ctryofbirth", "ctryofres"), country)
-        .when(low.contains("ccy"), text("currency", "EUR")).when(low == "nboftxs", "1").when(low == "ctrlsum", amount)
-        .when(low.contains("dttm") | low.contains("datetime"), iso + ".000Z").when(low.contains("dt") | low.contains("date"), day)
-        .when(low.contains("amt"), amount).when(low.isin("id", "msgid", "instrid", "endtoendid", "txid", "uetr", "clrtxid"), ident)
-        .when(low.isin("strtnm", "bldgnb", "pstcd", "twnnm", "adrline", "pstladr"), address).when(low == "chrgbr", text("charge_bearer", "SLEV"))
-        .when(low == "sttlmmtd", "CLRG").when((low == "cd") & path.contains("purp"), "SALA").when(low == "cd", "TEST").when(low == "prtry", "PROPRIETARY")
-        .when(low == "issr", "ISSUER").when(low.contains("nb"), (lit(1) + F.floor(u * 100)).cast("bigint").cast("string"))
-        .when(low == "ustrd", "Payment for invoice 12345").when(low == "ref", F.concat(lit("REF" + day.replace("-", "")), (lit(1000) + F.floor(u * 9000)).cast("bigint").cast("string")))
-        .otherwise(F.left(F.concat(lit("Test"), tag), lit(35))))
+    text_cases = [
+        ("bic", low.contains("bic"), bic), ("iban", low.contains("iban"), iban),
+        ("lei", low == "lei", F.concat(letters(_UPPER + _DIGITS, lit(18)), lit("00"))), ("name", (low == "nm") | low.contains("name"), name),
+        ("country", low.isin("ctry", "ctryofbirth", "ctryofres"), country), ("currency", low.contains("ccy"), text("currency", "EUR")),
+        ("one", low == "nboftxs", lit("1")), ("sum", low == "ctrlsum", amount), ("datetime", low.contains("dttm") | low.contains("datetime"), lit(iso + ".000Z")),
+        ("date", low.contains("dt") | low.contains("date"), lit(day)), ("amount_text", low.contains("amt"), amount),
+        ("id", low.isin("id", "msgid", "instrid", "endtoendid", "txid", "uetr", "clrtxid"), ident),
+        ("address", low.isin("strtnm", "bldgnb", "pstcd", "twnnm", "adrline", "pstladr"), address), ("bearer", low == "chrgbr", text("charge_bearer", "SLEV")),
+        ("settlement", low == "sttlmmtd", lit("CLRG")), ("purpose", (low == "cd") & path.contains("purp"), lit("SALA")), ("cd", low == "cd", lit("TEST")),
+        ("prtry", low == "prtry", lit("PROPRIETARY")), ("issuer", low == "issr", lit("ISSUER")),
+        ("number", low.contains("nb"), (lit(1) + F.floor(u * 100)).cast("bigint").cast("string")), ("remittance", low == "ustrd", lit("Payment for invoice 12345")),
+        ("ref", low == "ref", F.concat(lit("REF" + day.replace("-", "")), (lit(1000) + F.floor(u * 9000)).cast("bigint").cast("string"))),
+        ("text", lit(True), F.left(F.concat(lit("Test"), tag), lit(35))),
+    ]
 
     pattern = t.blank("pattern")
     count = lambda p: F.regexp_extract(pattern, p, 1).try_cast("int")
     short = (lit(1) + F.floor(u * F.least(count(r"^\[0-9\]\{1,(\d+)\}"), lit(5)))).cast("int")
     span_lo, span_hi = count(r"\{(\d+)"), F.coalesce(F.regexp_extract(pattern, r"\{\d+,(\d+)\}", 1).try_cast("int"), count(r"\{(\d+)"))
     span = (span_lo + F.floor(u * (F.least(span_hi, lit(20)) - span_lo + 1))).cast("int")
-    by_pattern = (
-        F.when(low.contains("bic"), bic).when(low.contains("iban"), iban).when(pattern.contains("a-f0-9") & pattern.contains("4[a-f0-9]"), uuid)
-        .when(pattern.contains("[0-9]{4}(-[0-9]{2}){2}T[0-9]{2}"), iso)
-        .when(pattern.rlike(r"^\[A-Z\]\{2(,2)?\}$"), pick(_PATTERN_COUNTRIES)).when(pattern.rlike(r"^\[A-Z\]\{3(,3)?\}$"), pick(_CURRENCIES))
-        .when(pattern.rlike(r"^\[0-9\]\{1,\d+\}"), letters(_DIGITS, short))
-        .when(pattern.contains("[A-Z]{6}") & pattern.contains("A-Z2-9"), pick(_BICS))
-        .when(pattern.rlike(r"^\[A-Z\]\{2\}\[0-9\]"), _IBANS[0])
-        .when(pattern.rlike(r"^\[A-Z\]\{\d+"), letters(_UPPER, count(r"^\[A-Z\]\{(\d+)"))).when(pattern.rlike(r"^\[0-9\]\{\d+"), letters(_DIGITS, count(r"^\[0-9\]\{(\d+)")))
-        .when(pattern.rlike(r"\[(A-Za-z|a-zA-Z)0-9\]") & span_lo.isNotNull(), letters(_UPPER + _UPPER.lower() + _DIGITS, span))
-        .when(pattern.contains("[A-Z]{2}") & pattern.contains("[0-9]"), _IBANS[0]).otherwise(F.concat(lit("TEST"), letters(_DIGITS, lit(6)))))
+    pattern_cases = [
+        ("p_bic", low.contains("bic"), bic), ("p_iban", low.contains("iban"), iban), ("p_uuid", pattern.contains("a-f0-9") & pattern.contains("4[a-f0-9]"), uuid),
+        ("p_datetime", pattern.contains("[0-9]{4}(-[0-9]{2}){2}T[0-9]{2}"), lit(iso)), ("p_country", pattern.rlike(r"^\[A-Z\]\{2(,2)?\}$"), pick(_PATTERN_COUNTRIES)),
+        ("p_currency", pattern.rlike(r"^\[A-Z\]\{3(,3)?\}$"), pick(_CURRENCIES)), ("p_short", pattern.rlike(r"^\[0-9\]\{1,\d+\}"), letters(_DIGITS, short)),
+        ("p_bank", pattern.contains("[A-Z]{6}") & pattern.contains("A-Z2-9"), pick(_BICS)), ("p_account", pattern.rlike(r"^\[A-Z\]\{2\}\[0-9\]"), lit(_IBANS[0])),
+        ("p_letters", pattern.rlike(r"^\[A-Z\]\{\d+"), letters(_UPPER, count(r"^\[A-Z\]\{(\d+)"))), ("p_digits", pattern.rlike(r"^\[0-9\]\{\d+"), letters(_DIGITS, count(r"^\[0-9\]\{(\d+)"))),
+        ("p_mixed", pattern.rlike(r"\[(A-Za-z|a-zA-Z)0-9\]") & span_lo.isNotNull(), letters(_UPPER + _UPPER.lower() + _DIGITS, span)),
+        ("p_ibanlike", pattern.contains("[A-Z]{2}") & pattern.contains("[0-9]"), lit(_IBANS[0])), ("p_other", lit(True), F.concat(lit("TEST"), letters(_DIGITS, lit(6)))),
+    ]
     allowed = lambda c: F.array_contains("enums", F.col(c))
     code = (F.when(path.contains("svclvl") & low.contains("cd") & allowed("service_level"), F.col("service_level"))
             .when(path.contains("lclinstrm") & low.contains("cd") & allowed("local_instrument"), F.col("local_instrument"))
             .when(path.contains("chrgbr") & allowed("charge_bearer"), F.col("charge_bearer")).otherwise(pick_array(F.col("enums"))))
     base = F.lower(t.blank("type"))
-    short_text = t.pad_or_cut(basic, F.coalesce(F.col("min_length").try_cast("int"), lit(1)), F.coalesce(F.col("max_length").try_cast("int"), lit(100)))
-    attribute = F.when(low.contains("ccy"), text("currency", "EUR")).otherwise("AttrValue")
-    return (F.when(t.blank("fixed") != "", F.col("fixed")).when(F.size("enums") > 0, code).when(F.col("tag").startswith("@"), attribute).when(pattern != "", by_pattern)
-            .when(base.contains("decimal") | low.contains("amt") | base.contains("amount"), amount).when(base.isin("integer", "int", "long", "short"), integer).otherwise(short_text))
+    attribute = F.col("tag").startswith("@")
+    fit = lambda c: t.pad_or_cut(c, F.coalesce(F.col("min_length").try_cast("int"), lit(1)), F.coalesce(F.col("max_length").try_cast("int"), lit(100)))
+    return [
+        ("fixed", t.blank("fixed") != "", F.col("fixed")), ("code", F.size("enums") > 0, code), ("attribute_currency", attribute & low.contains("ccy"), text("currency", "EUR")),
+        ("attribute", attribute, lit("AttrValue")), *[(n, (pattern != "") & c, v) for n, c, v in pattern_cases],
+        ("amount", base.contains("decimal") | low.contains("amt") | base.contains("amount"), amount), ("integer", base.isin("integer", "int", "long", "short"), integer),
+        *[(n, c, fit(v)) for n, c, v in text_cases],
+    ]
+
+
+def value_kind() -> Column:
+    """Which rule fills a field; depends on the schema alone, so it is settled once per path."""
+    out = F.lit("text")
+    for name, when, _ in reversed(_cases(datetime(2000, 1, 1))):
+        out = F.when(when, name).otherwise(out)
+    return F.when(F.col("has_children") & ~F.col("tag").startswith("@"), F.lit("container")).otherwise(out)
+
+
+def synth_value(now: datetime) -> Column:
+    """Value of a field of a known kind; containers have none."""
+    out = F.lit(None).cast("string")
+    for name, _, value in reversed(_cases(now)):
+        out = F.when(F.col("kind") == name, value).otherwise(out)
+    return out
 
 
 def synthesis_report(rows: DataFrame, by: Sequence[str] = ("schema_id",)) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import text as t
+from fieldlens.operators import joins
 from fieldlens.operators.flatten import flatten_xml
 from fieldlens.operators.trees import expand_paths
 from fieldlens.session import checkpoint
@@ -306,7 +307,7 @@ def base_type(type_name, suffix) -> Column:
 
 def resolve_variant(refs: DataFrame, types: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Scheme-specific variant of referenced types: itself when suffixed, type+suffix when defined, else the type."""
-    wanted = refs.join(suffixes, "schema_id").withColumn("variant", F.concat("type", "suffix"))
+    wanted = joins.dim_join(refs, suffixes, ["schema_id"], "inner").withColumn("variant", F.concat("type", "suffix"))
     defined = types.filter("kind = 'complexType'").select("schema_id", F.col("type_name").alias("variant"), F.lit(True).alias("has")).distinct()
     has_suffix = (F.col("suffix") != "") & F.col("type").contains(F.col("suffix"))
     return wanted.join(defined, ["schema_id", "variant"], "left").withColumn(

@@ -64,6 +64,12 @@ def flatten_known_shape(spark, sf_dir):
 
 @GROUP.add("leaf_map", _o("select msg_id, path, arg_max(value, ord) as value from ok group by 1, 2"))
 def leaf_map(spark, sf_dir):
+    return fl.leaf_map(fl.flatten_xml(messages(spark, sf_dir), columns=fl.LEAF_COLUMNS))
+
+
+@GROUP.add("leaf_map_regrouped", _o("select msg_id, path, arg_max(value, ord) as value from ok group by 1, 2"))
+def leaf_map_regrouped(spark, sf_dir):
+    """The same from a node table without the last-value flag."""
     return fl.leaf_map(nodes(spark, sf_dir))
 
 
