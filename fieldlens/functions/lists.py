@@ -76,8 +76,3 @@ def merge_wrapped(lines: Column) -> Column:
         lambda acc, x: F.when((F.size(acc) == 0) | x.startswith("+"), F.concat(acc, F.array(x))).otherwise(
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
                      F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(" "), x)))))
-
-
-def words_of(name: str) -> Column:
-    """Words of a text column as an array."""
-    return words(F.coalesce(F.col(name), F.lit("")))

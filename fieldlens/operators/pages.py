@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldlens import fixed
 from fieldlens.functions import lists, text as t
 from fieldlens.operators import joins, ordered
+from fieldlens.session import checkpoint
 
 WORD_LIMIT = 2000
 
@@ -29,7 +30,8 @@ def pair_documents(docs: DataFrame, doc_id: str = "doc_id", within: str = "sourc
     """
     ids = docs.select(within, F.col(doc_id).cast("bigint").alias("right_doc"))
     paired = ordered.previous(ids, [within], ["right_doc"], F.col("right_doc"), "left_doc")
-    return paired.filter(F.col("left_doc").isNotNull()).select(F.col("left_doc").alias("pair_id"), "left_doc", "right_doc")
+    # ids only, and both sides of every comparison read them
+    return checkpoint(paired.filter(F.col("left_doc").isNotNull()).select(F.col("left_doc").alias("pair_id"), "left_doc", "right_doc"))
 
 
 def pair_pages(pages: DataFrame, pairs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -72,47 +74,50 @@ def page_counts(pages: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 # ---- differences -------------------------------------------------------------------
 
-def _items(pairs: DataFrame, keys: Sequence[str], split) -> DataFrame:
-    """Items of both sides as rows: (keys, side, pos, item)."""
-    both = F.array(F.struct(F.lit("a").alias("side"), F.col("a_item").alias("txt")), F.struct(F.lit("b").alias("side"), F.col("b_item").alias("txt")))
-    return (pairs.select(*keys, F.inline(both)).filter(F.col("txt").isNotNull())
-            .select(*keys, "side", F.posexplode(split("txt")).alias("pos", "item")))
+def _met_items(pairs: DataFrame, keys: Sequence[str], a: str, b: str, unit: Column) -> DataFrame:
+    """Words or lines of both sides with their occurrence number and where else they occur.
+
+    ``unit`` (word or line) is chosen per pair. One repartition by (pair, item) serves the
+    occurrence numbers, the membership flags and the pairing that follows.
+    """
+    both = F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("txt")), F.struct(F.lit("b").alias("side"), F.col(b).alias("txt")))
+    rows = pairs.select(*keys, unit.alias("unit"), F.inline(both)).filter(F.col("txt").isNotNull())
+    parts = F.when(F.col("unit") == "word", lists.words(F.col("txt"))).otherwise(F.split("txt", "\n"))
+    items = rows.select(*keys, "unit", "side", F.posexplode(parts).alias("pos", "item")).repartition(*keys, "item")
+    same = W.partitionBy(*keys, "item")
+    return (items.withColumn("n", F.row_number().over(W.partitionBy(*keys, "item", "side").orderBy("pos")))
+            .withColumn("in_a", F.max(F.col("side") == "a").over(same)).withColumn("in_b", F.max(F.col("side") == "b").over(same)))
 
 
 def line_diff(pairs: DataFrame, keys: Sequence[str] = ("pair_id",), a: str = "a_raw", b: str = "b_raw") -> DataFrame:
     """Lines of A tagged eq or del by membership in B, then lines of B not in A as ins.
 
-    Order and duplicates are kept through (side, pos). Membership is counted per distinct
-    line with partial aggregation and joined back, so repeated lines do not multiply.
+    Order and duplicates are kept through (side, pos).
     """
-    rows = _items(pairs.select(*keys, F.col(a).alias("a_item"), F.col(b).alias("b_item")), keys, lambda c: F.split(c, "\n"))
-    present = rows.groupBy(*keys, "item").agg(F.bool_or(F.col("side") == "a").alias("in_a"), F.bool_or(F.col("side") == "b").alias("in_b"))
-    tagged = rows.join(present, [*keys, "item"])
+    rows = _met_items(pairs, keys, a, b, F.lit("line")).filter((F.col("side") == "a") | ~F.col("in_a"))
     tag = F.when(F.col("side") == "b", "ins").when(F.col("in_b"), "eq").otherwise("del")
-    return tagged.filter((F.col("side") == "a") | ~F.col("in_a")).select(
-        *keys, "side", "pos", F.col("item").alias("line"), tag.alias("tag"))
+    return rows.select(*keys, "side", "pos", F.col("item").alias("line"), tag.alias("tag"))
 
 
 def word_diff(pairs: DataFrame, keys: Sequence[str] = ("pair_id", "page_no"), a: str = "a_text", b: str = "b_text",
               limit: int = WORD_LIMIT) -> DataFrame:
     """eq, del and ins words of text pairs; the n-th occurrence of a word in A meets the n-th in B.
 
-    Pairs with more than ``limit`` words on a side take the line difference instead. One
-    repartition by (pair, word) serves the occurrence numbers and the pairing.
+    Pairs with more than ``limit`` words on a side take the line difference instead, in the same pass.
     """
     size = lambda c: F.size(lists.words(t.blank(c)))
-    long = (size(a) > limit) | (size(b) > limit)
-    items = _items(pairs.filter(~long).select(*keys, F.col(a).alias("a_item"), F.col(b).alias("b_item")), keys, lists.words_of)
-    spread = items.repartition(*keys, "item")
-    numbered = spread.withColumn("n", F.row_number().over(W.partitionBy(*keys, "item", "side").orderBy("pos")))
-    met = numbered.groupBy(*keys, "item", "n").agg(
+    unit = F.when((size(a) > limit) | (size(b) > limit), "line").otherwise("word")
+    rows = _met_items(pairs, keys, a, b, unit)
+    word = F.col("unit") == "word"
+    kept = rows.filter(word | (F.col("side") == "a") | ~F.col("in_a"))
+    # words meet their n-th counterpart, lines stay rows of their own
+    alone = F.when(word, "").otherwise(F.concat("side", F.col("pos").cast("string")))
+    met = kept.groupBy(*keys, "item", "n", alone.alias("alone")).agg(
+        F.max("unit").alias("unit"), F.bool_or("in_b").alias("in_b"),
         F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("a_pos"), F.max(F.when(F.col("side") == "b", F.col("pos"))).alias("b_pos"))
-    words = met.select(*keys, F.lit("word").alias("unit"), F.col("item"), "a_pos", "b_pos",
-                       F.when(F.col("a_pos").isNull(), "ins").when(F.col("b_pos").isNull(), "del").otherwise("eq").alias("tag"))
-    lines = line_diff(pairs.filter(long), keys, a, b)
-    side = lambda s: F.when(F.col("side") == s, F.col("pos"))
-    return words.unionByName(lines.select(*keys, F.lit("line").alias("unit"), F.col("line").alias("item"),
-                                          side("a").alias("a_pos"), side("b").alias("b_pos"), "tag"))
+    by_line = F.when(F.col("a_pos").isNull(), "ins").when(F.col("in_b"), "eq").otherwise("del")
+    by_word = F.when(F.col("a_pos").isNull(), "ins").when(F.col("b_pos").isNull(), "del").otherwise("eq")
+    return met.select(*keys, "unit", "item", "a_pos", "b_pos", F.when(F.col("unit") == "word", by_word).otherwise(by_line).alias("tag"))
 
 
 def compare_metadata(a: DataFrame, b: DataFrame, key: str, labels: Sequence[str]) -> DataFrame:

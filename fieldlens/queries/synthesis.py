@@ -25,8 +25,9 @@ def _catalog(spark, sf_dir):
     none = F.lit(None).cast("string")
     rows = paths.withColumn("tag", tag).withColumn("is_root", ~F.col("path").contains("/"))
     order = F.col("seq") * 10 + F.size(F.split("path", "/"))
-    return rows.select(
-        F.lit("m").alias("schema_id"), "path", "tag", order.alias("seq"), F.when(tag.isin("SttlmMtd", "LEI"), "0").otherwise("1").alias("min_occurs"),
+    # two schemas with the same fields
+    return rows.withColumn("schema_id", F.explode(F.array(F.lit("m"), F.lit("n")))).select(
+        "schema_id", "path", "tag", order.alias("seq"), F.when(tag.isin("SttlmMtd", "LEI"), "0").otherwise("1").alias("min_occurs"),
         F.when(tag == "CdtTrfTxInf", "unbounded").otherwise("1").alias("max_occurs"), F.when(tag.isin("Nm", "SttlmMtd"), "YELLOW").otherwise("NA").alias("field_class"),
         F.when(tag == "NbOfTxs", "1").otherwise("").alias("fixed"), tag.isin("Cd", "Prtry").alias("in_choice"), F.when(tag.isin("Cd", "Prtry"), "c").alias("choice_key"),
         F.when(tag == "IntrBkSttlmAmt", "Amount").when(tag == "CreDtTm", "ISODateTime").otherwise("Max35Text").alias("type"), F.array().cast("array<string>").alias("enums"),
@@ -42,7 +43,7 @@ def _profiles(spark, sf_dir):
 
 
 def _rows(spark, sf_dir, **kw):
-    messages = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), F.lit("m").alias("schema_id"), F.col("c_mktsegment").alias("profile"))
+    messages = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), F.when(F.col("c_custkey") % 2 == 0, "m").otherwise("n").alias("schema_id"), F.col("c_mktsegment").alias("profile"))
     return sy.synthesize(messages, checkpoint(_catalog(spark, sf_dir)), _profiles(spark, sf_dir), seed=7, now=NOW, **kw)
 
 
@@ -68,7 +69,7 @@ def synth_amounts(spark, sf_dir):
     return amount().join(again, "msg_id").select("msg_id", ((number >= 10) & (number <= 20)).alias("in_range"), F.col("value").rlike(r"^\d+\.\d{2}$").alias("two_decimals"), (F.col("value") == F.col("v2")).alias("same_again"))
 
 
-@GROUP.add("synthesis_report", "select 'm' as schema_id, count(*) as messages, count(*) as choices, count(*) * 2 as rules_applied, count(*) * 2 as yellow_fields from customer")
+@GROUP.add("synthesis_report", "select case when c_custkey % 2 = 0 then 'm' else 'n' end as schema_id, count(*) as messages, count(*) as choices, count(*) * 2 as rules_applied, count(*) * 2 as yellow_fields from customer group by 1")
 def synthesis_report(spark, sf_dir):
     return sy.synthesis_report(_rows(spark, sf_dir, repeat=0.0)).drop("fields")
 
