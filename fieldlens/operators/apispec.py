@@ -47,7 +47,7 @@ def contributions(spec: DataFrame, doc_id: str = "doc_id", max_depth: int = 20)
 
     A schema's own keys come first, then its reference, then its composites. References outside
     the document add nothing. ``own_props`` is false where the referrer's own properties
-    replace those of the reference.
+    replace those of its target.
     """
     refs = spec.filter(F.col("key") == "$ref").select(doc_id, "parent", _pointer_of(F.col("value")).alias("child"), F.lit(0).alias("pos"))
     props = spec.filter(F.col("key") == "properties").select(doc_id, "parent").withColumn("replaced", F.lit(True))
