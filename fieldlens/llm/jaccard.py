@@ -4,7 +4,7 @@ Documents with equal shingle sets form a class; all work is on classes. A pair i
 ``NUM/DEN`` or more. What is asked for are the components of the links, so a group of copies is never expanded to pairs:
 
 1. A pass over the texts gives class keys, set sizes, min-hash keys and a count sketch of all shingles.
-2. Partition into groups: classes that share a min-hash key are compared with the smallest class of that key (one
+2. Partition into groups: classes that share a min-hash key are compared with the most typical class of that key (one
    pair per member); verified links give first components. Components are cut into groups of about ``GROUP`` classes.
 3. Token-group matrix: shingles are ordered from rare to frequent (by the sketch). Similar sets must share one of their
    first n - ceil(0.8 n) + 1 shingles, so these are all a group has to store: its token union with the sizes of its classes.
@@ -34,11 +34,14 @@ from fieldlens.llm.base import WordHash, bit_table, components, in_bits, mix, si
 
 WIDTH = 5
 NUM, DEN = 80, 100
-ROUNDS = 5  # min-hash keys, each of two minima
+#: min-hash keys: which minima make up each; keys of few minima find distant pairs, keys of many the close ones
+KEYS = [*[range(k, k + 2) for k in range(0, 10, 2)], *[range(k, k + 4) for k in range(0, 24, 6)],
+        *[range(k, 24, 3) for k in range(3)], *[range(k, k + 8) for k in range(0, 24, 8)]]
 GROUP = 64
-SKETCH_LOG = 20
-_BLOCK = 1 << 12
-_ODD = mix(np.arange(1, 2 * ROUNDS + 1, dtype=np.uint64)) | np.uint64(1)
+SKETCH_LOG = 22
+_BLOCK = 1 << 14
+CHUNK = 4_000_000  # shingles held at a time
+_ODD = mix(np.arange(1, 25, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str, seen: WordHash) -> np.ndarray:
@@ -57,35 +60,48 @@ def prefix(n: int) -> int:
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its class, size and min-hash keys; at the end the task's part of the sketch, block by block."""
-    seen, sketch = WordHash(), np.zeros(1 << SKETCH_LOG, np.int64)
-    names = ["doc_id", "class", "n", "keys", "block", "counts"]
-    kind = pa.int64()
+    """Per document its class, size, min-hash keys and typicality; at the end the task's part of the sketch, block by block.
+
+    The sketch counts shingles that occur in two classes of a chunk or more: what is unique stays out of it and cannot
+    blur the counts of what repeats. Typicality is the share of a document's shingles that repeat in its chunk: the
+    common source of near copies has the highest.
+    """
+    seen, sketch, kind = WordHash(), np.zeros(1 << SKETCH_LOG, np.int64), pa.int64()
+    names = ["doc_id", "class", "n", "keys", "typical", "block", "counts"]
+
+    def out(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys = [class_key(s) if len(s) else None for s in sets]
+        flat = np.concatenate([np.zeros(0, np.uint64), *{k: s for k, s in zip(keys, sets, strict=True) if k is not None}.values()])
+        flat.sort()
+        values, counts = np.unique(flat, return_counts=True)
+        values, counts = values[counts > 1], counts[counts > 1]
+        np.add.at(sketch, (values >> np.uint64(64 - SKETCH_LOG)).astype(np.int64), counts)
+        lows = [np.array([(s * o).min() for o in _ODD]) if len(s) else None for s in sets]
+        mins = [[] if x is None else [xxhash.xxh3_64_intdigest(x[k].tobytes(), n) - (1 << 63) for n, k in enumerate(KEYS)] for x in lows]
+        share = [float((values[np.minimum(np.searchsorted(values, s), len(values) - 1)] == s).mean()) if len(s) and len(values) else 0.0 for s in sets]
+        none = [None] * len(sets)
+        return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(mins, pa.list_(pa.int64())),
+                                           pa.array(share, pa.float64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+
+    ids, sets, size = [], [], 0
     for batch in batches:
         kind = batch.schema.field(0).type
-        rows = []
-        counted: list[np.ndarray] = []
-        for text in text_of(batch.column(1)):
-            own = shingles(text, seen)
-            if len(own):
-                low = np.array([(own * o).min() for o in _ODD])
-                rows.append((class_key(own), len(own), signed(mix(low[::2] + mix(low[1::2])) + np.arange(ROUNDS, dtype=np.uint64)).tolist()))
-                counted.append((own >> np.uint64(64 - SKETCH_LOG)).astype(np.int64))
-            else:
-                rows.append((None, 0, []))
-        if counted:
-            sketch += np.bincount(np.concatenate(counted), minlength=len(sketch))
-        none = [None] * len(rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                                          pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
+        for doc, text in zip(batch.column(0).to_pylist(), text_of(batch.column(1)), strict=True):
+            ids.append(doc)
+            sets.append(shingles(text, seen))
+            size += len(sets[-1])
+            if size > CHUNK:
+                yield out(pa.array(ids, kind), sets)
+                ids, sets, size = [], [], 0
+    yield out(pa.array(ids, kind), sets)
     blocks = [b for b in range(len(sketch) // _BLOCK) if sketch[b * _BLOCK:(b + 1) * _BLOCK].any()]
     none = [None] * len(blocks)
-    yield pa.RecordBatch.from_arrays([pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.list_(pa.int64())), pa.array(blocks, pa.int32()),
+    yield pa.RecordBatch.from_arrays([pa.array(none, kind), *[pa.array(none, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())], pa.array(blocks, pa.int32()),
                                       pa.array([zlib.compress(sketch[b * _BLOCK:(b + 1) * _BLOCK].astype(np.uint32).tobytes(), 1) for b in blocks], pa.binary())], names=names)
 
 
 def _ranks(profiles: DataFrame) -> np.ndarray:
-    """Rank (0 rare, 127 frequent) of every sketch slot; 1 MB whatever the input."""
+    """Rank (0 rare, 127 frequent) of every sketch slot; 4 MB whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -139,15 +155,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id, class (key of the shingle set) and n_in_class of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    profiles = stored(docs.mapInArrow(_profiles, f"doc_id {kind}, class long, n long, keys array<long>, block int, counts binary"))
-    rows = profiles.where("block is null").select("doc_id", "class", "n", "keys")
+    profiles = stored(docs.mapInArrow(_profiles, f"doc_id {kind}, class long, n long, keys array<long>, typical double, block int, counts binary"))
+    rows = profiles.where("block is null").select("doc_id", "class", "n", "keys", "typical")
     ranks = _ranks(profiles)
-    classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.max("typical").alias("typical"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     classes = stored(classes)
 
-    # first groups: members of a min-hash key against its smallest class
-    keyed = classes.select("class", "n", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("class", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
+    # first groups: members of a min-hash key against its most typical class
+    keyed = classes.select("class", "n", "typical", F.explode("keys").alias("key"))
+    heads = keyed.groupBy("key").agg(F.max(F.struct("typical", "class", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
     stars = keyed.join(heads, "key").where(F.col("class") != F.col("head.class")).where(_sizes_fit("n", "head.n"))
     stars = stored(stars.select(F.col("class").alias("a"), F.col("head.class").alias("b")).distinct())
     links = stored(_verified(docs, stars))
