@@ -64,12 +64,16 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     width = min(width, len(hashes))
-    out = np.zeros(len(hashes) - width + 1, np.uint64)
+    n = len(hashes) - width + 1
+    out = np.full(n, width, np.uint64)
     for k in range(width):
-        out = mix(out + hashes[k:len(hashes) - width + 1 + k]) + np.uint64(k + 1)
+        out += hashes[k:k + n] * _ODD[k]
     return mix(out)
 
 
+_ODD = mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
+
+
 # ---- bit tables: a bounded stand-in for "the keys that matter"; false hits cost time, never rows
 
 

@@ -8,8 +8,8 @@ Documents with equal shingle sets form a class; all work is on classes. A pair i
    pair per member); verified links give first components. Components are cut into groups of about ``GROUP`` classes.
 3. Token-group matrix: shingles are ordered from rare to frequent (by the sketch). Similar sets must share one of their
    first n - ceil(0.8 n) + 1 shingles, so these are all a group has to store: its token union with the sizes of its classes.
-4. Bound: a class can only be similar to a member of a foreign group if at least one of its own first shingles is in
-   the union and the sizes fit. Only such groups are opened; their members are compared exactly.
+4. Bound: a class can only be similar to a member of a foreign group if one of its own first shingles is in the union,
+   the sizes fit, and both have enough shingles after it. Only such groups are opened; their members are compared exactly.
 5. New links join the first ones; the smallest doc_id of a component names it.
 
 Only the sets of classes that take part in a comparison are shuffled; a bit table of fixed size tells a task which.
@@ -167,22 +167,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     stars = keyed.join(heads, "key").where(F.col("class") != F.col("head.class")).where(_sizes_fit("n", "head.n"))
     stars = stored(stars.select(F.col("class").alias("a"), F.col("head.class").alias("b")).distinct())
     links = stored(_verified(docs, stars))
-    first = components(links, "a", "b")
 
     # token unions of groups
-    members = classes.select("class", "n").join(first.withColumnRenamed("node", "class"), "class", "left")
-    members = members.withColumn("root", F.coalesce("root", "class"))
-    sizes = first.groupBy("root").agg((F.count("*") + 1).alias("size"))
-    members = stored(members.join(sizes, "root", "left").select("class", "n", "root", F.pmod(F.xxhash64("class"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP)).alias("grp")))
-    tokens = docs.select("text").mapInArrow(_prefixes(ranks), "token long, class long, n int")
+    members = _grouped(classes, links)
+    tokens = docs.select("text").mapInArrow(_prefixes(ranks), "token long, class long, at int")
     over = Window.partitionBy("token")
-    tokens = tokens.select("token", "class", "n", F.min("class").over(over).alias("__low"), F.max("class").over(over).alias("__high")).where("__low <> __high").select("token", "class").distinct()
+    tokens = tokens.select("token", "class", "at", F.min("class").over(over).alias("__low"), F.max("class").over(over).alias("__high")).where("__low <> __high").select("token", "class", "at").distinct()
     tokens = stored(tokens.join(members, "class"))
     alone = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     tokens = tokens.join(alone, "token", "left_semi")
-    matrix = tokens.groupBy("token", "root", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most")).withColumnsRenamed({"root": "other"})
-    bound = tokens.select("token", "class", "n", "root").join(matrix, "token").where("root < other").where(
-        (F.col("most") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("least") * NUM))
+    matrix = tokens.groupBy("token", "root", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("room")).withColumnsRenamed({"root": "other"})
+    # the first shingle that two similar sets share leaves both with enough shingles after it
+    needed = (F.col("n") + F.greatest("least", F.ceil(F.col("n") * NUM / DEN))) * NUM
+    bound = tokens.select("token", "class", "n", "at", "root").join(matrix, "token").where("root < other").where(
+        (F.col("most") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("least") * NUM)
+        & ((F.col("n") - F.col("at")) * (NUM + DEN) >= needed) & (F.col("room") * (NUM + DEN) >= needed))
     opened = bound.select("class", "n", "other", F.col("grp")).distinct()
     inside = members.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("other"), "grp")
     pairs = opened.join(inside, ["other", "grp"]).where(_sizes_fit("n", "n_b")).select(F.col("class").alias("a"), "b").distinct()
@@ -198,6 +197,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         "class", F.coalesce("copies", F.lit(1)).alias("n_in_class"))
 
 
+def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, n, root, grp): components of ``links`` in groups of about ``GROUP`` classes."""
+    known = components(links, "a", "b")
+    sizes = known.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    members = classes.select("class", "n").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    return stored(members.join(sizes, "root", "left").select("class", "n", "root", F.pmod(F.xxhash64("class"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP)).alias("grp")))
+
+
 def _sizes_fit(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
@@ -213,13 +220,12 @@ def _prefixes(ranks: np.ndarray):
                     done.add(key)
                     ranked = (ranks[(own >> np.uint64(64 - SKETCH_LOG)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (mix(own) >> np.uint64(7))
                     p = prefix(len(own))
-                    tokens.append(np.partition(ranked, p - 1)[:p])
+                    tokens.append(np.sort(np.partition(ranked, p - 1)[:p]))
                     keys.append(key)
-                    sizes.append((len(own), p))
+                    sizes.append(p)
             if tokens:
-                repeat = [p for _, p in sizes]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(keys, np.int64), repeat)),
-                                                  pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), repeat))], names=["token", "class", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), pa.array(np.repeat(np.array(keys, np.int64), sizes)),
+                                                  pa.array(np.concatenate([np.arange(p, dtype=np.int32) for p in sizes]))], names=["token", "class", "at"])
 
     return rows
 
