@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldlens.llm.base import CACHE, bit_table, in_bits, signed, text_of, without, windows
 
-WIDTH = 8
+WIDTH = 8  # the first word of a sentence is plain: its capital says nothing
 LEAST_PLAIN = 4  # plain tokens a window needs, or all of a shorter item but one
 COVERAGE = 0.5
 EDGE = ".,;:!?\"'()[]{}*"

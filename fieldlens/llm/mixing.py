@@ -23,14 +23,16 @@ RANGE = 3  # hexadecimal digits of the digest: 4,096 ranges per source
 
 
 def quotas(targets: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source_key, quota) of (source_key, weight): whole slots of a period, together ``period``; at most ``period`` sources."""
+    """(source_key, quota) of (source_key, weight): whole slots of a period, together ``period``.
+
+    Shares below one slot get one; the others divide the rest by largest remainders. At most half a period of sources.
+    """
     share = targets.where("weight > 0 and source_key is not null").groupBy("source_key").agg(F.sum("weight").alias("weight"))
-    total, by = Window.partitionBy(), Window.orderBy(F.desc("rest"), "source_key")
-    share = share.withColumn("free", F.count("*").over(total)).withColumn("exact", F.expr(f"weight / sum(weight) over () * ({period} - free)"))
-    share = share.withColumn("floor", F.floor("exact") + 1).withColumn("rest", F.col("exact") - F.floor("exact"))
-    short = F.lit(period) - F.sum("floor").over(total)
-    return share.withColumn("short", short).withColumn("rank", F.row_number().over(by)).select(
-        "source_key", (F.col("floor") + F.when(F.col("rank") <= F.col("short"), 1).otherwise(0)).cast("int").alias("quota"))
+    share = share.withColumn("small", F.expr(f"weight * {period} < sum(weight) over ()"))
+    share = share.withColumn("exact", F.expr(f"if(small, 1, weight / sum(if(small, 0, weight)) over () * ({period} - sum(cast(small as int)) over ()))"))
+    share = share.withColumn("fl", F.greatest(F.lit(1), F.floor("exact"))).withColumn("short", F.expr(f"{period} - sum(fl) over ()"))
+    share = share.withColumn("up", F.row_number().over(Window.orderBy(F.desc(F.col("exact") - F.col("fl")), "source_key"))).withColumn("down", F.row_number().over(Window.orderBy(F.desc("fl"), "source_key")))
+    return share.select("source_key", F.expr("cast(fl + if(up <= short, 1, 0) - if(down <= -short, 1, 0) as int)").alias("quota"))
 
 
 def schedule(quota: DataFrame, period: int = PERIOD) -> DataFrame:
@@ -92,9 +94,11 @@ def oracle(period: int = PERIOD, block: int = BLOCK, seed: int = 1, power: float
 with recursive d as (select doc_id, source, coalesce('=' || source, 'null') as k, md5('{seed}:' || coalesce(cast(doc_id as varchar), '')) as digest from documents),
 numbered as (select doc_id, source, k, row_number() over (partition by k order by digest) - 1 as number from d),
 w as (select k, pow(cast(count(*) as double), {power}) as weight from d group by k),
-e as (select k, weight / sum(weight) over () * ({period} - count(*) over ()) as exact from w),
-f as (select k, floor(exact) + 1 as fl, exact - floor(exact) as rest from e),
-q as (select k, cast(fl + case when row_number() over (order by rest desc, k) <= {period} - sum(fl) over () then 1 else 0 end as bigint) as quota from f),
+sm as (select *, weight * {period} < sum(weight) over () as small from w),
+e as (select k, case when small then 1 else weight / sum(case when small then 0 else weight end) over () * ({period} - sum(cast(small as int)) over ()) end as exact from sm),
+f as (select k, exact, greatest(1, floor(exact)) as fl from e),
+g as (select k, fl, {period} - sum(fl) over () as short, row_number() over (order by exact - fl desc, k) as up, row_number() over (order by fl desc, k) as down from f),
+q as (select k, cast(fl + case when up <= short then 1 else 0 end - case when down <= -short then 1 else 0 end as bigint) as quota from g),
 qs as (select list(quota order by k) as qs, list(k order by k) as ks from q),
 run(t, done, pick) as (
   select -1, list_transform(qs, lambda x: cast(0 as bigint)), cast(null as bigint) from qs
