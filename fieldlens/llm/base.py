@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,7 +17,7 @@ from fieldlens.session import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 BIT_LOG = 26  # size of a bit table: 2^26 bits, 8 MB, whatever the input
-CACHE = 400_000  # entries of a task's word cache before it starts anew
+CACHE = 150_000  # entries of a task's word cache before it starts anew
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,17 +149,20 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 50) -> Dat
     raise RuntimeError(f"links did not settle in {rounds} rounds")
 
 
-def emit(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def arrow_map(df: DataFrame, rows, schema) -> DataFrame:
+    """``df.mapInArrow`` for functions that hold texts: they get small batches, and idle workers give memory back."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batch.slice(k, 1000) for batch in batches for k in range(0, len(batch), 1000))
+        _release()
 
-def chunks_of(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches holding about ``most`` bytes of ``column`` each, one row at least."""
-    for batch in batches:
-        sizes = np.cumsum([0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()]) if len(batch) else []
-        start = 0
-        while start < len(batch):
-            base = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass

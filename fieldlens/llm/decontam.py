@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlens.llm.base import CACHE, bit_table, in_bits, signed, text_of, without, windows
+from fieldlens.llm.base import arrow_map, bit_table, CACHE, in_bits, signed, text_of, windows, without
 
 WIDTH = 8  # the first word of a sentence is plain: its capital says nothing
 LEAST_PLAIN = 4  # plain tokens a window needs, or all of a shorter item but one
@@ -112,7 +112,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
     """doc_id, row_key, item_id, matched windows, windows of the item, ``exact`` (all slots unchanged) for every leak."""
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).mapInArrow(
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).transform(
+        arrow_map,
         _item_windows, f"item_id {kinds[1]}, width int, item_at long, key long, item_windows long, item_slots array<string>")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH of them
     bits = bit_table(items, "key")
@@ -136,7 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
                 pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys]))), pa.array(values, pa.list_(pa.string()))], names=["doc_id", "row_key", "doc_at", "key", "doc_slots"])
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    hits = keyed.mapInArrow(rows, f"doc_id {kinds[0]}, row_key long, doc_at long, key long, doc_slots array<string>")
+    hits = keyed.transform(arrow_map, rows, f"doc_id {kinds[0]}, row_key long, doc_at long, key long, doc_slots array<string>")
     pairs = hits.join(items, "key").where(F.size("doc_slots") == F.size("item_slots"))
     lines = pairs.groupBy("doc_id", "row_key", "item_id", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
         F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots")))).alias("slots"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldlens.llm.base import WordHash, bit_table, components, in_bits, mix, signed, stored, text_of, windows, without
+from fieldlens.llm.base import arrow_map, bit_table, components, in_bits, mix, signed, stored, text_of, windows, without, WordHash
 
 WIDTH = 5
 NUM, DEN = 80, 100
@@ -40,7 +40,7 @@ KEYS = [*[range(k, k + 2) for k in range(0, 10, 2)], *[range(k, k + 4) for k in
 GROUP = 64
 SKETCH_LOG = 22
 _BLOCK = 1 << 14
-CHUNK = 4_000_000  # shingles held at a time
+CHUNK = 2_000_000  # shingles held at a time
 _ODD = mix(np.arange(1, 25, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -111,7 +111,7 @@ def _ranks(profiles: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary())], names=["block", "counts"])
 
     parts = profiles.where("block is not null").select("block", "counts")
-    parts = parts.repartition(32, "block").mapInArrow(add, "block int, counts binary")
+    parts = parts.repartition(32, "block").transform(arrow_map, add, "block int, counts binary")
     out = np.zeros(1 << SKETCH_LOG)
     for r in parts.collect():
         out[r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
@@ -134,7 +134,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                     data.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["k", "own"])
 
-    own = docs.select("text").mapInArrow(sets, "k long, own binary").dropDuplicates(["k"])
+    own = docs.select("text").transform(arrow_map, sets, "k long, own binary").dropDuplicates(["k"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,14 +148,14 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = own.select(F.col("k").alias("a"), F.col("own").alias("own_a")), own.select(F.col("k").alias("b"), F.col("own").alias("own_b"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").transform(arrow_map, check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, class (key of the shingle set) and n_in_class of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    profiles = stored(docs.mapInArrow(_profiles, f"doc_id {kind}, class long, n long, keys array<long>, typical double, block int, counts binary"))
+    profiles = stored(docs.transform(arrow_map, _profiles, f"doc_id {kind}, class long, n long, keys array<long>, typical double, block int, counts binary"))
     rows = profiles.where("block is null").select("doc_id", "class", "n", "keys", "typical")
     ranks = _ranks(profiles)
     classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.max("typical").alias("typical"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
@@ -170,7 +170,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # token unions of groups
     members = _grouped(classes, links)
-    tokens = docs.select("text").mapInArrow(_prefixes(ranks), "token long, class long, at int")
+    tokens = docs.select("text").transform(arrow_map, _prefixes(ranks), "token long, class long, at int")
     over = Window.partitionBy("token")
     tokens = tokens.select("token", "class", "at", F.min("class").over(over).alias("__low"), F.max("class").over(over).alias("__high")).where("__low <> __high").select("token", "class", "at").distinct()
     tokens = stored(tokens.join(members, "class"))

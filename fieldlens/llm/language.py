@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldlens.llm.base import id_part, text_of
+from fieldlens.llm.base import arrow_map, id_part, text_of
 
 DIMS = 1024
 SEED = 20_011
@@ -112,7 +112,7 @@ def train(docs: DataFrame, text: str, lang: str) -> dict[str, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * DIMS), pa.array(np.arange(DIMS, dtype=np.int32)), pa.array(np.rint(vector).astype(np.int64))], names=["lang", "dim", "v"])
 
     part = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    rows = part.mapInArrow(sums, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    rows = part.transform(arrow_map, sums, "lang string, dim int, v long").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
     rows = rows.limit(MAX_LANGUAGES * DIMS + 1).collect()
     if len(rows) > MAX_LANGUAGES * DIMS:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
@@ -140,7 +140,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
     kept = docs.drop("lang_pred", "score")
-    return kept.mapInArrow(rows, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return kept.transform(arrow_map, rows, StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlens.llm.base import text_of
+from fieldlens.llm.base import arrow_map, text_of
 
 # fixed values: the base patterns and their least lengths
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -128,7 +128,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, their digest, and all spans as ``kind:start:end``."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(
+        arrow_map,
         _rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
@@ -141,4 +142,4 @@ def mask_secrets(docs: DataFrame, text: str = "text", mask: str = "[secret]") ->
             new = [None if t is None else masked(t, s, mask) if (s := scan(t)[1]) else t for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.transform(arrow_map, rows, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from fieldlens.llm.base import BIT_LOG, hit, bit_table, in_bits, mix, signed, stored, text_of
+from fieldlens.llm.base import arrow_map, BIT_LOG, bit_table, hit, in_bits, mix, signed, stored, text_of
 
 LENGTH = 50
 GRAM = 24
@@ -325,9 +325,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = buckets or min(16_384, max(256, 8 * docs.rdd.getNumPartitions()))
-    packed = docs.mapInArrow(_packed(buckets, None), "bucket int, keys binary, low binary, high binary").where("length(keys) > 0")
+    packed = docs.transform(arrow_map, _packed(buckets, None), "bucket int, keys binary, low binary, high binary").where("length(keys) > 0")
     meeting = bit_table(packed.groupBy("bucket").applyInArrow(_meeting, "slot long"), "slot")
-    pieces = docs.mapInArrow(_packed(buckets, meeting), "bucket int, keys binary, doc binary, first binary, size binary, data binary")
+    pieces = docs.transform(arrow_map, _packed(buckets, meeting), "bucket int, keys binary, doc binary, first binary, size binary, data binary")
     return pieces.groupBy("bucket").applyInArrow(_late, "doc long, first long, last long")
 
 
@@ -339,7 +339,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans = repeated_spans(docs, doc_id, text, buckets).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = stored(spans.withColumn("key", F.xxhash64("doc")))
     partly = own.where(hit(bit_table(spans, "key"), F.xxhash64("doc"))).select("doc", F.sha2("text", 256).alias("digest"), "text")
-    cut = partly.join(spans.select("doc", "spans"), "doc").mapInArrow(_cut, "doc long, digest string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "digest"])
+    cut = partly.join(spans.select("doc", "spans"), "doc").transform(arrow_map, _cut, "doc long, digest string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "digest"])
     rows = known.join(first, "digest").join(cut, ["doc", "digest"], "left")
     whole = (F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
     pick = lambda copied, name, kept: F.when(whole, copied).otherwise(F.coalesce(name, kept)).alias(name)

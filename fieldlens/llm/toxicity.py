@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldlens.llm.base import id_part, text_of
+from fieldlens.llm.base import arrow_map, id_part, text_of
 
 BUCKETS = 1 << 17
 DIMS = 8
@@ -127,7 +127,7 @@ def score_texts(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", te
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t) for t in text_of(batch.column(1))], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, f"doc_id {kind}, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).transform(arrow_map, rows, f"doc_id {kind}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
