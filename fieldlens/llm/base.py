@@ -17,6 +17,7 @@ from fieldlens.session import checkpoint
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 BIT_LOG = 26  # size of a bit table: 2^26 bits, 8 MB, whatever the input
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CACHE = 150_000  # entries of a task's word cache before it starts anew
 
 
@@ -150,7 +151,13 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 50) -> Dat
 
 
 def arrow_map(df: DataFrame, rows, schema) -> DataFrame:
-    """``df.mapInArrow`` for functions that hold texts: they get small batches, and idle workers give memory back."""
+    """``df.mapInArrow`` for functions that hold texts: they get small batches, and idle workers give memory back.
+
+    Spark's default of 10,000 rows a batch is lowered for the session, a setting of the user's own stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, "10000") == "10000":
+        conf.set(BATCH, "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batch.slice(k, 1000) for batch in batches for k in range(0, len(batch), 1000))
