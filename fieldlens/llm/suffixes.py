@@ -4,7 +4,7 @@ A byte goes when it lies in a ``LENGTH``-byte string that also starts in a docum
 has an anchor, chosen from its content alone: the place of its smallest ``GRAM``-byte hash. Equal strings have equal
 anchors, so texts only have to be compared where anchors meet:
 
-1. A pass over the texts packs (anchor hash, smallest and largest id) per task, one row per hash bucket. A bucket tells
+1. A pass over the texts packs (anchor hash, smallest and largest id) per piece of a task, one row per hash bucket. A bucket tells
    which anchors occur in two documents or more; a bit table of fixed size holds these.
 2. A second pass cuts out the fragment around each such anchor: all strings it is the anchor of.
 3. Per anchor bucket, equal fragments collapse to the smallest id. Where an anchor has different fragments, a suffix
@@ -23,6 +23,7 @@ a null id counts as larger than every id; rows with equal ids never remove from
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -196,12 +197,15 @@ def _packed(buckets: int, meeting: np.ndarray | None):
             if meeting is None:
                 order = np.lexsort((doc, keys))
                 keys, doc = keys[order], doc[order]
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-                last = np.concatenate([first[1:] - 1, [len(keys) - 1]]) if len(keys) else first
-                keys, low, high = keys[first], doc[first], doc[last]
+                edge = np.ones(len(keys) + 1, bool)
+                edge[1:-1] = keys[1:] != keys[:-1]
+                # of each anchor its smallest id, and its largest where that is another one
+                first, last = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
+                own = np.sort(np.concatenate([first, last[doc[last] != doc[first]]]))
+                keys, doc = keys[own], doc[own]
                 cuts = np.searchsorted(keys, _edges(buckets))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(buckets), pa.int32()), *[pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (keys, low, high)]], names=["bucket", "keys", "low", "high"])
+                    pa.array(range(buckets), pa.int32()), *[pa.array([f(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x, f in ((keys, _six), (doc, _narrow))]], names=["bucket", "keys", "doc"])
             else:
                 base = np.concatenate([[0], np.cumsum([len(d) for _, d in piece])[:-1]])
                 text = b"".join(d for _, d in piece)
@@ -215,8 +219,8 @@ def _packed(buckets: int, meeting: np.ndarray | None):
                     if len(own):
                         begin, end = base[of[own]] + first[own], base[of[own]] + last[own] + LENGTH
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([b], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (keys[own], doc[own], first[own], (end - begin).astype(np.uint8))],
-                            pa.array([b"".join([text[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)])], pa.binary())], names=["bucket", "keys", "doc", "first", "size", "data"])
+                            pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_six(keys[own]), _narrow(doc[own]), _narrow(first[own]), (end - begin).astype(np.uint8).tobytes())],
+                            pa.array([zlib.compress(b"".join([text[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]), 1)], pa.binary())], names=["bucket", "keys", "doc", "first", "size", "data"])
 
     return rows
 
@@ -226,27 +230,45 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(buckets)] + [(1 << 64) - 1], np.uint64)
 
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _six(keys: np.ndarray) -> bytes:
+    """The upper 48 bits of each key; two anchors that agree in them only meet for nothing."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Four bytes a number where all fit, eight otherwise."""
+    return numbers.astype(np.uint32).tobytes() if len(numbers) and 0 <= numbers.min() and numbers.max() < 1 << 32 else numbers.astype(np.int64).tobytes()
+
+
+def _keys(table: pa.Table) -> np.ndarray:
+    six = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, 2:] = six
+    return out.view(np.uint64).ravel()
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    parts = [np.frombuffer(x, np.uint32 if len(x) * 6 == 4 * len(k) else np.int64).astype(np.int64) for k, x in zip(table.column("keys").to_pylist(), table.column(name).to_pylist(), strict=True)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
 def _meeting(table: pa.Table) -> pa.Table:
     """Anchors of a bucket that occur in two documents or more."""
-    keys, low, high = _joined(table, "keys", np.uint64), _joined(table, "low", np.int64), _joined(table, "high", np.int64)
+    keys, doc = _keys(table), _numbers(table, "doc")
     order = np.argsort(keys, kind="stable")
-    keys, low, high = keys[order], low[order], high[order]
+    keys, doc = keys[order], doc[order]
     runs = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     if len(runs):
-        runs = runs[np.minimum.reduceat(low, runs) < np.maximum.reduceat(high, runs)]
+        runs = runs[np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs)]
     slot = np.unique(keys[runs] >> np.uint64(64 - BIT_LOG))
     return pa.table({"slot": pa.array((slot << np.uint64(64 - BIT_LOG)).view(np.int64))})
 
 
 def _late(table: pa.Table) -> pa.Table:
     """(doc, first, last) start ranges of strings that start in an earlier document too."""
-    keys, docs = _joined(table, "keys", np.uint64), _joined(table, "doc", np.int64)
-    first, size = _joined(table, "first", np.int64), _joined(table, "size", np.uint8).astype(np.int64)
-    data = b"".join(table.column("data").to_pylist())
+    keys, docs, first = _keys(table), _numbers(table, "doc"), _numbers(table, "first")
+    size = np.frombuffer(b"".join(table.column("size").to_pylist()), np.uint8).astype(np.int64)
+    data = b"".join(map(zlib.decompress, table.column("data").to_pylist()))
     end = np.cumsum(size)
     pieces = [data[e - s:e] for s, e in zip(size.tolist(), end.tolist(), strict=True)]
     least: dict[tuple[int, bytes], int] = {}
@@ -325,7 +347,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = buckets or min(16_384, max(256, 8 * docs.rdd.getNumPartitions()))
-    packed = docs.transform(arrow_map, _packed(buckets, None), "bucket int, keys binary, low binary, high binary").where("length(keys) > 0")
+    packed = docs.transform(arrow_map, _packed(buckets, None), "bucket int, keys binary, doc binary").where("length(keys) > 0")
     meeting = bit_table(packed.groupBy("bucket").applyInArrow(_meeting, "slot long"), "slot")
     pieces = docs.transform(arrow_map, _packed(buckets, meeting), "bucket int, keys binary, doc binary, first binary, size binary, data binary")
     return pieces.groupBy("bucket").applyInArrow(_late, "doc long, first long, last long")
