@@ -39,7 +39,7 @@ def endpoints(spec: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def _pointer_of(ref: Column) -> Column:
-    return F.when(ref.startswith("#/"), F.substring(ref, 2, 100_000))
+    return F.when(ref.startswith("#/"), F.substr(ref, F.lit(2)))
 
 
 def contributions(spec: DataFrame, doc_id: str = "doc_id", max_depth: int = 20) -> DataFrame:
@@ -147,7 +147,7 @@ def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_d
     item = F.col("step") == "[]"
     holder = F.regexp_extract(full, r"([^.\[\]]+)\[\]$", 1)
     return rows.join(info, [doc_id, "node"], "left").select(
-        doc_id, F.col("root").alias("schema"), F.when(item, F.concat(F.when(holder == "", "items").otherwise(holder), F.lit("[]"))).otherwise(F.substring("step", 2, 100_000)).alias("field_name"),
+        doc_id, F.col("root").alias("schema"), F.when(item, F.concat(F.when(holder == "", "items").otherwise(holder), F.lit("[]"))).otherwise(F.substr("step", F.lit(2))).alias("field_name"),
         full.alias("full_path"), (F.col("depth") - 1).alias("depth"), item.alias("is_array_item"), t.yes_no(F.col("required")).alias("required"), "sort_key",
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("type", "format", "description", "enum", "example", "default", "minimum", "maximum", "pattern")],
         *[F.coalesce(c, F.lit("No")).alias(c) for c in ("nullable", "readOnly", "writeOnly", "deprecated")])

@@ -94,11 +94,9 @@ def with_guide_status(guide: DataFrame) -> DataFrame:
     return guide.withColumn("status", status).withColumn("status_source", source)
 
 
-def has_colour(guide: DataFrame, by: Sequence[str] = ("message",), order: str = "pos", n: int = 20) -> DataFrame:
-    """Whether any of the first ``n`` rows of a sheet carries a colour."""
-    window = W.partitionBy(*by).orderBy(order, "xpath")
-    first = guide.select(*by, order, "xpath", "row_color").withColumn("rn", F.row_number().over(window)).filter(F.col("rn") <= n)
-    return first.groupBy(*by).agg(F.bool_or(F.col("row_color").isin("yellow", "red")).alias("has_colour"))
+def has_colour(guide: DataFrame, by: Sequence[str] = ("message",)) -> DataFrame:
+    """Whether any row of a sheet carries a colour."""
+    return guide.groupBy(*by).agg(F.bool_or(F.col("row_color").isin("yellow", "red")).alias("has_colour"))
 
 
 def filter_status(guide: DataFrame, mode: str = "all") -> DataFrame:

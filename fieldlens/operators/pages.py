@@ -11,8 +11,6 @@ from fieldlens.functions import lists, text as t
 from fieldlens.operators import joins, ordered
 from fieldlens.session import checkpoint
 
-WORD_LIMIT = 2000
-
 
 def read_pages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines_per_page: int = 5) -> DataFrame:
     """(doc_id, page_no, raw, text): pages of ``lines_per_page`` lines, whitespace-cleaned text beside the raw one."""
@@ -99,25 +97,13 @@ def line_diff(pairs: DataFrame, keys: Sequence[str] = ("pair_id",), a: str = "a_
     return rows.select(*keys, "side", "pos", F.col("item").alias("line"), tag.alias("tag"))
 
 
-def word_diff(pairs: DataFrame, keys: Sequence[str] = ("pair_id", "page_no"), a: str = "a_text", b: str = "b_text",
-              limit: int = WORD_LIMIT) -> DataFrame:
-    """eq, del and ins words of text pairs; the n-th occurrence of a word in A meets the n-th in B.
-
-    Pairs with more than ``limit`` words on a side take the line difference instead, in the same pass.
-    """
-    size = lambda c: F.size(lists.words(t.blank(c)))
-    unit = F.when((size(a) > limit) | (size(b) > limit), "line").otherwise("word")
-    rows = _met_items(pairs, keys, a, b, unit)
-    word = F.col("unit") == "word"
-    kept = rows.filter(word | (F.col("side") == "a") | ~F.col("in_a"))
-    # words meet their n-th counterpart, lines stay rows of their own
-    alone = F.when(word, "").otherwise(F.concat("side", F.col("pos").cast("string")))
-    met = kept.groupBy(*keys, "item", "n", alone.alias("alone")).agg(
-        F.max("unit").alias("unit"), F.bool_or("in_b").alias("in_b"),
+def word_diff(pairs: DataFrame, keys: Sequence[str] = ("pair_id", "page_no"), a: str = "a_text", b: str = "b_text") -> DataFrame:
+    """eq, del and ins words of text pairs; the n-th occurrence of a word in A meets the n-th in B."""
+    rows = _met_items(pairs, keys, a, b, F.lit("word"))
+    met = rows.groupBy(*keys, "item", "n").agg(
         F.max(F.when(F.col("side") == "a", F.col("pos"))).alias("a_pos"), F.max(F.when(F.col("side") == "b", F.col("pos"))).alias("b_pos"))
-    by_line = F.when(F.col("a_pos").isNull(), "ins").when(F.col("in_b"), "eq").otherwise("del")
-    by_word = F.when(F.col("a_pos").isNull(), "ins").when(F.col("b_pos").isNull(), "del").otherwise("eq")
-    return met.select(*keys, "unit", "item", "a_pos", "b_pos", F.when(F.col("unit") == "word", by_word).otherwise(by_line).alias("tag"))
+    tag = F.when(F.col("a_pos").isNull(), "ins").when(F.col("b_pos").isNull(), "del").otherwise("eq")
+    return met.select(*keys, "item", "a_pos", "b_pos", tag.alias("tag"))
 
 
 def compare_metadata(a: DataFrame, b: DataFrame, key: str, labels: Sequence[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def with_label_values(rows: DataFrame, block: Column, out: str = "labels") -> Da
     parts = F.split(F.regexp_replace(t.collapse_ws(block), f"({pattern})\\s+", f"{mark}$1{mid}"), mark)
     pair = lambda p: F.struct(F.substring_index(p, mid, 1).alias("label"), F.trim(F.substring_index(p, mid, -1)).alias("value"))
     first = F.trim(F.element_at("__parts", 1))
-    labelled = F.transform(F.slice("__parts", 2, 1000), pair)
+    labelled = F.transform(F.slice("__parts", F.lit(2), F.size("__parts") - 1), pair)
     pairs = F.when(first != "", F.concat(F.array(F.struct(F.lit("Rules").alias("label"), first.alias("value"))), labelled)).otherwise(labelled)
     cut = rows.withColumn("__parts", parts).withColumn("__pairs", pairs).withColumn(
         "__names", F.array_distinct(F.transform("__pairs", lambda x: x["label"])))

@@ -295,7 +295,7 @@ def detect_suffix(nodes: DataFrame) -> DataFrame:
     counted = (types.select("schema_id", F.regexp_extract(attr("name"), r"(_(?:NPC|EPC|SEPA)[\w.-]+?)(_\d+)?$", 1).alias("s"))
                .filter("s <> ''").groupBy("schema_id", "s").agg(F.count("*").alias("n"))
                .groupBy("schema_id").agg(F.min_by("s", F.struct(-F.col("n"), "s")).alias("common")))
-    root = schema_metadata(nodes).select("schema_id", F.when(F.col("root_type").startswith("Document"), F.substring("root_type", 9, 10_000)).alias("own"))
+    root = schema_metadata(nodes).select("schema_id", F.when(F.col("root_type").startswith("Document"), F.substr("root_type", F.lit(9))).alias("own"))
     return root.join(counted, "schema_id", "left").select("schema_id", F.coalesce(F.nullif("own", F.lit("")), "common", F.lit("")).alias("suffix"))
 
 

@@ -155,7 +155,7 @@ def guide_status(spark, sf_dir):
 
 
 @GROUP.add("has_colour", fx.oracle("guide_b", """
-select message, bool_or(row_color in ('yellow', 'red')) as has_colour from (select *, row_number() over (partition by message order by k, xpath) as rn from guide_b) where rn <= 20 group by 1"""))
+select message, bool_or(row_color in ('yellow', 'red')) as has_colour from guide_b group by 1"""))
 def has_colour(spark, sf_dir):
     return gd.has_colour(_guide(spark, sf_dir, "guide_b"))
 

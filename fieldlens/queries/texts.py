@@ -81,19 +81,15 @@ def line_diff(spark, sf_dir):
     return pg.line_diff(_pairs(spark, sf_dir), ("pair_id", "page_no"))
 
 
-# a low limit, so that both ways are taken
 @GROUP.add("word_diff", _o(r"""
 , q as (select *, list_filter(string_split_regex(coalesce(atx, ''), '\s+'), lambda w: w <> '') as la, list_filter(string_split_regex(coalesce(bt, ''), '\s+'), lambda w: w <> '') as lb from pp),
-s as (select * from q where len(la) <= 300 and len(lb) <= 300), l as (select * from q where len(la) > 300 or len(lb) > 300),
-wa as (select *, row_number() over (partition by pair_id, page_no, item order by pos) as n from (select pair_id, page_no, unnest(la) as item, generate_subscripts(la, 1) - 1 as pos from s)),
-wb as (select *, row_number() over (partition by pair_id, page_no, item order by pos) as n from (select pair_id, page_no, unnest(lb) as item, generate_subscripts(lb, 1) - 1 as pos from s))
-select coalesce(wa.pair_id, wb.pair_id) as pair_id, coalesce(wa.page_no, wb.page_no) as page_no, 'word' as unit, md5(coalesce(wa.item, wb.item)) as item, wa.pos as a_pos, wb.pos as b_pos,
+wa as (select *, row_number() over (partition by pair_id, page_no, item order by pos) as n from (select pair_id, page_no, unnest(la) as item, generate_subscripts(la, 1) - 1 as pos from q)),
+wb as (select *, row_number() over (partition by pair_id, page_no, item order by pos) as n from (select pair_id, page_no, unnest(lb) as item, generate_subscripts(lb, 1) - 1 as pos from q))
+select coalesce(wa.pair_id, wb.pair_id) as pair_id, coalesce(wa.page_no, wb.page_no) as page_no, md5(coalesce(wa.item, wb.item)) as item, wa.pos as a_pos, wb.pos as b_pos,
   case when wa.pos is null then 'ins' when wb.pos is null then 'del' else 'eq' end as tag
-from wa full join wb on wa.pair_id = wb.pair_id and wa.page_no = wb.page_no and wa.item = wb.item and wa.n = wb.n
-union all select pair_id, page_no, 'line', md5(atx), 0, null, case when atx = bt then 'eq' else 'del' end from l where atx is not null
-union all select pair_id, page_no, 'line', md5(bt), null, 0, 'ins' from l where bt is not null and bt is distinct from atx"""))
+from wa full join wb on wa.pair_id = wb.pair_id and wa.page_no = wb.page_no and wa.item = wb.item and wa.n = wb.n"""))
 def word_diff(spark, sf_dir):
-    return pg.word_diff(_pairs(spark, sf_dir), limit=300).withColumn("item", F.md5("item"))
+    return pg.word_diff(_pairs(spark, sf_dir)).withColumn("item", F.md5("item"))
 
 
 @GROUP.add("page_words_only", _o("""
@@ -159,14 +155,14 @@ def concat_pages(spark, sf_dir):
 
 CELLS = """c0 as (select conv_id, turn, cast(turn // 4 as int) + 1 as page_no, role, text from conversations),
 ct as (select conv_id, page_no, count(*) as n from c0 group by 1, 2),
-cells as (select conv_id as doc_id, c0.page_no, 1 as table_no, cast(turn % 4 as int) + 1 as row_no, k as col_no, trim(regexp_replace(case k when 1 then cast(turn as varchar) when 2 then role else left(text, 40) end, '\\s+', ' ', 'g'), ' ') as text
+cells as (select conv_id as doc_id, c0.page_no, 1 as table_no, cast(turn % 4 as int) + 1 as row_no, k as col_no, trim(regexp_replace(case k when 1 then cast(turn as varchar) when 2 then role else text end, '\\s+', ' ', 'g'), ' ') as text
   from c0 join ct using (conv_id, page_no) cross join (select unnest([1, 2, 3]) as k) where n >= 2)"""
 
 
 def _tables(spark, sf_dir):
     rows = fx.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), "turn", F.floor(F.col("turn") / 4).alias("p"),
-        F.array(F.col("turn").cast("string"), F.concat(F.lit(" "), "role", F.lit("\n")), F.left("text", F.lit(40))).alias("row"))
+        F.array(F.col("turn").cast("string"), F.concat(F.lit(" "), "role", F.lit("\n")), F.col("text")).alias("row"))
     per_page = rows.groupBy("doc_id", "p").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "row"))), lambda x: x["row"]).alias("tbl"))
     return per_page.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", F.array("tbl").alias("t")))), lambda x: x["t"]).alias("tables"))
 

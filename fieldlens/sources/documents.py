@@ -62,7 +62,7 @@ def file_inventory(spark: SparkSession, path: str, allowed: Sequence[str] = fixe
     """Name, folder, extension, size in KB and modified time of the files below a folder; contents are not read."""
     root = path.rstrip("/")
     meta = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
-    inside = F.substring(F.col("path"), F.instr("path", root) + F.lit(len(root) + 1), F.lit(100_000))
+    inside = F.substr(F.col("path"), F.instr("path", root) + F.lit(len(root) + 1))
     folder = F.when(inside.contains("/"), F.regexp_replace(inside, "/[^/]*$", "")).otherwise("")
     rows = meta.select(t.last_segment("path").alias("file"), folder.alias("folder"), F.col("length").alias("size"),
                        F.col("modificationTime").alias("modified"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
@@ -19,15 +20,28 @@ def read_messages(spark: SparkSession, path: str | Sequence[str], glob: str = "*
 
 
 def read_archived(spark: SparkSession, path: str, suffix: str = ".xml", glob: str = "*.zip") -> DataFrame:
-    """Members of ZIP archives with a suffix: (archive, member, content); ``__MACOSX`` is skipped."""
+    """Members of ZIP archives with a suffix: (archive, member, content); ``__MACOSX`` is skipped.
+
+    A damaged archive or member gives a row with a null content (and a null member where none could be listed).
+    """
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+                row = lambda member, text, archive=archive: pd.DataFrame({"archive": [archive], "member": [member], "content": [text]})
+                try:
+                    zf = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    yield row(None, None)
+                    continue
+                with zf:
                     # one frame per member: an archive is never held unpacked as a whole
                     for name in zf.namelist():
                         if name.endswith(suffix) and not name.startswith("__MACOSX"):
-                            yield pd.DataFrame({"archive": [archive], "member": [name], "content": [zf.read(name).decode("utf-8", "replace")]})
+                            try:
+                                text = zf.read(name).decode("utf-8", "replace")
+                            except (zipfile.BadZipFile, zlib.error):
+                                text = None
+                            yield row(name, text)
 
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
              .select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content"))
