@@ -73,38 +73,36 @@ def _json_rows(text: str | None, raw: bool):
     except (TypeError, ValueError):
         yield (0, None, "", "", 0, "invalid", None, 0, "", [], "", None)
         return
-    if isinstance(data, dict):
-        top = [(str(k), v, str(k)) for k, v in data.items()]
-    elif isinstance(data, list):
-        top = [(f"[{i}]", v, f"[{i}]") for i, v in enumerate(data)]
-    else:
-        top = [("root", data, "root")]
+    top = _json_kids(data, "") if isinstance(data, (dict, list)) else [("root", data, "root", "root")]
     next_id = 0
-    escape = lambda k: k.strip("[]").replace("~", "~0").replace("/", "~1") if k[:1] == "[" else k.replace("~", "~0").replace("/", "~1")
-    stack = [(None, k, v, p, 0, [], "/" + escape(k)) for k, v, p in reversed(top)]
+    stack = [(None, k, v, p, 0, [], f"/{e}") for k, v, p, e in reversed(top)]
     while stack:
         parent, key, value, path, depth, ancestors, pointer = stack.pop()
         kind, node_id = _json_type(value), next_id
         next_id += 1
-        if kind == "object":
-            kids = [(str(k), v, f"{path}.{k}" if path else str(k)) for k, v in value.items()]
-            shown, extra = "", f"{len(kids)} keys"
-        elif kind == "array":
-            kids = [(f"[{i}]", v, f"{path}[{i}]") for i, v in enumerate(value)]
-            shown, extra = "", f"{len(kids)} items"
+        kids, extra, shown = [], "", ""
+        if kind in ("object", "array"):
+            kids = _json_kids(value, path)
+            extra = f"{len(kids)} {'keys' if kind == 'object' else 'items'}"
         else:
-            kids, extra, shown = [], "", str(value)
-            shown = shown[:100] + "…" if len(shown) > 100 else shown
+            shown = str(value)
         yield (node_id, parent, key, path, depth, kind, shown, len(kids), extra, ancestors, pointer,
                json.dumps(value, ensure_ascii=False) if raw else None)
-        stack.extend((node_id, k, v, p, depth + 1, [*ancestors, node_id], f"{pointer}/{escape(k)}") for k, v, p in reversed(kids))
+        stack.extend((node_id, k, v, p, depth + 1, [*ancestors, node_id], f"{pointer}/{e}") for k, v, p, e in reversed(kids))
+
+
+def _json_kids(value, path: str) -> list[tuple]:
+    """(key, value, path, pointer part) of the members of an object or a list; a key that looks like an index stays a key."""
+    if isinstance(value, dict):
+        return [(str(k), v, f"{path}.{k}" if path else str(k), str(k).replace("~", "~0").replace("/", "~1")) for k, v in value.items()]
+    return [(f"[{i}]", v, f"{path}[{i}]", str(i)) for i, v in enumerate(value)]
 
 
 def flatten_json(df: DataFrame, doc_id: str, text: str, raw: bool = False) -> DataFrame:
     """One row per JSON value in document order: key, path, depth, type, value, child count, pointer.
 
-    Unreadable text gives one row of type ``invalid``. ``raw`` adds each value as JSON text,
-    untruncated; meant for specifications, where examples are shown in full.
+    Values are whole; reports cut what they show. Unreadable text gives one row of type ``invalid``. ``raw`` adds each
+    value as JSON text; meant for specifications, where examples are shown in full.
     """
     id_type = df.schema[doc_id].dataType.simpleString()
     schema = f"{doc_id} {id_type}, " + ", ".join(f"`{n}` {t}" for n, t in JSON_FIELDS)
@@ -139,13 +137,15 @@ def variant_type(v: Column) -> Column:
 
 
 def root_rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Top level of JSON texts: keys of an object, ``[i]`` of an array, ``root`` of a scalar."""
-    parsed = df.select(doc_id, F.try_parse_json(F.col(text)).alias("v")).filter(F.col("v").isNotNull())
+    """Top level of JSON texts: keys of an object, ``[i]`` of an array, ``root`` of a scalar, type ``invalid`` for unreadable text."""
+    every = df.select(doc_id, F.try_parse_json(F.col(text)).alias("v"))
+    parsed = every.filter(F.col("v").isNotNull())
+    unreadable = every.filter(F.col("v").isNull()).select(doc_id, F.lit("root").alias("key"), F.lit("invalid").alias("type"))
     container = variant_type(F.col("v")).isin("object", "array")
     opened = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
     inner = opened.select(doc_id, F.coalesce("key", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).alias("key"), variant_type(F.col("value")).alias("type"))
     scalar = parsed.filter(~container).select(doc_id, F.lit("root").alias("key"), variant_type(F.col("v")).alias("type"))
-    return inner.unionByName(scalar)
+    return inner.unionByName(scalar).unionByName(unreadable)
 
 
 def json_stats(nodes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

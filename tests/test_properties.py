@@ -213,3 +213,35 @@ def test_results_do_not_depend_on_partitions(spark, sf_dir):
         assert run() == single
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_json_values_are_whole_and_keys_keep_their_brackets(spark):
+    from fieldlens.operators import trees
+
+    long_ref = "#/components/schemas/" + "n" * 130
+    docs = spark.createDataFrame([(1, '{"[0]": {"$ref": "%s"}, "a/b": [1]}' % long_ref), (2, "not json")], "doc_id long, text string")
+    nodes = {(r["doc_id"], r["pointer"]): r["value"] for r in trees.flatten_json(docs, "doc_id", "text").collect()}
+    assert nodes[1, "/[0]/$ref"] == long_ref and (1, "/a~1b/0") in nodes
+    got = {(r["doc_id"], r["key"], r["type"]) for r in trees.root_rows(docs, "doc_id", "text").collect()}
+    assert (2, "root", "invalid") in got and (1, "[0]", "object") in got
+
+
+def test_damaged_archives_give_a_row(spark, tmp_path):
+    import zipfile
+
+    from fieldlens.sources.messages import read_archived
+
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as zf:
+        zf.writestr("m.xml", "<a/>")
+    (tmp_path / "bad.zip").write_bytes(b"PK no archive")
+    got = {(r["archive"], r["member"], r["content"]) for r in read_archived(spark, str(tmp_path)).collect()}
+    assert got == {("good.zip", "m.xml", "<a/>"), ("bad.zip", None, None)}
+
+
+def test_more_than_a_thousand_labels(spark):
+    from fieldlens.operators import records
+
+    label = "Usage Rule" if "Usage Rule" in records.fixed.REQUIREMENT_LABELS else records.fixed.REQUIREMENT_LABELS[0]
+    block = " ".join(f"{label} v{k}" for k in range(1500))
+    rows = records.with_label_values(spark.createDataFrame([(block,)], "b string"), "b", "m").selectExpr("map_values(m) as v").collect()
+    assert "v1499" in " ".join(rows[0]["v"])
