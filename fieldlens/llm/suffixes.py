@@ -37,7 +37,7 @@ LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM + 1  # places of a gram in a string
 LAST = (1 << 63) - 1
-PIECE = 8 << 20  # bytes of text packed at a time
+PIECE = 4 << 20  # bytes of text packed at a time
 #: an odd factor to the powers 1, 2, 4 and 8, modulo 2^64
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -218,9 +218,13 @@ def _packed(buckets: int, meeting: np.ndarray | None):
                     own = at[cuts[b]:cuts[b + 1]]
                     if len(own):
                         begin, end = base[of[own]] + first[own], base[of[own]] + last[own] + LENGTH
+                        data = [text[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+                        # a fragment equal to the one before it is not repeated: size 0
+                        again = np.array([False, *[x == y for x, y in zip(data[1:], data[:-1], strict=True)]]) & np.concatenate([[False], keys[own][1:] == keys[own][:-1]])
+                        size = np.where(again, 0, end - begin).astype(np.uint8)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_six(keys[own]), _narrow(doc[own]), _narrow(first[own]), (end - begin).astype(np.uint8).tobytes())],
-                            pa.array([zlib.compress(b"".join([text[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)]), 1)], pa.binary())], names=["bucket", "keys", "doc", "first", "size", "data"])
+                            pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_six(keys[own]), _narrow(doc[own]), _narrow(first[own]), size.tobytes())],
+                            pa.array([zlib.compress(b"".join([d for d, r in zip(data, again.tolist(), strict=True) if not r]), 1)], pa.binary())], names=["bucket", "keys", "doc", "first", "size", "data"])
 
     return rows
 
@@ -270,7 +274,9 @@ def _late(table: pa.Table) -> pa.Table:
     size = np.frombuffer(b"".join(table.column("size").to_pylist()), np.uint8).astype(np.int64)
     data = b"".join(map(zlib.decompress, table.column("data").to_pylist()))
     end = np.cumsum(size)
-    pieces = [data[e - s:e] for s, e in zip(size.tolist(), end.tolist(), strict=True)]
+    pieces: list[bytes] = []
+    for s, e in zip(size.tolist(), end.tolist(), strict=True):
+        pieces.append(data[e - s:e] if s else pieces[-1])
     least: dict[tuple[int, bytes], int] = {}
     for key, doc, piece in zip(keys.tolist(), docs.tolist(), pieces, strict=True):
         if least.get((key, piece), LAST + 1) > doc:
