@@ -146,5 +146,5 @@ def pointer_unescape(x: ColumnOrName) -> Column:
 
 
 def safe_name(x: ColumnOrName, maxlen: int = 31, reserved: str = r"[\\/*?:\[\]]", fill: str = "_") -> Column:
-    """Sheet or file key: reserved characters replaced, cut at ``maxlen``."""
-    return F.left(F.regexp_replace(_c(x), reserved, fill), F.lit(maxlen))
+    """Sheet or file key: reserved characters replaced, blanks collapsed and trimmed, cut at ``maxlen``."""
+    return F.left(F.trim(F.regexp_replace(F.regexp_replace(_c(x), reserved, fill), r"\s+", " ")), F.lit(maxlen))

@@ -77,7 +77,8 @@ def plan_paths(catalog: DataFrame, rules: Sequence = fixed.EITHER_OR) -> DataFra
 
 
 def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1_000_000)) / 1_000_000.0
+    """0 up to, not including, 1, in steps of 2^-53."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / float(1 << 53)
 
 
 def synthesize(messages: DataFrame, catalog: DataFrame, profiles: DataFrame, mode: str = "all", seed: int = 0,
@@ -165,9 +166,9 @@ def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
 
     pattern = t.blank("pattern")
     count = lambda p: F.regexp_extract(pattern, p, 1).try_cast("int")
-    short = (lit(1) + F.floor(u * F.least(count(r"^\[0-9\]\{1,(\d+)\}"), lit(5)))).cast("int")
+    short = (lit(1) + F.floor(u * count(r"^\[0-9\]\{1,(\d+)\}"))).cast("int")
     span_lo, span_hi = count(r"\{(\d+)"), F.coalesce(F.regexp_extract(pattern, r"\{\d+,(\d+)\}", 1).try_cast("int"), count(r"\{(\d+)"))
-    span = (span_lo + F.floor(u * (F.least(span_hi, lit(20)) - span_lo + 1))).cast("int")
+    span = (span_lo + F.floor(u * (span_hi - span_lo + 1))).cast("int")
     pattern_cases = [
         ("p_bic", low.contains("bic"), bic), ("p_iban", low.contains("iban"), iban), ("p_uuid", pattern.contains("a-f0-9") & pattern.contains("4[a-f0-9]"), uuid),
         ("p_datetime", pattern.contains("[0-9]{4}(-[0-9]{2}){2}T[0-9]{2}"), lit(iso)), ("p_country", pattern.rlike(r"^\[A-Z\]\{2(,2)?\}$"), pick(_PATTERN_COUNTRIES)),

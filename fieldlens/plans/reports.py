@@ -53,16 +53,26 @@ def write_json_report(report: DataFrame, path: str, mode: str = "error") -> None
 
 
 def write_messages(messages: DataFrame, path: str, xml: str = "xml", mode: str = "error") -> None:
-    """Rebuilt messages as text, one message per line."""
-    messages.select(F.regexp_replace(xml, r"\s*[\r\n]+\s*", " ").alias("value")).write.mode(mode).text(path)
+    """Rebuilt messages as text, one message per line; line breaks inside values become character references."""
+    line = F.regexp_replace(F.trim(F.regexp_replace(xml, r"\?>\s+", "?>")), "\n", "&#10;")
+    messages.select(F.regexp_replace(line, "\r", "&#13;").alias("value")).write.mode(mode).text(path)
 
 
 def unique_names(names: DataFrame, column: str, order: str, maxlen: int = 31) -> DataFrame:
-    """Safe names, made unique with ``_2``, ``_3`` in order of appearance."""
+    """Safe names, each given out once: the first of a name keeps it, the others are numbered from 2 in order of appearance.
+
+    Numbers run over all names with the same cut beginning and pass over those that a kept name already spells.
+    """
     from fieldlens.operators import ordered
 
-    base = names.withColumn("base", safe_name(column, maxlen))
+    base = names.withColumn("base", safe_name(column, maxlen)).withColumn("cut", F.left("base", F.lit(maxlen - 3)))
     numbered = ordered.row_number(base, ["base"], [order], "n")
-    suffix = F.concat(F.lit("_"), F.col("n").cast("string"))
-    return numbered.select(*names.columns, F.when(F.col("n") == 1, F.col("base")).otherwise(
-        F.concat(F.left("base", F.lit(maxlen - 3)), suffix)).alias("name"))
+    first, others = numbered.where("n = 1"), numbered.where("n > 1")
+    parts = F.regexp_extract("base", r"^(.*)_([1-9][0-9]{0,8})$", 1), F.regexp_extract("base", r"^(.*)_([1-9][0-9]{0,8})$", 2).try_cast("int")
+    # numbers that kept names spell, and how many free ones lie below each
+    taken = first.select(parts[0].alias("cut"), parts[1].alias("k")).where("k >= 2").distinct().join(others.select("cut").distinct(), "cut", "left_semi")
+    taken = taken.groupBy("cut").agg(F.array_sort(F.collect_set("k")).alias("taken"))
+    ranked = ordered.row_number(others, ["cut"], [order], "r").join(taken, "cut", "left")
+    number = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), (F.col("r") + 1).cast("long"), lambda acc, k: F.when(k <= acc, acc + 1).otherwise(acc))
+    given = ranked.select(*names.columns, F.concat("cut", F.lit("_"), number.cast("string")).alias("name"))
+    return first.select(*names.columns, F.col("base").alias("name")).unionByName(given)

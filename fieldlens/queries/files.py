@@ -62,7 +62,7 @@ def safe_names(spark, sf_dir):
 
 
 @GROUP.add("unique_names", """
-select page_id, case when n = 1 then b else concat(left(b, 9), '_', n) end as name from (
+select page_id, case when n = 1 then b else concat(left(b, 9), '_', 1 + row_number() over (partition by left(b, 9), n = 1 order by page_id)) end as name from (
   select page_id, b, row_number() over (partition by b order by page_id) as n from (select page_id, left(regexp_replace(url, '[\\\\/*?:\\[\\]]', '_', 'g'), 12) as b from pages))""")
 def unique_names(spark, sf_dir):
     return reports.unique_names(fx.table(spark, sf_dir, "pages").select("page_id", "url"), "url", "page_id", 12).select("page_id", "name")

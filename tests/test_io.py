@@ -81,6 +81,8 @@ def test_reports(spark, sf_dir, tmp_path):
     assert len(found["m1"]["issues"]) == 2 and found["m2"]["valid"] is True and found["m2"]["issues"] == []
     reports.write_messages(msgs, str(tmp_path / "x"))
     assert spark.read.text(str(tmp_path / "x")).count() == 2
+    reports.write_messages(spark.createDataFrame([("<?xml version='1.0'?>\n<R>a\n  b</R>",)], "xml string"), str(tmp_path / "y"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "y")).collect()] == ["<?xml version='1.0'?><R>a&#10;  b</R>"]
 
 
 def test_documents_compare(spark):

@@ -199,7 +199,7 @@ def test_json_types(spark):
     assert got == sorted([(1, "a", "array", "", "5 items"), (1, "a[0]", "integer", "1", ""), (1, "a[1]", "number", "2.5", ""), (1, "a[2]", "boolean", "True", ""),
                           (1, "a[3]", "null", "None", ""), (1, "a[4]", "string", "x", ""), (1, "b", "object", "", "0 keys"), (2, "root", "integer", "5", ""),
                           (3, "", "invalid", None, "")], key=str)
-    assert rows(tr.root_rows(df, "d", "j")) == [(1, "a", "array"), (1, "b", "object"), (2, "root", "integer")]
+    assert rows(tr.root_rows(df, "d", "j")) == [(1, "a", "array"), (1, "b", "object"), (2, "root", "integer"), (3, "root", "invalid")]
 
 
 def test_results_do_not_depend_on_partitions(spark, sf_dir):
@@ -238,6 +238,33 @@ def test_damaged_archives_give_a_row(spark, tmp_path):
     assert got == {("good.zip", "m.xml", "<a/>"), ("bad.zip", None, None)}
 
 
+def test_unique_names_are_given_out_once(spark):
+    from fieldlens.plans import reports
+
+    names = ["abcdefgh1", "abcdefgh2", "abcdefgh1", "abcdefgh2", "abcde_2", "abcde_3", "abcdefgh1", "x", "x", "abcde_2", "x"]
+    df = spark.createDataFrame(list(enumerate(names)), "o int, name0 string")
+    got = {r["o"]: r["name"] for r in reports.unique_names(df, "name0", "o", 8).collect()}
+    assert len(got) == len(names) == len(set(got.values())) and got[0] == "abcdefgh" and got[4] == "abcde_2" and got[7] == "x" and got[8] == "x_2"
+
+
+def test_repeated_xpath_counts_once(spark):
+    from fieldlens.plans import compare
+
+    cols = [*gd.SIDE_COLUMNS]
+    made = lambda mults: spark.createDataFrame([("m", "A/B", k, *[m if c == "mult" else "" for c in cols]) for k, m in enumerate(mults)], "message string, xpath string, pos int, " + ", ".join(f"{c} string" for c in cols))
+    got = compare.compare_guides(made(["0..1", "1..1"]), made(["9..9", "1..1"]))["Differences"].collect()
+    assert [r["change"] for r in got] == ["UNCHANGED"]
+
+
+def test_xsd_patterns(spark):
+    cases = [(r"[\i-[:]][\c-[:]]*", "ab-1", True), (r"[\i-[:]][\c-[:]]*", ":a", False), (r"[A-Z]{2,3}", "AB", True), (r"[A-Z]{2,3}", "ABCD", False), (r"\p{L}+", "é", True),
+             (r"([0-9]{2}(-[0-9]{2})?|x)", "12-34", True), (r"[^\s]+", "a b", False), (r"[+-]?\d+(\.\d+)?", "-1.5", True), (r"[a-z-[aeiou]]+", "bcd", True), (r"[a-z-[aeiou]]+", "bad", False)]
+    df = spark.createDataFrame(cases, "p string, v string, ok boolean").withColumn("rx", vd.xsd_regex("p"))
+    assert all(r["got"] == r["ok"] for r in df.select("p", "v", "ok", F.rlike("v", "rx").alias("got")).collect())
+    bad = spark.createDataFrame([("[a-z",), ("(a",), ("*a",), (r"\q",), ("",), (None,), ("a{2",)], "p string")
+    assert bad.where(vd.xsd_regex("p").isNotNull()).count() == 0
+
+
 def test_more_than_a_thousand_labels(spark):
     from fieldlens.operators import records
 
