@@ -110,7 +110,7 @@ def head_with_more(spark, sf_dir):
 select page_id, regexp_replace(url, '^(\{[^}]*\}|[^:/{}]*:)', '') as bare, list_extract(string_split(url, '/'), -1) as last, regexp_replace(url, '/?[^/]*$', '') as parent, len(string_split(url, '/')) - 1 as depth,
   case when length(url) > 20 then concat(left(url, 20), '…') else url end as short, case when length(url) % 3 = 0 then '1 .. 35' when length(url) % 3 = 1 then '' else '2 .. 35' end as len_text,
   rpad(left(url, 5), 8, 'X') as padded, case when page_id % 2 = 0 then 'Yes' else 'No' end as flag, concat(page_id % 2, '..', page_id % 5) as mult, cast(page_id % 2 as varchar) as low, '/a~b' as pointer,
-  trim(regexp_replace(left(html, 400), '\s+', ' ', 'g'), ' ') as squeezed from pages""")
+  trim(regexp_replace(html, '\s+', ' ', 'g'), ' ') as squeezed from pages""")
 def text_functions(spark, sf_dir):
     pages = fx.table(spark, sf_dir, "pages")
     n = F.length("url") % 3
@@ -121,7 +121,7 @@ def text_functions(spark, sf_dir):
         "page_id", t.strip_ns("url").alias("bare"), t.last_segment("url").alias("last"), t.parent_path("url").alias("parent"), t.depth("url").alias("depth"),
         t.truncate("url", 20, "…").alias("short"), t.length_text(lo, hi).alias("len_text"), t.pad_or_cut(F.left("url", F.lit(5)), F.lit(8), F.lit(8)).alias("padded"),
         t.yes_no(F.col("page_id") % 2 == 0).alias("flag"), mult.alias("mult"), t.min_of(mult).alias("low"), t.pointer_unescape(F.lit("~1a~0b")).alias("pointer"),
-        t.collapse_ws(F.left("html", F.lit(400))).alias("squeezed"))
+        t.collapse_ws("html").alias("squeezed"))
 
 
 @GROUP.add("format_checks", """
