@@ -61,7 +61,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[:-step], low[step:])
     low = np.minimum(low[: n], low[REACH - 16: REACH - 16 + n]) & np.uint64(0xFFFFFFFF)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return grams[low[first].astype(np.int64)], first, np.concatenate([first[1:] - 1, [n - 1]])
+    # a minimum is small: mixed once more, keys fill hash ranges and bit tables evenly
+    return mix(grams[low[first].astype(np.int64)]), first, np.concatenate([first[1:] - 1, [n - 1]])
 
 
 def two_stage(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
@@ -307,7 +308,7 @@ def _late(table: pa.Table) -> pa.Table:
     return pa.table({"doc": pa.array(out_doc, pa.int64()), "first": pa.array(out_first, pa.int64()), "last": pa.array(out_last, pa.int64())})
 
 
-def _slices(sizes: list[int], keys: list[int], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int], keys: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of about ``most`` bytes that keep the fragments of an anchor together."""
     start = total = 0
     for k in range(len(sizes)):
