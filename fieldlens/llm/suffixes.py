@@ -4,8 +4,9 @@ A byte goes when it lies in a ``LENGTH``-byte string that also starts in a docum
 has an anchor, chosen from its content alone: the place of its smallest ``GRAM``-byte hash. Equal strings have equal
 anchors, so texts only have to be compared where anchors meet:
 
-1. A pass over the texts packs (anchor hash, smallest and largest id) per piece of a task, one row per hash bucket. A bucket tells
-   which anchors occur in two documents or more; a bit table of fixed size holds these.
+1. A pass over the texts packs the anchor hashes of a piece of a task, one row per hash bucket; an anchor that occurs in several
+   documents of a piece is packed twice. A hash that a bucket holds twice occurs in two documents or more (or in two rows of
+   one id, which only costs time); a bit table of fixed size holds these.
 2. A second pass cuts out the fragment around each such anchor: all strings it is the anchor of.
 3. Per anchor bucket, equal fragments collapse to the smallest id. Where an anchor has different fragments, a suffix
    array of them is built by two-stage sorting: suffixes smaller than their successor are sorted directly, all others
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlens.llm.base import arrow_map, BIT_LOG, bit_table, hit, in_bits, mix, signed, stored, text_of
@@ -37,7 +39,7 @@ LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM + 1  # places of a gram in a string
 LAST = (1 << 63) - 1
-PIECE = 4 << 20  # bytes of text packed at a time
+PIECE = 8 << 20  # bytes of text packed at a time
 #: an odd factor to the powers 1, 2, 4 and 8, modulo 2^64
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(4)]
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -200,13 +202,12 @@ def _packed(buckets: int, meeting: np.ndarray | None):
                 keys, doc = keys[order], doc[order]
                 edge = np.ones(len(keys) + 1, bool)
                 edge[1:-1] = keys[1:] != keys[:-1]
-                # of each anchor its smallest id, and its largest where that is another one
+                # every anchor once, and once more if the piece has it under two ids
                 first, last = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
-                own = np.sort(np.concatenate([first, last[doc[last] != doc[first]]]))
-                keys, doc = keys[own], doc[own]
+                keys = keys[np.sort(np.concatenate([first, last[doc[last] != doc[first]]]))]
                 cuts = np.searchsorted(keys, _edges(buckets))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(range(buckets), pa.int32()), *[pa.array([f(x[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x, f in ((keys, _six), (doc, _narrow))]], names=["bucket", "keys", "doc"])
+                    pa.array(range(buckets), pa.int32()), pa.array([_five(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["bucket", "keys"])
             else:
                 base = np.concatenate([[0], np.cumsum([len(d) for _, d in piece])[:-1]])
                 text = b"".join(d for _, d in piece)
@@ -224,7 +225,7 @@ def _packed(buckets: int, meeting: np.ndarray | None):
                         again = np.array([False, *[x == y for x, y in zip(data[1:], data[:-1], strict=True)]]) & np.concatenate([[False], keys[own][1:] == keys[own][:-1]])
                         size = np.where(again, 0, end - begin).astype(np.uint8)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_six(keys[own]), _narrow(doc[own]), _narrow(first[own]), size.tobytes())],
+                            pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in (_five(keys[own]), _narrow(doc[own]), _narrow(first[own]), size.tobytes())],
                             pa.array([zlib.compress(b"".join([d for d, r in zip(data, again.tolist(), strict=True) if not r]), 1)], pa.binary())], names=["bucket", "keys", "doc", "first", "size", "data"])
 
     return rows
@@ -235,9 +236,9 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([(b << 64) // buckets for b in range(buckets)] + [(1 << 64) - 1], np.uint64)
 
 
-def _six(keys: np.ndarray) -> bytes:
-    """The upper 48 bits of each key; two anchors that agree in them only meet for nothing."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def _five(keys: np.ndarray) -> bytes:
+    """Bits 16 to 55 of each key, the bucket tells those above; two anchors that differ only below meet for nothing."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, 2:7].tobytes()
 
 
 def _narrow(numbers: np.ndarray) -> bytes:
@@ -245,33 +246,30 @@ def _narrow(numbers: np.ndarray) -> bytes:
     return numbers.astype(np.uint32).tobytes() if len(numbers) and 0 <= numbers.min() and numbers.max() < 1 << 32 else numbers.astype(np.int64).tobytes()
 
 
-def _keys(table: pa.Table) -> np.ndarray:
-    six = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, 2:] = six
-    return out.view(np.uint64).ravel()
+def _keys(table: pa.Table, buckets: int) -> np.ndarray:
+    parts = table.column("keys").to_pylist()
+    five = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(five), 8), np.uint8)
+    out[:, 2:7] = five
+    top = np.array(table.column("bucket").to_pylist(), np.uint64) << np.uint64(65 - buckets.bit_length())
+    return out.view(np.uint64).ravel() | np.repeat(top, [len(x) // 5 for x in parts])
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    parts = [np.frombuffer(x, np.uint32 if len(x) * 6 == 4 * len(k) else np.int64).astype(np.int64) for k, x in zip(table.column("keys").to_pylist(), table.column(name).to_pylist(), strict=True)]
+    parts = [np.frombuffer(x, np.uint32 if len(x) * 5 == 4 * len(k) else np.int64).astype(np.int64) for k, x in zip(table.column("keys").to_pylist(), table.column(name).to_pylist(), strict=True)]
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
-def _meeting(table: pa.Table) -> pa.Table:
-    """Anchors of a bucket that occur in two documents or more."""
-    keys, doc = _keys(table), _numbers(table, "doc")
-    order = np.argsort(keys, kind="stable")
-    keys, doc = keys[order], doc[order]
-    runs = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    if len(runs):
-        runs = runs[np.minimum.reduceat(doc, runs) < np.maximum.reduceat(doc, runs)]
-    slot = np.unique(keys[runs] >> np.uint64(64 - BIT_LOG))
+def _meeting(table: pa.Table, buckets: int) -> pa.Table:
+    """Slots of the anchors that a bucket holds twice or more."""
+    keys = np.sort(_keys(table, buckets))
+    slot = np.unique(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - BIT_LOG))
     return pa.table({"slot": pa.array((slot << np.uint64(64 - BIT_LOG)).view(np.int64))})
 
 
-def _late(table: pa.Table) -> pa.Table:
+def _late(table: pa.Table, buckets: int) -> pa.Table:
     """(doc, first, last) start ranges of strings that start in an earlier document too."""
-    keys, docs, first = _keys(table), _numbers(table, "doc"), _numbers(table, "first")
+    keys, docs, first = _keys(table, buckets), _numbers(table, "doc"), _numbers(table, "first")
     size = np.frombuffer(b"".join(table.column("size").to_pylist()), np.uint8).astype(np.int64)
     data = b"".join(map(zlib.decompress, table.column("data").to_pylist()))
     end = np.cumsum(size)
@@ -320,16 +318,24 @@ def _slices(sizes: list[int], keys: list[int], most: int = 1 << 20) -> Iterator[
         yield start, len(sizes)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, digest and text as bytes that take less room in a shuffle than its own compression gives."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [press.compress(t.encode("utf-8", "surrogatepass")) for t in text_of(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "digest", "packed"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, spans in zip(text_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            data, kept, at, removed, n = text.encode("utf-8", "surrogatepass"), [], 0, 0, 0
+        for packed, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            data, kept, at, removed, n = zstandard.decompress(packed), [], 0, 0, 0
             for begin, end in _merged(sorted((s["first"], s["last"] + LENGTH) for s in spans)):
                 kept.append(data[at:begin])
                 at, removed, n = end, removed + end - begin, n + 1
             kept.append(data[at:])
-            rows.append((removed, n, hashlib.sha256(b"".join(kept)).hexdigest(), b"".join(kept).decode("utf-8", "replace")))
+            rows.append((removed, n, hashlib.sha256(b"".join(kept)).hexdigest()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                                           pa.array([r[2] for r in rows], pa.string())], names=["doc", "digest", "n_removed", "n_spans", "kept_sha256"])
 
@@ -350,14 +356,14 @@ def _merged(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc, first, last): ranges of starts in the texts that went out, ``doc`` with the largest number for a null id.
 
-    ``buckets``: hash ranges of anchors; by default eight per input partition, between 256 and 16,384.
+    ``buckets``: hash ranges of anchors, a power of two between 256 and 16,384; by default about eight per input partition.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = buckets or min(16_384, max(256, 8 * docs.rdd.getNumPartitions()))
-    packed = docs.transform(arrow_map, _packed(buckets, None), "bucket int, keys binary, doc binary").where("length(keys) > 0")
-    meeting = bit_table(packed.groupBy("bucket").applyInArrow(_meeting, "slot long"), "slot")
+    buckets = min(16_384, max(256, 1 << ((buckets or 8 * docs.rdd.getNumPartitions()) - 1).bit_length()))
+    packed = docs.transform(arrow_map, _packed(buckets, None), "bucket int, keys binary").where("length(keys) > 0")
+    meeting = bit_table(packed.groupBy("bucket").applyInArrow(lambda t: _meeting(t, buckets), "slot long"), "slot")
     pieces = docs.transform(arrow_map, _packed(buckets, meeting), "bucket int, keys binary, doc binary, first binary, size binary, data binary")
-    return pieces.groupBy("bucket").applyInArrow(_late, "doc long, first long, last long")
+    return pieces.groupBy("bucket").applyInArrow(lambda t: _late(t, buckets), "doc long, first long, last long")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -367,7 +373,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = known.groupBy("digest").agg(F.min("doc").alias("least"))
     spans = repeated_spans(docs, doc_id, text, buckets).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = stored(spans.withColumn("key", F.xxhash64("doc")))
-    partly = own.where(hit(bit_table(spans, "key"), F.xxhash64("doc"))).select("doc", F.sha2("text", 256).alias("digest"), "text")
+    partly = own.where(hit(bit_table(spans, "key"), F.xxhash64("doc"))).select("doc", F.sha2("text", 256).alias("digest"), "text").transform(arrow_map, _compressed, "doc long, digest string, packed binary")
     cut = partly.join(spans.select("doc", "spans"), "doc").transform(arrow_map, _cut, "doc long, digest string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "digest"])
     rows = known.join(first, "digest").join(cut, ["doc", "digest"], "left")
     whole = (F.col("doc") > F.col("least")) & (F.col("n_bytes") >= LENGTH)
