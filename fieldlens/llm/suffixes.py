@@ -331,7 +331,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for packed, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             data, kept, at, removed, n = zstandard.decompress(packed), [], 0, 0, 0
-            for begin, end in _merged(sorted((s["first"], s["last"] + LENGTH) for s in spans)):
+            for begin, end in _merged(sorted((s >> 32, (s & 0xFFFFFFFF) + LENGTH) for s in spans)):
                 kept.append(data[at:begin])
                 at, removed, n = end, removed + end - begin, n + 1
             kept.append(data[at:])
@@ -371,7 +371,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = stored(own.select("doc_id", "doc", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")))
     first = known.groupBy("digest").agg(F.min("doc").alias("least"))
-    spans = repeated_spans(docs, doc_id, text, buckets).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    # a text has fewer than 2^31 bytes: a range is one number
+    spans = repeated_spans(docs, doc_id, text, buckets).groupBy("doc").agg(F.collect_list(F.expr("shiftleft(first, 32) + last")).alias("spans"))
     spans = stored(spans.withColumn("key", F.xxhash64("doc")))
     partly = own.where(hit(bit_table(spans, "key"), F.xxhash64("doc"))).select("doc", F.sha2("text", 256).alias("digest"), "text").transform(arrow_map, _compressed, "doc long, digest string, packed binary")
     cut = partly.join(spans.select("doc", "spans"), "doc").transform(arrow_map, _cut, "doc long, digest string, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc", "digest"])
