@@ -156,28 +156,35 @@ select l_orderkey, l_partkey, l_suppkey, l_quantity, l_returnflag,
 from lineitem
 """)
 
-# four-column guide rows: an order is a record, its lines are the rows; 100 orders make a document
-define("guide_cells", ("numbered_lines",), r"""
-select l_orderkey - l_orderkey % 100 as doc_id, cast(l_orderkey % 100 as int) * 10 + l_linenumber as row_no, l_orderkey as rec_key, l_linenumber as line,
-  case when l_linenumber = 1 then concat('1.', cast(l_orderkey % 100 as string)) else '' end as c0, case when l_linenumber in (1, 7) then '0..1' else '' end as c1,
-  case l_linenumber when 1 then 'Root Message' when 2 then '+Group Header' when 3 then '++Settlement' when 4 then 'Information' when 5 then '+Credit Transfer' when 6 then '++Amount' else '+++Code' end as c2,
-  case l_linenumber when 1 then concat('XML Tag T', cast(l_partkey % 10 as string), ' Type Max35Text') when 2 then concat('SEPA Length 1 .. ', cast(l_suppkey as string))
+# seven lines of an order make a record, further lines the next one (rec_key: order, then record of the order)
+define("record_lines", ("numbered_lines",), """
+select l_orderkey, l_partkey, l_suppkey, l_quantity, l_returnflag,
+  cast(l_orderkey as bigint) * 10 + cast(floor((l_linenumber - 1) / 7) as bigint) as rec_key, cast((l_linenumber - 1) % 7 + 1 as int) as line
+from numbered_lines
+""")
+
+# four-column guide rows of the records; 100 orders make a document
+define("guide_cells", ("record_lines",), r"""
+select l_orderkey - l_orderkey % 100 as doc_id, cast(rec_key % 1000 as int) * 10 + line as row_no, rec_key, line,
+  case when line = 1 then concat('1.', cast(l_orderkey % 100 as string)) else '' end as c0, case when line in (1, 7) then '0..1' else '' end as c1,
+  case line when 1 then 'Root Message' when 2 then '+Group Header' when 3 then '++Settlement' when 4 then 'Information' when 5 then '+Credit Transfer' when 6 then '++Amount' else '+++Code' end as c2,
+  case line when 1 then concat('XML Tag T', cast(l_partkey % 10 as string), ' Type Max35Text') when 2 then concat('SEPA Length 1 .. ', cast(l_suppkey as string))
     when 3 then concat('SEPA Usage Rule(s) Mandatory for ', cast(l_suppkey as string)) when 4 then 'continued text' when 5 then concat('ISO Name Nm', cast(l_partkey % 7 as string))
     when 6 then 'NPC Rulebook AT-01' else 'xs:choice' end as c3,
   case l_returnflag when 'R' then 'red' when 'A' then 'yellow' else 'white' end as colour
-from numbered_lines where l_linenumber <= 7
-""")
-
-# change-log rows: the first line of an order is a numbered entry, the others continue it or name a dataset
-define("log_rows", ("numbered_lines",), """
-select l_orderkey - l_orderkey % 100 as doc_id, cast(l_orderkey as bigint) * 10 + l_linenumber as row_no, l_orderkey as rec_key, l_linenumber as line, l_quantity > 25 as marks,
-  case l_linenumber when 1 then cast(l_orderkey % 100 + 1 as string) when 3 then case when l_quantity > 25 then 'DS-05 Recall' else 'N' end when 4 then 'more text' when 5 then 'No.' when 7 then 'Note' else '' end as c0,
-  case l_linenumber when 1 then concat('S', cast(l_suppkey as string)) when 5 then 'Section' else '' end as c1,
-  case l_linenumber when 1 then case when l_partkey % 4 = 0 then 'pacs.008' else 'El' end when 5 then 'Element' else '' end as c2,
-  case l_linenumber when 1 then concat('length rule ', l_returnflag, '  ', cast(l_partkey as string)) when 2 then 'and the uetr' when 5 then 'Description' else '' end as c3,
-  case when l_linenumber <> 1 then '' when l_orderkey % 200 < 100 then 'ACC' else case l_returnflag when 'A' then 'chan' when 'R' then 'CLAR' else 'odd' end end as c4,
-  case when l_linenumber <> 1 or l_orderkey % 200 >= 100 then '' else case l_returnflag when 'A' then 'chan' when 'R' then 'CLAR' else 'odd' end end as c5
-from numbered_lines where l_linenumber <= 7
+from record_lines
+""")
+
+# change-log rows: the first line of a record is a numbered entry, the others continue it or name a dataset
+define("log_rows", ("record_lines",), """
+select l_orderkey - l_orderkey % 100 as doc_id, rec_key * 10 + line as row_no, rec_key, line, l_quantity > 25 as marks,
+  case line when 1 then cast(l_orderkey % 100 + 1 as string) when 3 then case when l_quantity > 25 then 'DS-05 Recall' else 'N' end when 4 then 'more text' when 5 then 'No.' when 7 then 'Note' else '' end as c0,
+  case line when 1 then concat('S', cast(l_suppkey as string)) when 5 then 'Section' else '' end as c1,
+  case line when 1 then case when l_partkey % 4 = 0 then 'pacs.008' else 'El' end when 5 then 'Element' else '' end as c2,
+  case line when 1 then concat('length rule ', l_returnflag, '  ', cast(l_partkey as string)) when 2 then 'and the uetr' when 5 then 'Description' else '' end as c3,
+  case when line <> 1 then '' when l_orderkey % 200 < 100 then 'ACC' else case l_returnflag when 'A' then 'chan' when 'R' then 'CLAR' else 'odd' end end as c4,
+  case when line <> 1 or l_orderkey % 200 >= 100 then '' else case l_returnflag when 'A' then 'chan' when 'R' then 'CLAR' else 'odd' end end as c5
+from record_lines
 """)
 
 define("files", ("pages",), """
