@@ -203,5 +203,10 @@ def code_set_exists(names: DataFrame, codes: DataFrame) -> DataFrame:
     return code_valid(names, codes, ("code_set",)).withColumnRenamed("valid", "present")
 
 
+def code_set_names(codes: DataFrame) -> DataFrame:
+    """Distinct names of the code sets."""
+    return codes.select("code_set").distinct()
+
+
 def first_code(codes: DataFrame) -> DataFrame:
     return codes.groupBy("code_set").agg(F.min_by("code", "pos").alias("code"), F.count("*").alias("n_codes"))

@@ -145,6 +145,11 @@ def code_set_exists(spark, sf_dir):
     return tr.code_set_exists(names, fx.frame(spark, sf_dir, "code_dim"))
 
 
+@GROUP.add("code_set_names", fx.oracle("code_dim", "select distinct code_set from code_dim"))
+def code_set_names(spark, sf_dir):
+    return tr.code_set_names(fx.frame(spark, sf_dir, "code_dim"))
+
+
 @GROUP.add("first_code", fx.oracle("code_dim", "select code_set, arg_min(code, pos) as code, count(*) as n_codes from code_dim group by 1"))
 def first_code(spark, sf_dir):
     return tr.first_code(fx.frame(spark, sf_dir, "code_dim"))
