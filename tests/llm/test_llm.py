@@ -236,6 +236,29 @@ def test_kneser_ney(spark, docs, empty):
     assert kneser_ney.classify(empty, ids).count() == 0
 
 
+def test_kneser_ney_word_salad(spark):
+    rng = random.Random(7)
+    stock = [f"{a}{b}{c}" for a in ("ra", "mo", "ti", "lu") for b in ("ne", "so", "ka") for c in ("ril", "dan", "mu", "ves")]
+    after = {w: rng.sample(stock, 2) for w in stock}
+
+    def fluent(k, n=150):
+        pick, out = random.Random(k), [stock[k % len(stock)]]
+        while len(out) < n:
+            out.append(after[out[-1]][pick.randrange(2)])
+        return out
+
+    made = [(k, " ".join(fluent(k)), "en") for k in range(90)]
+    salad = fluent(500)
+    random.Random(1).shuffle(salad)  # real words in random order: ordinary characters, no ordinary word n-grams
+    every = spark.createDataFrame([*made, (500, " ".join(salad), "en"), (501, " ".join(fluent(501)), "en"), (502, " ".join(fluent(502)[:100]) + " zzqx", "en")], "doc_id long, text string, lang string")
+    ids = every.where("doc_id < 90").select("doc_id")
+    got = {r["doc_id"]: r for r in kneser_ney.classify(every, ids).collect()}
+    assert not got[500]["kept"] and got[501]["kept"] and sum(got[k]["kept"] for k in range(90)) >= 85
+    assert got[502]["perplexity"] > got[501]["perplexity"]
+    joined = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(every, ids, most_rows=0).collect()}
+    assert all(joined[k] == pytest.approx(r["perplexity"]) for k, r in got.items())
+
+
 def test_wrappers(spark):
     def page(k, body, head="Menu item"):
         return (f"<html><head><title>t{k}</title><style>p{{}}</style></head><body><header>{head}</header><nav><a href='/'>Home</a></nav><div class='top'>Same on all pages</div>"
