@@ -45,7 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the place of every document in the stream mixed to target weights."""
-    return mixing.mix(docs, mixing.balanced(docs))
+    return mixing.mix_exact(docs, mixing.balanced(docs))
 
 
 STAGES = [("language", identify), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("mixing", mixed)]

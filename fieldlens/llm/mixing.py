@@ -11,14 +11,24 @@ into ranges of that digest, numbers start from the summed counts of the ranges b
 Defined results: every row comes back. A source without a positive target (a null source is a source of its own) has no
 slot; the blocks of other sources stay scheduled when one runs out, and ``in_mix`` tells the slots before that. Rows
 with equal ids are adjacent and interchangeable; an empty table gives no rows.
+
+``mix`` and its oracle hold rounded quotas to less than one block, so against the target weights drift adds up period by
+period. ``mix_exact`` has no period: release and due times follow from the weights themselves, as integers in units of
+1/2^``SCALE`` of their sum, and the fold runs chunk by chunk over the whole stream with the counts of the sources carried
+on, until a source has no block left. The mix ends there; the blocks left of the others follow without gaps in the order
+of their due times. Any number of sources; block numbers beyond 2^(63 - ``SCALE``) in a source are an error.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from fieldlens.llm.base import stored
+
 PERIOD = 1000
 BLOCK = 16
+SCALE = 36
+CHUNK = 1000  # slots of one inner fold
 RANGE = 3  # hexadecimal digits of the digest: 4,096 ranges per source
 
 
@@ -88,6 +98,48 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str
         F.coalesce(F.col("slot") < F.col("stop"), F.lit(False)).alias("in_mix"))
 
 
+def _exact_turns(known: DataFrame) -> DataFrame:
+    """(source_key, turn, slot) of one row ``q`` (key, weight as integer, number of blocks): slots up to the first one that finds its source empty."""
+    step = """
+      transform(
+        array(array_min(transform(filter(transform(q, (x, i) -> struct(i as i, x as x, acc.done[i] as d)), e -> (e.d * total) div e.x.w <= t),
+                                  e -> struct(((e.d + 1) * total + e.x.w - 1) div e.x.w as due, e.i as i))).i),
+        p -> struct(transform(acc.done, (d, i) -> if(i = p, d + 1, d)) as done, array_append(acc.picks, p) as picks))[0]"""
+    chunk = f"aggregate(sequence(c * {CHUNK}, least(c * {CHUNK} + {CHUNK}, length) - 1), struct(all.done as done, cast(array() as array<int>) as picks), (acc, t) -> {step})"
+    fold = f"""
+      aggregate(sequence(0L, (length - 1) div {CHUNK}), struct(transform(q, x -> 0L) as done, cast(array() as array<array<int>>) as picks),
+        (all, c) -> transform(array({chunk}), s -> struct(s.done as done, array_append(all.picks, s.picks) as picks))[0], all -> all.picks)"""
+    # by its due time the block after the last one of a source is asked for, and by then at the latest all blocks are used up
+    row = known.withColumn("length", F.expr("least(array_min(transform(q, x -> ((x.n + 1) * total + x.w - 1) div x.w)), aggregate(q, 1L, (a, x) -> a + x.n))"))
+    slots = row.select("q", F.posexplode(F.expr(fold)).alias("c", "picks")).select("q", "c", F.posexplode("picks").alias("at", "pick"))
+    slots = slots.select(F.expr("q[pick].source_key").alias("source_key"), (F.col("c").cast("long") * CHUNK + F.col("at")).alias("slot"))
+    return slots.withColumn("turn", F.row_number().over(Window.partitionBy("source_key").orderBy("slot")).cast("long") - 1)
+
+
+def mix_exact(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str = "source", block: int = BLOCK, seed: int = 1) -> DataFrame:
+    """As ``mix``, without a period: each source stays less than one block from its target at every slot of the mix."""
+    rows = numbered(docs, doc_id, source, seed).withColumn("block", F.expr(f"number div {block}"))
+    blocks = rows.groupBy("source_key", "block").agg(F.lit(1).alias("one")).drop("one")
+    share = targets.where("weight > 0 and source_key is not null").groupBy("source_key").agg(F.sum("weight").alias("weight"))
+    share = share.withColumn("w", F.expr(f"greatest(1L, cast(round(weight / sum(weight) over () * {1 << SCALE}) as bigint))"))
+    share = share.join(blocks.groupBy("source_key").agg(F.count("*").alias("n")), "source_key", "left").select("source_key", "w", F.coalesce("n", F.lit(0)).alias("n"))
+    known = stored(share.agg(F.array_sort(F.collect_list(F.struct("source_key", "w", "n"))).alias("q"), F.sum("w").alias("total")).where("size(q) > 0"))
+    turns = stored(_exact_turns(known))
+    sizes = known.select(F.explode("q").alias("x")).select("x.*")
+    stop = turns.join(sizes, "source_key").where("turn >= n").agg(F.min("slot").alias("stop"))
+    inside = turns.crossJoin(F.broadcast(stop)).where("slot < stop")
+    # the blocks left: how many others come before by (due time, source), counted without a sort
+    done = sizes.join(inside.groupBy("source_key").agg(F.count("*").alias("done")), "source_key", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    left = done.agg(F.array_sort(F.collect_list(F.struct("source_key", "w", "n", "done"))).alias("rest"))
+    behind = F.expr("""stop + aggregate(rest, 0L, (a, x) -> a + greatest(0L, least(x.n,
+        if(x.source_key < source_key, (block + 1) * x.w div w, ((block + 1) * x.w + w - 1) div w - 1)) - x.done))""")
+    placed = blocks.join(inside.select("source_key", F.col("turn").alias("block"), "slot"), ["source_key", "block"], "left")
+    placed = placed.join(sizes.select("source_key", "w"), "source_key", "left").crossJoin(F.broadcast(stop)).crossJoin(F.broadcast(left))
+    placed = placed.select("source_key", "block", F.coalesce("slot", F.when(F.col("w").isNotNull(), behind)).alias("slot"), F.col("slot").isNotNull().alias("in_mix"))
+    return rows.join(placed, ["source_key", "block"]).select(
+        "doc_id", "source", (F.col("block") + 1).alias("block"), "slot", (F.col("slot") * block + F.col("number") % block).alias("position"), "in_mix")
+
+
 def oracle(period: int = PERIOD, block: int = BLOCK, seed: int = 1, power: float = 0.5) -> str:
     """The same in SQL over ``documents``, with a recursive query for the schedule."""
     return f"""

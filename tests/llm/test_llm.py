@@ -219,6 +219,30 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs, mixing.balanced(docs)).count() == docs.count() and mixing.mix(empty, keys).count() == 0
 
 
+def test_mixing_exact(spark, docs, empty):
+    made = [(k, "hot" if k < 6000 else f"s{k % 20}") for k in range(12_000)]
+    table = spark.createDataFrame(made, "doc_id long, source string")
+    targets = [("=hot", 300.0 ** 0.5)] + [(f"=s{k}", (k + 2.0) ** 0.5) for k in range(19)] + [("=s19", 1e-4)]  # irrational, one below a slot in a thousand
+    keys = spark.createDataFrame(targets, "source_key string, weight double")
+    got = mixing.mix_exact(table, keys, block=1).collect()
+    assert sorted(r["position"] for r in got) == list(range(12_000))
+    per = collections.defaultdict(list)
+    for r in got:
+        if r["in_mix"]:
+            per["=" + r["source"]].append(r["slot"])
+    stop, total = sum(map(len, per.values())), sum(w for _, w in targets)
+    assert stop > 3000 and sorted(s for x in per.values() for s in x) == list(range(stop))
+    for name, w in targets:
+        at = np.searchsorted(np.sort(per[name]), np.arange(1, stop + 1), "left") if per[name] else np.zeros(stop)
+        assert np.abs(at - w / total * np.arange(1, stop + 1)).max() < 1 + 1e-6
+    many = spark.createDataFrame([(k, f"s{k % 1200}") for k in range(1800)], "doc_id long, source string")
+    got = mixing.mix_exact(many, mixing.balanced(many), block=1).collect()
+    assert sorted(r["slot"] for r in got) == list(range(1800))
+    assert all(r["slot"] is None and not r["in_mix"] for r in mixing.mix_exact(docs, keys.limit(0)).collect())
+    assert mixing.mix_exact(docs, keys.limit(0)).count() == docs.count()
+    assert mixing.mix_exact(docs, mixing.balanced(docs)).count() == docs.count() and mixing.mix_exact(empty, keys).count() == 0
+
+
 def test_kneser_ney(spark, docs, empty):
     good = spark.createDataFrame([(k, words(k, 80), "en") for k in range(20)], "doc_id long, text string, lang string")
     odd = spark.createDataFrame([(100, "QQQ!!! ZZZ### " * 30, "en"), (101, None, "en"), (102, " ", None), (103, words(3, 80), "xx")], "doc_id long, text string, lang string")
