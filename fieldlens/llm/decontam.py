@@ -1,12 +1,14 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units become typed placeholders, so a question with other parameters keeps its template. Windows of
-``WIDTH`` template tokens are hash-joined with those of the benchmark. Windows of one document and one item on the same
-diagonal belong together: their slot values must map one to one (the same benchmark value always became the same
-document value), and they must cover ``coverage`` of the item's windows.
+``WIDTH`` template tokens, of a third of a shorter item, are hash-joined with those of the benchmark. Windows of one
+document and one item on neighbouring diagonals (less than the item's length apart) belong together, so an inserted or
+deleted word does not part them. They count if their slot values map one to one (the same benchmark value always became
+the same document value); where they do not, those on a diagonal that does count alone, or those with unchanged values.
+What counts must cover ``coverage`` of the item's windows. An item of 11 tokens or more stands any one changed word.
 
 A bit table of fixed size, made from the benchmark's windows, lets a task drop its other windows before the shuffle;
-false hits fall out in the join. Items shorter than a window are one window of their own length.
+false hits fall out in the join. Items up to ``WIDTH`` tokens are one window of their own length.
 
 Defined results: null and empty texts match nothing; an item without a plain token matches nothing; equal items are all
 reported; rows with equal id and text share one result; the result has one row per (document, item) found.
@@ -20,13 +22,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldlens.llm.base import arrow_map, bit_table, CACHE, in_bits, signed, text_of, windows, without
 
 WIDTH = 8  # the first word of a sentence is plain: its capital says nothing
 LEAST_PLAIN = 4  # plain tokens a window needs, or all of a shorter item but one
 COVERAGE = 0.5
+CHUNK = 200_000  # tokens of texts looked at together
 EDGE = ".,;:!?\"'()[]{}*"
 NUMBER = re.compile(r"[$€£]?[+-]?\d[\d.,:/]*(?:%|st|nd|rd|th|[a-zA-Z]{1,3})?")
 NUMBER_WORDS = frozenset("one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty hundred thousand million".split())
@@ -94,19 +97,41 @@ def found_windows(hashes: np.ndarray, slots: list, width: int) -> tuple[np.ndarr
     return places, windows(hashes, width)[places]
 
 
+def item_width(tokens: int) -> int:
+    """Tokens of an item's windows: one changed token of 11 or more leaves half of the windows."""
+    return tokens if tokens <= WIDTH else max(LEAST_PLAIN, min(WIDTH, (tokens + 1) // 3))
+
+
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates = Templates()
     for batch in batches:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), text_of(batch.column(1)), strict=True):
             hashes, slots = templates.of(text)
-            width = min(WIDTH, len(hashes))
+            width = item_width(len(hashes))
             if width:
                 places, keys = found_windows(hashes, slots, width)
-                rows += [(item, width, int(p), int(k), len(places), [s for s in slots[p:p + width] if s is not None]) for p, k in zip(places, signed(keys), strict=True)]
+                rows += [(item, width, int(p), int(k), len(hashes), len(places), [s for s in slots[p:p + width] if s is not None]) for p, k in zip(places, signed(keys), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)],
-                                             names=["item_id", "width", "item_at", "key", "item_windows", "item_slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)],
+                                             names=["item_id", "width", "item_at", "key", "item_tokens", "item_windows", "item_slots"])
+
+
+def _hits(made: list[tuple[np.ndarray, list]], widths: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """(text, place, hash, slot values) of the windows of several texts that fall on a set bit; texts lie end to end, no window spans two."""
+    lengths = np.array([len(h) for h, _ in made], np.int64)
+    starts, flat = np.cumsum(lengths) - lengths, np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in made]])
+    text = np.repeat(np.arange(len(made)), lengths)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), 0)]
+    for width in widths:
+        where, keys = found_windows(flat, [], width)
+        own = (text[where] == text[where + width - 1]) & in_bits(bits, signed(keys))
+        found.append((where[own], keys[own], width))
+    at = np.concatenate([text[w] for w, _, _ in found]) if len(flat) else np.zeros(0, np.int64)
+    places = np.concatenate([w for w, _, _ in found]) - (starts[at] if len(at) else 0)
+    of = np.concatenate([np.full(len(w), n, np.int64) for w, _, n in found])
+    values = [[s for s in made[k][1][p:p + n] if s is not None] for k, p, n in zip(at.tolist(), places.tolist(), of.tolist(), strict=True)]
+    return at, places, np.concatenate([k for _, k, _ in found]), values
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", coverage: float = COVERAGE) -> DataFrame:
@@ -114,37 +139,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).transform(
         arrow_map,
-        _item_windows, f"item_id {kinds[1]}, width int, item_at long, key long, item_windows long, item_slots array<string>")
+        _item_windows, f"item_id {kinds[1]}, width int, item_at long, key long, item_tokens long, item_windows long, item_slots array<string>")
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH of them
     bits = bit_table(items, "key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
-            at, places, keys, values = [], [], [], []
+            made, size, first = [], 0, 0
             for k, t in enumerate(text_of(batch.column(2))):
-                hashes, slots = templates.of(t)
-                for width in widths:
-                    where, made = found_windows(hashes, slots, width)
-                    hits = np.flatnonzero(in_bits(bits, made))
-                    at += [k] * len(hits)
-                    places.append(where[hits])
-                    keys.append(made[hits])
-                    values += [[s for s in slots[p:p + width] if s is not None] for p in where[hits].tolist()]
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate([np.zeros(0, np.int64), *places])),
-                pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys]))), pa.array(values, pa.list_(pa.string()))], names=["doc_id", "row_key", "doc_at", "key", "doc_slots"])
+                made.append(templates.of(t))
+                size += len(made[-1][0])
+                if size > CHUNK or k == len(batch) - 1:
+                    at, places, keys, values = _hits(made, widths, bits)
+                    take = pa.array(at + first)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places), pa.array(signed(keys)), pa.array(values, pa.list_(pa.string()))],
+                                                     names=["doc_id", "row_key", "doc_at", "key", "doc_slots"])
+                    made, size, first = [], 0, k + 1
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     hits = keyed.transform(arrow_map, rows, f"doc_id {kinds[0]}, row_key long, doc_at long, key long, doc_slots array<string>")
     pairs = hits.join(items, "key").where(F.size("doc_slots") == F.size("item_slots"))
-    lines = pairs.groupBy("doc_id", "row_key", "item_id", "item_windows", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
-        F.countDistinct("item_at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots")))).alias("slots"))
+    found = ["doc_id", "row_key", "item_id", "item_windows"]
+    lines = pairs.groupBy(*found, "item_tokens", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).agg(
+        F.collect_set("item_at").alias("places"), F.collect_set(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("item_at"))).alias("same"),
+        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "doc_slots")))).alias("slots"))
     sizes = [F.expr(f"size(array_distinct(transform(slots, s -> s.{n})))") for n in ("item_slots", "doc_slots")]
-    lines = lines.where((sizes[0] == F.size("slots")) & (sizes[1] == F.size("slots"))).where(F.col("n_windows") >= coverage * F.col("item_windows"))
-    return lines.groupBy("doc_id", "row_key", "item_id", "item_windows").agg(
-        F.max("n_windows").alias("n_windows"), F.max(F.forall("slots", lambda s: s["item_slots"] == s["doc_slots"])).alias("exact"))
+    one_to_one = (sizes[0] == F.size("slots")) & (sizes[1] == F.size("slots"))
+    unchanged = F.forall("slots", lambda s: s["item_slots"] == s["doc_slots"])
+    enough = lambda n: n >= coverage * F.col("item_windows")
+    lines = lines.withColumn("alone", F.when(one_to_one, F.size("places")).otherwise(0)).withColumn("alone_exact", unchanged & enough(F.size("places")))
+    # neighbouring diagonals
+    order = Window.partitionBy("doc_id", "row_key", "item_id").orderBy("diagonal")
+    lines = lines.withColumn("apart", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) >= F.col("item_tokens"), F.lit(False)).cast("int")).withColumn("near", F.sum("apart").over(order))
+    joined = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    groups = lines.groupBy(*found, "near").agg(joined("places").alias("places"), joined("same").alias("same"), joined("slots").alias("slots"), F.max("alone").alias("alone"), F.max("alone_exact").alias("alone_exact"))
+    groups = groups.withColumn("n_windows", F.greatest("alone", F.when(one_to_one, F.size("places")).otherwise(F.size("same"))).cast("long")).where(enough(F.col("n_windows")))
+    return groups.groupBy(*found).agg(F.max("n_windows").alias("n_windows"), F.max(F.col("alone_exact") | unchanged).alias("exact"))
 
 
 def row_key(doc_id: str, text: str):

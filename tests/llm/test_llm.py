@@ -114,6 +114,20 @@ def test_templates(spark, docs, empty):
     assert decontam.leaks(empty, bench).count() == 0 and decontam.leaks(asked, bench.limit(0)).count() == 0
 
 
+def test_templates_with_edits(spark):
+    plain = [f"plain{k}" for k in range(30)]
+    short = [f"brief{k}" for k in range(14)]
+    sums = "we count 7 green apples in the old basket and then take the other 7 red apples out of the wide box for lunch".split()
+    bench = spark.createDataFrame([(1, " ".join(plain)), (2, " ".join(short)), (3, " ".join(sums))], "item_id long, text string")
+    around = "before it comes some other text {} and after it comes some more"
+    edit = lambda w, k, new: " ".join([*w[:k], *new, *w[k + 1:]])
+    texts = [(1, edit(plain, 15, ["inserted", "plain15"])), (2, edit(plain, 15, [])), (3, edit(plain, 15, ["changed"])),
+             *[(10 + k, edit(short, k, ["changed"])) for k in range(14)], (40, edit(sums, 14, ["9"])), (50, " ".join(plain[:10])), (51, " ".join(reversed(plain)))]
+    asked = spark.createDataFrame([(k, around.format(t)) for k, t in texts], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.leaks(asked, bench).collect()}
+    assert got == {**{(k, 1): True for k in (1, 2, 3)}, **{(10 + k, 2): True for k in range(14)}, (40, 3): False}
+
+
 def brute_components(rows):
     sets = []
     for r in rows:
