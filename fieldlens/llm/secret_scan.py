@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and an assignment-aware lexer that judges literals by the names they are given to.
 
 The lexer reads name-literal pairs of source code (``name = "literal"``, ``name := 'x'``, ``"name": "x"``,
-``name="x"`` in markup) and of configuration lines (``NAME=value``, ``name: value``), follows constants
-(``k = "abc..."`` then ``client_secret = k``) and scores a literal by how sensitive its target names are
+``name="x"`` in markup, ``name: str = "x"`` with a type) and of configuration lines (``NAME=value``, ``name: value``), follows constants
+(``client_secret = k`` with ``k = "abc..."`` before or after it, through any number of names) and scores a literal by how sensitive its target names are
 and how unlike prose it looks. Everything happens inside one row, so the scan is a map without a shuffle.
 
 Defined results: a null text is empty; an empty text has no spans; offsets are code points of the whole text.
@@ -28,10 +28,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "lexed")
 
 _NAME = r"[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z0-9_$]+)*"
-#: name, operator, then a quoted literal, a reference to another name, or the bare rest of a configuration line
+#: a declared type: ``: str``, ``?: string | null``, ``: Option<String>``, ``: &'static str``; then ``=`` and a literal, or a spaced ``=``
+_TYPE = (rf"""\??+:[ \t]*+(?:&(?:'[a-z_]++[ \t]++)?+(?:mut[ \t]++)?+)?+{_NAME}(?:\[[A-Za-z0-9_., \t|]*+\]|<[A-Za-z0-9_., \t|<]*+>++)*+"""
+         rf"""(?:[ \t]*+\|[ \t]*+{_NAME})*+(?:[ \t]*+=(?=[ \t]*+["'`])|[ \t]++=(?=[ \t]))""")
+#: name, a declared type if any, operator, then a quoted literal, a reference to another name, or the bare rest of a configuration line
 PAIR = re.compile(
-    rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)[ \t]{{0,8}}(?::=|=>|[:=])[ \t]{{0,8}}"""
-    rf"""(?:"(?P<dq>[^"\n]*)"|'(?P<sq>[^'\n]*)'|`(?P<bq>[^`\n]*)`|(?P<ref>{_NAME})(?=[ \t]*(?:[;,)\n]|$))|(?P<bare>[^\s"'`,;]+))""", re.A,
+    rf"""(?P<quote>["']?)(?P<name>{_NAME})(?P=quote)[ \t]*+(?:{_TYPE}|(?::=|=>|[:=]))[ \t]*+"""
+    rf"""(?:"(?P<dq>[^"\n]*)"|'(?P<sq>[^'\n]*)'|`(?P<bq>[^`\n]*)`|(?P<ref>{_NAME})(?=[ \t]*+(?:[;,)\n]|$))|(?P<bare>[^\s"'`,;]+))""", re.A,
 )
 #: words of a name and what each says about the value
 SENSITIVE = {
@@ -59,7 +62,8 @@ def literal_score(value: str) -> float:
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose target names, directly or through constants, are sensitive."""
-    pairs, constants = [], {}
+    pairs, constants, waiting = [], {}, {}
+    first = {}  # of every name the first literal, for references that come before it
     for m in PAIR.finditer(text):
         name = m["name"]
         for group in ("dq", "sq", "bq", "bare"):
@@ -70,8 +74,19 @@ def lexed(text: str) -> list[tuple[int, int]]:
             if m["ref"] in constants:
                 constants[name] = constants[m["ref"]]
                 pairs.append((name, constants[name]))
-            else:  # a bare word of a configuration line
+            else:  # a bare word of a configuration line, or a constant that follows
                 pairs.append((name, (*m.span("ref"), m["ref"])))
+                waiting.setdefault(m["ref"], []).append(name)
+        if name in constants:
+            first.setdefault(name, constants[name])
+    ready = [ref for ref in waiting if ref in first]
+    while ready:
+        ref = ready.pop()
+        for name in waiting.pop(ref, ()):
+            pairs.append((name, first[ref]))
+            if name not in first:
+                first[name] = first[ref]
+                ready.append(name)
     found = {}
     for name, (start, end, value) in pairs:
         score = name_score(name)

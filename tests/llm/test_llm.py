@@ -214,6 +214,20 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.mask_secrets(docs.where("text not like 'aaa%'")).count() == docs.where("text not like 'aaa%'").count() and secret_scan.find_secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", [
+    "signing_credential" + " " * 9 + "=" + " " * 40 + "'Zx81!kLm29Qr'", 'auth_key: str = "Zx81!kLm29Qr"', 'client_secret: String = "Zx81!kLm29Qr";', 'auth_key?: string | null = "Zx81!kLm29Qr"',
+    'auth_key: Optional[str] = "Zx81!kLm29Qr"', """const AUTH_KEY: &'static str = "Zx81!kLm29Qr";""", 'client_secret = k\nk = "Zx81!kLm29Qr"', 'client_secret = a\na = b\nb = c\nc = "Zx81!kLm29Qr"\n',
+    'client_secret: String = k\nk = "Zx81!kLm29Qr"'])
+def test_secrets_are_masked(text):
+    assert "Zx81!kLm29Qr" not in secret_scan.masked(text, secret_scan.scan(text)[1])
+
+
+def test_secrets_stay_linear():
+    for text in ("key" + " " * 300_000 + "x", "a:b<" * 50_000, "a = b\n" + "".join(f"n{k} = n{k + 1}\n" for k in range(20_000)) + 'n20000 = "x"', "auth_key = auth\nauth = auth_key\n"):
+        secret_scan.scan(text)
+    assert secret_scan.masked("auth_key: ab12=Cd34xyz99", secret_scan.scan("auth_key: ab12=Cd34xyz99")[1]) == "auth_key: [secret]"
+
+
 def test_mixing(spark, docs, empty):
     made = [(k, "a" if k % 3 else "b" if k % 2 else None, k) for k in range(3000)]
     table = spark.createDataFrame(made, "doc_id long, source string, slot long")
