@@ -26,11 +26,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldlens.llm.base import arrow_map, bit_table, components, in_bits, mix, signed, stored, text_of, windows, without, WordHash
+from fieldlens.llm.base import arrow_map, bit_table, components, hit, in_bits, mix, signed, stored, text_of, windows, WordHash
 
 WIDTH = 5
 NUM, DEN = 80, 100
@@ -152,7 +153,7 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, class (key of the shingle set) and n_in_class of every row."""
+    """doc_id, n_shingles, component_id, class (key of the shingle set), n_in_class and root (a class that stands for the component) of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     profiles = stored(docs.transform(arrow_map, _profiles, f"doc_id {kind}, class long, n long, keys array<long>, typical double, block int, counts binary"))
@@ -191,10 +192,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # the smallest id of every component, back to the rows
     named = classes.select("class", "low", "copies").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "root").select("class", "component_id", "copies")
+    named = named.join(lowest, "root").select("class", "component_id", "copies", "root")
     return rows.join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "class", F.coalesce("copies", F.lit(1)).alias("n_in_class"))
+        "class", F.coalesce("copies", F.lit(1)).alias("n_in_class"), "root")
 
 
 def _grouped(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -230,13 +231,35 @@ def _prefixes(ranks: np.ndarray):
     return rows
 
 
+def _class_of(text: str) -> Column:
+    """The class of a text; null for an empty set."""
+
+    @F.pandas_udf("long")
+    def classes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = WordHash()
+        for texts in batches:
+            sets = [shingles(t or "", seen) for t in texts]
+            yield pd.Series([class_key(own) if len(own) else None for own in sets], dtype="Int64")
+
+    return classes(F.col(text))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of every component: the one with the smallest id, and of equal ids the smallest text.
+    """``docs`` with one document of every component: the one with the smallest id, of equal ids the smallest text, of equal texts one row.
 
-    Rows with an empty set and rows with a null id stay. Rows to drop are few against all rows and known by key.
+    A null id is larger than any other. Rows with an empty set stay. Rows are judged by id and class together, so a row of
+    another component with the same id is not touched. Only rows whose id falls on the bit table of ids to judge are shuffled.
     """
-    key = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    found = jaccard_components(docs, doc_id, text)
-    bad = found.where("component_id is not null and doc_id is not null and n_shingles > 0 and doc_id <> component_id").select(
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__key")).distinct()
-    return without(docs.withColumn("__key", key), stored(bad), "__key").drop("__key")
+    found = jaccard_components(docs, doc_id, text).where("n_shingles > 0").groupBy("doc_id", "class", "root", "component_id").agg(F.count("*").alias("n"))
+    found = stored(found.withColumn("lowest", F.expr("doc_id <=> component_id")))
+    several = found.where("lowest").groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1").select("root", F.lit(True).alias("several"))
+    judged = stored(found.join(several, "root", "left").where("not lowest or several").select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"), "root", "lowest"))
+    id_key = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    bits = bit_table(judged.select(id_key("__id").alias("k")), "k")
+    marked = docs.withColumn("__hit", hit(bits, id_key(doc_id)))
+    rows = marked.where("__hit").select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("class", _class_of("text"))
+    met = stored(rows.join(judged, F.col("id").eqNullSafe(F.col("__id")) & (F.col("class") == F.col("__class")), "left").select("row", "text", "root", "lowest"))
+    # rows of the smallest id: the least (text, rest of the row) is found task by task before the shuffle
+    order = F.struct(F.col("text"), F.to_json("row"))
+    one = met.where("lowest").groupBy("root").agg(F.min_by("row", order).alias("row")).select("row")
+    return marked.where("not __hit").drop("__hit").unionByName(met.where("root is null").select("row.*")).unionByName(one.select("row.*"))

@@ -156,6 +156,16 @@ def test_jaccard(docs, rows, empty):
     assert {r["doc_id"] for r in kept.collect()} - {None} == want
 
 
+def test_keep_one_row(spark):
+    near = lambda seed: words(seed, 80)
+    made = [(1, near(1), "a"), (1, near(1), "a"), (1, near(1), "a"), (2, near(1) + " tail", "b"), (2, near(2), "c"),  # replayed rows; an unrelated text under the id of a near copy
+            (None, near(1), "d"), (None, near(3), "e"), (None, near(3), "e"), (5, near(4) + " z", "f"), (5, near(4) + " y", "g"), (6, "", "h"), (6, "", "h"), (7, None, "i"), (8, near(5), "k"), (8, near(6), "l")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, class string").repartition(4)
+    got = collections.Counter(tuple(r) for r in jaccard.keep_one(docs).collect())
+    want = [(1, near(1), "a"), (2, near(2), "c"), (None, near(3), "e"), (5, near(4) + " y", "g"), (6, "", "h"), (6, "", "h"), (7, None, "i"), (8, near(5), "k"), (8, near(6), "l")]
+    assert got == collections.Counter(want)
+
+
 def test_suffix_array():
     rng = random.Random(3)
     for _ in range(200):
