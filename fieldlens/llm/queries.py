@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlens.llm import decontam, jaccard, kneser_ney, language, mixing, quality_rules, secret_scan, suffixes, toxicity, wrappers
+from fieldlens.llm import alignment, centroids, chat, decontam, jaccard, kneser_ney, language, mixing, quality_rules, secret_scan, suffixes, toxicity, wrappers
 from fieldlens.llm.base import table
 
 
@@ -53,6 +53,20 @@ def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat.finished(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.render(chat.fold(log)))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language, op2_quality_rules, op3_decontamination, op4_jaccard, op5_suffix_dedup, op6_toxicity, op7_secrets, op8_mixing, op9_kneser_ney, op10_wrappers)}
-ORACLES = {"op8_mixing": mixing.oracle()}
+    op1_language, op2_quality_rules, op3_decontamination, op4_jaccard, op5_suffix_dedup, op6_toxicity, op7_secrets, op8_mixing, op9_kneser_ney, op10_wrappers,
+    op11_chat, op12_alignment, op13_centroids)}
+ORACLES = {"op8_mixing": mixing.oracle(), "op11_chat": chat.oracle(), "op13_centroids": centroids.oracle()}
