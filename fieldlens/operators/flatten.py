@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
@@ -165,6 +166,155 @@ def _to_batch(ids, owner, rows, fields, index) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["id", *[n for n, _ in fields]])
 
 
+# ---- two versions of a message, and messages against a list of paths ------------------
+
+PAIR_SIDE = (("tag", "string"), ("value", "string"), ("attrs", "map<string,string>"), ("head_tags", "array<string>"), ("n_children", "int"),
+             ("pos", "int"), ("key", "string"))
+
+
+def _text(elem: ET.Element) -> str | None:
+    return (elem.text.strip() or None) if elem.text else None
+
+
+def _attributes(elem: ET.Element, keep_ns: bool) -> dict[str, str]:
+    return dict(elem.attrib) if keep_ns else {_local(k): v for k, v in elem.attrib.items()}
+
+
+def _children(elem: ET.Element, ordered: bool, name) -> dict:
+    """Children by what they are paired by: their position, or their key, of which the last one counts."""
+    if ordered:
+        return {i: (i, c) for i, c in enumerate(elem)}
+    return {_pair_key(c, name(c.tag), i, name): (i, c) for i, c in enumerate(elem)}
+
+
+def _digests(root: ET.Element, ordered: bool, keep_ns: bool, name) -> dict[ET.Element, bytes]:
+    """Bottom-up digest of every subtree: tag, text, attributes and the digests of the children as they are paired.
+
+    Positions pair children in their order, keys in any order; equal digests mean that a comparison of the subtrees finds nothing.
+    """
+    out: dict[ET.Element, bytes] = {}
+    for elem in reversed(list(root.iter())):  # children come before their parent
+        seen = hashlib.blake2b(repr((name(elem.tag), _text(elem), sorted(_attributes(elem, keep_ns).items()))).encode("utf-8", "surrogatepass"), digest_size=16)
+        for key, (_, child) in sorted(_children(elem, ordered, name).items()):
+            if not ordered:
+                seen.update(key.encode("utf-8", "surrogatepass") + b"\0")
+            seen.update(out[child])
+        out[elem] = seen.digest()
+    return out
+
+
+def _pair_rows(left: str, right: str, ordered: bool, keep_ns: bool) -> list[tuple]:
+    """Places where two documents differ: (parent path, left side, right side); nothing when one of them is malformed.
+
+    Equal subtrees are not opened. Below a changed tag and below an element without a partner nothing is compared.
+    """
+    try:
+        roots = [ET.fromstring(x) for x in (left, right)]
+    except (ET.ParseError, TypeError, ValueError):
+        return []
+    name = (lambda t: t) if keep_ns else _local
+    digests = [_digests(r, ordered, keep_ns, name) for r in roots]
+
+    def side(elem, pos, key):
+        tags = [name(c.tag) for c in elem]
+        return (name(elem.tag), _text(elem), _attributes(elem, keep_ns), tags[:3], len(tags), pos, key)
+
+    none = (None,) * len(PAIR_SIDE)
+    rows, todo = [], [("", roots[0], roots[1], 0, 0, "")]
+    while todo:
+        parent, a, b, i, j, key = todo.pop()
+        if digests[0][a] == digests[1][b]:
+            continue
+        one, two = side(a, i, key), side(b, j, key)
+        if one[:3] != two[:3]:
+            rows.append((parent, *one, *two))
+        if one[0] != two[0]:
+            continue
+        path = f"{parent}/{one[0]}" if parent else one[0]
+        mine, other = _children(a, ordered, name), _children(b, ordered, name)
+        for k, (i, child) in mine.items():
+            if k in other:
+                todo.append((path, child, other[k][1], i, other[k][0], str(k)))
+            else:
+                rows.append((path, *side(child, i, str(k)), *none))
+        rows += [(path, *none, *side(child, j, str(k))) for k, (j, child) in other.items() if k not in mine]
+    return rows
+
+
+def differing_nodes(pairs: DataFrame, doc_id: str = "msg_id", left: str = "left", right: str = "right", ordered: bool = True, keep_ns: bool = False) -> DataFrame:
+    """(doc_id, parent_path, a_*, b_*) of the node pairs in which two texts of one row differ.
+
+    Both trees get digests from the leaves up, so an unchanged message gives no row and a changed one its changed places.
+    """
+    fields = (("parent_path", "string"), *((f"a_{n}", t) for n, t in PAIR_SIDE), *((f"b_{n}", t) for n, t in PAIR_SIDE))
+    schema = f"{doc_id} {pairs.schema[doc_id].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in fields)
+
+    def run(batches):
+        for batch in batches:
+            owner: list[int] = []
+            rows: list[tuple] = []
+            for i, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                found = _pair_rows(a, b, ordered, keep_ns)
+                owner.extend([i] * len(found))
+                rows += found
+                if len(rows) >= BATCH_ROWS:
+                    yield _to_batch(batch.column(0), owner, rows, fields, range(len(fields)))
+                    owner, rows = [], []
+            if rows:
+                yield _to_batch(batch.column(0), owner, rows, fields, range(len(fields)))
+
+    return pairs.select(doc_id, left, right).mapInArrow(run, schema)
+
+
+def leaf_vector(df: DataFrame, paths: Sequence[str], doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
+    """(doc_id, vals array<string>, rest array<struct<path, value>>): one row per well-formed document with a value.
+
+    ``vals`` holds the last value of each of ``paths`` (null without one), ``rest`` the last value of every other path.
+    """
+    at = {p: i for i, p in enumerate(paths)}
+    schema = f"{doc_id} {df.schema[doc_id].dataType.simpleString()}, vals array<string>, rest array<struct<path: string, value: string>>"
+    kinds = [pa.list_(pa.string()), pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))]
+
+    def run(batches):
+        for batch in batches:
+            owner, vals, rest = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = _leaf_values(text)
+                if found:
+                    owner.append(i)
+                    mine: list[str | None] = [None] * len(paths)
+                    other = []
+                    for path, value in found.items():
+                        if path in at:
+                            mine[at[path]] = value
+                        else:
+                            other.append({"path": path, "value": value})
+                    vals.append(mine)
+                    rest.append(other)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(vals, kinds[0]), pa.array(rest, kinds[1])], ["id", "vals", "rest"])
+
+    return df.select(doc_id, xml).mapInArrow(run, schema)
+
+
+def _leaf_values(xml: str | None) -> dict[str, str]:
+    """Last value of every path of a document; empty when it is malformed."""
+    try:
+        root = ET.fromstring(xml)
+    except (ET.ParseError, TypeError, ValueError):
+        return {}
+    out: dict[str, str] = {}
+    todo = [(root, _local(root.tag))]
+    while todo:
+        elem, path = todo.pop()
+        text = _text(elem)
+        if text is not None:
+            out[path] = text
+        for attr, value in elem.attrib.items():
+            out[f"{path}/@{_local(attr)}"] = value
+        todo.extend((c, f"{path}/{_local(c.tag)}") for c in reversed(elem))
+    return out
+
+
 def parse_guard(nodes: DataFrame, doc_id: str = "msg_id") -> tuple[DataFrame, DataFrame]:
     """Nodes of well-formed documents, and one issue per malformed document."""
     bad = F.col("kind") == "parse_error"
@@ -203,13 +353,13 @@ def first_tag(nodes: DataFrame, tag: str) -> DataFrame:
     return nodes.filter((F.col("tag") == tag) & (F.col("tag_occ") == 1))
 
 
-def node_summary() -> Column:
+def node_summary(prefix: str = "") -> Column:
     """Short text of an element: its text (50), else its first child tags, else an empty tag; cut at 100."""
-    tag, text = F.col("tag"), F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " ")
+    tag, text = F.col(f"{prefix}tag"), F.regexp_replace(F.coalesce(f"{prefix}value", F.lit("")), r"\s+", " ")
     with_text = F.concat(F.lit("<"), tag, F.lit(">"), F.left(text, F.lit(50)), F.when(F.length(text) > 50, "...").otherwise(""), F.lit("</"), tag, F.lit(">"))
-    with_children = F.concat(F.lit("<"), tag, F.lit(">["), F.array_join("head_tags", ", "),
-                             F.when(F.col("n_children") > 3, "...").otherwise(""), F.lit("]</"), tag, F.lit(">"))
-    full = F.when(text != "", with_text).when(F.col("n_children") > 0, with_children).otherwise(F.concat(F.lit("<"), tag, F.lit("/>")))
+    with_children = F.concat(F.lit("<"), tag, F.lit(">["), F.array_join(f"{prefix}head_tags", ", "),
+                             F.when(F.col(f"{prefix}n_children") > 3, "...").otherwise(""), F.lit("]</"), tag, F.lit(">"))
+    full = F.when(text != "", with_text).when(F.col(f"{prefix}n_children") > 0, with_children).otherwise(F.concat(F.lit("<"), tag, F.lit("/>")))
     return F.left(full, F.lit(100))
 
 
@@ -241,8 +391,26 @@ def rebuild_xml(rows: DataFrame, doc_id: str = "msg_id", order: str = "ord", pat
         .groupBy(doc_id, "g")
         .agg(F.min("p").alias("p"), F.max("t").alias("t"),
              F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("o", "a")))), lambda x: x["a"]), "").alias("attrs")))
-    numbered = elements.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("g", "p", "t", "attrs"))).alias("l")).withColumn(
-        "l", F.expr("transform(l, x -> struct(split(x.p, '/') as parts, coalesce(x.t, '') as t, x.attrs as attrs))"))
+    numbered = elements.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("g", "p", "t", "attrs"))).alias("l"))
+    return _rendered(numbered.withColumn("l", F.expr("transform(l, x -> struct(split(x.p, '/') as parts, coalesce(x.t, '') as t, x.attrs as attrs))")), doc_id)
+
+
+def render_leaves(df: DataFrame, rows: Column, doc_id: str = "msg_id") -> DataFrame:
+    """The same for documents whose leaf rows are one array<struct<path, value>> in order: (doc_id, xml), without a shuffle."""
+    leaf = F.transform(rows, lambda r: F.struct(
+        F.regexp_replace(r["path"], "/@[^/]+$", "").alias("p"), F.regexp_extract(r["path"], "/@([^/]+)$", 1).alias("name"),
+        _escape(F.coalesce(r["value"], F.lit(""))).alias("t")))
+    filled = df.filter(F.size(rows) > 0).select(doc_id, leaf.alias("r"))
+    # an attribute row belongs to the row before it when that has its element
+    first = filled.withColumn("s", F.expr("filter(sequence(0, size(r) - 1), i -> i = 0 or r[i].name = '' or r[i].p <> r[i - 1].p)"))
+    attrs = """array_join(transform(filter(slice(r, s[k] + 1, coalesce(get(s, k + 1), size(r)) - s[k]), a -> a.name <> ''),
+        a -> concat(' ', a.name, '="', replace(a.t, '"', '&quot;'), '"')), '')"""
+    return _rendered(first.withColumn("l", F.expr(
+        f"transform(s, (i, k) -> struct(split(r[i].p, '/') as parts, if(r[i].name = '', r[i].t, '') as t, {attrs} as attrs))")), doc_id)
+
+
+def _rendered(numbered: DataFrame, doc_id: str) -> DataFrame:
+    """Text of documents whose elements are in the array ``l``: path parts, escaped text, attributes."""
     # how many parts stay open between a row and the one before it
     common = """aggregate(sequence(1, greatest(least(size({a}), size({b}) - 1), 1)), 0,
         (n, k) -> if(n = k - 1 and k <= least(size({a}), size({b}) - 1) and {a}[k - 1] = {b}[k - 1], k, n))"""

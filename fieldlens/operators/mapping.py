@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import text as t
-from fieldlens.operators import joins
+from fieldlens.operators import flatten as fl, joins
 
 ROOT = "<root>"
 
@@ -128,6 +130,129 @@ def migrate(values: DataFrame, mapping: DataFrame, target: DataFrame, add_defaul
         t.depth("path").alias("depth"))
 
 
+# ---- whole messages against a target tree --------------------------------------------
+
+MOST_FIELDS = 50_000  # fields of a schema and of a mapping that travel as one row
+
+
+@dataclass(frozen=True)
+class TargetTree:
+    """A target schema in preorder with what each field draws from; one row of a bounded number of fields.
+
+    Field k spans ``enter`` = k to ``leave`` (the last field below it), so the fields above another one are those whose span holds it. Its
+    ``needs`` are the optional ones among them, itself included; ``sources`` are places in ``paths``, best first.
+    """
+
+    paths: list[str]
+    fields: list[tuple[str, int, list[int], list[int], str | None]]  # path, leave, sources, needs, default
+
+    def column(self) -> Column:
+        """The tree as one array column, read from a JSON literal so that the plan stays small."""
+        text = json.dumps([{"path": p, "sources": s, "needs": n, "fallback": d} for p, _, s, n, d in self.fields])
+        return F.from_json(F.lit(text), "array<struct<path: string, sources: array<int>, needs: array<int>, fallback: string>>")
+
+
+def target_tree(mapping: DataFrame, target: DataFrame, add_defaults: bool = True, now: datetime | None = None) -> TargetTree:
+    """The tree of ``target`` (path, min_occurs and, for the order of siblings, seq) with the sources of ``mapping``."""
+    wanted = target.select("path", "min_occurs", *([F.col("seq")] if "seq" in target.columns else [F.lit(0).alias("seq")]))
+    for df, name in ((wanted, "target"), (mapping, "mapping")):
+        if not joins.is_small(df, MOST_FIELDS):
+            raise ValueError(f"more than {MOST_FIELDS} fields in the {name}: use leaf_map and migrate, which join them")
+    rows = {}
+    for r in sorted(wanted.collect(), key=lambda r: (r["seq"] is None, r["seq"] or 0, r["path"])):
+        rows.setdefault(r["path"], r)
+    own: dict[str, set[str]] = {}
+    for r in mapping.select("source_path", "target_path").collect():
+        own.setdefault(r["target_path"], set()).add(r["source_path"])
+    # exact, then by name, then the field's own path
+    sources = {p: list(dict.fromkeys([*sorted(own.get(p, ()), key=lambda s: (s != p, s)), p])) for p in rows}
+    paths = sorted({s for found in sources.values() for s in found} | {s for found in own.values() for s in found})
+    at = {p: k for k, p in enumerate(paths)}
+    now = now or datetime.now()
+    fill = {"stamp": now.strftime("%Y%m%d%H%M%S"), "now": now.strftime("%Y-%m-%dT%H:%M:%S"), "today": now.strftime("%Y-%m-%d")}
+    defaults = {tag: text.format(**fill) for tag, text in fixed.MIGRATION_DEFAULTS.items()} if add_defaults else {}
+    order = _preorder(list(rows))
+    leave = list(range(len(order)))
+    open_: list[int] = []
+    fields = []
+    for k, path in enumerate(order):
+        while open_ and not path.startswith(order[open_[-1]] + "/"):
+            leave[open_.pop()] = k - 1
+        open_.append(k)
+        needs = [j for j in open_ if rows[order[j]]["min_occurs"] == "0" and "/" in order[j]]
+        fields.append((path, k, [at[s] for s in sources[path]], needs, defaults.get(path.rsplit("/", 1)[-1])))
+    for k in open_:
+        leave[k] = len(order) - 1
+    return TargetTree(paths, [(p, leave[k], s, n, d) for p, k, s, n, d in fields])
+
+
+def _preorder(paths: list[str]) -> list[str]:
+    """Paths so that what is below a path follows it at once; siblings stay in the given order."""
+    known = set(paths)
+    children: dict[str | None, list[str]] = {}
+    for path in paths:
+        above = path
+        while "/" in above:
+            above = above.rsplit("/", 1)[0]
+            if above in known:
+                break
+        else:
+            above = None
+        children.setdefault(above, []).append(path)
+    out, todo = [], list(reversed(children.get(None, [])))
+    while todo:
+        path = todo.pop()
+        out.append(path)
+        todo += reversed(children.get(path, []))
+    return out
+
+
+def move(messages: DataFrame, tree: TargetTree, doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
+    """(doc_id, fields array<struct<path, source_path, value, how, present>>, unmapped array<struct<path, value>>), a row a message.
+
+    A message meets the whole tree in one map: a field takes the first of its sources that has a value and is present when every optional field
+    whose span holds it has one. Nothing is shuffled.
+    """
+    one = fl.leaf_vector(messages, tree.paths, doc_id, xml).withColumn("tree", tree.column()).withColumn("names", F.array(*map(F.lit, tree.paths)) if len(tree.paths) < 200 else F.split(F.lit("\u0001".join(tree.paths)), "\u0001"))
+    hit = "get(filter(f.sources, s -> vals[s] is not null), 0)"
+    found = one.withColumn("hits", F.expr(f"transform(tree, f -> {hit})"))
+    fields = """transform(tree, (f, k) -> struct(f.path as path, get(names, hits[k]) as source_path, get(vals, hits[k]) as value, f.fallback as fallback,
+        contains(f.path, '/') and forall(f.needs, n -> hits[n] is not null) as present))"""
+    told = """transform(fields, f -> struct(f.path as path, f.source_path as source_path, coalesce(f.value, f.fallback) as value,
+        case when f.value is not null then 'mapped' when f.fallback is not null then 'default' else 'empty' end as how, f.present as present))"""
+    return (found.withColumn("fields", F.expr(fields)).select(
+        doc_id, F.expr(told).alias("fields"), F.expr("filter(rest, r -> not contains(r.path, '@'))").alias("unmapped")))
+
+
+def moved_values(moved: DataFrame, doc_id: str = "msg_id") -> DataFrame:
+    """(doc_id, target_path, source_path, value) of every field with a value of the message, as ``apply_mapping`` gives them."""
+    rows = moved.select(doc_id, F.inline(F.expr("filter(fields, f -> f.how = 'mapped')")))
+    return rows.select(doc_id, F.col("path").alias("target_path"), "source_path", "value")
+
+
+def moved_rows(moved: DataFrame, doc_id: str = "msg_id") -> DataFrame:
+    """Target rows per message, as ``migrate`` gives them."""
+    rows = moved.select(doc_id, F.inline(F.expr("filter(fields, f -> f.present)")))
+    return rows.select(doc_id, "path", "source_path", "value", "how", t.depth("path").alias("depth"))
+
+
+def moved_leftovers(moved: DataFrame, doc_id: str = "msg_id") -> DataFrame:
+    return moved.select(doc_id, F.inline("unmapped"))
+
+
+def moved_stats(moved: DataFrame, doc_id: str = "msg_id") -> DataFrame:
+    """Actions per message, counted inside its row; messages without an action are left out."""
+    of = lambda how: F.size(F.expr(f"filter(fields, f -> f.present and f.how = '{how}')")).cast("bigint")
+    counts = moved.select(doc_id, of("mapped").alias("mapped"), of("default").alias("defaults"), F.size("unmapped").cast("bigint").alias("not_mapped"))
+    total = F.col("mapped") + F.col("defaults") + F.col("not_mapped")
+    return counts.select(doc_id, total.alias("total"), "mapped", "defaults", "not_mapped").filter("total > 0")
+
+
+def moved_messages(moved: DataFrame, doc_id: str = "msg_id") -> DataFrame:
+    """Migrated messages as XML text, elements in the order of the tree."""
+    return fl.render_leaves(moved, F.expr("transform(filter(fields, f -> f.present), f -> struct(f.path as path, f.value as value))"), doc_id)
+
+
 def actions(migrated: DataFrame, unmapped: DataFrame, doc_id: str = "msg_id") -> DataFrame:
     """Mapped, default and removed actions with source and target."""
     none = F.lit(None).cast("string")

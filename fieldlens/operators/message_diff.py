@@ -1,11 +1,11 @@
-"""Differences between two versions of the same messages, on their node tables."""
+"""Differences between two versions of the same messages: from their texts, or from node tables that exist already."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlens.functions import text as t
-from fieldlens.operators.flatten import node_summary
+from fieldlens.operators.flatten import differing_nodes, node_summary
 from fieldlens.session import checkpoint
 
 SIDE = ("path", "tag", "value", "attrs", "summary", "pos", "key", "parent_key")
@@ -88,6 +88,43 @@ def message_diff(a: DataFrame, b: DataFrame, doc_id: str = "msg_id", ignore_orde
             .unionByName(one_sided("b", "a", "added")))
 
 
+def compare_messages(a: DataFrame, b: DataFrame, doc_id: str = "msg_id", xml: str = "xml", ignore_order: bool = False,
+                     ignore_attributes: bool = False, ignore_whitespace: bool = True, keep_ns: bool = False) -> DataFrame:
+    """The same differences from message tables (``doc_id``, ``xml``): one exchange a side, nothing stored.
+
+    The two texts of a message meet by its id; equal texts leave there. The others are parsed side by side, digests of their
+    subtrees leave out what did not change, and every differing place is one row, so nothing is joined or shuffled again.
+    """
+    side = lambda df, name: df.select(doc_id, F.col(xml).alias(name))
+    pairs = side(a, "left").join(side(b, "right"), doc_id).filter(F.col("left") != F.col("right"))
+    ordered = not ignore_order
+    places = differing_nodes(pairs, doc_id, "left", "right", ordered, keep_ns)
+    here = lambda last: F.concat("parent_path", F.when(F.col("parent_path") != "", "/").otherwise(""), last)
+    norm = t.collapse_ws if ignore_whitespace else t.blank
+    old, new = norm("a_value"), norm("b_value")
+    shown = lambda c: F.when(c == "", "(empty)").otherwise(c)
+    none = F.lit(None).cast("string")
+
+    def row(kind, path, element, lv, rv, details):
+        return F.struct(F.lit(kind).alias("diff_type"), path.alias("path"), element.alias("element"),
+                        lv.alias("left_value"), rv.alias("right_value"), F.lit(details).alias("details"))
+
+    def alone(mine: str, kind: str):
+        last = F.concat(f"{mine}_tag", F.lit("["), (F.col(f"{mine}_pos") + 1).cast("string"), F.lit("]")) if ordered else F.col(f"{mine}_key")
+        summary = node_summary(f"{mine}_")
+        return row(kind, here(last), F.col(f"{mine}_tag"), *((none, summary) if kind == "added" else (summary, none)), f"Element {kind}")
+
+    path, same_tag = here(F.col("a_tag")), F.col("a_tag") == F.col("b_tag")
+    found = F.array_compact(F.array(
+        F.when(F.col("b_tag").isNull(), alone("a", "removed")),
+        F.when(F.col("a_tag").isNull(), alone("b", "added")),
+        F.when(~same_tag, row("changed", path, F.col("a_tag"), F.col("a_tag"), F.col("b_tag"), "Element tag changed")),
+        F.when(same_tag & (old != new), row("changed", path, F.col("a_tag"), shown(old), shown(new), "Text content changed"))))
+    if not ignore_attributes:
+        found = F.when(same_tag, F.concat(found, _attr_changes(path))).otherwise(found)
+    return places.select(doc_id, F.coalesce("a_pos", "b_pos").alias("pos"), F.inline(found))
+
+
 def message_diff_stats(diff: DataFrame, messages: DataFrame, doc_id: str = "msg_id") -> DataFrame:
     """Per message: identical flag and counts, also for messages without a difference."""
     counts = diff.groupBy(doc_id).agg(*[F.count_if(F.col("diff_type") == k).alias(k) for k in ("added", "removed", "changed")])

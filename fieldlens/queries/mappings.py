@@ -11,15 +11,13 @@ from fieldlens.operators import flatten as fl, mapping as mp, message_diff as md
 from fieldlens.queries.base import catalog
 from fieldlens.queries.messages import messages
 from fieldlens.registry import Group
-from fieldlens.session import checkpoint
 
 GROUP = Group()
 NOW = datetime(2024, 1, 15, 10, 30, 0)
 
 
 def _pair(spark, sf_dir):
-    one = lambda name: fl.flatten_xml(messages(spark, sf_dir, name, damaged=False), pairing=True, columns=md.DIFF_COLUMNS)
-    return one("msg_leaf"), one("msg_leaf_b")
+    return [messages(spark, sf_dir, name, damaged=False) for name in ("msg_leaf", "msg_leaf_b")]
 
 
 # Children of GrpHdr shift when CreDtTm (ord 3) is missing, so positions there pair different tags.
@@ -42,7 +40,7 @@ union all select b.msg_id, 'added', concat('Document/CdtTrfTxInf/Purp[', (select
 @GROUP.add("message_diff_ordered", fx.oracle("msg_leaf_b", ORDERED + "\nselect * from d"))
 def message_diff_ordered(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
-    return md.message_diff(a, b).select("msg_id", "diff_type", "path", "left_value", "right_value")
+    return md.compare_messages(a, b).select("msg_id", "diff_type", "path", "left_value", "right_value")
 
 
 @GROUP.add("message_diff_stats", fx.oracle("msg_leaf_b", ORDERED + """
@@ -50,7 +48,7 @@ select m.msg_id, count(d.msg_id) = 0 as identical, count(*) filter (diff_type =
 from (select distinct msg_id from msg_leaf) m left join d on m.msg_id = d.msg_id group by 1"""))
 def message_diff_stats(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
-    return md.message_diff_stats(md.message_diff(a, b), fx.frame(spark, sf_dir, "msg_leaf").select("msg_id").distinct())
+    return md.message_diff_stats(md.compare_messages(a, b), fx.frame(spark, sf_dir, "msg_leaf").select("msg_id").distinct())
 
 
 # Without order, GrpHdr pairs by MsgId (always equal); its leaf children pair by tag and position, so a
@@ -67,7 +65,7 @@ union all select b.msg_id, 'added', concat('Document/CdtTrfTxInf/Purp[', (select
 @GROUP.add("message_diff_unordered", fx.oracle("msg_leaf_b", UNORDERED))
 def message_diff_unordered(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
-    return md.message_diff(a, b, ignore_order=True, ignore_attributes=True).select("msg_id", "diff_type", "path")
+    return md.compare_messages(a, b, ignore_order=True, ignore_attributes=True).select("msg_id", "diff_type", "path")
 
 
 @GROUP.add("exact_path_map", fx.oracle(("cat_v1", "cat_v3"), "select a.path as source_path, b.path as target_path from cat_v1 a join cat_v3 b on a.path = b.path"))
@@ -105,12 +103,10 @@ RENAMED = (("Document/CdtTrfTxInf/RmtInf/Ustrd", "Document/CdtTrfTxInf/RmtInf/Tx
 
 
 def _migration(spark, sf_dir):
-    # the leaf table is read several times below, so it is stored once instead of parsed again
-    values = checkpoint(fl.leaf_map(fl.flatten_xml(messages(spark, sf_dir, damaged=False), columns=fl.LEAF_COLUMNS)))
-    target = checkpoint(fx.frame(spark, sf_dir, "msg_target"))
+    target = fx.frame(spark, sf_dir, "msg_target")
     custom = spark.createDataFrame(list(RENAMED), "source_path string, target_path string")
-    mapping = checkpoint(mp.exact_path_map(fx.frame(spark, sf_dir, "msg_paths"), target).drop("how").unionByName(custom))
-    return values, mapping, target
+    mapping = mp.exact_path_map(fx.frame(spark, sf_dir, "msg_paths"), target).drop("how").unionByName(custom)
+    return mp.move(messages(spark, sf_dir, damaged=False), mp.target_tree(mapping, target, now=NOW))
 
 
 VALUES = f"""v as (select msg_id, path, arg_max(value, ord) as value from msg_leaf where ord <> 6 group by 1, 2),
@@ -130,22 +126,17 @@ def _m(body: str) -> str:
 
 @GROUP.add("apply_mapping", _m("select msg_id, path as target_path, source_path, value from mv"))
 def apply_mapping(spark, sf_dir):
-    return mp.apply_mapping(*_migration(spark, sf_dir))
+    return mp.moved_values(_migration(spark, sf_dir))
 
 
 @GROUP.add("unmapped_sources", _m("select * from un"))
 def unmapped_sources(spark, sf_dir):
-    return mp.unmapped_sources(*_migration(spark, sf_dir))
+    return mp.moved_leftovers(_migration(spark, sf_dir))
 
 
 @GROUP.add("migrate_messages", _m("select * from mig"))
 def migrate_messages(spark, sf_dir):
-    return mp.migrate(*_migration(spark, sf_dir), now=NOW).drop("depth")
-
-
-def _actions(spark, sf_dir):
-    parts = _migration(spark, sf_dir)
-    return mp.actions(mp.migrate(*parts, now=NOW), mp.unmapped_sources(*parts))
+    return mp.moved_rows(_migration(spark, sf_dir)).drop("depth")
 
 
 ACTIONS = "select msg_id, how as action, source_path, path as target_path, value as target_value from mig where how <> 'empty' union all select msg_id, 'removed', path, '', null from un"
@@ -153,17 +144,17 @@ ACTIONS = "select msg_id, how as action, source_path, path as target_path, value
 
 @GROUP.add("migration_actions", _m(ACTIONS))
 def migration_actions(spark, sf_dir):
-    return _actions(spark, sf_dir)
+    moved = _migration(spark, sf_dir)
+    return mp.actions(mp.moved_rows(moved), mp.moved_leftovers(moved))
 
 
 @GROUP.add("transform_stats", _m(f"select msg_id, count(*) as total, count(*) filter (action = 'mapped') as mapped, count(*) filter (action = 'default') as defaults, count(*) filter (action = 'removed') as not_mapped from ({ACTIONS}) group by 1"))
 def transform_stats(spark, sf_dir):
-    return mp.transform_stats(_actions(spark, sf_dir))
+    return mp.moved_stats(_migration(spark, sf_dir))
 
 
 @GROUP.add("migrated_roundtrip", _m("select msg_id, path, value from mig where value is not null"))
 def migrated_roundtrip(spark, sf_dir):
     """Migrated messages written as XML and flattened again give the migrated values."""
-    values, mapping, target = _migration(spark, sf_dir)
-    xml = mp.rebuilt_messages(mp.migrate(values, mapping, target, now=NOW), target)
+    xml = mp.moved_messages(_migration(spark, sf_dir))
     return fl.leaves(fl.flatten_xml(xml)).select("msg_id", "path", "value")
