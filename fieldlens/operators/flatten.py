@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldlens import fixed
 
@@ -376,27 +376,13 @@ def rebuild_xml(rows: DataFrame, doc_id: str = "msg_id", order: str = "ord", pat
     carry an occurrence ``[n]``, which keeps repeated parents apart. Attribute rows
     (``path/@name``) belong to the element row before them or open it.
     """
-    is_attr = F.col(path).rlike("/@[^/]+$")
-    owner = F.regexp_replace(F.col(path), "/@[^/]+$", "")
-    attr = F.concat(F.lit(" "), F.regexp_extract(F.col(path), "/@([^/]+)$", 1), F.lit('="'),
-                    F.replace(_escape(F.col(value)), F.lit('"'), F.lit("&quot;")), F.lit('"'))
-    flat = rows.select(doc_id, F.col(order).alias("o"), owner.alias("p"), F.when(is_attr, attr).alias("a"),
-                       F.when(~is_attr, _escape(F.coalesce(F.col(value), F.lit("")))).alias("t"))
-    # attribute rows join the element row before them; a document is one row of text to
-    # begin with, so grouping by document is bounded, and one shuffle serves all three steps
-    in_doc = W.partitionBy(doc_id).orderBy("o")
-    opens = F.when(F.col("a").isNull() | ~F.col("p").eqNullSafe(F.lag("p").over(in_doc)), 1).otherwise(0)
-    elements = (
-        flat.withColumn("opens", opens).withColumn("g", F.sum("opens").over(in_doc.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(doc_id, "g")
-        .agg(F.min("p").alias("p"), F.max("t").alias("t"),
-             F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("o", "a")))), lambda x: x["a"]), "").alias("attrs")))
-    numbered = elements.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("g", "p", "t", "attrs"))).alias("l"))
-    return _rendered(numbered.withColumn("l", F.expr("transform(l, x -> struct(split(x.p, '/') as parts, coalesce(x.t, '') as t, x.attrs as attrs))")), doc_id)
+    # a document is one row of text to begin with, so grouping by document is bounded; one shuffle, no sort of the input
+    rows_of = rows.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(path).alias("path"), F.col(value).alias("value")))).alias("l"))
+    return render_leaves(rows_of, F.col("l"), doc_id)
 
 
 def render_leaves(df: DataFrame, rows: Column, doc_id: str = "msg_id") -> DataFrame:
-    """The same for documents whose leaf rows are one array<struct<path, value>> in order: (doc_id, xml), without a shuffle."""
+    """The same for documents whose leaf rows are one array of structs with ``path`` and ``value``, in order: (doc_id, xml), without a shuffle."""
     leaf = F.transform(rows, lambda r: F.struct(
         F.regexp_replace(r["path"], "/@[^/]+$", "").alias("p"), F.regexp_extract(r["path"], "/@([^/]+)$", 1).alias("name"),
         _escape(F.coalesce(r["value"], F.lit(""))).alias("t")))

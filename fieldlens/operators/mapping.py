@@ -155,14 +155,11 @@ class TargetTree:
 def target_tree(mapping: DataFrame, target: DataFrame, add_defaults: bool = True, now: datetime | None = None) -> TargetTree:
     """The tree of ``target`` (path, min_occurs and, for the order of siblings, seq) with the sources of ``mapping``."""
     wanted = target.select("path", "min_occurs", *([F.col("seq")] if "seq" in target.columns else [F.lit(0).alias("seq")]))
-    for df, name in ((wanted, "target"), (mapping, "mapping")):
-        if not joins.is_small(df, MOST_FIELDS):
-            raise ValueError(f"more than {MOST_FIELDS} fields in the {name}: use leaf_map and migrate, which join them")
     rows = {}
-    for r in sorted(wanted.collect(), key=lambda r: (r["seq"] is None, r["seq"] or 0, r["path"])):
+    for r in sorted(_fields(wanted, "target"), key=lambda r: (r["seq"] is None, r["seq"] or 0, r["path"])):
         rows.setdefault(r["path"], r)
     own: dict[str, set[str]] = {}
-    for r in mapping.select("source_path", "target_path").collect():
+    for r in _fields(mapping.select("source_path", "target_path"), "mapping"):
         own.setdefault(r["target_path"], set()).add(r["source_path"])
     # exact, then by name, then the field's own path
     sources = {p: list(dict.fromkeys([*sorted(own.get(p, ()), key=lambda s: (s != p, s)), p])) for p in rows}
@@ -186,6 +183,13 @@ def target_tree(mapping: DataFrame, target: DataFrame, add_defaults: bool = True
     return TargetTree(paths, [(p, leave[k], s, n, d) for p, k, s, n, d in fields])
 
 
+def _fields(df: DataFrame, name: str) -> list:
+    found = df.limit(MOST_FIELDS + 1).collect()
+    if len(found) > MOST_FIELDS:
+        raise ValueError(f"more than {MOST_FIELDS} fields in the {name}: use leaf_map and migrate, which join them")
+    return found
+
+
 def _preorder(paths: list[str]) -> list[str]:
     """Paths so that what is below a path follows it at once; siblings stay in the given order."""
     known = set(paths)
@@ -213,7 +217,8 @@ def move(messages: DataFrame, tree: TargetTree, doc_id: str = "msg_id", xml: str
     A message meets the whole tree in one map: a field takes the first of its sources that has a value and is present when every optional field
     whose span holds it has one. Nothing is shuffled.
     """
-    one = fl.leaf_vector(messages, tree.paths, doc_id, xml).withColumn("tree", tree.column()).withColumn("names", F.array(*map(F.lit, tree.paths)) if len(tree.paths) < 200 else F.split(F.lit("\u0001".join(tree.paths)), "\u0001"))
+    one = fl.leaf_vector(messages, tree.paths, doc_id, xml).withColumn("tree", tree.column()).withColumn(
+        "names", F.split(F.lit("\u0001".join(tree.paths)), "\u0001"))
     hit = "get(filter(f.sources, s -> vals[s] is not null), 0)"
     found = one.withColumn("hits", F.expr(f"transform(tree, f -> {hit})"))
     fields = """transform(tree, (f, k) -> struct(f.path as path, get(names, hits[k]) as source_path, get(vals, hits[k]) as value, f.fallback as fallback,

@@ -11,6 +11,7 @@ from fieldlens.operators import flatten as fl, mapping as mp, message_diff as md
 from fieldlens.queries.base import catalog
 from fieldlens.queries.messages import messages
 from fieldlens.registry import Group
+from fieldlens.session import checkpoint
 
 GROUP = Group()
 NOW = datetime(2024, 1, 15, 10, 30, 0)
@@ -103,9 +104,10 @@ RENAMED = (("Document/CdtTrfTxInf/RmtInf/Ustrd", "Document/CdtTrfTxInf/RmtInf/Tx
 
 
 def _migration(spark, sf_dir):
-    target = fx.frame(spark, sf_dir, "msg_target")
+    # field tables derived from all messages: small, read several times, so stored once
+    target, source = checkpoint(fx.frame(spark, sf_dir, "msg_target")), checkpoint(fx.frame(spark, sf_dir, "msg_paths"))
     custom = spark.createDataFrame(list(RENAMED), "source_path string, target_path string")
-    mapping = mp.exact_path_map(fx.frame(spark, sf_dir, "msg_paths"), target).drop("how").unionByName(custom)
+    mapping = mp.exact_path_map(source, target).drop("how").unionByName(custom)
     return mp.move(messages(spark, sf_dir, damaged=False), mp.target_tree(mapping, target, now=NOW))
 
 
