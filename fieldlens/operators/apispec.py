@@ -42,7 +42,7 @@ def _pointer_of(ref: Column) -> Column:
     return F.when(ref.startswith("#/"), F.substr(ref, F.lit(2)))
 
 
-def contributions(spec: DataFrame, doc_id: str = "doc_id", max_depth: int = 20) -> DataFrame:
+def contributions(spec: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """(schema, pointer, rank, own_props): every pointer that adds to a schema, in order of precedence.
 
     A schema's own keys come first, then its reference, then its composites. References outside
@@ -61,27 +61,12 @@ def contributions(spec: DataFrame, doc_id: str = "doc_id", max_depth: int = 20)
     linked = schemas.join(plain.select(doc_id, "schema"), [doc_id, "schema"], "left_anti")
     edges = refs.unionByName(parts)
     starts = linked.select(doc_id, "schema", "node", "pos", "label")
-    # every start walks the same edges, so they are keyed by the start as well
-    walked = _closure(edges, starts, doc_id, max_depth)
+    found = expand_paths(edges, starts, by=(doc_id,), carry=("schema",), repeat="node")
+    walked = found.select(doc_id, "schema", F.col("node").alias("pointer"), F.col("sort_key").alias("rank"), (~F.col("path").contains("/replaced")).alias("own_props"))
     own = plain.select(doc_id, "schema", F.col("schema").alias("pointer"), F.array(F.lit(0).cast("bigint")).alias("rank"), F.lit(True).alias("own_props"))
     return checkpoint(own.unionByName(walked))
 
 
-def _closure(edges: DataFrame, starts: DataFrame, doc_id: str, max_depth: int) -> DataFrame:
-    level = starts.select(doc_id, "schema", F.col("node").alias("pointer"), F.array(F.lit(0).cast("bigint")).alias("rank"), F.array("node").alias("seen"), F.lit(True).alias("own_props"))
-    steps = checkpoint(edges.select(doc_id, F.col("parent").alias("pointer"), "child", F.col("pos").cast("bigint").alias("pos"), "label"))
-    out = level
-    for _ in range(max_depth):
-        nxt = level.join(steps, [doc_id, "pointer"]).filter(~F.array_contains("seen", F.col("child")))
-        level = checkpoint(nxt.select(
-            doc_id, "schema", F.col("child").alias("pointer"), F.concat("rank", F.array("pos")).alias("rank"), F.concat("seen", F.array("child")).alias("seen"),
-            (F.col("own_props") & (F.col("label") != "replaced")).alias("own_props")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.drop("seen")
-
-
 def field_columns(spec: DataFrame, contrib: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Resolved columns per schema pointer: the first contributor that has a key wins."""
     keys = spec.filter(F.col("key").isin(*FIELDS, "enum", "properties")).select(doc_id, F.col("parent").alias("pointer"), "key", "value", "raw", "type")
@@ -124,7 +109,7 @@ def child_of(pointers: DataFrame, spec: DataFrame, contrib: DataFrame, key: str,
     return found.groupBy(doc_id, "schema").agg(F.min_by("kid", "rank").alias(out))
 
 
-def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_depth: int = 30, contrib: DataFrame | None = None) -> DataFrame:
+def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_depth: int | None = None, contrib: DataFrame | None = None) -> DataFrame:
     """Field rows under root schemas (doc_id, schema): dotted paths, ``[]`` item rows, required flag, columns.
 
     A property met again on its own path is not opened again.
@@ -138,8 +123,7 @@ def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_d
         doc_id, F.col("schema").alias("parent"), "child", F.lit("[]").alias("label"), F.lit(0).alias("pos"), F.lit(False).alias("required"))
     edges = checkpoint(props.unionByName(items).withColumn("edge_id", F.xxhash64("parent", "label")))
     starts = roots.select(doc_id, F.col("schema").alias("node"), F.lit("").alias("label"), F.lit(0).alias("pos"), F.col("schema").alias("root")).distinct()
-    keyed = starts.select(doc_id, F.concat_ws("\u0001", doc_id, "root").alias("start"), "node", "label", "pos", "root")
-    paths = _expand_from(edges, keyed, doc_id, max_depth)
+    paths = expand_paths(edges, starts, max_depth, by=(doc_id,), sep="", carry=("root",))
     named = edges.select(doc_id, F.col("child").alias("node"), "edge_id", "required", F.col("label").alias("step"))
     full = F.regexp_replace("path", r"^\.", "")
     rows = paths.filter("depth > 0").join(named, [doc_id, "node", "edge_id"]).filter(~F.col("path").rlike(r"[^\[\]]\[\]\[\]"))
@@ -153,14 +137,6 @@ def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_d
         *[F.coalesce(c, F.lit("No")).alias(c) for c in ("nullable", "readOnly", "writeOnly", "deprecated")])
 
 
-def _expand_from(edges: DataFrame, starts: DataFrame, doc_id: str, max_depth: int) -> DataFrame:
-    """expand_paths from many roots at once; the root travels in front of the path."""
-    roots = starts.select(doc_id, "node", F.concat(F.lit("<"), "root", F.lit(">")).alias("label"), "pos")
-    walked = expand_paths(edges, roots, max_depth, by=(doc_id,), sep="")
-    cut = F.instr("path", ">")
-    return walked.withColumn("root", F.expr("substring(path, 2, instr(path, '>') - 2)")).withColumn("path", F.expr("substring(path, instr(path, '>') + 1)")).withColumn("cut", cut).drop("cut")
-
-
 def endpoint_rows(spec: DataFrame, eps: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """Parameters, request body and responses of every endpoint as field rows with a section label.
 

@@ -11,45 +11,83 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlens.operators import joins
 from fieldlens.session import checkpoint
 
-MAX_DEPTH = 30
+LEVELS = (4, 8)  # levels of the first stored round over a small graph, and of each later one
+CHILDREN = 10_000  # children of a parent that are met in one place; those of a larger one are dealt over several
 
 
-def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH, mode: str = "skip", by: Sequence[str] = (),
-                 sep: str = "/") -> DataFrame:
-    """Every path reachable from the roots: (by, path, node, depth, sort_key, circular, edge_id).
+def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, mode: str = "skip", by: Sequence[str] = (),
+                 sep: str = "/", carry: Sequence[str] = (), repeat: str = "step", most_edges: int = joins.DIM_ROWS) -> DataFrame:
+    """Every path reachable from the roots: (by, carry, path, node, depth, sort_key, circular, edge_id).
 
-    ``edges`` is (by, parent, child, pos), ``roots`` (by, node, pos). Optional ``label`` names a
-    step in the path when it is not the node itself (an element and its type); optional
-    ``edge_id`` is handed through. One join per level; a (label, node) met again on its own
-    path is left out (``skip``) or kept as a flagged leaf (``circular``). Every level is stored
-    once (checkpoint), so no level is computed again for the next and lost executors cost little.
+    ``edges`` is (by, parent, child, pos), ``roots`` (by, node, pos) and the ``carry`` columns, which every path of a root keeps. Optional
+    ``label`` names a step in the path when it is not the node itself (an element and its type); optional ``edge_id`` is handed
+    through. A (label, node), or with ``repeat`` = node a node, met again on its own path is left out (``skip``) or kept as a flagged leaf
+    (``circular``), so the walk ends by itself when a round finds nothing new; there is no depth limit unless ``max_depth`` sets one.
+
+    Over up to ``most_edges`` edges a round takes several levels in one job, children of a parent being one row of the graph sent to every task.
+    Beyond that a round is one level, joined by node, and the children of a parent with more than ``CHILDREN`` are dealt over several
+    places. Every round is stored and starts from the rows that the one before it found.
     """
     extra = lambda df, name, default: F.col(name) if name in df.columns else default
+    edge_id = lambda df: extra(df, "edge_id", F.lit(None)).cast("bigint").alias("edge_id")
+    step = lambda label, node: F.coalesce(node, F.lit("")) if repeat == "node" else F.concat_ws("\u0001", label, F.coalesce(node, F.lit("")))
+    by, carry = list(by), list(carry)
+    label = extra(edges, "label", F.col("child"))
+    links = edges.select(*by, F.col("parent").alias("node"), F.struct(
+        F.col("child").alias("child"), F.col("pos").cast("bigint").alias("pos"), label.alias("label"), edge_id(edges), step(label, F.col("child")).alias("step")).alias("c"))
+    links = checkpoint(links)
     label = extra(roots, "label", F.col("node"))
-    key = lambda lab, node: F.concat_ws("\u0001", lab, F.coalesce(node, F.lit("")))
-    level = roots.select(
-        *by, label.alias("path"), "node", F.lit(0).alias("depth"), F.array(F.col("pos").cast("bigint")).alias("sort_key"),
-        F.array(key(label, F.col("node"))).alias("visited"), F.lit(False).alias("circular"),
-        extra(roots, "edge_id", F.lit(None)).cast("bigint").alias("edge_id"))
-    steps = edges.select(*by, F.col("parent").alias("node"), "child", F.col("pos").cast("bigint").alias("pos"),
-                         extra(edges, "label", F.col("child")).alias("label"), extra(edges, "edge_id", F.lit(None)).cast("bigint").alias("step_id"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        me = key(F.col("label"), F.col("child"))
-        seen = F.array_contains("visited", me)
-        nxt = level.filter(~F.col("circular")).drop("edge_id").join(steps, [*by, "node"])
-        if mode == "skip":
-            nxt = nxt.filter(~seen)
-        nxt = nxt.select(
-            *by, F.concat("path", F.lit(sep), "label").alias("path"), F.col("child").alias("node"), F.lit(depth).alias("depth"),
-            F.concat("sort_key", F.array("pos")).alias("sort_key"), F.concat("visited", F.array(me)).alias("visited"),
-            seen.alias("circular"), F.col("step_id").alias("edge_id"))
-        nxt = checkpoint(nxt)
-        if nxt.isEmpty():
-            break
-        out = out.unionByName(nxt)
-        level = nxt
-    return out.drop("visited")
+    rows = roots.select(
+        *by, *carry, label.alias("path"), "node", F.lit(0).alias("depth"), F.array(F.col("pos").cast("bigint")).alias("sort_key"),
+        F.array(step(label, F.col("node"))).alias("visited"), F.lit(False).alias("circular"), edge_id(roots), F.lit(max_depth is None or max_depth > 0).alias("open"))
+    walk = _walk_small if joins.is_small(links, most_edges) else _walk_large
+    return walk(rows, links, by, _below([*by, *carry], sep, max_depth), mode == "skip").drop("visited", "open")
+
+
+def _below(kept: Sequence[str], sep: str, max_depth: int | None) -> str:
+    """SQL of the row below a row along its edge ``c``."""
+    again, quoted = "array_contains(visited, c.step)", sep.replace("\\", "\\\\").replace("'", "\\'")
+    deeper = "" if max_depth is None else f" and depth + 1 < {int(max_depth)}"
+    return (f"struct({''.join(f'`{k}`, ' for k in kept)}concat(path, '{quoted}', c.label) as path, c.child as node, depth + 1 as depth, concat(sort_key, array(c.pos)) as sort_key, "
+            f"concat(visited, array(c.step)) as visited, {again} as circular, c.edge_id as edge_id, not {again}{deeper} as open)")
+
+
+def _walk_small(rows: DataFrame, links: DataFrame, by: Sequence[str], below: str, skip: bool) -> DataFrame:
+    graph = F.broadcast(checkpoint(links.groupBy(*by, F.col("node").alias("at")).agg(F.collect_list("c").alias("children"))))  # at most most_edges edges
+    self = f"struct({', '.join(f'`{n}`' for n in rows.columns[:-1])}, false as open)"
+    fresh = "filter(children, c -> not array_contains(visited, c.step))" if skip else "children"
+    step = f"inline(concat(array({self}), transform(coalesce({fresh}, array()), c -> {below})))"
+    level, out, levels = rows, None, LEVELS[0]
+    while True:
+        for _ in range(levels):
+            level = level.selectExpr("*", "if(open, node, null) as at").join(graph, [*by, "at"], "left").selectExpr(step)
+        level = checkpoint(level)
+        done = level.filter("not open")
+        out = done if out is None else out.unionByName(done)
+        level = level.filter("open")
+        if level.isEmpty():
+            return out
+        levels = LEVELS[1]
+
+
+def _walk_large(rows: DataFrame, links: DataFrame, by: Sequence[str], below: str, skip: bool) -> DataFrame:
+    on = [*by, "node"]
+    many = checkpoint(links.groupBy(*on).count().filter(F.col("count") > CHILDREN).withColumn("places", F.ceil(F.col("count") / CHILDREN).cast("int")).drop("count"))
+    hot = not many.isEmpty()
+    if hot:
+        place = F.coalesce(F.pmod(F.xxhash64("c.child", "c.label", "c.pos"), F.col("places")).cast("int"), F.lit(0))
+        links = checkpoint(joins.dim_join(links, many, on).withColumn("place", place).drop("places"))
+    out = level = rows
+    while True:
+        met = level.filter("open").drop("edge_id")
+        if hot:
+            met = joins.dim_join(met, many, on).withColumn("place", F.explode(F.sequence(F.lit(0), F.coalesce("places", F.lit(1)) - 1))).drop("places")
+        met = met.join(links, [*on, "place"] if hot else on)
+        met = met.filter("not array_contains(visited, c.step)") if skip else met
+        level = checkpoint(met.selectExpr(f"inline(array({below}))"))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
 
 
 # ---- JSON --------------------------------------------------------------------------

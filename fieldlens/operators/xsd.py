@@ -137,11 +137,11 @@ def elements(nodes: DataFrame, types: DataFrame) -> DataFrame:
         "min_occurs", "max_occurs", "dflt", "fixed", in_choice.alias("in_choice"), F.when(in_choice, F.col("choice_key")).alias("choice_key"), "target_id")
 
 
-def inheritance_chain(types: DataFrame, max_depth: int = 16) -> DataFrame:
+def inheritance_chain(types: DataFrame) -> DataFrame:
     """Each type with every type of its derivation chain: (schema_id, type_name, base, level, via)."""
     steps = types.filter(F.col("base") != "").select("schema_id", F.col("type_name").alias("parent"), F.col("base").alias("child"), F.lit(0).alias("pos"))
     starts = types.select("schema_id", F.col("type_name").alias("node"), F.lit(0).alias("pos"))
-    walked = expand_paths(steps, starts, max_depth, by=("schema_id",), sep=" → ")
+    walked = expand_paths(steps, starts, by=("schema_id",), sep=" → ")
     return walked.select("schema_id", F.split_part("path", F.lit(" → "), F.lit(1)).alias("type_name"), F.col("node").alias("base"), F.col("depth").alias("level"), F.col("path").alias("chain"))
 
 
@@ -177,14 +177,14 @@ def content_edges(elems: DataFrame, types: DataFrame, mode: str = "derived_only"
     return both.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn")
 
 
-def expand_catalog(nodes: DataFrame, mode: str = "derived_only", max_depth: int = 30, on_repeat: str = "skip") -> DataFrame:
+def expand_catalog(nodes: DataFrame, mode: str = "derived_only", max_depth: int | None = None, on_repeat: str = "skip") -> DataFrame:
     """Field catalog of schema documents: every element path from the global elements, with bounds and sequence."""
     # declarations are read by every level and again for the columns: stored once
     types = type_table(nodes)
     elems = checkpoint(elements(nodes, types))
     content = content_edges(elems, types, mode)
     # bases come before derived content: the higher the level, the earlier the slot
-    slot = (F.lit(100) - F.col("level")) * 10_000_000 + F.col("edge_id")
+    slot = F.lit(ATTRIBUTE_SLOT) + F.col("edge_id") - F.col("level") * 10_000_000
     edges = content.select("schema_id", F.col("parent_type").alias("parent"), F.col("type").alias("child"), F.col("tag").alias("label"), slot.alias("pos"), "edge_id")
     # a global element that others refer to is no document root
     referred = elems.filter(F.col("target_id").isNotNull()).select("schema_id", F.col("target_id").alias("edge_id"))
