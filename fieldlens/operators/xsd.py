@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import text as t
-from fieldlens.operators import joins
+from fieldlens.operators import joins, ordered
 from fieldlens.operators.flatten import flatten_xml
 from fieldlens.operators.trees import expand_paths
 from fieldlens.session import checkpoint
@@ -197,7 +197,7 @@ def expand_catalog(nodes: DataFrame, mode: str = "derived_only", max_depth: int
 
 def number(rows: DataFrame) -> DataFrame:
     """Document-order number from the array of positions along the path, per schema."""
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("schema_id").orderBy("sort_key", "path")))
+    return ordered.number_sorted(rows, ["schema_id"], ["sort_key", "path"], "seq").withColumn("seq", F.col("seq").cast("int"))
 
 
 def attribute_rows(catalog: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:

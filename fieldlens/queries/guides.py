@@ -190,7 +190,7 @@ def schema_status(spark, sf_dir):
 def _xref(spark, sf_dir):
     cat = catalog(spark, sf_dir, "cat_v2").withColumn("length_text", F.col("restrictions"))
     # chunks far smaller than the data, so that the carry between chunks is exercised
-    return gd.cross_reference(cat, _guide(spark, sf_dir, "guide_b"), width=500)
+    return gd.cross_reference(cat, _guide(spark, sf_dir, "guide_b"))
 
 
 _NR = "trim(regexp_replace(lower(%s), '\\s+', ' ', 'g'))"

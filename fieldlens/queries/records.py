@@ -11,7 +11,6 @@ from fieldlens.registry import Group
 
 GROUP = Group()
 # Chunks far smaller than production ones, so that carries between chunks take part in every check.
-SMALL = 500
 
 
 @GROUP.add("group_records", fx.oracle("conv_rows", """
@@ -19,7 +18,7 @@ select conv_id, rec, min(row_no) as first_row, count(*) as n_rows, md5(string_ag
 from (select *, sum(case when is_start then 1 else 0 end) over (partition by conv_id order by row_no) as rec from conv_rows) where rec > 0 group by 1, 2"""))
 def group_records(spark, sf_dir):
     rows = fx.frame(spark, sf_dir, "conv_rows")
-    return rc.group_records(rows, ["conv_id"], "row_no", F.col("is_start"), "text", width=3).withColumn("digest", F.md5("text")).drop("text")
+    return rc.group_records(rows, ["conv_id"], "row_no", F.col("is_start"), "text").withColumn("digest", F.md5("text")).drop("text")
 
 
 GUIDE = """r as (select doc_id, rec_key, bool_or(line = 7) as ch, max(line) as n,
@@ -35,7 +34,7 @@ g as (select doc_id, rec_key * 2 as k, idx, '0..1' as mult, case when n >= 6 the
 
 
 def _guide_records(spark, sf_dir):
-    return rc.guide_records(fx.frame(spark, sf_dir, "guide_cells"), width=SMALL)
+    return rc.guide_records(fx.frame(spark, sf_dir, "guide_cells"))
 
 
 def _g(body: str) -> str:
@@ -117,19 +116,19 @@ def _l(body: str) -> str:
 
 @GROUP.add("change_log", _l("select * exclude (l2) from e"))
 def change_log(spark, sf_dir):
-    return rc.change_log(_log(spark, sf_dir), width=SMALL).drop("business_note")
+    return rc.change_log(_log(spark, sf_dir)).drop("business_note")
 
 
 @GROUP.add("business_notes", _l("""
 select doc_id, number, concat(case change_type when 'CLAR' then 'Clarification only — no functional change expected; review for alignment.' else 'Content change — may require implementation update.' end,
   '  Length constraint changed — revalidate field values.', case when l2 then '  UETR handling changed — check end-to-end transaction ID logic.' else '' end) as business_note from e"""))
 def business_notes(spark, sf_dir):
-    return rc.change_log(_log(spark, sf_dir), width=SMALL).select("doc_id", "number", "business_note")
+    return rc.change_log(_log(spark, sf_dir)).select("doc_id", "number", "business_note")
 
 
 @GROUP.add("change_log_stats", _l("select doc_id, count(*) as total, count(*) filter (change_type = 'CHAN') as chan, count(*) filter (change_type = 'CLAR') as clar, count(*) filter (change_type = 'TYPO') as typo from e group by 1"))
 def change_log_stats(spark, sf_dir):
-    return rc.change_log_stats(rc.change_log(_log(spark, sf_dir), width=SMALL))
+    return rc.change_log_stats(rc.change_log(_log(spark, sf_dir)))
 
 
 @GROUP.add("stack_reports", _l("""
@@ -137,7 +136,7 @@ select 'even' as report, doc_id, number, dataset from e where doc_id % 200 = 0 u
 def stack_reports(spark, sf_dir):
     from fieldlens.plans.reports import stack_reports as stack
 
-    log = rc.change_log(_log(spark, sf_dir), width=SMALL).select("doc_id", "number", "dataset")
+    log = rc.change_log(_log(spark, sf_dir)).select("doc_id", "number", "dataset")
     return stack({"even": log.filter("doc_id % 200 = 0"), "odd": log.filter("doc_id % 200 <> 0")})
 
 
@@ -176,7 +175,7 @@ select s.doc_id, concat('2.1.', page_no) as section_number, 'the Transfer' as la
   concat(replace(message, '.', '_'), case when row_number() over (partition by s.doc_id, message order by page_no) > 1 then concat('_', row_number() over (partition by s.doc_id, message order by page_no)) else '' end) as sheet_name
 from s join n on s.doc_id = n.doc_id""")
 def sections(spark, sf_dir):
-    return rc.sections(_section_pages(spark, sf_dir), width=50_000)
+    return rc.sections(_section_pages(spark, sf_dir))
 
 
 @GROUP.add("section_headings", f"with {SECTIONS}\nselect doc_id, page_no as page_start, concat('2.1.', page_no) as section_number, message from s")
@@ -202,13 +201,13 @@ select event_id, coalesce(last_value(case when event_type = 'signup' then concat
 def carry_forward(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
     label = F.when(F.col("event_type") == "signup", F.concat(F.lit("user "), F.col("user_id").cast("string")))
-    return rc.carry_forward(events, [], ["event_id"], label, width=SMALL).select("event_id", "section")
+    return rc.carry_forward(events, [], ["event_id"], label).select("event_id", "section")
 
 
 @GROUP.add("section_breaks", "select event_id, event_type is distinct from lag(event_type) over (order by event_id) as is_break from events")
 def section_breaks(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "event_type")
-    return rc.section_breaks(events, [], ["event_id"], "event_type", width=SMALL).select("event_id", "is_break")
+    return rc.section_breaks(events, [], ["event_id"], "event_type").select("event_id", "is_break")
 
 
 @GROUP.add("contiguous_blocks", fx.oracle(("cat_v1", "cat_v2"), """
@@ -218,7 +217,7 @@ def contiguous_blocks(spark, sf_dir):
     from fieldlens.operators.schema_diff import side_by_side
 
     rows = side_by_side(catalog(spark, sf_dir, "cat_v1"), catalog(spark, sf_dir, "cat_v2")).filter("a_seq is not null")
-    return rc.contiguous_blocks(rows.withColumn("pos", F.col("a_seq")), [], "pos", F.col("status") == "SAME", width=SMALL)
+    return rc.contiguous_blocks(rows.withColumn("pos", F.col("a_seq")), [], "pos", F.col("status") == "SAME")
 
 
 @GROUP.add("instance_number", """
@@ -226,5 +225,5 @@ select event_id, event_type, row_number() over (partition by event_type order by
   concat(event_type, case when row_number() over (partition by event_type order by event_id) > 1 then concat('_', row_number() over (partition by event_type order by event_id)) else '' end) as name from events""")
 def instance_number(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events").select("event_id", "event_type")
-    n = ordered.row_number(events, ["event_type"], ["event_id"], "instance", width=SMALL)
+    n = ordered.row_number(events, ["event_type"], ["event_id"], "instance")
     return n.withColumn("name", F.when(F.col("instance") == 1, F.col("event_type")).otherwise(F.concat_ws("_", "event_type", F.col("instance").cast("string"))))

@@ -148,7 +148,7 @@ def page_plan(spark, sf_dir):
 
 @GROUP.add("concat_pages", _o("select doc_id, page_no, row_number() over (order by doc_id, page_no) as out_page from pg"))
 def concat_pages(spark, sf_dir):
-    return pg.concat_pages(_pages(spark, sf_dir), width=64)
+    return pg.concat_pages(_pages(spark, sf_dir))
 
 
 # ---- tables: each conversation is a document, its turns are rows of one table per page of four turns ----

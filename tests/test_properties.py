@@ -45,6 +45,34 @@ def test_ordered_scans_agree_with_plain_loops(events, width):
     assert rows(total.select("o", "s")) == sorted([(o, o + 1) for _, o, _ in data], key=str)
 
 
+@pytest.mark.parametrize("width", [5, 40, 1000])
+def test_ordered_scans_over_sparse_values(spark, width):
+    """Order values far apart: ranges hold equally many rows all the same."""
+    rng = random.Random(8)
+    data = [(rng.choice(["hot"] * 6 + ["a", "b"]), rng.randrange(-10 ** 15, 10 ** 15), rng.choice([None, i])) for i in range(700)]
+    df = spark.createDataFrame(data, "k string, o long, v int")
+    got = ordered.running(df, ["k"], ["o"], {"total": F.coalesce("v", F.lit(0))}, {"last": F.col("v")}, width)
+    got = ordered.row_number(ordered.number_sorted(got, ["k"], ["o", "v"], "m"), ["k"], ["o"], "n", width)
+    expect, total, last, count = [], {}, {}, {}
+    for k, o, v in sorted(data, key=lambda r: r[:2]):
+        total[k], last[k], count[k] = total.get(k, 0) + (v or 0), v if v is not None else last.get(k), count.get(k, 0) + 1
+        expect.append((k, o, total[k], last[k], count[k], count[k]))
+    assert rows(got.select("k", "o", "total", "last", "n", "m")) == sorted(expect, key=str)
+    cut, by = ordered._cut(df, ["k"], ["o"], width)
+    if width < 1000:
+        sizes = [r["count"] for r in cut.filter("k = 'hot'").groupBy(*by).count().collect()]
+        assert max(sizes) <= 2 * width
+    else:
+        assert by == ["k"]
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FAN", 3)
+    df = spark.range(500).select((F.col("id") * 7919).alias("o"))
+    got = ordered.running_sum(df, [], ["o"], F.lit(1), "s", 6)
+    assert rows(got) == sorted([(k * 7919, k + 1) for k in range(500)], key=str)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_dim_join_salted_equals_broadcast(spark, how):
     facts = spark.range(200).select((F.col("id") % 7).alias("k"), F.col("id"))
