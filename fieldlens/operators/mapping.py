@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -23,40 +21,30 @@ def exact_path_map(src: DataFrame, dst: DataFrame) -> DataFrame:
     return both.select(F.col("path").alias("source_path"), F.col("path").alias("target_path"), F.lit("exact").alias("how"))
 
 
-def _masks(spark, depths: Sequence[int], threshold: float) -> DataFrame:
-    """For every depth, the sets of positions (never the last) that may differ."""
-    rows = []
-    for d in depths:
-        allowed = min(int(d * (1 - threshold) + 1e-9), d - 1)
-        rows += [(d, n, list(c)) for n in range(1, allowed + 1) for c in combinations(range(d - 1), n)]
-    return spark.createDataFrame(rows, "n_parts int, differing int, mask array<int>")
-
-
 def similar_path_map(src: DataFrame, dst: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Nearest target of the same tag and depth for sources without an exact match.
 
-    Comparing every source with every target of its tag would square hot tags. Instead each
-    path is rewritten once per allowed set of differing positions; equal rewritings mean a
-    pair within the threshold. Targets are reduced to one row per rewriting before the join.
-    The best target has the fewest differing parts, then the smallest path.
+    A path of n parts may differ from its target in k = n - ceil(threshold * n) of them, never in the last. Its other parts are dealt into k + 1
+    blocks, so two paths within the threshold share a whole block: they meet by (depth, tag, number of the block, block) and the
+    differing parts are counted there. Blocks take every (k + 1)-th part, since the first parts are the same in most paths of a schema. The best
+    target has the fewest differing parts, then the smallest path.
     """
-    spark = src.sparkSession
     alone = src.select("path").distinct().join(dst.select("path"), "path", "left_anti")
-    parts = lambda df: df.withColumn("parts", F.split("path", "/")).withColumn("n_parts", F.size("parts"))
-    left, right = parts(alone), parts(dst.select("path").distinct())
-    # one row per depth of the schema's paths
-    depths = sorted(r[0] for r in left.select("n_parts").distinct().collect())
-    masks = _masks(spark, depths, threshold)
-
-    def rewritten(df):
-        masked = F.transform("parts", lambda p, i: F.when(F.array_contains("mask", i), F.lit("*")).otherwise(p))
-        return joins.dim_join(df, masks, ["n_parts"], "inner").select(
-            "path", "differing", F.concat(F.array_join("mask", ","), F.lit("|"), F.array_join(masked, "/")).alias("shape"))
-
-    targets = rewritten(right).groupBy("shape").agg(F.min("path").alias("target_path"))
-    pairs = rewritten(left).join(targets, "shape")
-    best = pairs.groupBy("path").agg(F.min_by("target_path", F.struct("differing", "target_path")).alias("target_path"))
-    return best.select(F.col("path").alias("source_path"), "target_path", F.lit("similar").alias("how"))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        parts = df.select(F.col("path").alias(name), F.split("path", "/").alias(f"{name}_parts")).withColumn("n", F.size(f"{name}_parts"))
+        k = F.least(F.floor(F.col("n") * (1 - threshold) + 1e-9).cast("int"), F.col("n") - 1)
+        inner = F.slice(f"{name}_parts", 1, F.col("n") - 1)
+        # k + 1 blocks; a target is listed under the same ones
+        block = F.transform(F.sequence(F.lit(0), F.col("k")), lambda j: F.struct(
+            j.alias("j"), F.array_join(F.filter(inner, lambda _, i: F.pmod(i, F.col("k") + 1) == j), "/").alias("block")))
+        return parts.withColumn("k", k).filter("k > 0").select(name, f"{name}_parts", "n", "k", F.element_at(f"{name}_parts", -1).alias("tag"), F.inline(block))
+
+    left, right = blocks(alone, "source_path"), blocks(dst.select("path").distinct(), "target_path").drop("k")
+    differing = F.size(F.filter(F.zip_with("source_path_parts", "target_path_parts", lambda a, b: a != b), lambda d: d))
+    pairs = left.join(right, ["n", "tag", "j", "block"]).select("source_path", "target_path", "k", differing.alias("differing")).filter("differing <= k")
+    best = pairs.groupBy("source_path").agg(F.min_by("target_path", F.struct("differing", "target_path")).alias("target_path"))
+    return best.select("source_path", "target_path", F.lit("similar").alias("how"))
 
 
 def build_mapping(src: DataFrame, dst: DataFrame, custom: DataFrame | None = None, threshold: float = 0.7) -> DataFrame:

@@ -81,6 +81,50 @@ def test_dim_join_salted_equals_broadcast(spark, how):
     assert rows(small.select(sorted(small.columns))) == rows(large.select(sorted(large.columns)))
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_dim_join_spreads_only_hot_keys(spark, how):
+    facts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 700).alias("k"), F.col("id"))
+    dim = spark.createDataFrame([(i, f"d{i}") for i in range(0, 600, 2)] + [(1, "one"), (1, "again")], "k bigint, d string")
+    plain = facts.join(dim, ["k"], how)
+    assert joins.hot_keys(facts, ["k"], 500) == [facts.filter("k = 1").select(F.xxhash64("k")).first()[0]]
+    spread = joins.dim_join(facts, dim, ["k"], how, max_rows=2, salts=4, hot_rows=500)
+    assert rows(spread.select(sorted(spread.columns))) == rows(plain.select(sorted(plain.columns)))
+    assert "sequence" in spread._jdf.queryExecution().analyzed().toString()
+    cold = joins.dim_join(facts, dim, ["k"], how, max_rows=2, salts=4)
+    assert rows(cold) == rows(plain) and "explode" not in cold._jdf.queryExecution().analyzed().toString()
+
+
+def test_broadcast_is_judged_in_bytes(spark):
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert joins.fits_broadcast(wide) and not joins.fits_broadcast(wide, max_bytes=5000) and not joins.fits_broadcast(wide, max_rows=9)
+
+
+@pytest.mark.parametrize("depth,threshold", [(20, 0.7), (30, 0.7), (6, 0.5), (9, 0.0), (3, 0.99)])
+def test_similar_paths_of_any_depth(spark, depth, threshold):
+    rng = random.Random(depth)
+    stem = [f"p{k}" for k in range(depth - 1)]
+
+    def path():
+        parts = list(stem)
+        for k in rng.sample(range(depth - 1), rng.randrange(min(depth - 1, depth // 2) + 1)):
+            parts[k] = rng.choice("xyz")
+        return "/".join([*parts, rng.choice("AB")])
+
+    src, dst = sorted({path() for _ in range(60)}), sorted({path() for _ in range(60)})
+    frame = lambda paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    expect = []
+    for s in set(src) - set(dst):
+        near = []
+        for d in dst:
+            if s.split("/")[-1] == d.split("/")[-1]:
+                differ = sum(a != b for a, b in zip(s.split("/"), d.split("/")))
+                if differ <= min(int(depth * (1 - threshold) + 1e-9), depth - 1):
+                    near.append((differ, d))
+        if near:
+            expect.append((s, min(near)[1]))
+    assert rows(mp.similar_path_map(frame(src), frame(dst), threshold).select("source_path", "target_path")) == sorted(expect, key=str)
+
+
 def test_diff_properties(spark, sf_dir):
     a, b = catalog(spark, sf_dir, "cat_v1"), catalog(spark, sf_dir, "cat_v2")
     assert sd.schema_diff(a, a).count() == 0
