@@ -200,7 +200,9 @@ def largest_arrays(nodes: DataFrame, doc_id: str, k: int = 20) -> DataFrame:
 
 def top_keys(nodes: DataFrame, k: int = 20) -> DataFrame:
     """Most frequent keys, index keys left out; ties by name."""
-    return (nodes.filter(~F.col("key").startswith("[")).groupBy("key").agg(F.count("*").alias("n"))
+    # the step of an array item is written as an index in its path, that of a key never follows its parent without a dot
+    index = F.col("key").rlike(r"^\[\d+\]$") & ~F.col("pointer").endswith(F.concat(F.lit("/"), "key"))
+    return (nodes.filter(~index).groupBy("key").agg(F.count("*").alias("n"))
             .orderBy(F.desc("n"), "key").limit(k))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import text as t
@@ -50,17 +51,19 @@ def format_issues(tag_formats: dict[str, str] | None = None, formats: dict[str,
     return out
 
 
-def amount_issues(tags: Sequence[str] = fixed.AMOUNT_TAGS) -> list[Column]:
-    """Empty, not a number, negative, more than two decimals, missing or bad currency."""
-    amount, value, ccy = F.col("tag").isin(*tags), F.col("value"), F.try_element_at("attrs", F.lit("Ccy"))
+def amount_issues(tags: Sequence[str] = fixed.AMOUNT_TAGS, amount: Column | None = None, most: Column | None = None) -> list[Column]:
+    """Empty, not a number, negative, more than two (``most``) decimals, missing or bad currency."""
+    amount = F.col("tag").isin(*tags) if amount is None else amount
+    most = F.lit(2) if most is None else most
+    value, ccy = F.col("value"), F.try_element_at("attrs", F.lit("Ccy"))
     filled, number, places = amount & value.isNotNull(), t.to_number("value"), t.decimals("value")
     cat = "Amount Validation"
     return [
         _issue(amount & value.isNull(), "ERROR", cat, "Amount element is empty", suggestion="Provide a numeric value (e.g., 1234.56)"),
         _issue(filled & (number < 0), "ERROR", cat, "Amount cannot be negative", value, suggestion="Use a positive amount value"),
-        _issue(filled & number.isNotNull() & (places > 2), "WARNING", cat,
-               F.concat(F.lit("Amount has "), places.cast("string"), F.lit(" decimal places (max 2 recommended)")), value,
-               suggestion="Round to 2 decimal places"),
+        _issue(filled & number.isNotNull() & (places > most), "WARNING", cat,
+               F.concat(F.lit("Amount has "), places.cast("string"), F.lit(" decimal places (max "), most.cast("string"), F.lit(" recommended)")), value,
+               suggestion=F.concat(F.lit("Round to "), most.cast("string"), F.lit(" decimal places"))),
         _issue(filled & number.isNull(), "ERROR", cat, "Amount is not a valid number", value, suggestion="Provide a valid numeric value"),
         _issue(filled & (t.blank(ccy) == ""), "ERROR", cat, "Missing 'Ccy' (currency) attribute", suggestion='Add Ccy attribute (e.g., Ccy="EUR")'),
         _issue(filled & (t.blank(ccy) != "") & ~t.blank(ccy).rlike("^[A-Z]{3}$"), "ERROR", cat,
@@ -69,10 +72,10 @@ def amount_issues(tags: Sequence[str] = fixed.AMOUNT_TAGS) -> list[Column]:
     ]
 
 
-def single_issues(tags: Sequence[str] = fixed.SINGLE_TAGS) -> list[Column]:
+def single_issues(tags: Sequence[str] = fixed.SINGLE_TAGS, wanted: Column | None = None) -> list[Column]:
     """Tags expected once but repeated; reported at the first occurrence."""
     tag = F.col("tag")
-    return [_issue(tag.isin(*tags) & (F.col("tag_occ") == 1) & (F.col("tag_total") > 1), "WARNING", "Cardinality",
+    return [_issue((tag.isin(*tags) if wanted is None else wanted) & (F.col("tag_occ") == 1) & (F.col("tag_total") > 1), "WARNING", "Cardinality",
                    F.concat(F.lit("Element '"), tag, F.lit("' appears "), F.col("tag_total").cast("string"), F.lit(" times (expected 1)")),
                    suggestion=F.concat(F.lit("Remove duplicate '"), tag, F.lit("' elements")), path=F.lit(""))]
 
@@ -92,6 +95,75 @@ def validate_nodes(nodes: DataFrame, doc_id: str = "msg_id") -> DataFrame:
             .select(doc_id, F.inline(F.array_compact(F.array(*rules)))))
 
 
+# ---- rules as tables -----------------------------------------------------------------
+
+MOST_RULES = 20_000
+RULE_TABLES = {
+    "either_or": "tag string, children array<string>, at_most int, rule string",
+    "formats": "tag string, format string, pattern string, hint string",
+    "amounts": "tag string, decimals int",
+    "single": "tag string",
+}
+
+
+def default_rules(spark: SparkSession) -> dict[str, DataFrame]:
+    """The built-in rules as tables; users add their own rows or replace a table."""
+    rows = {
+        "either_or": [(parent, list(children), most, rule) for parent, children, rule, most, _ in fixed.EITHER_OR],
+        "formats": [(tag, name, fixed.FORMATS[name], fixed.FORMAT_HINTS.get(name)) for tag, name in fixed.TAG_FORMATS.items()],
+        "amounts": [(tag, 2) for tag in fixed.AMOUNT_TAGS],
+        "single": [(tag,) for tag in fixed.SINGLE_TAGS],
+    }
+    return {name: spark.createDataFrame(rows[name], schema) for name, schema in RULE_TABLES.items()}
+
+
+def rules_by_tag(rules: dict[str, DataFrame]) -> DataFrame:
+    """One row a tag: its exclusive children, formats, decimals of an amount, whether it stands once. Absent tables give no rules."""
+    parts = None
+    for name, schema in RULE_TABLES.items():
+        if name not in rules:
+            continue
+        columns = [c.split()[0] for c in schema.split(", ")]
+        one = rules[name].filter("tag is not null").select("tag", F.lit(name).alias("kind"), F.to_json(F.struct(*columns)).alias("rule"))
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        raise ValueError("no rule table given")
+    read = lambda kind, schema: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.from_json("rule", schema)))).alias(kind)
+    return parts.groupBy("tag").agg(
+        read("either_or", RULE_TABLES["either_or"]), read("formats", RULE_TABLES["formats"]),
+        F.min(F.when(F.col("kind") == "amounts", F.from_json("rule", RULE_TABLES["amounts"])["decimals"])).alias("decimals"),
+        F.bool_or(F.col("kind") == "amounts").alias("amount"), F.bool_or(F.col("kind") == "single").alias("single"))
+
+
+def validate_by_tables(messages: DataFrame, rules: dict[str, DataFrame], doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
+    """``validate`` with rules that are data: a table a kind (``RULE_TABLES``). A node meets the rules of its tag in one lookup, without a shuffle."""
+    by_tag = rules_by_tag(rules)
+    if not joins.fits_broadcast(by_tag, MOST_RULES):
+        raise ValueError(f"rules for more than {MOST_RULES} tags, or larger than a broadcast may be")
+    nodes = flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS).filter(F.col("kind").isin("element", "parse_error"))
+    met = nodes.join(F.broadcast(by_tag.withColumnRenamed("kind", "rule_kind") if "kind" in by_tag.columns else by_tag), "tag", "left")  # checked above
+    found = lambda r: F.filter(r["children"], lambda c: F.array_contains("child_tags", c))
+    names = lambda r: F.array_join(found(r), ", ")
+
+    def issue(category, message, value, expected, suggestion):
+        return F.struct(F.lit("ERROR").alias("severity"), F.lit(category).alias("category"), F.col("path").alias("path"), F.col("tag").alias("element"),
+                        message.alias("message"), value.alias("value"), expected.alias("expected"), suggestion.alias("suggestion"))
+
+    either = F.transform(F.filter("either_or", lambda r: F.size(found(r)) > r["at_most"]), lambda r: issue(
+        "Business Rule", F.concat(F.lit("Multiple mutually exclusive elements found: "), names(r)), F.lit(None).cast("string"),
+        F.concat(F.lit("Only one of: "), F.array_join(r["children"], ", ")),
+        F.concat(F.lit("Remove one of: "), names(r), F.lit(". "), F.coalesce(r["rule"], F.lit("")))))
+    formats = F.transform(F.filter("formats", lambda r: F.col("value").isNotNull() & ~F.rlike("value", r["pattern"])), lambda r: issue(
+        "Format Validation", F.concat(F.lit("Invalid "), r["format"], F.lit(" format")), F.col("value"), F.concat(F.lit("Pattern: "), r["pattern"]),
+        F.coalesce(r["hint"], F.lit("Check the format requirements"))))
+    bad = F.col("kind") == "parse_error"
+    parse = _issue(bad, "ERROR", "XML Parsing", F.col("value"), path=F.lit(""))
+    plain = amount_issues(amount=F.col("amount"), most=F.col("decimals")) + single_issues(wanted=F.col("single"))
+    local = F.array_compact(F.array(parse, *[F.when(~bad, r) for r in plain]))
+    none = F.filter(local, lambda _: F.lit(False))
+    return met.select(doc_id, F.inline(F.concat(local, F.coalesce(F.when(~bad, either), none), F.coalesce(F.when(~bad, formats), none))))
+
+
 def validate(messages: DataFrame, doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
     """Issues of raw messages: parse once, then every node-local rule in the same stage."""
     return validate_nodes(flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS), doc_id)
@@ -109,30 +181,132 @@ def validate_schema(messages: DataFrame, xsd_path: str, doc_id: str = "msg_id",
 
 # ---- against a field catalog -------------------------------------------------------
 
-_ITEM = r"(?:[^\[\]\\]|\\[^\n])"
-#: what the engine surely reads: classes up to one level deep, groups that open no ``(?``, known escapes, and no quantifier without an operand
-_ESCAPE = r"\\(?:[dDwWsSnrt\\|.?*+(){}\[\]^$\-/]|[pP]\{[A-Za-z]+\})"
-_CLASS = rf"\[\^?(?:[^\[\]\\]|{_ESCAPE}|\[(?:[^\[\]\\]|{_ESCAPE})+\])+\]"
-_QUANTIFIER = r"(?:[*+?]|\{[0-9]{1,6}(?:,[0-9]{0,6})?\})?"
-_ATOM = rf"(?:[^\[\]\\(){{}}|*+?]|{_ESCAPE}|{_CLASS})"
+NAME_ESCAPES = {"i": r"[\p{L}_:]", "c": r"[\p{L}\p{N}_:.\-]", "I": r"[^\p{L}_:]", "C": r"[^\p{L}\p{N}_:.\-]"}
+PLAIN_ESCAPES = set("dDwWsSnrt\\|.?*+(){}[]^$-/")
+
+
+def translate_pattern(pattern: str | None) -> str | None:
+    """An XSD pattern as a regular expression of the engine, or None where it is blank or cannot be read.
+
+    One pass over the tokens; open groups and classes lie on stacks, so they may be nested to any depth.
+    """
+    text = (pattern or "").strip()
+    out: list[str] = []
+    groups, at, operand = 0, 0, False  # operand: a quantifier may follow
+
+    def escape(k: int) -> tuple[str, int] | None:
+        """The escape at ``k`` and the place after it."""
+        nxt = text[k + 1:k + 2]
+        if nxt in NAME_ESCAPES and nxt:
+            return NAME_ESCAPES[nxt], k + 2
+        if nxt in ("p", "P"):
+            end = text.find("}", k)
+            name = text[k + 3:end]
+            if text[k + 2:k + 3] != "{" or end < 0 or not name or not all(c.isascii() and (c.isalnum() or c in "-_") for c in name):
+                return None
+            return (rf"\{nxt}{{In{name[2:].replace('-', '')}}}" if name.startswith("Is") else rf"\{nxt}{{{name}}}"), end + 1
+        return (text[k:k + 2], k + 2) if nxt in PLAIN_ESCAPES and nxt else None
+
+    def bracket(k: int) -> tuple[str, int] | None:
+        """The class at ``k`` with its subtractions, and the place after it."""
+        made, open_, first = [], [], True  # open_: whether each open class is subtracted from the one around it
+        while k < len(text):
+            c = text[k]
+            if c == "[":
+                inner = bool(open_)
+                minus = inner and not first and made[-1] == "-"
+                if minus:
+                    made[-1] = "&&"
+                elif inner:
+                    return None
+                open_.append(minus)
+                negated = text[k + 1:k + 2] == "^"
+                # what is subtracted is what the class must not be
+                made.append("[" if negated == minus else "[^")
+                k, first = k + 1 + negated, True
+                continue
+            if c == "]":
+                if first:
+                    return None
+                made.append("]")
+                k += 1
+                open_.pop()
+                if not open_:
+                    return "".join(made), k
+                if text[k:k + 1] != "]":
+                    return None
+                continue
+            if c == "\\":
+                found = escape(k)
+                if found is None:
+                    return None
+                made.append(found[0])
+                k = found[1]
+            else:
+                made.append("\\&" if c == "&" else c)
+                k += 1
+            first = False
+        return None
+
+    while at < len(text):
+        c = text[at]
+        if c == "[":
+            found = bracket(at)
+        elif c == "\\":
+            found = escape(at)
+        elif c in "*+?":
+            if not operand:
+                return None
+            out.append(c)
+            at, operand = at + 1, False
+            continue
+        elif c == "{":
+            end = text.find("}", at)
+            least, comma, most = text[at + 1:end].partition(",")
+            if not operand or end < 0 or not least.isdecimal() or not least.isascii() or len(least) > 6 or (most and not (most.isdecimal() and most.isascii() and len(most) <= 6)):
+                return None
+            if comma and most and int(most) < int(least):
+                return None
+            out.append(text[at:end + 1])
+            at, operand = end + 1, False
+            continue
+        elif c == "(":
+            if text[at + 1:at + 2] == "?":
+                return None
+            groups += 1
+            out.append("(?:")
+            at, operand = at + 1, False
+            continue
+        elif c == ")":
+            groups -= 1
+            if groups < 0:
+                return None
+            found = (")", at + 1)
+        elif c in "]}":
+            return None
+        else:
+            out.append(c)
+            at, operand = at + 1, c not in "|^$"
+            continue
+        if found is None:
+            return None
+        out.append(found[0])
+        at, operand = found[1], True
+    return "".join(out) if text and not groups else None
 
 
 def xsd_regex(pattern: str) -> Column:
     """An XSD pattern as a regular expression of the engine, anchored; null where it is blank or cannot be read.
 
     Name characters (``\\i``, ``\\c`` and their complements), class subtraction and block names are translated; ``^`` and
-    ``$`` stay anchors, as catalogs write them. Groups may be nested three deep.
+    ``$`` stay anchors, as catalogs write them. For the rows of a catalog, not of messages.
     """
-    p = t.blank(pattern)
-    p = F.regexp_replace(p, rf"-\[({_ITEM}*)\]\]", r"&&[^$1]]")
-    for escape, made in (("i", r"[\\p{L}_:]"), ("c", r"[\\p{L}\\p{N}_:.\\-]"), ("I", r"[^\\p{L}_:]"), ("C", r"[^\\p{L}\\p{N}_:.\\-]")):
-        p = F.regexp_replace(p, rf"(?<!\\)\\{escape}", made)
-    p = F.regexp_replace(p, r"(?<!\\)\\(p|P)\{Is", r"\\$1{In")
-    known = _ATOM
-    for _ in range(3):
-        known = rf"(?:{_ATOM}|\((?!\?)(?:{known}{_QUANTIFIER}|\|)*\))"
-    readable = p.rlike(rf"^(?:{known}{_QUANTIFIER}|\|)+$")
-    return F.when((p != "") & readable, F.concat(F.lit("^(?:"), p, F.lit(")$")))
+
+    @F.pandas_udf("string")
+    def translated(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: f"^(?:{made})$" if (made := translate_pattern(p)) is not None else None)
+
+    return translated(F.col(pattern))
 
 
 def validate_catalog(nodes: DataFrame, catalog: DataFrame, doc_id: str = "msg_id") -> DataFrame:
@@ -165,7 +339,7 @@ def validate_catalog(nodes: DataFrame, catalog: DataFrame, doc_id: str = "msg_id
                F.concat(F.lit("Missing required: "), F.array_join(missing, ", ")), expected=F.array_join("required", ", ")),
         check((F.size("c_enums") > 0) & ~F.array_contains("c_enums", value), "Invalid Value", "Value is not in the enumeration", F.array_join("c_enums", ", ")),
         check(F.col("c_regex").isNotNull() & ~F.rlike(value, "c_regex"), "Pattern Mismatch", "Value does not match the pattern", F.col("c_pattern")),
-        check((t.blank("c_pattern") != "") & F.col("c_regex").isNull(), "Pattern Mismatch", "Pattern cannot be checked", F.col("c_pattern")),
+        _issue(known & value.isNotNull() & (t.blank("c_pattern") != "") & F.col("c_regex").isNull(), "WARNING", "Pattern Not Checked", "Pattern cannot be read", value, F.col("c_pattern")),
         check((size < F.col("c_min_length")) | (size > F.col("c_max_length")), "Length Constraint", "Length is out of range",
               F.concat_ws("..", F.col("c_min_length").cast("string"), F.col("c_max_length").cast("string"))),
         check((number < F.col("c_min_value")) | (number > F.col("c_max_value")), "XSD Validation", "Value is out of bounds",

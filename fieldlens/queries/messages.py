@@ -161,6 +161,23 @@ def validate_messages(spark, sf_dir):
     return _issues(spark, sf_dir).select("msg_id", "severity", "category", "path", "element", "value")
 
 
+@GROUP.add("validate_by_tables", _o("""
+select msg_id, 'Business Rule' as category, 'GrpHdr' as element, cast(null as varchar) as value, 'Multiple mutually exclusive elements found: MsgId, NbOfTxs' as message from ok where ord = 4
+union all select msg_id, 'Format Validation', 'Ustrd', value, 'Invalid Priority format' from ok where ord = 11 and not regexp_matches(value, '^[12]-')
+union all select msg_id, 'Amount Validation', 'NbOfTxs', null, 'Missing ''Ccy'' (currency) attribute' from ok where ord = 4
+union all select msg_id, 'XML Parsing', 'Document', null, 'XML parsing error' from (select distinct msg_id from msg_leaf where msg_id % 97 = 0)
+union all select msg_id, category, element, value, message from i where category <> 'XML Parsing'""", ISSUES))
+def validate_by_tables(spark, sf_dir):
+    """The built-in rules as tables, and rows of a user's own."""
+    rules = vd.default_rules(spark)
+    own = {"either_or": [("GrpHdr", ["MsgId", "NbOfTxs"], 1, "own rule")], "formats": [("Ustrd", "Priority", "^[12]-", None)], "amounts": [("NbOfTxs", 2)]}
+    for name, more in own.items():
+        rules[name] = rules[name].unionByName(spark.createDataFrame(more, vd.RULE_TABLES[name]))
+    found = vd.validate_by_tables(messages(spark, sf_dir), rules)
+    parse = F.col("category") == "XML Parsing"
+    return found.select("msg_id", "category", "element", F.when(~parse, F.col("value")).alias("value"), F.when(parse, "XML parsing error").otherwise(F.col("message")).alias("message"))
+
+
 @GROUP.add("summarise_issues", _i("""
 select msg_id, sum(e) = 0 as valid, cast(sum(n) as bigint) as total_issues, cast(sum(e) as bigint) as errors, cast(sum(w) as bigint) as warnings, string_agg(concat(category, '=', n), ', ' order by category) as by_category
 from (select msg_id, category, count(*) as n, count(*) filter (severity = 'ERROR') as e, count(*) filter (severity = 'WARNING') as w from i group by 1, 2) group by msg_id"""))

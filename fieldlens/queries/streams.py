@@ -57,6 +57,31 @@ def stream_dedupe(spark, sf_dir):
     return _finish(spark, stream, "dedupe")
 
 
+KEPT = """with recursive e as (select user_id, event_type, epoch_us(ts) as us, min(event_id) as event_id from events group by all),
+k as (select user_id, event_type, min(us) as us from e group by all
+  union all select k.user_id, k.event_type, (select min(e.us) from e where e.user_id = k.user_id and e.event_type = k.event_type and e.us >= k.us + 259200000000) as us from k
+  where us is not null)
+select e.event_id, e.user_id, e.event_type from k join e using (user_id, event_type, us)"""
+THREE_DAYS = 3 * 86400
+
+
+@GROUP.add("keep_first", KEPT)
+def keep_first(spark, sf_dir):
+    """The first event of a user and type, then none for three days, then the next."""
+    return sm.keep_first(fx.table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", THREE_DAYS).select("event_id", "user_id", "event_type")
+
+
+@GROUP.add("stream_keep_first", KEPT)
+def stream_keep_first(spark, sf_dir):
+    """The same from a stream that gets the events in four parts."""
+    events, out = fx.table(spark, sf_dir, "events"), scratch_folder(spark, "keep-first")
+    for part in range(4):
+        events.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == part).write.mode("append").parquet(f"{out}/landed")
+        stream = sm.keep_first(spark.readStream.schema(events.schema).parquet(f"{out}/landed"), ["user_id", "event_type"], "ts", THREE_DAYS)
+        sm.run_available(stream, f"{out}/rows", f"{out}/state")
+    return spark.read.schema(events.schema).parquet(f"{out}/rows").select("event_id", "user_id", "event_type")
+
+
 @GROUP.add("stream_validate", fx.oracle("msg_leaf", f"with {OK}{ISSUES}\nselect msg_id, severity, category, element from i"))
 def stream_validate(spark, sf_dir):
     landed = scratch_folder(spark, "landed")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldlens.operators import validate as vd
+from fieldlens.session import checkpoint
 
 
 def message_stream(spark: SparkSession, path: str, glob: str = "*.xml", max_files: int = 10_000) -> DataFrame:
@@ -31,13 +36,74 @@ def pass_rate_windows(results: DataFrame, ts: str, valid: Column, length: str =
 
 
 def dedupe_stream(rows: DataFrame, keys: list[str], ts: str, ttl: str = "24 hours") -> DataFrame:
-    """Rows whose key was not seen within the retention period; state is bounded by the watermark."""
+    """Rows whose key was not seen within the retention period; state is bounded by the watermark.
+
+    A stream forgets a key some time after its period, when the watermark of a micro-batch has passed it; ``keep_first`` is exact.
+    """
     timed = rows.withColumn("__ts", F.col(ts).cast("timestamp"))
     if not rows.isStreaming:
-        return timed.dropDuplicates(keys).drop("__ts")
+        return keep_first(rows, keys, ts, rows.sparkSession.range(1).select(F.expr(f"cast(extract(epoch from timestamp '1970-01-01 00:00:00' + interval '{ttl}') as bigint)")).first()[0])
     return timed.withWatermark("__ts", ttl).dropDuplicatesWithinWatermark(keys).drop("__ts")
 
 
+# ---- keep, skip for a while, keep again ----------------------------------------------
+
+
+def keep_first(rows: DataFrame, keys: list[str], ts: str, seconds: int, late: str = "1 hour") -> DataFrame:
+    """The first row of a key, then none for ``seconds``, then the next one again: the same rows of a table and of a stream in order of time.
+
+    Of rows with the same key and time the smallest one counts; rows without a time are left out. A stream keeps one number a key until the
+    watermark has passed its retention; a row that comes after rows of a later time counts as seen.
+    """
+    timed = rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).filter("__us is not null")
+    return (_keep_streamed if rows.isStreaming else _keep_stored)(timed, rows.columns, keys, seconds * 1_000_000, late)
+
+
+def _keep_stored(timed: DataFrame, columns: list[str], keys: list[str], span: int, late: str) -> DataFrame:
+    """Next-kept pointers, doubled: after n rounds the first 2^n kept rows of every key are known."""
+    one = checkpoint(timed.groupBy(F.struct(*keys).alias("k"), "__us").agg(F.min(F.struct(*columns)).alias("r")))
+    after = W.partitionBy("k").orderBy("__us").rangeBetween(span, W.unboundedFollowing)
+    jump = checkpoint(one.select("k", "__us", F.min("__us").over(after).alias("next")).filter("next is not null"))
+    kept = new = checkpoint(one.groupBy("k").agg(F.min("__us").alias("__us")))
+    while True:
+        # jump leads 2^n kept rows on, so what it finds from the known ones is new
+        new = checkpoint(kept.join(jump, ["k", "__us"]).select("k", F.col("next").alias("__us")))
+        if new.isEmpty():
+            break
+        kept = checkpoint(kept.unionByName(new))
+        further = jump.select("k", F.col("__us").alias("next"), F.col("next").alias("then"))
+        jump = checkpoint(jump.join(further, ["k", "next"]).select("k", "__us", F.col("then").alias("next")))
+    return one.join(kept, ["k", "__us"], "left_semi").select("r.*")
+
+
+def _keep_streamed(timed: DataFrame, columns: list[str], keys: list[str], span: int, late: str) -> DataFrame:
+    """One number a key: the time of the row kept last."""
+    marked = timed.withColumn("__ts", F.timestamp_micros("__us")).withWatermark("__ts", late)
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        group = pd.concat(list(parts), ignore_index=True)
+        group = group.sort_values(["__us", *[c for c in columns if c not in keys]], kind="stable", na_position="first")
+        last = state.get[0] if state.exists else None
+        keep = []
+        for place, at in zip(group.index, group["__us"].tolist()):
+            if last is None or at >= last + span:
+                keep.append(place)
+                last = at
+        over = (last + span) // 1000 + 1
+        if over > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(over)
+        elif state.exists:
+            state.remove()
+        yield group.loc[keep, columns]
+
+    schema = marked.select(*columns).schema
+    return marked.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Process what is there, write it as Parquet and stop."""
     query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out)
