@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldlens import fixed
 from fieldlens.functions import text as t
 from fieldlens.operators import joins
+from fieldlens.operators.patterns import draw, pattern_tokens
+from fieldlens.operators.validate import xsd_regex
 from fieldlens.session import checkpoint
 
 REPEAT_SHARE = 0.3
@@ -22,8 +24,6 @@ _BICS = ("DEUTDEFF", "BNPAFRPP", "BARCGB22", "CRESCHZZ")
 _IBANS = ("DE89370400440532013000", "FR7630006000011234567890189")
 _NAMES = ("John Smith", "Jane Doe", "Global Corp Ltd")
 _COUNTRIES = ("DE", "FR", "GB", "NL", "ES", "IT")
-_PATTERN_COUNTRIES = ("DE", "FR", "GB", "NL", "ES", "IT", "BE", "AT")
-_CURRENCIES = ("EUR", "USD", "GBP", "CHF", "SEK", "NOK", "DKK")
 _UPPER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -73,7 +73,8 @@ def plan_paths(catalog: DataFrame, rules: Sequence = fixed.EITHER_OR) -> DataFra
              .groupBy("schema_id", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "step"))), lambda x: x["step"]).alias("steps")))
     parents = rows.filter(~F.col("tag").startswith("@")).select("schema_id", F.col("parent").alias("path")).distinct().withColumn("has_children", F.lit(True))
     return (rows.drop("rule", "rule_prefer").join(chain, ["schema_id", "path"]).join(parents, ["schema_id", "path"], "left")
-            .withColumn("has_children", F.coalesce("has_children", F.lit(False))).withColumn("kind", value_kind()))
+            .withColumn("has_children", F.coalesce("has_children", F.lit(False))).withColumn("kind", value_kind())
+            .withColumn("tokens", pattern_tokens("pattern")).withColumn("regex", xsd_regex("pattern")))
 
 
 def _uniform(*parts: Column) -> Column:
@@ -108,7 +109,7 @@ def synthesize(messages: DataFrame, catalog: DataFrame, profiles: DataFrame, mod
 
 
 def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
-    """(kind, condition on the schema's columns, value): fixed, code, pattern family, amount, integer, or text by name and context."""
+    """(kind, condition on the schema's columns, value): fixed, code, pattern, amount, integer, or text by name and context."""
     lit = F.lit
     tag, low, path = F.regexp_replace("tag", "^@", ""), F.lower(F.regexp_replace("tag", "^@", "")), F.lower("path")
     h = F.xxhash64("seed", "msg_id", "occ")
@@ -165,19 +166,11 @@ def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
     ]
 
     pattern = t.blank("pattern")
-    count = lambda p: F.regexp_extract(pattern, p, 1).try_cast("int")
-    short = (lit(1) + F.floor(u * count(r"^\[0-9\]\{1,(\d+)\}"))).cast("int")
-    span_lo, span_hi = count(r"\{(\d+)"), F.coalesce(F.regexp_extract(pattern, r"\{\d+,(\d+)\}", 1).try_cast("int"), count(r"\{(\d+)"))
-    span = (span_lo + F.floor(u * (span_hi - span_lo + 1))).cast("int")
-    pattern_cases = [
-        ("p_bic", low.contains("bic"), bic), ("p_iban", low.contains("iban"), iban), ("p_uuid", pattern.contains("a-f0-9") & pattern.contains("4[a-f0-9]"), uuid),
-        ("p_datetime", pattern.contains("[0-9]{4}(-[0-9]{2}){2}T[0-9]{2}"), lit(iso)), ("p_country", pattern.rlike(r"^\[A-Z\]\{2(,2)?\}$"), pick(_PATTERN_COUNTRIES)),
-        ("p_currency", pattern.rlike(r"^\[A-Z\]\{3(,3)?\}$"), pick(_CURRENCIES)), ("p_short", pattern.rlike(r"^\[0-9\]\{1,\d+\}"), letters(_DIGITS, short)),
-        ("p_bank", pattern.contains("[A-Z]{6}") & pattern.contains("A-Z2-9"), pick(_BICS)), ("p_account", pattern.rlike(r"^\[A-Z\]\{2\}\[0-9\]"), lit(_IBANS[0])),
-        ("p_letters", pattern.rlike(r"^\[A-Z\]\{\d+"), letters(_UPPER, count(r"^\[A-Z\]\{(\d+)"))), ("p_digits", pattern.rlike(r"^\[0-9\]\{\d+"), letters(_DIGITS, count(r"^\[0-9\]\{(\d+)"))),
-        ("p_mixed", pattern.rlike(r"\[(A-Za-z|a-zA-Z)0-9\]") & span_lo.isNotNull(), letters(_UPPER + _UPPER.lower() + _DIGITS, span)),
-        ("p_ibanlike", pattern.contains("[A-Z]{2}") & pattern.contains("[0-9]"), lit(_IBANS[0])), ("p_other", lit(True), F.concat(lit("TEST"), letters(_DIGITS, lit(6)))),
-    ]
+    # a value known by its name where the pattern takes it, otherwise one drawn from the pattern's tokens
+    named = (F.when(low.contains("bic"), bic).when(low.contains("iban"), iban).when(low == "uetr", uuid).when(low.contains("ctry"), country)
+             .when(low.contains("ccy"), text("currency", "EUR")).when(low.contains("dttm"), lit(iso)).when(low.contains("dt"), lit(day)))
+    drawn = draw("tokens", "seed, msg_id, occ", "try_cast(min_length as int)", "try_cast(max_length as int)")
+    matching = F.when(F.coalesce(F.rlike(named, F.col("regex")), lit(False)), named).otherwise(F.coalesce(drawn, F.concat(lit("TEST"), letters(_DIGITS, lit(6)))))
     allowed = lambda c: F.array_contains("enums", F.col(c))
     code = (F.when(path.contains("svclvl") & low.contains("cd") & allowed("service_level"), F.col("service_level"))
             .when(path.contains("lclinstrm") & low.contains("cd") & allowed("local_instrument"), F.col("local_instrument"))
@@ -187,7 +180,7 @@ def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
     fit = lambda c: t.pad_or_cut(c, F.coalesce(F.col("min_length").try_cast("int"), lit(1)), F.coalesce(F.col("max_length").try_cast("int"), lit(100)))
     return [
         ("fixed", t.blank("fixed") != "", F.col("fixed")), ("code", F.size("enums") > 0, code), ("attribute_currency", attribute & low.contains("ccy"), text("currency", "EUR")),
-        ("attribute", attribute, lit("AttrValue")), *[(n, (pattern != "") & c, v) for n, c, v in pattern_cases],
+        ("attribute", attribute, lit("AttrValue")), ("pattern", pattern != "", matching),
         ("amount", base.contains("decimal") | low.contains("amt") | base.contains("amount"), amount), ("integer", base.isin("integer", "int", "long", "short"), integer),
         *[(n, c, fit(v)) for n, c, v in text_cases],
     ]

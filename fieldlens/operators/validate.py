@@ -209,18 +209,21 @@ def translate_pattern(pattern: str | None) -> str | None:
 
     def bracket(k: int) -> tuple[str, int] | None:
         """The class at ``k`` with its subtractions, and the place after it."""
-        made, open_, first = [], [], True  # open_: whether each open class is subtracted from the one around it
+        # open classes: whether each is subtracted from the one around it, whether it is written as a complement, where it starts
+        made, open_, first = [], [], True
         while k < len(text):
             c = text[k]
             if c == "[":
                 inner = bool(open_)
                 minus = inner and not first and made[-1] == "-"
+                if inner and (not minus or (open_[-1][0] and open_[-1][1])):
+                    return None
                 if minus:
                     made[-1] = "&&"
-                elif inner:
-                    return None
-                open_.append(minus)
+                    if open_[-1][1]:
+                        made[open_[-1][2]], made[-1] = "[[^", "]&&"
                 negated = text[k + 1:k + 2] == "^"
+                open_.append((minus, negated != minus, len(made)))
                 # what is subtracted is what the class must not be
                 made.append("[" if negated == minus else "[^")
                 k, first = k + 1 + negated, True

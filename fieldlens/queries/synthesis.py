@@ -89,6 +89,32 @@ def synth_is_valid(spark, sf_dir):
     return marks.agg(F.sum("m").alias("messages"), F.sum("i").cast("int").alias("issues"))
 
 
+PATTERNS = ("[A-Z]{3}[0-9]{2}", "[0-9]{5}-[0-9]{3}", "[A-Z]{2}[0-9]{4}", "[a-zA-Z0-9]{1,12}", "(AB|CD)[0-9]{2}", "((((x))))y{2}", r"\+[0-9]{1,3}-[0-9()+\-]{1,30}")
+
+
+@GROUP.add("synth_patterns", f"""
+select schema_id, path, n as n_values, n as n_matching, 0 as catalog_issues
+from (select case when c_custkey % 2 = 0 then 'm' else 'n' end as schema_id, count(*) as n from customer group by 1)
+cross join (select concat('P/F', i) as path from range(1, {len(PATTERNS) + 1}) t(i))""")
+def synth_patterns(spark, sf_dir):
+    """Values of fields with patterns match them, and messages made of such fields pass the catalog they come from."""
+    none = F.lit(None).cast("string")
+    fields = spark.createDataFrame([("P", "P", 0, None)] + [(f"P/F{k}", f"F{k}", k, p) for k, p in enumerate(PATTERNS, 1)], "path string, tag string, seq int, pattern string")
+    catalog = checkpoint(fields.withColumn("schema_id", F.explode(F.array(F.lit("m"), F.lit("n")))).select(
+        "schema_id", "path", "tag", "seq", F.lit("1").alias("min_occurs"), F.lit("1").alias("max_occurs"), F.lit("NA").alias("field_class"), F.lit("").alias("fixed"),
+        F.lit(False).alias("in_choice"), none.alias("choice_key"), F.lit("Text").alias("type"), F.array().cast("array<string>").alias("enums"), "pattern",
+        *[none.alias(c) for c in ("min_length", "max_length", "min_value", "max_value", "fraction_digits", "total_digits")]))
+    messages = fx.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("msg_id"), F.when(F.col("c_custkey") % 2 == 0, "m").otherwise("n").alias("schema_id"), F.col("c_mktsegment").alias("profile"))
+    rows = checkpoint(sy.synthesize(messages, catalog.drop("total_digits"), _profiles(spark, sf_dir), seed=7, now=NOW))
+    own = catalog.filter("schema_id = 'm'")
+    nodes = fl.parse_guard(fl.flatten_xml(sy.synthetic_messages(rows)))[0]
+    issues = vd.validate_catalog(nodes, own).groupBy("path").count()
+    told = rows.filter("value is not null").join(F.broadcast(own.select("path", vd.xsd_regex("pattern").alias("regex"))), "path")  # the fields of one schema
+    counts = told.groupBy("schema_id", "path").agg(F.count("*").alias("n_values"), F.count_if(F.rlike("value", "regex")).alias("n_matching"))
+    return counts.join(issues, "path", "left").select("schema_id", "path", "n_values", "n_matching", F.coalesce("count", F.lit(0)).cast("int").alias("catalog_issues"))
+
+
 @GROUP.add("synth_repetitions")
 def synth_repetitions(spark, sf_dir):
     """How many messages carry a second transaction."""

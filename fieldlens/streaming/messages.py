@@ -42,7 +42,7 @@ def dedupe_stream(rows: DataFrame, keys: list[str], ts: str, ttl: str = "24 hour
     """
     timed = rows.withColumn("__ts", F.col(ts).cast("timestamp"))
     if not rows.isStreaming:
-        return keep_first(rows, keys, ts, rows.sparkSession.range(1).select(F.expr(f"cast(extract(epoch from timestamp '1970-01-01 00:00:00' + interval '{ttl}') as bigint)")).first()[0])
+        return keep_first(rows, keys, ts, rows.sparkSession.range(1).select(F.expr(f"unix_seconds(timestamp_seconds(0) + interval '{ttl}')")).first()[0])
     return timed.withWatermark("__ts", ttl).dropDuplicatesWithinWatermark(keys).drop("__ts")
 
 
