@@ -239,3 +239,10 @@ HTTP_METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
 UPLOAD_EXTENSIONS = ("xsd", "xml", "zip", "pdf", "yaml", "yml", "json")
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_FILES = 50
+
+# ---- samples of synthetic messages --------------------------------------------------
+
+SAMPLE_BICS = ("DEUTDEFF", "BNPAFRPP", "BARCGB22", "CRESCHZZ")
+SAMPLE_IBANS = ("DE89370400440532013000", "FR7630006000011234567890189")
+SAMPLE_NAMES = ("John Smith", "Jane Doe", "Global Corp Ltd")
+SAMPLE_COUNTRIES = ("DE", "FR", "GB", "NL", "ES", "IT")

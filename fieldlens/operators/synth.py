@@ -20,10 +20,6 @@ from fieldlens.operators.validate import xsd_regex
 from fieldlens.session import checkpoint
 
 REPEAT_SHARE = 0.3
-_BICS = ("DEUTDEFF", "BNPAFRPP", "BARCGB22", "CRESCHZZ")
-_IBANS = ("DE89370400440532013000", "FR7630006000011234567890189")
-_NAMES = ("John Smith", "Jane Doe", "Global Corp Ltd")
-_COUNTRIES = ("DE", "FR", "GB", "NL", "ES", "IT")
 _UPPER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -126,11 +122,11 @@ def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
         return F.array_join(F.transform(F.sequence(lit(1), F.greatest(n, lit(1))), one), "")
 
     uuid = F.concat(F.substring(hexes, 1, 8), lit("-"), F.substring(hexes, 9, 4), lit("-4"), F.substring(hexes, 14, 3), lit("-a"), F.substring(hexes, 18, 3), lit("-"), F.substring(hexes, 21, 12))
-    bic = F.when(debtor | path.contains("instg"), text("debtor_bic", "DEUTDEFF")).when(creditor | path.contains("instd"), text("creditor_bic", "BNPAFRPP")).otherwise(pick(_BICS))
-    iban = F.when(debtor, text("debtor_iban", _IBANS[0])).when(creditor, text("creditor_iban", _IBANS[1])).otherwise(pick(_IBANS))
+    bic = F.when(debtor | path.contains("instg"), text("debtor_bic", "DEUTDEFF")).when(creditor | path.contains("instd"), text("creditor_bic", "BNPAFRPP")).otherwise(pick(fixed.SAMPLE_BICS))
+    iban = F.when(debtor, text("debtor_iban", fixed.SAMPLE_IBANS[0])).when(creditor, text("creditor_iban", fixed.SAMPLE_IBANS[1])).otherwise(pick(fixed.SAMPLE_IBANS))
     name = (F.when(path.contains("ultmtdbtr"), F.concat(text("debtor_name", "John Smith"), lit(" (Ultimate)"))).when(debtor, text("debtor_name", "John Smith"))
-            .when(path.contains("ultmtcdtr"), F.concat(text("creditor_name", "Jane Doe"), lit(" (Ultimate)"))).when(creditor, text("creditor_name", "Jane Doe")).otherwise(pick(_NAMES)))
-    country = F.when(debtor, text("debtor_country", "DE")).when(creditor, text("creditor_country", "FR")).otherwise(pick(_COUNTRIES))
+            .when(path.contains("ultmtcdtr"), F.concat(text("creditor_name", "Jane Doe"), lit(" (Ultimate)"))).when(creditor, text("creditor_name", "Jane Doe")).otherwise(pick(fixed.SAMPLE_NAMES)))
+    country = F.when(debtor, text("debtor_country", "DE")).when(creditor, text("creditor_country", "FR")).otherwise(pick(fixed.SAMPLE_COUNTRIES))
 
     places = F.coalesce(F.col("fraction_digits").try_cast("int"), lit(2))
     lo = F.greatest(F.coalesce(F.col("min_value").try_cast("double"), lit(0.01)), F.coalesce("amount_min", lit(0.01)))
