@@ -105,12 +105,18 @@ def _json_type(v) -> str:
     return "object"
 
 
-def _json_rows(text: str | None, raw: bool):
+_INVALID = (0, None, "", "", 0, "invalid", None, 0, "", [], "", None)
+
+
+def _whole_json(text: str | None, raw: bool) -> list[tuple]:
+    """Rows of a document; one ``invalid`` row when it cannot be read, nested too deep included."""
     try:
-        data = json.loads(text)
-    except (TypeError, ValueError):
-        yield (0, None, "", "", 0, "invalid", None, 0, "", [], "", None)
-        return
+        return list(_json_rows(json.loads(text), raw))
+    except (TypeError, ValueError, RecursionError):
+        return [_INVALID]
+
+
+def _json_rows(data, raw: bool):
     top = _json_kids(data, "") if isinstance(data, (dict, list)) else [("root", data, "root", "root")]
     next_id = 0
     stack = [(None, k, v, p, 0, [], f"/{e}") for k, v, p, e in reversed(top)]
@@ -149,9 +155,9 @@ def flatten_json(df: DataFrame, doc_id: str, text: str, raw: bool = False) -> Da
         for batch in batches:
             ids, owner, rows = batch.column(0), [], []
             for i, value in enumerate(batch.column(1).to_pylist()):
-                for row in _json_rows(value, raw):
-                    owner.append(i)
-                    rows.append(row)
+                found = _whole_json(value, raw)
+                owner.extend([i] * len(found))
+                rows += found
                 if len(rows) >= 20_000:
                     yield _batch(ids, owner, rows)
                     owner, rows = [], []

@@ -265,6 +265,14 @@ def test_expand_paths_cycles(spark):
         ("A", False), ("A/B", False), ("A/B/A", True), ("A/B/C", False)]
 
 
+def test_json_nested_too_deep_and_odd_keys(spark):
+    df = spark.createDataFrame([(1, "[" * 100_000 + "]" * 100_000), (2, "[" * 100_000), (3, '{"[0]": 1, "a": [1, 2], "[x]": 2}'), (4, "[" * 300 + "]" * 300)], "d int, j string")
+    nodes = tr.flatten_json(df, "d", "j")
+    assert rows(nodes.filter("d < 3").select("d", "type")) == [(1, "invalid"), (2, "invalid")]
+    assert nodes.filter("d = 4").count() == 299
+    assert rows(tr.top_keys(nodes.filter("d = 3"))) == [("[0]", 1), ("[x]", 1), ("a", 1)]
+
+
 def test_json_types(spark):
     df = spark.createDataFrame([(1, '{"a": [1, 2.5, true, null, "x"], "b": {}}'), (2, "5"), (3, "{bad")], "d int, j string")
     got = rows(tr.flatten_json(df, "d", "j").select("d", "path", "type", "value", "extra"))
