@@ -123,12 +123,21 @@ def match_keys(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 
 # ---- guide against guide -----------------------------------------------------------
 
-def guide_diff(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """ADDED, REMOVED, STATUS, RULES, BOTH or UNCHANGED per xpath, with the changed fields."""
+def guide_diff(a: DataFrame, b: DataFrame, by: Sequence[str] = (), order: str = "pos") -> DataFrame:
+    """ADDED, REMOVED, STATUS, RULES, BOTH or UNCHANGED per xpath, with the changed fields.
+
+    Of a repeated xpath the last row counts: the one with the highest ``order``, without that column the largest one. Rows are reduced before they
+    meet, by the columns they meet by, so this adds no exchange.
+    """
     keys = [*by, "xpath"]
-    left = a.select(*keys, F.lit(True).alias("in_a"), *[F.col(c).alias(f"a_{c}") for c in SIDE_COLUMNS])
-    right = b.select(*keys, F.lit(True).alias("in_b"), *[F.col(c).alias(f"b_{c}") for c in SIDE_COLUMNS])
-    pairs = left.join(right, keys, "full")
+
+    def side(guide: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*SIDE_COLUMNS)
+        place = F.struct(F.col(order).alias("at"), row.alias("row")) if order in guide.columns else row
+        last = guide.groupBy(*keys).agg(F.max_by(row, place).alias("r"))
+        return last.select(*keys, F.lit(True).alias(f"in_{name}"), *[F.col("r")[c].alias(f"{name}_{c}") for c in SIDE_COLUMNS])
+
+    pairs = side(a, "a").join(side(b, "b"), keys, "full")
     old = {c: F.trim(t.blank(f"a_{c}")) for c in fixed.RULE_COLUMNS}
     new = {c: F.trim(t.blank(f"b_{c}")) for c in fixed.RULE_COLUMNS}
     label = F.create_map(*[F.lit(x) for kv in fixed.COLOUR_STATUS.items() for x in kv])

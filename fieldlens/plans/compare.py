@@ -44,7 +44,6 @@ def compare_versions(catalog: DataFrame, schema_ids: Sequence[str]) -> dict[str,
 
 def compare_guides(a: DataFrame, b: DataFrame, a_label: str = "EPC", b_label: str = "NPC", by: Sequence[str] = ("message",)) -> dict[str, DataFrame]:
     """Sheets of a guide comparison. Where rows carry their position ``pos``, the last row of a repeated xpath counts."""
-    a, b = (gd.keep_last(g, [*by, "xpath"]) if "pos" in g.columns else g for g in (a, b))
     diff = gd.guide_diff(a, b, by)
     rows = diff.select(*by, "xpath", "change", gd.what_changed().alias("what_changed"), gd.guide_impact(a_label, b_label).alias("impact"),
                        gd.context_value("tag").alias("tag"), gd.context_value("mult").alias("mult"))

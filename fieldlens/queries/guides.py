@@ -44,6 +44,17 @@ def _o(body: str) -> str:
     return fx.oracle("guide_b", f"with {_diff_sql()}\n{body}")
 
 
+@GROUP.add("guide_diff_repeated", fx.oracle("guide_a", "select message, xpath, case when k % 5 = 0 then 'RULES' else 'UNCHANGED' end as change from guide_a"))
+def guide_diff_repeated(spark, sf_dir):
+    """Rows of an xpath repeated on both sides, in any order of the input: the last one of each side counts."""
+    rows = _guide(spark, sf_dir, "guide_a")
+    noise = rows.withColumn("mult", F.lit("9..9"))
+    left = noise.withColumn("pos", F.lit(1)).unionByName(rows.withColumn("pos", F.lit(3))).unionByName(noise.withColumn("pos", F.lit(2)))
+    later = rows.filter("k % 5 = 0").withColumn("mult", F.concat("mult", F.lit("x"))).withColumn("pos", F.lit(8))
+    right = later.unionByName(rows.withColumn("pos", F.lit(7)))
+    return gd.guide_diff(left, right, by=("message",)).select("message", "xpath", "change")
+
+
 @GROUP.add("guide_diff", _o("select message, xpath, change, array_to_string(list_transform(ch, lambda x: x.field), ',') as changed_fields from g"))
 def guide_diff(spark, sf_dir):
     return _diff(spark, sf_dir).select(
