@@ -232,6 +232,18 @@ def paths_with_ancestors(rows: DataFrame, match: Column, by: Sequence[str] = (),
     return rows.join(keep, [*by, "path"], "left_semi")
 
 
+def filter_kind(rows: DataFrame, kind: str, by: Sequence[str] = ()) -> DataFrame:
+    """Catalog rows of a kind (column ``node_type``) with their ancestors; ``all`` keeps every row."""
+    return rows if kind == "all" else paths_with_ancestors(rows, F.col("node_type") == kind, by)
+
+
+def filter_cardinality(rows: DataFrame, view: str, by: Sequence[str] = ()) -> DataFrame:
+    """Catalog rows that are ``optional`` (may be absent) or ``unbounded`` (may repeat without end) with their ancestors."""
+    if view not in ("optional", "unbounded"):
+        raise ValueError(f"no view of cardinality: {view}")
+    return paths_with_ancestors(rows, F.col("min_occurs") == "0" if view == "optional" else F.col("max_occurs") == "unbounded", by)
+
+
 # ---- code sets ---------------------------------------------------------------------
 
 def code_valid(values: DataFrame, codes: DataFrame, on: Sequence[str] = ("code_set", "code")) -> DataFrame:

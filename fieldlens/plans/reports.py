@@ -58,6 +58,15 @@ def write_messages(messages: DataFrame, path: str, xml: str = "xml", mode: str =
     messages.select(F.regexp_replace(line, "\r", "&#13;").alias("value")).write.mode(mode).text(path)
 
 
+def write_texts(texts: DataFrame, path: str, key: str, text: str, mode: str = "error") -> None:
+    """One file per key, in a folder ``key=value`` of its own; whole texts, line breaks kept.
+
+    Meant for texts that other tools expect as files; many small texts are better kept as rows. Rows of a key meet in one task, so
+    that no task opens more files than it has keys; ``read_messages`` and the other file sources read them back with ``key``.
+    """
+    texts.select(key, F.col(text).alias("value")).repartition(key).write.mode(mode).partitionBy(key).text(path)
+
+
 def unique_names(names: DataFrame, column: str, order: str, maxlen: int = 31) -> DataFrame:
     """Safe names, each given out once: the first of a name keeps it, the others are numbered from 2 in order of appearance.
 

@@ -118,7 +118,30 @@ def level_cut(spark, sf_dir):
 @GROUP.add("filter_cardinality", fx.oracle("cat_v2", """
 select path from cat_v2 a where max_occurs = 'unbounded' or exists (select 1 from cat_v2 b where b.max_occurs = 'unbounded' and starts_with(b.path, concat(a.path, '/')))"""))
 def filter_cardinality(spark, sf_dir):
-    return tr.paths_with_ancestors(catalog(spark, sf_dir, "cat_v2"), F.col("max_occurs") == "unbounded").select("path")
+    return tr.filter_cardinality(catalog(spark, sf_dir, "cat_v2"), "unbounded").select("path")
+
+
+def _reached(match: str) -> str:
+    """Rows of all versions that match or lie above a match of their version."""
+    return f"""select schema_id, path from c semi join (
+    select schema_id, unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) as path
+    from c where {match}) up using (schema_id, path)"""
+
+
+@GROUP.add("filter_optional", fx.oracle("cat_all", f"with c as (select * from cat_all)\n{_reached("min_occurs = '0'")}"))
+def filter_optional(spark, sf_dir):
+    return tr.filter_cardinality(catalog(spark, sf_dir, "cat_all"), "optional", ["schema_id"]).select("schema_id", "path")
+
+
+@GROUP.add("filter_kind", fx.oracle("cat_all", f"""
+with c as (select schema_id, path, case when tag = 'New' or k % 5 = 0 then 'attribute' else 'element' end as node_type from cat_all)
+select 'attribute' as kind, * from ({_reached("node_type = 'attribute'")}) union all select 'all', schema_id, path from c"""))
+def filter_kind(spark, sf_dir):
+    """Attributes with the elements above them, in every version; all rows beside them."""
+    kind = F.when((F.col("tag") == "New") | (F.col("k") % 5 == 0), "attribute").otherwise("element")
+    rows = fx.frame(spark, sf_dir, "cat_all").withColumn("node_type", kind)
+    one = lambda k: tr.filter_kind(rows, k, ["schema_id"]).select(F.lit(k).alias("kind"), "schema_id", "path")
+    return one("attribute").unionByName(one("all"))
 
 
 # ---- code sets ---------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "schemas", "versions", "catalogs", "guides", "messages", "mappings",
-    "texts", "records", "trees", "files", "documents", "apis", "synthesis", "streams",
+    "texts", "records", "trees", "files", "documents", "apis", "synthesis", "streams", "storage",
 )
 
 Query = Callable[[SparkSession, str], DataFrame]

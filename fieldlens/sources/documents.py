@@ -11,16 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldlens import fixed
 from fieldlens.functions import text as t
 from fieldlens.operators import files
+from fieldlens.sources.messages import whole_files
 
 GUIDE_SCHEMA = ("message string, idx string, mult string, xpath string, element_name string, tag string, type string, length string, usage_rule string, "
                 "rulebook string, format_rule string, code_restrictions string, iso_definition string, row_color string, pos bigint")
 
 
-def read_schema_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.xsd") -> DataFrame:
-    """(schema_id, text) of schema documents; the id is the file name without its suffix."""
-    name = F.col("_metadata.file_name")
-    return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path), wholetext=True)
-            .select(F.regexp_replace(name, r"\.[^.]*$", "").alias("schema_id"), F.col("value").alias("text")))
+def read_schema_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.xsd", key: str | None = None) -> DataFrame:
+    """(schema_id, text) of schema documents; the id is the file name without its suffix, or with ``key`` as in ``whole_files``."""
+    rows = whole_files(spark, path, glob, key)
+    return rows.select((F.col("name") if key else F.regexp_replace("name", r"\.[^.]*$", "")).alias("schema_id"), F.col("value").alias("text"))
 
 
 def read_guide(spark: SparkSession, path: str, scheme: str, fmt: str = "parquet") -> DataFrame:
@@ -33,13 +33,12 @@ def read_guide(spark: SparkSession, path: str, scheme: str, fmt: str = "parquet"
     return rows.filter((F.trim(t.blank("xpath")) != "") & (F.col("message") != "Summary")).withColumn("scheme", F.lit(scheme))
 
 
-def read_json_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.json") -> DataFrame:
+def read_json_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.json", key: str | None = None) -> DataFrame:
     """(doc_id, json, doc): JSON text and its VARIANT (null when unreadable)."""
-    rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path), wholetext=True)
-    return rows.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("json"), F.try_parse_json("value").alias("doc"))
+    return whole_files(spark, path, glob, key).toDF("doc_id", "json").withColumn("doc", F.try_parse_json("json"))
 
 
-def read_yaml_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.y*ml") -> DataFrame:
+def read_yaml_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "*.y*ml", key: str | None = None) -> DataFrame:
     """(doc_id, json, doc): YAML normalised to JSON text (null when unreadable) and its VARIANT."""
     def to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import yaml
@@ -53,9 +52,8 @@ def read_yaml_docs(spark: SparkSession, path: str | Sequence[str], glob: str = "
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "json": batch["value"].map(one)})
 
-    rows = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path), wholetext=True)
-    return (rows.select(F.col("_metadata.file_name").alias("doc_id"), "value").mapInPandas(to_json, "doc_id string, json string")
-            .withColumn("doc", F.try_parse_json("json")))
+    rows = whole_files(spark, path, glob, key).withColumnRenamed("name", "doc_id")
+    return rows.mapInPandas(to_json, "doc_id string, json string").withColumn("doc", F.try_parse_json("json"))
 
 
 def file_inventory(spark: SparkSession, path: str, allowed: Sequence[str] = fixed.UPLOAD_EXTENSIONS) -> DataFrame:

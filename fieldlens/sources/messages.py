@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
@@ -12,11 +13,25 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def read_messages(spark: SparkSession, path: str | Sequence[str], glob: str = "*.xml") -> DataFrame:
-    """One row per XML file of a folder, glob or list: (msg_id, xml)."""
-    return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-            .text(path if isinstance(path, str) else list(path), wholetext=True)
-            .select(F.col("_metadata.file_name").alias("msg_id"), F.col("value").alias("xml")))
+def whole_files(spark: SparkSession, path: str | Sequence[str], glob: str, key: str | None = None) -> DataFrame:
+    """(name, value): one row per file of a folder, glob or list.
+
+    ``name`` is the file name, or with ``key`` the text behind ``key=`` in the file's folder, as ``write_texts`` lays files out.
+    """
+    files = (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+             .text(path if isinstance(path, str) else list(path), wholetext=True))
+    name = F.col("_metadata.file_name")
+    if key is not None:
+        folder = F.regexp_extract("_metadata.file_path", rf"/{re.escape(key)}=([^/]*)/[^/]*$", 1)
+        # the path is a URI of a folder name that was escaped before: a plus sign stands for itself
+        plain = F.url_decode(F.regexp_replace(F.url_decode(F.regexp_replace(folder, r"\+", "%2B")), r"\+", "%2B"))
+        name = F.when(plain != "__HIVE_DEFAULT_PARTITION__", plain)
+    return files.select(name.alias("name"), "value")
+
+
+def read_messages(spark: SparkSession, path: str | Sequence[str], glob: str = "*.xml", key: str | None = None) -> DataFrame:
+    """One row per XML file of a folder, glob or list: (msg_id, xml); the id as in ``whole_files``."""
+    return whole_files(spark, path, glob, key).toDF("msg_id", "xml")
 
 
 def read_archived(spark: SparkSession, path: str, suffix: str = ".xml", glob: str = "*.zip") -> DataFrame:
