@@ -56,6 +56,9 @@ EITHER_OR = (
     ("PrvtId", ("DtAndPlcOfBirth", "Othr"), "Either 'Date and Place of Birth' or 'Other' is allowed", 1, "Othr"),
 )
 
+# exclusive children when messages are made up: the rules above and the long name of the first
+PICK_ONE = (*EITHER_OR[:1], ("RemittanceInformation", *EITHER_OR[0][1:]), *EITHER_OR[1:])
+
 FORMATS = {
     "IBAN": r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{4,30}$",
     "BIC": r"^[A-Z]{6}[A-Z2-9][A-NP-Z0-9]([A-Z0-9]{3})?$",

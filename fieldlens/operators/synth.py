@@ -40,7 +40,7 @@ def _preferred(options: Column, parent: Column) -> Column:
     return F.when(has("Cd"), "Cd").when(has("IBAN"), "IBAN").when(has("OrgId") & party, "OrgId")
 
 
-def plan_paths(catalog: DataFrame, rules: Sequence = fixed.EITHER_OR) -> DataFrame:
+def plan_paths(catalog: DataFrame, rules: Sequence = fixed.PICK_ONE) -> DataFrame:
     """Per path what its own and its ancestors' steps need: order, repeatability, choice groups."""
     parent = t.parent_path("path")
     rows = catalog.withColumn("parent", parent).withColumn("parent_tag", t.last_segment(parent))
@@ -101,7 +101,14 @@ def synthesize(messages: DataFrame, catalog: DataFrame, profiles: DataFrame, mod
     group = F.element_at("steps", -1)["options"]
     return with_profile.select(
         "msg_id", "schema_id", "path", F.regexp_replace("occ", r"(/@[^/\[]+)\[1\]$", "$1").alias("occ_path"), "ord", "tag", synth_value(now).alias("value"),
-        F.when(group.isNotNull(), F.col("group_kind")).alias("picked_by"), (F.col("field_class") == "YELLOW").alias("is_yellow"))
+        F.when(group.isNotNull(), F.col("group_kind")).alias("picked_by"), group.alias("options"), (F.col("field_class") == "YELLOW").alias("is_yellow"),
+        F.coalesce("description", F.lit("Custom profile")).alias("profile_used"))
+
+
+def selections(rows: DataFrame) -> DataFrame:
+    """Log of the picks of synthetic messages: where, by a choice or an exclusive rule, what was taken and out of which children."""
+    return rows.filter(F.col("picked_by").isNotNull()).select(
+        "msg_id", "schema_id", t.parent_path("occ_path").alias("place"), "picked_by", F.col("tag").alias("picked"), "options")
 
 
 def _cases(now: datetime) -> list[tuple[str, Column, Column]]:
@@ -198,11 +205,19 @@ def synth_value(now: datetime) -> Column:
     return out
 
 
-def synthesis_report(rows: DataFrame, by: Sequence[str] = ("schema_id",)) -> DataFrame:
-    """Messages, fields, choices made, exclusive rules applied and Yellow fields."""
-    return rows.groupBy(*by).agg(
-        F.count_distinct("msg_id").alias("messages"), F.count("*").alias("fields"), F.count_if(F.col("picked_by") == "choice").alias("choices"),
+def synthesis_report(rows: DataFrame, by: Sequence[str] = ("schema_id",), issues: DataFrame | None = None) -> DataFrame:
+    """Messages, fields, choices made, exclusive rules applied and Yellow fields; with ``issues`` (one row each, ``msg_id``) the validation errors.
+
+    ``by`` may name ``profile_used``. Everything is summed per message first, so issues meet messages, not fields.
+    """
+    own = rows.groupBy(*by, "msg_id").agg(
+        F.count("*").alias("fields"), F.count_if(F.col("picked_by") == "choice").alias("choices"),
         F.count_if(F.col("picked_by") == "either_or").alias("rules_applied"), F.count_if("is_yellow").alias("yellow_fields"))
+    sums = ["fields", "choices", "rules_applied", "yellow_fields"]
+    if issues is not None:
+        own = own.join(issues.groupBy("msg_id").agg(F.count("*").alias("validation_errors")), "msg_id", "left").fillna(0, ["validation_errors"])
+        sums.append("validation_errors")
+    return own.groupBy(*by).agg(F.count_distinct("msg_id").alias("messages"), *[F.sum(c).alias(c) for c in sums])
 
 
 def synthetic_messages(rows: DataFrame) -> DataFrame:

@@ -67,6 +67,21 @@ def label_values(spark, sf_dir):
     return m.select("rec_key", F.split_part(F.try_element_at("m", F.lit("XML Tag")), F.lit(" "), F.lit(1)).alias("tag"), rule.alias("rule"), F.try_element_at("m", F.lit("Rules")).alias("rules"))
 
 
+LABELS = (("XML Tag", 1, "'T', cast(l_partkey % 10 as varchar)"), ("Type", 1, "'Max35Text'"), ("SEPA Length", 2, "'1 .. ', cast(l_suppkey as varchar)"),
+          ("SEPA Usage Rule(s)", 3, "'Mandatory for ', cast(l_suppkey as varchar), case when lines >= 4 then ' continued text' else '' end"), ("ISO Name", 5, "'Nm', cast(l_partkey % 7 as varchar)"),
+          ("NPC Rulebook", 6, "'AT-01', case when lines >= 7 then ' xs:choice' else '' end"))
+
+
+@GROUP.add("label_values_whole", fx.oracle("record_lines", """
+select l_orderkey - l_orderkey % 100 as doc_id, rec_key, label, value from (select *, max(line) over (partition by rec_key) as lines from record_lines) cross join lateral (values {}) v(line_no, label, value) where line = line_no""".format(
+    ", ".join(f"({n}, '{label}', concat({value}))" for label, n, value in LABELS))))
+def label_values_whole(spark, sf_dir):
+    """Every label of every whole requirement block: seven lines of six kinds, texts that go on in the next line included."""
+    cells = fx.frame(spark, sf_dir, "guide_cells").groupBy("doc_id", "rec_key").agg(F.array_sort(F.collect_list(F.struct("line", "c3"))).alias("b"))
+    m = rc.with_label_values(cells, F.array_join(F.transform("b", lambda x: x["c3"]), " "), "m")
+    return m.select("doc_id", "rec_key", F.explode("m").alias("label", "value"))
+
+
 @GROUP.add("drop_structural", _g("select doc_id, idx, tag from g where not is_choice"))
 def drop_structural(spark, sf_dir):
     return rc.drop_structural(_guide_records(spark, sf_dir)).select("doc_id", "idx", "tag")

@@ -42,9 +42,10 @@ def _profiles(spark, sf_dir):
     return seg.select(*[pick(n, t).alias(n) for n, t in columns])
 
 
-def _rows(spark, sf_dir, **kw):
+def _rows(spark, sf_dir, catalog=None, profiles=None, **kw):
     messages = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("msg_id"), F.when(F.col("c_custkey") % 2 == 0, "m").otherwise("n").alias("schema_id"), F.col("c_mktsegment").alias("profile"))
-    return sy.synthesize(messages, checkpoint(_catalog(spark, sf_dir)), _profiles(spark, sf_dir), seed=7, now=NOW, **kw)
+    catalog = checkpoint(_catalog(spark, sf_dir)) if catalog is None else catalog
+    return sy.synthesize(messages, catalog, _profiles(spark, sf_dir) if profiles is None else profiles, seed=7, now=NOW, **kw)
 
 
 # without repetition and random texts the rows are known
@@ -74,6 +75,39 @@ def synthesis_report(spark, sf_dir):
     return sy.synthesis_report(_rows(spark, sf_dir, repeat=0.0)).drop("fields")
 
 
+@GROUP.add("synthesis_report_checked", """
+select case when c_custkey % 2 = 0 then 'm' else 'n' end as schema_id, case when c_mktsegment < 'C' then 'Custom profile' else concat('Tests of ', c_mktsegment) end as profile_used, count(*) as messages, count(*) as choices,
+  count(*) * 2 as rules_applied, count(*) * 2 as yellow_fields, sum(case when c_mktsegment in ('BUILDING', 'MACHINERY') then 1 else 0 end)::bigint as validation_errors from customer group by 1, 2""")
+def synthesis_report_checked(spark, sf_dir):
+    """Report per schema and profile; two profiles carry an IBAN that no message may have."""
+    faulty = F.when(F.col("name").isin("BUILDING", "MACHINERY"), "0000").otherwise(F.col("debtor_iban"))
+    profiles = _profiles(spark, sf_dir).withColumn("debtor_iban", faulty).withColumn("description", F.when(F.col("name") >= "C", F.concat(F.lit("Tests of "), "name")))
+    rows = checkpoint(_rows(spark, sf_dir, profiles=profiles, repeat=0.0))
+    return sy.synthesis_report(rows, ("schema_id", "profile_used"), vd.validate(sy.synthetic_messages(rows))).drop("fields")
+
+
+PICKS = (("RemittanceInformation", ("Strd", "Ustrd"), "Ustrd"), ("RmtInf", ("Strd",), "Strd"), ("OrgId", ("AnyBIC", "LEI"), None), ("PrvtId", ("DtAndPlcOfBirth", "Othr"), "Othr"), ("FinInstnId", ("BICFI", "LEI"), "BICFI"))
+
+
+@GROUP.add("either_or_picks", f"""
+select c_custkey as msg_id, concat('P[1]/', t, '[1]') as place, o as options, p as preferred, true as as_told from customer
+cross join (values {', '.join(f"('{n}', '{','.join(o)}', {'NULL' if p is None else chr(39) + p + chr(39)})" for n, o, p in PICKS)}) v(t, o, p)""")
+def either_or_picks(spark, sf_dir):
+    """One child of every exclusive group: the preferred one where it is there, one drawn by hash otherwise; logged with its options."""
+    fields = [("P", "P", 0)]
+    for k, (name, options, _) in enumerate(PICKS, 1):
+        fields += [(f"P/{name}", name, 10 * k)] + [(f"P/{name}/{o}", o, 10 * k + i) for i, o in enumerate(options, 1)]
+    none = F.lit(None).cast("string")
+    rows = spark.createDataFrame(fields, "path string, tag string, seq int").withColumn("schema_id", F.explode(F.array(F.lit("m"), F.lit("n"))))
+    rules = rows.select("schema_id", "path", "tag", "seq", F.lit("1").alias("min_occurs"), F.lit("1").alias("max_occurs"), F.lit("NA").alias("field_class"), F.lit("").alias("fixed"), F.lit(False).alias("in_choice"),
+                        none.alias("choice_key"), F.lit("Text").alias("type"), F.array().cast("array<string>").alias("enums"), *[none.alias(c) for c in ("pattern", "min_length", "max_length", "min_value", "max_value", "fraction_digits")])
+    log = sy.selections(_rows(spark, sf_dir, catalog=checkpoint(rules)))
+    preferred = F.create_map(*[F.lit(x) for n, _, p in PICKS for x in (n, p or "")])[F.regexp_extract("place", r"/([^/\[]+)\[1\]$", 1)]
+    preferred = F.when(preferred != "", preferred)
+    told = F.when(preferred.isNotNull(), F.col("picked") == preferred).otherwise(F.array_contains("options", F.col("picked")))
+    return log.select("msg_id", "place", F.array_join("options", ",").alias("options"), preferred.alias("preferred"), told.alias("as_told"))
+
+
 @GROUP.add("synth_mandatory", """
 select c_custkey as msg_id, 19 + 2 as n_fields from customer""")
 def synth_mandatory(spark, sf_dir):

@@ -19,6 +19,7 @@ CORE = (
     "validate_catalog", "message_diff_ordered", "message_diff_unordered", "similar_path_map", "migrate_messages", "page_similarity", "line_diff", "word_diff",
     "page_plan", "concat_pages", "guide_records", "change_log", "sections", "carry_forward", "contiguous_blocks", "expand_circular", "flatten_json", "code_valid",
     "admit_batches", "folder_counts", "expand_catalog", "annotation_buckets", "api_walk_schema", "api_endpoint_rows", "synthesize", "stream_dedupe", "sql_functions",
+    "message_files", "document_files", "report_files", "filter_kind", "either_or_picks", "label_values_whole",
 )
 NAMES = list(QUERIES) if os.environ.get("FIELDLENS_ALL") else list(CORE)
 
