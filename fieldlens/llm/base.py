@@ -107,11 +107,20 @@ def hit(bits: np.ndarray, key: Column) -> Column:
     return test(key)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(df: DataFrame, bad: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose non-null 64-bit ``key`` is not in ``bad``: only rows that fall on a set bit are shuffled."""
     bits = bit_table(bad, key)
-    marked = df.withColumn("__hit", hit(bits, F.col(key)))
-    return marked.where("not __hit").unionByName(marked.where("__hit").join(bad.select(key).distinct(), key, "left_anti")).drop("__hit")
+    mark = free_name(df, "hit")
+    marked = df.withColumn(mark, hit(bits, F.col(key)))
+    return marked.where(~F.col(mark)).unionByName(marked.where(F.col(mark)).join(bad.select(key).distinct(), key, "left_anti")).drop(mark)
 
 
 def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

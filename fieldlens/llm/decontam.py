@@ -9,6 +9,8 @@ What counts must cover ``coverage`` of the item's windows. An item of 11 tokens
 
 A bit table of fixed size, made from the benchmark's windows, lets a task drop its other windows before the shuffle;
 false hits fall out in the join. Items up to ``WIDTH`` tokens are one window of their own length.
+Items whose windows all hold too few plain tokens for a template ("What is 17 times 23?") are met word by word instead:
+their windows are those of the words as they stand, so they are found verbatim, not re-parameterised.
 
 Defined results: null and empty texts match nothing; an item without a plain token matches nothing; equal items are all
 reported; rows with equal id and text share one result; the result has one row per (document, item) found.
@@ -24,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldlens.llm.base import arrow_map, bit_table, CACHE, in_bits, signed, text_of, windows, without
+from fieldlens.llm.base import arrow_map, bit_table, CACHE, free_name, in_bits, signed, text_of, windows, without
 
 WIDTH = 8  # the first word of a sentence is plain: its capital says nothing
 LEAST_PLAIN = 4  # plain tokens a window needs, or all of a shorter item but one
@@ -57,6 +59,7 @@ class Templates:
 
     def __init__(self) -> None:
         self.seen: dict[str, tuple] = {}
+        self.known: dict[str, int] = {}
 
     def of(self, text: str) -> tuple[np.ndarray, list[str | None]]:
         seen, hashes, slots = self.seen, [], []
@@ -87,6 +90,26 @@ class Templates:
                 start = ends
         return np.array(hashes, np.uint64), slots
 
+    def words(self, text: str) -> tuple[np.ndarray, list[None]]:
+        """Hashes of the words as they stand, slots and plain ones alike; no word has a slot value."""
+        known, out = self.known, []
+        if len(known) > CACHE:
+            known.clear()
+        for raw in text.split():
+            h = known.get(raw)
+            if h is None:
+                value = raw.strip(EDGE).lower()
+                h = known[raw] = xxhash.xxh3_64_intdigest(value.encode("utf-8", "surrogatepass"), seed=1) if value else -1
+            if h >= 0:
+                out.append(h)
+        return np.array(out, np.uint64), [None] * len(out)
+
+
+def every_window(hashes: np.ndarray, slots: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of all windows."""
+    keys = windows(hashes, width) if len(hashes) >= width else np.zeros(0, np.uint64)
+    return np.arange(len(keys)), keys
+
 
 def found_windows(hashes: np.ndarray, slots: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the windows with enough plain tokens."""
@@ -111,20 +134,25 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             width = item_width(len(hashes))
             if width:
                 places, keys = found_windows(hashes, slots, width)
-                rows += [(item, width, int(p), int(k), len(hashes), len(places), [s for s in slots[p:p + width] if s is not None]) for p, k in zip(places, signed(keys), strict=True)]
+                verbatim = not len(places) and bool((hashes > 3).any())
+                if verbatim:
+                    hashes, slots = templates.words(text)
+                    width = min(WIDTH, len(hashes))
+                    places, keys = every_window(hashes, slots, width)
+                rows += [(item, width, verbatim, int(p), int(k), len(hashes), len(places), [s for s in slots[p:p + width] if s is not None]) for p, k in zip(places, signed(keys), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)],
-                                             names=["item_id", "width", "item_at", "key", "item_tokens", "item_windows", "item_slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (batch.schema.field(0).type, pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)],
+                                             names=["item_id", "width", "verbatim", "item_at", "key", "item_tokens", "item_windows", "item_slots"])
 
 
-def _hits(made: list[tuple[np.ndarray, list]], widths: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+def _hits(made: list[tuple[np.ndarray, list]], widths: list[int], bits: np.ndarray, of_width=found_windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(text, place, hash, slot values) of the windows of several texts that fall on a set bit; texts lie end to end, no window spans two."""
     lengths = np.array([len(h) for h, _ in made], np.int64)
     starts, flat = np.cumsum(lengths) - lengths, np.concatenate([np.zeros(0, np.uint64), *[h for h, _ in made]])
     text = np.repeat(np.arange(len(made)), lengths)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), 0)]
     for width in widths:
-        where, keys = found_windows(flat, [], width)
+        where, keys = of_width(flat, [], width)
         own = (text[where] == text[where + width - 1]) & in_bits(bits, signed(keys))
         found.append((where[own], keys[own], width))
     at = np.concatenate([text[w] for w, _, _ in found]) if len(flat) else np.zeros(0, np.int64)
@@ -139,23 +167,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).transform(
         arrow_map,
-        _item_windows, f"item_id {kinds[1]}, width int, item_at long, key long, item_tokens long, item_windows long, item_slots array<string>")
-    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # at most WIDTH of them
+        _item_windows, f"item_id {kinds[1]}, width int, verbatim boolean, item_at long, key long, item_tokens long, item_windows long, item_slots array<string>")
+    kept = items.select("verbatim", "width").distinct().collect()  # at most WIDTH of either kind
+    widths, verbatim = ([r["width"] for r in sorted(kept) if r["verbatim"] is v] for v in (False, True))
     bits = bit_table(items, "key")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in batches:
-            made, size, first = [], 0, 0
+            made, plain, size, first = [], [], 0, 0
             for k, t in enumerate(text_of(batch.column(2))):
                 made.append(templates.of(t))
+                if verbatim:
+                    plain.append(templates.words(t))
                 size += len(made[-1][0])
                 if size > CHUNK or k == len(batch) - 1:
-                    at, places, keys, values = _hits(made, widths, bits)
-                    take = pa.array(at + first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places), pa.array(signed(keys)), pa.array(values, pa.list_(pa.string()))],
-                                                     names=["doc_id", "row_key", "doc_at", "key", "doc_slots"])
-                    made, size, first = [], 0, k + 1
+                    for at, places, keys, values in (_hits(made, widths, bits), *([_hits(plain, verbatim, bits, every_window)] if verbatim else [])):
+                        take = pa.array(at + first)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places), pa.array(signed(keys)), pa.array(values, pa.list_(pa.string()))],
+                                                         names=["doc_id", "row_key", "doc_at", "key", "doc_slots"])
+                    made, plain, size, first = [], [], 0, k + 1
 
     keyed = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     hits = keyed.transform(arrow_map, rows, f"doc_id {kinds[0]}, row_key long, doc_at long, key long, doc_slots array<string>")
@@ -184,5 +215,6 @@ def row_key(doc_id: str, text: str):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a leaked item; columns as they were."""
-    bad = leaks(docs, benchmark, doc_id, text).select(F.col("row_key").alias("__key")).distinct()
-    return without(docs.withColumn("__key", row_key(doc_id, text)), bad, "__key").drop("__key")
+    key = free_name(docs, "key")
+    bad = leaks(docs, benchmark, doc_id, text).select(F.col("row_key").alias(key)).distinct()
+    return without(docs.withColumn(key, row_key(doc_id, text)), bad, key).drop(key)

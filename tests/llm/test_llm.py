@@ -234,6 +234,27 @@ def test_secrets_are_masked(text):
     assert "Zx81!kLm29Qr" not in secret_scan.masked(text, secret_scan.scan(text)[1])
 
 
+def test_items_of_any_length_are_found_verbatim(spark):
+    rng, stock = random.Random(5), "what is the Anna Berlin 17 23 times 3 km has apples of Paris 1990 and 12% sum".split()
+    texts = ["What is 17 times 23?", "Today Anna has 12 apples.", "Anna Berta Carl Dora Emil Fritz Gerd Hans met 12 13 14 15 16 times"]
+    texts += [" ".join(rng.choice(stock) for _ in range(n)) for n in range(1, 13) for _ in range(4)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    asked = spark.createDataFrame([(k, f"filler here before Then {t} and so on after it", "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, __key string, hit int")
+    words = lambda t: [w for w in (r.strip(decontam.EDGE).lower() for r in t.split()) if w]
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(asked, bench).collect()}
+    plain = [bool((decontam.Templates().of(t)[0] > 3).any()) for t in texts]
+    assert {(k, k) for k, p in enumerate(plain) if p and k < 3} <= found and sum(plain) > 40
+    # those met word by word are found where, and only where, their words stand next to each other
+    for k, t in enumerate(texts):
+        hashes, slots = decontam.Templates().of(t)
+        if plain[k] and not len(decontam.found_windows(hashes, slots, decontam.item_width(len(hashes)))[0]) and len(words(t)) <= decontam.WIDTH:
+            own = words(t)
+            held = {d for d, other in enumerate(texts) if any(w[i:i + len(own)] == own for w in [words(f"filler here before Then {other} and so on after it")] for i in range(len(w)))}
+            assert {d for d, item in found if item == k} == held, t
+    left = decontam.decontaminate(asked, bench)
+    assert left.columns == asked.columns and not {r["doc_id"] for r in left.collect()} & {d for d, _ in found}
+
+
 def test_secret_strings():
     left = lambda text: secret_scan.masked(text, secret_scan.scan(text)[1], "*")
     assert left(r'client_secret = "Zx81!k\"Lm29Qr";') == 'client_secret = "*";'
