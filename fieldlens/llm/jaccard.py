@@ -12,7 +12,8 @@ Documents with equal shingle sets form a class; all work is on classes. A pair i
    the sizes fit, and both have enough shingles after it. Only such groups are opened; their members are compared exactly.
 5. New links join the first ones; the smallest doc_id of a component names it.
 
-Only the sets of classes that take part in a comparison are shuffled; a bit table of fixed size tells a task which.
+Only the sets of classes that take part in a comparison are made again and shuffled; every class is asked for by the hash
+of one of its texts, and a bit table of fixed size tells a task which texts are meant.
 Shingles and classes are known by 64-bit hashes. No cap anywhere: the sketch and the min-hash keys only steer how much
 work is done.
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldlens.llm.base import arrow_map, bit_table, components, hit, in_bits, mix, signed, stored, text_of, windows, WordHash
+from fieldlens.llm.base import CACHE, arrow_map, bit_table, components, hit, in_bits, mix, signed, stored, text_of, windows, WordHash
 
 WIDTH = 5
 NUM, DEN = 80, 100
@@ -68,9 +69,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common source of near copies has the highest.
     """
     seen, sketch, kind = WordHash(), np.zeros(1 << SKETCH_LOG, np.int64), pa.int64()
-    names = ["doc_id", "class", "n", "keys", "typical", "block", "counts"]
+    names = ["doc_id", "of_text", "class", "n", "keys", "typical", "block", "counts"]
 
-    def out(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def out(ids: pa.Array, texts: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         keys = [class_key(s) if len(s) else None for s in sets]
         flat = np.concatenate([np.zeros(0, np.uint64), *{k: s for k, s in zip(keys, sets, strict=True) if k is not None}.values()])
         flat.sort()
@@ -81,23 +82,24 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mins = [[] if x is None else [xxhash.xxh3_64_intdigest(x[k].tobytes(), n) - (1 << 63) for n, k in enumerate(KEYS)] for x in lows]
         share = [float((values[np.minimum(np.searchsorted(values, s), len(values) - 1)] == s).mean()) if len(s) and len(values) else 0.0 for s in sets]
         none = [None] * len(sets)
-        return pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(mins, pa.list_(pa.int64())),
+        return pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(mins, pa.list_(pa.int64())),
                                            pa.array(share, pa.float64()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], names=names)
 
-    ids, sets, size = [], [], 0
+    ids, texts, sets, size = [], [], [], 0
     for batch in batches:
         kind = batch.schema.field(0).type
-        for doc, text in zip(batch.column(0).to_pylist(), text_of(batch.column(1)), strict=True):
+        for doc, text, of_text in zip(batch.column(0).to_pylist(), text_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             ids.append(doc)
+            texts.append(of_text)
             sets.append(shingles(text, seen))
             size += len(sets[-1])
             if size > CHUNK:
-                yield out(pa.array(ids, kind), sets)
-                ids, sets, size = [], [], 0
-    yield out(pa.array(ids, kind), sets)
+                yield out(pa.array(ids, kind), texts, sets)
+                ids, texts, sets, size = [], [], [], 0
+    yield out(pa.array(ids, kind), texts, sets)
     blocks = [b for b in range(len(sketch) // _BLOCK) if sketch[b * _BLOCK:(b + 1) * _BLOCK].any()]
     none = [None] * len(blocks)
-    yield pa.RecordBatch.from_arrays([pa.array(none, kind), *[pa.array(none, t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())], pa.array(blocks, pa.int32()),
+    yield pa.RecordBatch.from_arrays([pa.array(none, kind), *[pa.array(none, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())], pa.array(blocks, pa.int32()),
                                       pa.array([zlib.compress(sketch[b * _BLOCK:(b + 1) * _BLOCK].astype(np.uint32).tobytes(), 1) for b in blocks], pa.binary())], names=names)
 
 
@@ -119,23 +121,26 @@ def _ranks(profiles: DataFrame) -> np.ndarray:
     return np.minimum(4 * np.log2(out + 1), 127).astype(np.uint8)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that are similar enough: sets are made anew for the classes in ``pairs`` only."""
-    bits = bit_table(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))), "k")
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that are similar enough: one text of every class in ``pairs`` is made to a set anew, no other text."""
+    asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    bits = bit_table(classes.join(asked, "class", "left_semi"), "of_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, done = WordHash(), set()
         for batch in batches:
             keys, data = [], []
-            for text in text_of(batch.column(0)):
+            for text in text_of(batch.filter(pa.array(in_bits(bits, batch.column(1).to_numpy()))).column(0)):
                 own = shingles(text, seen)
-                if len(own) and (key := class_key(own)) not in done and in_bits(bits, np.array([key]))[0]:
+                if len(own) and (key := class_key(own)) not in done:
+                    if len(done) >= CACHE:
+                        done.clear()
                     done.add(key)
                     keys.append(key)
                     data.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["k", "own"])
 
-    own = docs.select("text").transform(arrow_map, sets, "k long, own binary").dropDuplicates(["k"])
+    own = docs.select("text", F.xxhash64("text").alias("of_text")).transform(arrow_map, sets, "k long, own binary").dropDuplicates(["k"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,10 +161,10 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id, class (key of the shingle set), n_in_class and root (a class that stands for the component) of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    profiles = stored(docs.transform(arrow_map, _profiles, f"doc_id {kind}, class long, n long, keys array<long>, typical double, block int, counts binary"))
-    rows = profiles.where("block is null").select("doc_id", "class", "n", "keys", "typical")
+    profiles = stored(docs.withColumn("of_text", F.xxhash64("text")).transform(arrow_map, _profiles, f"doc_id {kind}, of_text long, class long, n long, keys array<long>, typical double, block int, counts binary"))
+    rows = profiles.where("block is null").select("doc_id", "of_text", "class", "n", "keys", "typical")
     ranks = _ranks(profiles)
-    classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.max("typical").alias("typical"), F.count("*").alias("copies"), F.min("doc_id").alias("low"))
+    classes = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.max("typical").alias("typical"), F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min("of_text").alias("of_text"))
     classes = stored(classes)
 
     # first groups: members of a min-hash key against its most typical class
@@ -167,7 +172,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heads = keyed.groupBy("key").agg(F.max(F.struct("typical", "class", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
     stars = keyed.join(heads, "key").where(F.col("class") != F.col("head.class")).where(_sizes_fit("n", "head.n"))
     stars = stored(stars.select(F.col("class").alias("a"), F.col("head.class").alias("b")).distinct())
-    links = stored(_verified(docs, stars))
+    links = stored(_verified(docs, classes, stars))
 
     # token unions of groups
     members = _grouped(classes, links)
@@ -186,7 +191,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     opened = bound.select("class", "n", "other", F.col("grp")).distinct()
     inside = members.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("other"), "grp")
     pairs = opened.join(inside, ["other", "grp"]).where(_sizes_fit("n", "n_b")).select(F.col("class").alias("a"), "b").distinct()
-    links = links.unionByName(_verified(docs, stored(pairs)))
+    links = links.unionByName(_verified(docs, classes, stored(pairs)))
     roots = components(links, "a", "b")
 
     # the smallest id of every component, back to the rows
