@@ -121,6 +121,15 @@ def _ranks(profiles: DataFrame) -> np.ndarray:
     return np.minimum(4 * np.log2(out + 1), 127).astype(np.uint8)
 
 
+def _gaps(own: np.ndarray) -> bytes:
+    """A sorted set as its gaps, byte by byte: the first bytes are zeros that a shuffle compresses away."""
+    return np.diff(own, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that are similar enough: one text of every class in ``pairs`` is made to a set anew, no other text."""
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
@@ -137,7 +146,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                         done.clear()
                     done.add(key)
                     keys.append(key)
-                    data.append(own.tobytes())
+                    data.append(_gaps(own))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["k", "own"])
 
     own = docs.select("text", F.xxhash64("text").alias("of_text")).transform(arrow_map, sets, "k long, own binary").dropDuplicates(["k"])
@@ -146,7 +155,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("own_a").to_pylist(), batch.column("own_b").to_pylist(), strict=True):
-                left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                left, right = _from_gaps(x), _from_gaps(y)
                 both = np.concatenate([left, right])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
@@ -169,8 +178,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # first groups: members of a min-hash key against its most typical class
     keyed = classes.select("class", "n", "typical", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.max(F.struct("typical", "class", "n")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    stars = keyed.join(heads, "key").where(F.col("class") != F.col("head.class")).where(_sizes_fit("n", "head.n"))
+    heads = stored(keyed.groupBy("key").agg(F.max(F.struct("typical", "class", "n")).alias("head"), F.count("*").alias("m")).where("m > 1"))
+    stars = keyed.where(hit(bit_table(heads, "key"), F.col("key"))).join(heads, "key").where(F.col("class") != F.col("head.class")).where(_sizes_fit("n", "head.n"))
     stars = stored(stars.select(F.col("class").alias("a"), F.col("head.class").alias("b")).distinct())
     links = stored(_verified(docs, classes, stars))
 
