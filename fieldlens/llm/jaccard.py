@@ -9,7 +9,8 @@ Documents with equal shingle sets form a class; all work is on classes. A pair i
 3. Token-group matrix: shingles are ordered from rare to frequent (by the sketch). Similar sets must share one of their
    first n - ceil(0.8 n) + 1 shingles, so these are all a group has to store: its token union with the sizes of its classes.
 4. Bound: a class can only be similar to a member of a foreign group if one of its own first shingles is in the union,
-   the sizes fit, and both have enough shingles after it. Only such groups are opened; their members are compared exactly.
+   the sizes fit, and both have enough shingles after it. Only such groups are opened; their members are compared, first by
+   the leading bits of the hashes of their shingles (which can only overrate a pair), what is left exactly.
 5. New links join the first ones; the smallest doc_id of a component names it.
 
 Only the sets of classes that take part in a comparison are made again and shuffled; every class is asked for by the hash
@@ -42,6 +43,7 @@ KEYS = [*[range(k, k + 2) for k in range(0, 10, 2)], *[range(k, k + 4) for k in
 GROUP = 64
 SKETCH_LOG = 22
 _BLOCK = 1 << 14
+SHORT = 24  # leading bits of a shingle's hash in the first look at opened pairs
 CHUNK = 2_000_000  # shingles held at a time
 _ODD = mix(np.arange(1, 25, dtype=np.uint64)) | np.uint64(1)
 
@@ -130,15 +132,19 @@ def _from_gaps(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that are similar enough: one text of every class in ``pairs`` is made to a set anew, no other text."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, kept_bits: int = 64) -> DataFrame:
+    """Pairs (a, b) of classes that are similar enough: one text of every class in ``pairs`` is made to a set anew, no other text.
+
+    With fewer ``kept_bits`` the sets travel as leading bits of their hashes, and what comes back are the pairs that may be
+    similar enough: shingles that fall together count as shared, so no link is lost.
+    """
     asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     bits = bit_table(classes.join(asked, "class", "left_semi"), "of_text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, done = WordHash(), set()
         for batch in batches:
-            keys, data = [], []
+            keys, sizes, data = [], [], []
             for text in text_of(batch.filter(pa.array(in_bits(bits, batch.column(1).to_numpy()))).column(0)):
                 own = shingles(text, seen)
                 if len(own) and (key := class_key(own)) not in done:
@@ -146,23 +152,24 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
                         done.clear()
                     done.add(key)
                     keys.append(key)
-                    data.append(_gaps(own))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["k", "own"])
+                    sizes.append(len(own))
+                    data.append(_gaps(np.unique(own >> np.uint64(64 - kept_bits))))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["k", "n", "own"])
 
-    own = docs.select("text", F.xxhash64("text").alias("of_text")).transform(arrow_map, sets, "k long, own binary").dropDuplicates(["k"])
+    own = docs.select("text", F.xxhash64("text").alias("of_text")).transform(arrow_map, sets, "k long, n long, own binary").dropDuplicates(["k"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("own_a").to_pylist(), batch.column("own_b").to_pylist(), strict=True):
+            for x, y, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in ("own_a", "own_b", "n_a", "n_b")), strict=True):
                 left, right = _from_gaps(x), _from_gaps(y)
                 both = np.concatenate([left, right])
                 both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(DEN * shared >= NUM * (len(left) + len(right) - shared))
+                shared = int((both[1:] == both[:-1]).sum()) + min(n_a - len(left), n_b - len(right))
+                keep.append(DEN * shared >= NUM * (n_a + n_b - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    a, b = own.select(F.col("k").alias("a"), F.col("own").alias("own_a")), own.select(F.col("k").alias("b"), F.col("own").alias("own_b"))
+    a, b = (own.select(F.col("k").alias(c), F.col("own").alias(f"own_{c}"), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").transform(arrow_map, check, "a long, b long")
 
 
@@ -200,7 +207,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     opened = bound.select("class", "n", "other", F.col("grp")).distinct()
     inside = members.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("other"), "grp")
     pairs = opened.join(inside, ["other", "grp"]).where(_sizes_fit("n", "n_b")).select(F.col("class").alias("a"), "b").distinct()
-    links = links.unionByName(_verified(docs, classes, stored(pairs)))
+    likely = stored(_verified(docs, classes, stored(pairs), SHORT))
+    links = links.unionByName(_verified(docs, classes, likely))
     roots = components(links, "a", "b")
 
     # the smallest id of every component, back to the rows
