@@ -368,6 +368,32 @@ def test_kneser_ney_word_salad(spark):
     assert all(joined[k] == pytest.approx(r["perplexity"]) for k, r in got.items())
 
 
+def test_kneser_ney_stores_no_text_and_frees_its_shuffles(spark, monkeypatch):
+    made = [(k, words(k, 60), "en") for k in range(30)]
+    every = spark.createDataFrame([*made, *made[:2], (None, words(70, 60), None), (71, None, "en")], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(k,) for k in range(20)], "doc_id long")
+    kept, store = [], kneser_ney.stored
+    monkeypatch.setattr(kneser_ney, "stored", lambda df: kept.append(df.columns) or store(df))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    one, many = (sorted(map(str, ((r["doc_id"], r["kept"], r["trusted"], r["perplexity"] and round(r["perplexity"], 6)) for r in kneser_ney.classify(every, ids, parts=n).collect()))) for n in (1, 3))
+    assert one == many and len(one) == 34
+    assert not any("text" in c for c in kept) and spark.conf.get(name, None) == before
+
+
+def test_kneser_ney_short_texts_together(spark):
+    texts = [words(k, 5) for k in range(40)] + ["", None, " ", "x", words(50, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    tables = kneser_ney.train(docs.where("k < 20").select("text"))
+    model = kneser_ney.Lookup({n: [tuple(r) for r in tables[n].select("g", "p", "back").collect()] for n in range(5)}, 4)
+    each = [kneser_ney._perplexities(model, [t or ""], 4)[0] for t in texts]
+    met = {r["k"]: r["perplexity"] for r in kneser_ney.perplexities(docs, tables, most_rows=0).collect()}
+    for step in (1, 100, 1 << 18):
+        got = kneser_ney._perplexities(model, [t or "" for t in texts], 4, step)
+        assert all(a == pytest.approx(b) if b else a is None for a, b in zip(got, each, strict=True))
+        assert all(a == pytest.approx(met[k]) if a else met[k] is None for k, a in enumerate(got))
+
+
 def test_wrappers(spark):
     def page(k, body, head="Menu item"):
         return (f"<html><head><title>t{k}</title><style>p{{}}</style></head><body><header>{head}</header><nav><a href='/'>Home</a></nav><div class='top'>Same on all pages</div>"
