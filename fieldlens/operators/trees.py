@@ -216,7 +216,8 @@ def with_ancestors(nodes: DataFrame, match: Column, doc_id: str) -> DataFrame:
     """Matching nodes plus every ancestor of one (``node_id`` and ``ancestors`` columns)."""
     hits = nodes.filter(match)
     keep = hits.select(doc_id, F.explode(F.concat("ancestors", F.array("node_id"))).alias("node_id")).distinct()
-    return nodes.join(keep, [doc_id, "node_id"], "left_semi")
+    # as many rows as there are nodes, though narrow ones: they never travel through the driver
+    return nodes.join(keep.hint("merge"), [doc_id, "node_id"], "left_semi")
 
 
 def filter_node_type(nodes: DataFrame, kind: str, doc_id: str) -> DataFrame:
