@@ -25,6 +25,10 @@ _ARROW = {
     "array<string>": pa.list_(pa.string()),
 }
 BATCH_ROWS = 20_000
+LARGE_TEXT = 1 << 20  # characters of a document that is read as events, without its tree, where the wanted columns allow it
+READ_CHARS = 1 << 16
+# what is known of a node before the nodes after it are read
+EVENT_COLUMNS = frozenset(("node_id", "parent_id", "pos", "depth", "path", "occ_path", "tag", "kind", "value", "attrs", "tag_occ", "pos_path"))
 # what the leaf tables and the validation rules read
 LEAF_COLUMNS = ("node_id", "path", "occ_path", "kind", "value", "path_last")
 RULE_COLUMNS = ("path", "tag", "kind", "value", "attrs", "child_tags", "tag_occ", "tag_total")
@@ -38,13 +42,18 @@ _NO_TAGS: list[str] = []
 _NO_ATTRS: dict[str, str] = {}
 
 
+def _malformed(exc: Exception, pairing: bool) -> tuple:
+    pad = (None,) * len(PAIR_FIELDS) if pairing else ()
+    return (0, None, 0, 0, "", "", "Document", "parse_error", f"XML parsing error: {exc}", {}, [], [], 0, 1, 1, *pad)
+
+
 def _node_rows(xml: str, pairing: bool, keep_ns: bool) -> list[tuple]:
     """Rows of one document in document order; one parse_error row when it is malformed."""
     pad = (None,) * len(PAIR_FIELDS) if pairing else ()
     try:
         root = ET.fromstring(xml)
     except (ET.ParseError, TypeError, ValueError) as exc:
-        return [(0, None, 0, 0, "", "", "Document", "parse_error", f"XML parsing error: {exc}", {}, [], [], 0, 1, 1, *pad)]
+        return [_malformed(exc, pairing)]
     name = (lambda t: t) if keep_ns else _local
     totals: dict[str, int] = {}
     for e in root.iter():
@@ -103,6 +112,86 @@ def _node_rows(xml: str, pairing: bool, keep_ns: bool) -> list[tuple]:
     return rows
 
 
+class _Unread:
+    """Events that nobody looks at: what is left of a parse is whether the text is well-formed."""
+
+
+class _Events:
+    """Rows of the elements read so far, in document order; open elements are all that is kept. An element's row follows when its text is known."""
+
+    def __init__(self, pairing: bool, keep_ns: bool, attributes: bool) -> None:
+        self.rows: list[tuple] = []
+        self._attributes = attributes
+        self._name = (lambda t: t) if keep_ns else _local
+        self._keep_ns, self._pairing = keep_ns, pairing
+        self._seen: dict[str, int] = {}
+        self._next = 0
+        self._text: list[str] = []
+        self._open: list[list] = []  # id, path, occurrence path, position path, children so far, those of each tag
+        self._waiting: tuple | None = None  # the element read last, until its text ends
+
+    def start(self, tag: str, attrib: dict[str, str]) -> None:
+        self._told()
+        tag = self._name(tag)
+        attrs = dict(attrib) if self._keep_ns else {_local(k): v for k, v in attrib.items()}
+        if self._open:
+            above = self._open[-1]
+            parent_id, parent, parent_occ, parent_pos, pos = above[0], f"{above[1]}/", f"{above[2]}/", above[3], above[4]
+            above[4] += 1
+            occ = above[5][tag] = above[5].get(tag, 0) + 1
+        else:
+            parent_id, parent, parent_occ, parent_pos, pos, occ = None, "", "", "", 0, 1
+        me = self._next
+        self._next += 1 + len(attrs)
+        self._seen[tag] = self._seen.get(tag, 0) + 1
+        path, occ_path, pos_path = f"{parent}{tag}", f"{parent_occ}{tag}[{occ}]", f"{parent_pos}/{pos}" if self._pairing else ""
+        self._waiting = (me, parent_id, pos, len(self._open), path, occ_path, tag, attrs, self._seen[tag], pos_path)
+        self._open.append([me, path, occ_path, pos_path, 0, {}])
+
+    def data(self, text: str) -> None:
+        if self._waiting is not None:
+            self._text.append(text)
+
+    def end(self, tag: str) -> None:
+        self._told()
+        self._open.pop()
+
+    def _told(self) -> None:
+        if self._waiting is None:
+            return
+        me, parent_id, pos, depth, path, occ_path, tag, attrs, occ, pos_path = self._waiting
+        text = "".join(self._text).strip() or None
+        none = (None,) * len(PAIR_FIELDS) if self._pairing else ()
+        self.rows.append((me, parent_id, pos, depth, path, occ_path, tag, "element", text, attrs or _NO_ATTRS, None, None, None, occ, None,
+                          *((pos_path, *none[1:]) if self._pairing else ())))
+        for i, (attr, value) in enumerate(attrs.items() if self._attributes else (), me + 1):
+            self.rows.append((i, me, -1, depth + 1, f"{path}/@{attr}", f"{occ_path}/@{attr}", f"@{attr}", "attribute", value, _NO_ATTRS, None, None, None, 1, None, *none))
+        self._waiting, self._text = None, []
+
+
+def _event_rows(xml: str, pairing: bool, keep_ns: bool, attributes: bool = True) -> Iterator[list[tuple]]:
+    """The ``EVENT_COLUMNS`` of ``_node_rows`` a piece of the document at a time, the others null."""
+    try:
+        parser = ET.XMLParser(target=_Unread())
+        for at in range(0, len(xml), READ_CHARS):
+            parser.feed(xml[at:at + READ_CHARS])
+        parser.close()
+    except ET.ParseError as exc:
+        yield [_malformed(exc, pairing)]
+        return
+    except ValueError:  # a text that is none, found before anything is parsed
+        yield _node_rows(xml, pairing, keep_ns)
+        return
+    events = _Events(pairing, keep_ns, attributes)
+    parser = ET.XMLParser(target=events)
+    for at in range(0, len(xml), READ_CHARS):
+        parser.feed(xml[at:at + READ_CHARS])
+        found, events.rows = events.rows, []
+        yield found
+    parser.close()
+    yield events.rows
+
+
 def _mark_last(rows: list[tuple]) -> list[tuple]:
     """Appends whether a row is the last one of its path with a value."""
     last = {row[4]: i for i, row in enumerate(rows) if row[8] is not None}
@@ -121,13 +210,14 @@ def _pair_key(elem: ET.Element, tag: str, index: int, name) -> str:
 
 
 def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing: bool = False, keep_ns: bool = False,
-                columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per element and attribute of every document, in document order.
+                columns: Sequence[str] | None = None, attributes: bool = True) -> DataFrame:
+    """One row per element and, unless ``attributes`` is false, per attribute of every document, in document order.
 
     Each element carries its attributes, child tags and tag counts, so that rules about a
     node and its surroundings need neither a join nor a shuffle. A malformed document gives
     one row of kind ``parse_error``. ``pairing`` adds the keys used to compare documents.
-    ``columns`` names the ones wanted; the others are not handed over to Spark.
+    ``columns`` names the ones wanted; the others are not handed over to Spark. With none but ``EVENT_COLUMNS`` a large document is
+    read as events: memory does not grow with it.
     """
     with_last = columns is not None and LAST_FIELD[0] in columns
     every = NODE_FIELDS + (PAIR_FIELDS if pairing else ()) + ((LAST_FIELD,) if with_last else ())
@@ -135,21 +225,28 @@ def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing
     index = [every.index(f) for f in fields]
     id_type = df.schema[doc_id].dataType.simpleString()
     schema = f"{doc_id} {id_type}, " + ", ".join(f"{n} {t}" for n, t in fields)
+    by_events = all(n in EVENT_COLUMNS for n, _ in fields)
+
+    def pieces(text):
+        if by_events and text is not None and len(text) > LARGE_TEXT:
+            yield from _event_rows(text, pairing, keep_ns, attributes)
+            return
+        found = _node_rows(text, pairing, keep_ns)
+        found = _mark_last(found) if with_last else found
+        yield found if attributes else [r for r in found if r[7] != "attribute"]
 
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             owner: list[int] = []
             rows: list[tuple] = []
-            for i, text in enumerate(texts.to_pylist()):
-                found = _node_rows(text, pairing, keep_ns)
-                if with_last:
-                    found = _mark_last(found)
-                owner.extend([i] * len(found))
-                rows += found
-                if len(rows) >= BATCH_ROWS:
-                    yield _to_batch(ids, owner, rows, fields, index)
-                    owner, rows = [], []
+            for i, text in enumerate(texts):
+                for found in pieces(text.as_py()):
+                    owner.extend([i] * len(found))
+                    rows += found
+                    if len(rows) >= BATCH_ROWS:
+                        yield _to_batch(ids, owner, rows, fields, index)
+                        owner, rows = [], []
             if rows:
                 yield _to_batch(ids, owner, rows, fields, index)
 

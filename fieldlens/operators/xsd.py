@@ -19,6 +19,7 @@ from fieldlens.session import checkpoint
 
 INHERITANCE = ("base_then_derived", "derived_only", "extension_only", "restriction_sequence")
 ATTRIBUTE_SLOT = 1_000_000_000
+NODE_COLUMNS = ("node_id", "parent_id", "pos", "depth", "path", "pos_path", "tag", "kind", "attrs", "value")
 
 
 def attr(name: str) -> Column:
@@ -27,7 +28,7 @@ def attr(name: str) -> Column:
 
 def schema_nodes(docs: DataFrame, doc_id: str = "schema_id", text: str = "text") -> DataFrame:
     """Node table of XSD texts: elements, attributes, types, compositors, facets, annotations."""
-    nodes = flatten_xml(docs, doc_id, text, pairing=True).filter(F.col("kind") == "element")
+    nodes = flatten_xml(docs, doc_id, text, pairing=True, columns=NODE_COLUMNS, attributes=False).filter(F.col("kind") == "element")
     return nodes.select(doc_id, "node_id", "parent_id", "pos", "depth", "path", "pos_path", "tag", "attrs", F.coalesce("value", F.lit("")).alias("value"))
 
 
