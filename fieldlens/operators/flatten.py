@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator, Sequence
+from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -210,14 +211,14 @@ def _pair_key(elem: ET.Element, tag: str, index: int, name) -> str:
 
 
 def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing: bool = False, keep_ns: bool = False,
-                columns: Sequence[str] | None = None, attributes: bool = True) -> DataFrame:
+                columns: Sequence[str] | None = None, attributes: bool = True, tags: Collection[str] | None = None) -> DataFrame:
     """One row per element and, unless ``attributes`` is false, per attribute of every document, in document order.
 
     Each element carries its attributes, child tags and tag counts, so that rules about a
     node and its surroundings need neither a join nor a shuffle. A malformed document gives
     one row of kind ``parse_error``. ``pairing`` adds the keys used to compare documents.
     ``columns`` names the ones wanted; the others are not handed over to Spark. With none but ``EVENT_COLUMNS`` a large document is
-    read as events: memory does not grow with it.
+    read as events: memory does not grow with it. With ``tags`` only elements of these tags are handed over, beside parse errors.
     """
     with_last = columns is not None and LAST_FIELD[0] in columns
     every = NODE_FIELDS + (PAIR_FIELDS if pairing else ()) + ((LAST_FIELD,) if with_last else ())
@@ -225,7 +226,8 @@ def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing
     index = [every.index(f) for f in fields]
     id_type = df.schema[doc_id].dataType.simpleString()
     schema = f"{doc_id} {id_type}, " + ", ".join(f"{n} {t}" for n, t in fields)
-    by_events = all(n in EVENT_COLUMNS for n, _ in fields)
+    by_events = tags is None and all(n in EVENT_COLUMNS for n, _ in fields)
+    wanted = None if tags is None else frozenset(tags)
 
     def pieces(text):
         if by_events and text is not None and len(text) > LARGE_TEXT:
@@ -233,6 +235,8 @@ def flatten_xml(df: DataFrame, doc_id: str = "msg_id", xml: str = "xml", pairing
             return
         found = _node_rows(text, pairing, keep_ns)
         found = _mark_last(found) if with_last else found
+        if wanted is not None:
+            found = [r for r in found if r[6] in wanted or r[7] == "parse_error"]
         yield found if attributes else [r for r in found if r[7] != "attribute"]
 
     def run(batches):
@@ -363,37 +367,7 @@ def differing_nodes(pairs: DataFrame, doc_id: str = "msg_id", left: str = "left"
     return pairs.select(doc_id, left, right).mapInArrow(run, schema)
 
 
-def leaf_vector(df: DataFrame, paths: Sequence[str], doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
-    """(doc_id, vals array<string>, rest array<struct<path, value>>): one row per well-formed document with a value.
-
-    ``vals`` holds the last value of each of ``paths`` (null without one), ``rest`` the last value of every other path.
-    """
-    at = {p: i for i, p in enumerate(paths)}
-    schema = f"{doc_id} {df.schema[doc_id].dataType.simpleString()}, vals array<string>, rest array<struct<path: string, value: string>>"
-    kinds = [pa.list_(pa.string()), pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())]))]
-
-    def run(batches):
-        for batch in batches:
-            owner, vals, rest = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = _leaf_values(text)
-                if found:
-                    owner.append(i)
-                    mine: list[str | None] = [None] * len(paths)
-                    other = []
-                    for path, value in found.items():
-                        if path in at:
-                            mine[at[path]] = value
-                        else:
-                            other.append({"path": path, "value": value})
-                    vals.append(mine)
-                    rest.append(other)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(vals, kinds[0]), pa.array(rest, kinds[1])], ["id", "vals", "rest"])
-
-    return df.select(doc_id, xml).mapInArrow(run, schema)
-
-
-def _leaf_values(xml: str | None) -> dict[str, str]:
+def leaf_values(xml: str | None) -> dict[str, str]:
     """Last value of every path of a document; empty when it is malformed."""
     try:
         root = ET.fromstring(xml)
@@ -462,10 +436,6 @@ def node_summary(prefix: str = "") -> Column:
 
 # ---- back to text ------------------------------------------------------------------
 
-def _escape(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
 def rebuild_xml(rows: DataFrame, doc_id: str = "msg_id", order: str = "ord", path: str = "path", value: str = "value") -> DataFrame:
     """Leaf rows to one XML text per document: (doc_id, xml).
 
@@ -480,30 +450,90 @@ def rebuild_xml(rows: DataFrame, doc_id: str = "msg_id", order: str = "ord", pat
 
 def render_leaves(df: DataFrame, rows: Column, doc_id: str = "msg_id") -> DataFrame:
     """The same for documents whose leaf rows are one array of structs with ``path`` and ``value``, in order: (doc_id, xml), without a shuffle."""
-    leaf = F.transform(rows, lambda r: F.struct(
-        F.regexp_replace(r["path"], "/@[^/]+$", "").alias("p"), F.regexp_extract(r["path"], "/@([^/]+)$", 1).alias("name"),
-        _escape(F.coalesce(r["value"], F.lit(""))).alias("t")))
-    filled = df.filter(F.size(rows) > 0).select(doc_id, leaf.alias("r"))
-    # an attribute row belongs to the row before it when that has its element
-    first = filled.withColumn("s", F.expr("filter(sequence(0, size(r) - 1), i -> i = 0 or r[i].name = '' or r[i].p <> r[i - 1].p)"))
-    attrs = """array_join(transform(filter(slice(r, s[k] + 1, coalesce(get(s, k + 1), size(r)) - s[k]), a -> a.name <> ''),
-        a -> concat(' ', a.name, '="', replace(a.t, '"', '&quot;'), '"')), '')"""
-    return _rendered(first.withColumn("l", F.expr(
-        f"transform(s, (i, k) -> struct(split(r[i].p, '/') as parts, if(r[i].name = '', r[i].t, '') as t, {attrs} as attrs))")), doc_id)
-
-
-def _rendered(numbered: DataFrame, doc_id: str) -> DataFrame:
-    """Text of documents whose elements are in the array ``l``: path parts, escaped text, attributes."""
-    # how many parts stay open between a row and the one before it
-    common = """aggregate(sequence(1, greatest(least(size({a}), size({b}) - 1), 1)), 0,
-        (n, k) -> if(n = k - 1 and k <= least(size({a}), size({b}) - 1) and {a}[k - 1] = {b}[k - 1], k, n))"""
-    keep = common.format(a="l[i - 1].parts", b="x.parts")
-    bare = "regexp_replace({}, '\\\\[[0-9]+\\\\]$', '')"
-    close = "array_join(transform(reverse(slice({p}, {k} + 1, size({p}))), q -> concat('</', " + bare.format("q") + ", '>')), '')"
-    fragments = numbered.withColumn("l", F.expr(f"transform(l, (x, i) -> struct(x.parts, x.t, x.attrs, if(i = 0, 0, {keep}) as k))"))
-    text = F.expr(f"""concat(array_join(transform(l, (x, i) -> concat(
-        if(i = 0, '', {close.format(p='l[i - 1].parts', k='x.k')}),
-        array_join(transform(slice(x.parts, x.k + 1, size(x.parts)), (q, n) -> concat('<', {bare.format('q')},
-            if(x.k + n + 1 = size(x.parts), x.attrs, ''), '>')), ''), x.t)), ''),
-        {close.format(p='l[size(l) - 1].parts', k='0')})""")
-    return fragments.select(doc_id, text.alias("xml"))
+    # a document's rows travel as two flat arrays; what lies between two paths is worked out once and looked up after that
+    filled = df.filter(F.size(rows) > 0).select(doc_id, rows.alias("l")).select(
+        doc_id, F.col("l")["path"].cast("array<string>").alias("p"), F.col("l")["value"].cast("array<string>").alias("v"))
+    schema = f"{doc_id} {df.schema[doc_id].dataType.simpleString()}, xml string"
+
+    def run(batches):
+        render = _Renderer()
+        for batch in batches:
+            ids, lists = batch.column(0), batch.column(1)
+            paths, values = lists.values.to_pylist(), batch.column(2).values.to_pylist()
+            # the two have the same lengths, not always the same offsets
+            ends, others = lists.offsets.to_pylist(), batch.column(2).offsets.to_pylist()
+            texts = [render(paths[a:b], values[c:d]) for a, b, c, d in zip(ends, ends[1:], others, others[1:])]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], ["id", "xml"])
+
+    return filled.mapInArrow(run, schema)
+
+
+class _Renderer:
+    """XML text of leaf rows. Steps between paths are kept, as many as a schema has and no more than ``MOST``."""
+
+    MOST = 100_000
+
+    def __init__(self) -> None:
+        self._paths: dict[str, tuple[str, str]] = {}
+        self._steps: dict[tuple[str | None, str], str] = {}
+        self._ends: dict[str, str] = {}
+
+    def __call__(self, paths: list[str | None], values: list[str | None]) -> str | None:
+        out: list[str] = []
+        before = text = None  # element of the row before, text of the element that is open
+        for path, value in zip(paths, values):
+            if path is None:
+                continue
+            known = self._paths.get(path) or self._path(path)
+            elem, name = known
+            value = _escaped(value) if value else ""
+            if before is None or not name or elem != before:
+                if text is not None:
+                    out += (">", text)
+                step = self._steps.get((before, elem))
+                out.append(self._step(before, elem) if step is None else step)
+                text = "" if name else value
+            if name:
+                out.append(f' {name}="{value.replace(chr(34), "&quot;")}"')
+            before = elem
+        if before is None:
+            return None
+        return "".join((*out, ">", text, self._end(before)))
+
+    def _path(self, path: str) -> tuple[str, str]:
+        """The path's element, and the name of its attribute."""
+        at = path.rfind("/@")
+        name = path[at + 2:] if at >= 0 else ""
+        found = (path[:at], name) if name and "/" not in name else (path, "")
+        self._kept(self._paths)[path] = found
+        return found
+
+    def _step(self, before: str | None, elem: str) -> str:
+        """From an element to the next one, up to the name in its start tag."""
+        old, new = [] if before is None else before.split("/"), elem.split("/")
+        same, most = 0, min(len(old), len(new) - 1)  # the last part is always opened anew
+        while same < most and old[same] == new[same]:
+            same += 1
+        close = "".join(f"</{_bare(q)}>" for q in reversed(old[same:]))
+        text = f"{close}{''.join(f'<{_bare(q)}>' for q in new[same:-1])}<{_bare(new[-1])}"
+        self._kept(self._steps)[before, elem] = text
+        return text
+
+    def _end(self, elem: str) -> str:
+        if elem not in self._ends:
+            self._kept(self._ends)[elem] = "".join(f"</{_bare(q)}>" for q in reversed(elem.split("/")))
+        return self._ends[elem]
+
+    def _kept(self, of: dict) -> dict:
+        if len(of) >= self.MOST:
+            of.clear()
+        return of
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _bare(part: str) -> str:
+    """A path part without its occurrence."""
+    return re.sub(r"\[[0-9]+\]$", "", part)

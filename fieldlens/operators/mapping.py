@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fieldlens import fixed
 from fieldlens.functions import text as t
@@ -120,6 +121,8 @@ def migrate(values: DataFrame, mapping: DataFrame, target: DataFrame, add_defaul
 
 # ---- whole messages against a target tree --------------------------------------------
 
+MOST_CELLS = 100_000  # fields of messages that are moved at once
+HOW = ("mapped", "default", "empty")
 MOST_FIELDS = 50_000  # fields of a schema and of a mapping that travel as one row
 
 
@@ -134,11 +137,6 @@ class TargetTree:
     paths: list[str]
     fields: list[tuple[str, int, list[int], list[int], str | None]]  # path, leave, sources, needs, default
 
-    def column(self) -> Column:
-        """The tree as one array column, read from a JSON literal so that the plan stays small."""
-        text = json.dumps([{"path": p, "sources": s, "needs": n, "fallback": d} for p, _, s, n, d in self.fields])
-        return F.from_json(F.lit(text), "array<struct<path: string, sources: array<int>, needs: array<int>, fallback: string>>")
-
 
 def target_tree(mapping: DataFrame, target: DataFrame, add_defaults: bool = True, now: datetime | None = None) -> TargetTree:
     """The tree of ``target`` (path, min_occurs and, for the order of siblings, seq) with the sources of ``mapping``."""
@@ -203,18 +201,61 @@ def move(messages: DataFrame, tree: TargetTree, doc_id: str = "msg_id", xml: str
     """(doc_id, fields array<struct<path, source_path, value, how, present>>, unmapped array<struct<path, value>>), a row a message.
 
     A message meets the whole tree in one map: a field takes the first of its sources that has a value and is present when every optional field
-    whose span holds it has one. Nothing is shuffled.
+    whose span holds it has one. Nothing is shuffled. Many messages are moved at once, field by field.
     """
-    one = fl.leaf_vector(messages, tree.paths, doc_id, xml).withColumn("tree", tree.column()).withColumn(
-        "names", F.split(F.lit("\u0001".join(tree.paths)), "\u0001"))
-    hit = "get(filter(f.sources, s -> vals[s] is not null), 0)"
-    found = one.withColumn("hits", F.expr(f"transform(tree, f -> {hit})"))
-    fields = """transform(tree, (f, k) -> struct(f.path as path, get(names, hits[k]) as source_path, get(vals, hits[k]) as value, f.fallback as fallback,
-        contains(f.path, '/') and forall(f.needs, n -> hits[n] is not null) as present))"""
-    told = """transform(fields, f -> struct(f.path as path, f.source_path as source_path, coalesce(f.value, f.fallback) as value,
-        case when f.value is not null then 'mapped' when f.fallback is not null then 'default' else 'empty' end as how, f.present as present))"""
-    return (found.withColumn("fields", F.expr(fields)).select(
-        doc_id, F.expr(told).alias("fields"), F.expr("filter(rest, r -> not contains(r.path, '@'))").alias("unmapped")))
+    schema = (f"{doc_id} {messages.schema[doc_id].dataType.simpleString()}, fields array<struct<path: string, source_path: string, value: string, how: string, present: boolean>>, "
+              "unmapped array<struct<path: string, value: string>>")
+    at = {p: k for k, p in enumerate(tree.paths)}
+    step = max(1, MOST_CELLS // max(len(tree.paths), len(tree.fields), 1))
+
+    def run(batches):
+        paths, names = pa.array(tree.paths, pa.string()), pa.array([f[0] for f in tree.fields], pa.string())
+        fallback = np.array([f[4] for f in tree.fields], dtype=object)
+        filled = np.array([d is not None for d in fallback], dtype=bool)
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for start in range(0, batch.num_rows, step):
+                owner, found = [], []
+                for i, text in enumerate(texts.slice(start, step).to_pylist(), start):
+                    values = fl.leaf_values(text)
+                    if values:
+                        owner.append(i)
+                        found.append(values)
+                if found:
+                    yield moved(ids.take(pa.array(owner, pa.int64())), found, paths, names, fallback, filled)
+
+    def moved(ids, found, paths, names, fallback, filled):
+        n, wide = len(found), len(tree.fields)
+        vals = np.full((n, len(tree.paths)), None, dtype=object)
+        ends, left_path, left_value = [0], [], []
+        for i, values in enumerate(found):
+            for path, value in values.items():
+                k = at.get(path)
+                if k is not None:
+                    vals[i, k] = value
+                elif "@" not in path:
+                    left_path.append(path)
+                    left_value.append(value)
+            ends.append(len(left_path))
+        has = np.not_equal(vals, None).astype(bool)
+        hits = np.full((n, wide), -1)
+        for k, (_, _, sources, _, _) in enumerate(tree.fields):
+            for s in reversed(sources):
+                hits[has[:, s], k] = s
+        hit = hits >= 0
+        present = np.empty((n, wide), dtype=bool)
+        for k, (path, _, _, needs, _) in enumerate(tree.fields):
+            present[:, k] = hit[:, needs].all(axis=1) if "/" in path else False
+        value = np.where(hit, vals[np.arange(n)[:, None], np.maximum(hits, 0)], fallback)
+        how = np.where(hit, 0, np.where(filled, 1, 2))
+        fields = pa.StructArray.from_arrays([
+            names.take(pa.array(np.tile(np.arange(wide), n))), paths.take(pa.array(hits.ravel(), mask=~hit.ravel())), pa.array(value.ravel(), pa.string()),
+            pa.array(HOW, pa.string()).take(pa.array(how.ravel())), pa.array(present.ravel())], ["path", "source_path", "value", "how", "present"])
+        unmapped = pa.StructArray.from_arrays([pa.array(left_path, pa.string()), pa.array(left_value, pa.string())], ["path", "value"])
+        lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((np.arange(n + 1) * wide, fields), (ends, unmapped))]
+        return pa.RecordBatch.from_arrays([ids, *lists], ["id", "fields", "unmapped"])
+
+    return messages.select(doc_id, xml).mapInArrow(run, schema)
 
 
 def moved_values(moved: DataFrame, doc_id: str = "msg_id") -> DataFrame:

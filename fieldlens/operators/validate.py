@@ -140,7 +140,8 @@ def validate_by_tables(messages: DataFrame, rules: dict[str, DataFrame], doc_id:
     by_tag = rules_by_tag(rules)
     if not joins.fits_broadcast(by_tag, MOST_RULES):
         raise ValueError(f"rules for more than {MOST_RULES} tags, or larger than a broadcast may be")
-    nodes = flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS).filter(F.col("kind").isin("element", "parse_error"))
+    tags = [r["tag"] for r in by_tag.select("tag").collect()]  # as few as checked above
+    nodes = flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS, attributes=False, tags=tags).filter(F.col("kind").isin("element", "parse_error"))
     met = nodes.join(F.broadcast(by_tag.withColumnRenamed("kind", "rule_kind") if "kind" in by_tag.columns else by_tag), "tag", "left")  # checked above
     found = lambda r: F.filter(r["children"], lambda c: F.array_contains("child_tags", c))
     names = lambda r: F.array_join(found(r), ", ")
@@ -166,7 +167,9 @@ def validate_by_tables(messages: DataFrame, rules: dict[str, DataFrame], doc_id:
 
 def validate(messages: DataFrame, doc_id: str = "msg_id", xml: str = "xml") -> DataFrame:
     """Issues of raw messages: parse once, then every node-local rule in the same stage."""
-    return validate_nodes(flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS), doc_id)
+    # every rule is about certain tags: nodes of other ones need not leave the parse
+    tags = {*(parent for parent, *_ in fixed.EITHER_OR), *fixed.TAG_FORMATS, *fixed.AMOUNT_TAGS, *fixed.SINGLE_TAGS}
+    return validate_nodes(flatten_xml(messages, doc_id, xml, columns=RULE_COLUMNS, attributes=False, tags=tags), doc_id)
 
 
 def validate_schema(messages: DataFrame, xsd_path: str, doc_id: str = "msg_id", xml: str = "xml", row_tag: str = "Document") -> DataFrame:
@@ -325,6 +328,7 @@ def validate_catalog(nodes: DataFrame, catalog: DataFrame, doc_id: str = "msg_id
         *[F.col(c).cast("int").alias(f"c_{c}") for c in ("min_length", "max_length", "total_digits", "fraction_digits")],
         *[F.col(c).try_cast("decimal(38,9)").alias(f"c_{c}") for c in ("min_value", "max_value")],
     ).join(required, "path", "left")
+    # a rule that a path does not have is not worked out for its nodes
     joined = joins.dim_join(nodes.filter(F.col("kind").isin("element", "attribute")), rules, ["path"])
     value, number = F.col("value"), F.col("value").try_cast("decimal(38,9)")
     size = F.length("value")
@@ -345,9 +349,10 @@ def validate_catalog(nodes: DataFrame, catalog: DataFrame, doc_id: str = "msg_id
         _issue(known & value.isNotNull() & (t.blank("c_pattern") != "") & F.col("c_regex").isNull(), "WARNING", "Pattern Not Checked", "Pattern cannot be read", value, F.col("c_pattern")),
         check((size < F.col("c_min_length")) | (size > F.col("c_max_length")), "Length Constraint", "Length is out of range",
               F.concat_ws("..", F.col("c_min_length").cast("string"), F.col("c_max_length").cast("string"))),
-        check((number < F.col("c_min_value")) | (number > F.col("c_max_value")), "XSD Validation", "Value is out of bounds",
+        check((F.col("c_min_value").isNotNull() | F.col("c_max_value").isNotNull()) & ((number < F.col("c_min_value")) | (number > F.col("c_max_value"))), "XSD Validation", "Value is out of bounds",
               F.concat_ws("..", F.col("c_min_value").cast("string"), F.col("c_max_value").cast("string"))),
-        check((t.decimals("value") > F.col("c_fraction_digits")) | (digits > F.col("c_total_digits")), "XSD Validation", "Too many digits",
+        check((F.col("c_fraction_digits").isNotNull() | F.col("c_total_digits").isNotNull())
+              & ((t.decimals("value") > F.col("c_fraction_digits")) | (digits > F.col("c_total_digits"))), "XSD Validation", "Too many digits",
               F.concat_ws(",", F.col("c_total_digits").cast("string"), F.col("c_fraction_digits").cast("string"))),
     ))
     return joined.select(doc_id, F.inline(issues))

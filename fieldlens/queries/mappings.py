@@ -159,4 +159,4 @@ def transform_stats(spark, sf_dir):
 def migrated_roundtrip(spark, sf_dir):
     """Migrated messages written as XML and flattened again give the migrated values."""
     xml = mp.moved_messages(_migration(spark, sf_dir))
-    return fl.leaves(fl.flatten_xml(xml)).select("msg_id", "path", "value")
+    return fl.leaves(fl.flatten_xml(xml, columns=("path", "kind", "value"))).select("msg_id", "path", "value")

@@ -226,7 +226,9 @@ union all select msg_id, 'Invalid Value', path from ok where ord = 6 and value =
 union all select msg_id, 'XSD Validation', path from ok where ord = 5 and try_cast(value as double) < 0
 union all select msg_id, 'XSD Validation', path from ok where ord = 5 and length(split_part(value, '.', 2)) > 2"""))
 def validate_catalog(spark, sf_dir):
-    good = checkpoint(fl.parse_guard(nodes(spark, sf_dir))[0])
+    # read by the catalog and by the checks: stored once, with the columns they read
+    parsed = fl.flatten_xml(messages(spark, sf_dir), columns=("node_id", "path", "tag", "kind", "value", "child_tags"))
+    good = checkpoint(fl.parse_guard(parsed)[0])
     # the catalog is derived from the messages themselves; one path is left out, one child is demanded
     paths = good.filter(~F.col("path").contains("/Strd")).select("path", "tag").distinct()
     wanted = good.filter("node_id = 0").select(F.lit("Document/GrpHdr/Auth").alias("path"), F.lit("Auth").alias("tag")).distinct()
