@@ -64,7 +64,9 @@ def write_texts(texts: DataFrame, path: str, key: str, text: str, mode: str = "e
     Meant for texts that other tools expect as files; many small texts are better kept as rows. Rows of a key meet in one task, so
     that no task opens more files than it has keys; ``read_messages`` and the other file sources read them back with ``key``.
     """
-    texts.select(key, F.col(text).alias("value")).repartition(key).write.mode(mode).partitionBy(key).text(path)
+    # it is the files that take time, not their bytes: without a number, little data would be written by one task
+    places = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts.select(key, F.col(text).alias("value")).repartition(places, key).write.mode(mode).partitionBy(key).text(path)
 
 
 def unique_names(names: DataFrame, column: str, order: str, maxlen: int = 31) -> DataFrame:

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+TASK_BYTES = 64 << 20  # of files that one task reads
+
+
 def whole_files(spark: SparkSession, path: str | Sequence[str], glob: str, key: str | None = None) -> DataFrame:
     """(name, value): one row per file of a folder, glob or list.
 
@@ -26,7 +29,10 @@ def whole_files(spark: SparkSession, path: str | Sequence[str], glob: str, key:
         # the path is a URI of a folder name that was escaped before: a plus sign stands for itself
         plain = F.url_decode(F.regexp_replace(F.url_decode(F.regexp_replace(folder, r"\+", "%2B")), r"\+", "%2B"))
         name = F.when(plain != "__HIVE_DEFAULT_PARTITION__", plain)
-    return files.select(name.alias("name"), "value")
+    # a task takes a few files however small they are: not more tasks than a shuffle has, or than the bytes ask for
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    return files.select(name.alias("name"), "value").coalesce(places)
 
 
 def read_messages(spark: SparkSession, path: str | Sequence[str], glob: str = "*.xml", key: str | None = None) -> DataFrame:

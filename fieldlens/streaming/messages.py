@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,12 +49,14 @@ def dedupe_stream(rows: DataFrame, keys: list[str], ts: str, ttl: str = "24 hour
 
 # ---- keep, skip for a while, keep again ----------------------------------------------
 
+BUCKETS = 1024  # states of a stream; part of what its checkpoint holds
+
 
 def keep_first(rows: DataFrame, keys: list[str], ts: str, seconds: int, late: str = "1 hour") -> DataFrame:
     """The first row of a key, then none for ``seconds``, then the next one again: the same rows of a table and of a stream in order of time.
 
     Of rows with the same key and time the smallest one counts; rows without a time are left out. A stream keeps one number a key until the
-    watermark has passed its retention; a row that comes after rows of a later time counts as seen.
+    watermark has passed its retention, at the latest that of the keys beside it; a row that comes after rows of a later time counts as seen.
     """
     timed = rows.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp"))).filter("__us is not null")
     return (_keep_streamed if rows.isStreaming else _keep_stored)(timed, rows.columns, keys, seconds * 1_000_000, late)
@@ -76,32 +79,51 @@ def _keep_stored(timed: DataFrame, columns: list[str], keys: list[str], span: in
     return one.join(kept, ["k", "__us"], "left_semi").select("r.*")
 
 
+def _key_text(rows: DataFrame, keys: list[str]) -> Column:
+    """One text a key, the same for values that a grouping takes for the same."""
+    def one(name: str) -> Column:
+        c, kind = F.col(f"`{name}`"), rows.schema[name].dataType.simpleString()
+        if kind in ("float", "double"):
+            return (c + F.lit(0.0).cast(kind)).cast("string")  # of two signs of zero one
+        if kind == "binary":
+            return F.base64(c)
+        return c if "<" in kind else c.cast("string")
+
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return F.to_json(F.struct(*[one(k).alias(f"k{i}") for i, k in enumerate(keys)]), exact)
+
+
 def _keep_streamed(timed: DataFrame, columns: list[str], keys: list[str], span: int, late: str) -> DataFrame:
-    """One number a key: the time of the row kept last."""
+    """One number a key, the time of the row kept last; the keys of a bucket share a call and a state."""
     marked = timed.withColumn("__ts", F.timestamp_micros("__us")).withWatermark("__ts", late)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        group = pd.concat(list(parts), ignore_index=True)
-        group = group.sort_values(["__us", *[c for c in columns if c not in keys]], kind="stable", na_position="first")
-        last = state.get[0] if state.exists else None
-        keep = []
-        for place, at in zip(group.index, group["__us"].tolist()):
-            if last is None or at >= last + span:
-                keep.append(place)
-                last = at
-        over = (last + span) // 1000 + 1
-        if over > state.getCurrentWatermarkMs():
-            state.update((last,))
-            state.setTimeoutTimestamp(over)
-        elif state.exists:
+    marked = marked.withColumn("__key", _key_text(timed, keys)).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(BUCKETS)).cast("int"))
+
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = json.loads(state.get[0]) if state.exists else {}
+        timed_out, kept = state.hasTimedOut, None
+        if not timed_out:
+            group = pd.concat(list(parts), ignore_index=True)
+            group = group.sort_values(["__us", *[c for c in columns if c not in keys]], kind="stable", na_position="first")
+            keep = []
+            for place, key, at in zip(group.index, group["__key"].tolist(), group["__us"].tolist()):
+                last = seen.get(key)
+                if last is None or at >= last + span:
+                    keep.append(place)
+                    seen[key] = at
+            kept = group.loc[keep, columns]
+        over = lambda last: (last + span) // 1000 + 1
+        now = state.getCurrentWatermarkMs()
+        seen = {key: last for key, last in seen.items() if over(last) > now}
+        if seen:
+            state.update((json.dumps(seen),))
+            state.setTimeoutTimestamp(max(map(over, seen.values())))
+        elif timed_out or state.exists:
             state.remove()
-        yield group.loc[keep, columns]
+        if kept is not None:
+            yield kept
 
     schema = marked.select(*columns).schema
-    return marked.groupBy(*keys).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("__bucket").applyInPandasWithState(step, schema, "seen string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
