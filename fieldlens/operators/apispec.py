@@ -73,9 +73,11 @@ def field_columns(spec: DataFrame, contrib: DataFrame, doc_id: str = "doc_id") -
     text = F.when(F.col("type").isin("object", "array"), F.col("raw")).otherwise(F.get_json_object(F.concat(F.lit('{"v":'), "raw", F.lit("}")), "$.v"))
     text = F.when(F.col("type") == "boolean", F.col("value")).when(F.col("type") == "null", F.lit(None)).otherwise(text)
     rows = contrib.join(keys.withColumn("text", text), [doc_id, "pointer"])
-    pick = lambda k: F.min_by(F.when(F.col("key") == k, F.col("text")), F.when(F.col("key") == k, F.col("rank")))
-    wide = rows.groupBy(doc_id, "schema").agg(
-        *[pick(k).alias(k) for k in FIELDS], pick("enum").alias("enum"), F.bool_or((F.col("key") == "properties") & F.col("own_props")).alias("has_properties"))
+    # one aggregate for all keys: a column of its own for each would be a plan of thousands of lines, for the driver and for every task
+    first = rows.groupBy(doc_id, "schema", "key").agg(F.min_by("text", "rank").alias("text"), F.bool_or("own_props").alias("own_props"))
+    whole = first.groupBy(doc_id, "schema").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "text"))).alias("texts"), F.bool_or((F.col("key") == "properties") & F.col("own_props")).alias("has_properties"))
+    wide = whole.select(doc_id, "schema", *[F.try_element_at("texts", F.lit(k)).alias(k) for k in (*FIELDS, "enum")], "has_properties")
     yes = lambda c: t.yes_no(F.coalesce(F.col(c), F.lit("")) == "True").alias(c)
     blank = lambda *c: F.coalesce(*[F.col(x) for x in c], F.lit(""))
     return wide.select(
@@ -109,13 +111,14 @@ def child_of(pointers: DataFrame, spec: DataFrame, contrib: DataFrame, key: str,
     return found.groupBy(doc_id, "schema").agg(F.min_by("kid", "rank").alias(out))
 
 
-def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_depth: int | None = None, contrib: DataFrame | None = None) -> DataFrame:
+def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_depth: int | None = None, contrib: DataFrame | None = None,
+                cols: DataFrame | None = None) -> DataFrame:
     """Field rows under root schemas (doc_id, schema): dotted paths, ``[]`` item rows, required flag, columns.
 
     A property met again on its own path is not opened again.
     """
     contrib = contributions(spec, doc_id) if contrib is None else contrib
-    cols = checkpoint(field_columns(spec, contrib, doc_id))
+    cols = checkpoint(field_columns(spec, contrib, doc_id)) if cols is None else cols
     props = merged_properties(spec, contrib, doc_id).select(
         doc_id, F.col("schema").alias("parent"), F.col("property").alias("child"), F.concat(F.lit("."), "name").alias("label"), F.col("pos"), "required")
     arrays = cols.filter((F.col("type") == "array") & ~F.col("has_properties"))
@@ -145,33 +148,32 @@ def endpoint_rows(spec: DataFrame, eps: DataFrame, doc_id: str = "doc_id") -> Da
     contrib = contributions(spec, doc_id)
     ops = eps.select(doc_id, "op", F.col("id").alias("endpoint"))
     under = lambda key: F.concat("op", F.lit("/" + key))
-    scalar = lambda key, name: spec.filter(F.col("key") == key).select(doc_id, F.col("parent").alias("pointer"), F.col("value").alias(name))
-
-    def get(rows: DataFrame, key: str, name: str) -> DataFrame:
-        """Value of a scalar child of ``schema``, through its contributors."""
-        found = rows.select(doc_id, "schema").distinct().join(contrib, [doc_id, "schema"]).join(scalar(key, "v"), [doc_id, "pointer"])
-        return rows.join(found.groupBy(doc_id, "schema").agg(F.min_by("v", "rank").alias(name)), [doc_id, "schema"], "left")
 
-    def kid(rows: DataFrame, key: str, out: str) -> DataFrame:
-        return rows.join(child_of(rows, spec, contrib, key, out, doc_id), [doc_id, "schema"], "left")
+    def with_children(rows: DataFrame, scalars: dict[str, str], kids: dict[str, str]) -> DataFrame:
+        """Values of scalar children of ``schema`` and pointers of others, by key, looked up together through its contributors."""
+        wanted = spec.filter(F.col("key").isin(*scalars, *kids)).select(doc_id, F.col("parent").alias("pointer"), "key", F.col("value").alias("v"), F.col("pointer").alias("kid"))
+        found = rows.select(doc_id, "schema").distinct().join(contrib, [doc_id, "schema"]).join(wanted, [doc_id, "pointer"])
+        of = lambda key, c: F.min_by(F.when(F.col("key") == key, F.col(c)), F.when(F.col("key") == key, F.col("rank")))
+        picked = [of(key, "v").alias(out) for key, out in scalars.items()] + [of(key, "kid").alias(out) for key, out in kids.items()]
+        return rows.join(found.groupBy(doc_id, "schema").agg(*picked), [doc_id, "schema"], "left")
 
     def first_media(rows: DataFrame) -> DataFrame:
-        """schema := schema pointer of the first media type; rows without a body keep null."""
-        withc = kid(rows, "content", "content")
+        """schema := schema pointer of the first media type of ``content``; rows without a body keep null."""
         media = spec.select(doc_id, F.col("parent").alias("content"), "node_id", "key", "pointer").groupBy(doc_id, "content").agg(F.min_by(F.struct("key", "pointer"), "node_id").alias("m"))
         body = spec.filter(F.col("key") == "schema").select(doc_id, F.col("parent").alias("media_pointer"), F.col("pointer").alias("body"))
-        placed = withc.join(media, [doc_id, "content"], "left").withColumn("media", F.col("m.key")).withColumn("media_pointer", F.col("m.pointer")).drop("m")
+        placed = rows.join(media, [doc_id, "content"], "left").withColumn("media", F.col("m.key")).withColumn("media_pointer", F.col("m.pointer")).drop("m")
         return placed.join(body, [doc_id, "media_pointer"], "left")
 
     # parameters
     params = spec.filter(F.col("pointer").rlike(r"/parameters/\d+$")).select(
         doc_id, F.regexp_replace("pointer", r"/parameters/\d+$", "").alias("op"), F.col("pointer").alias("schema"), F.col("node_id").alias("pos")).join(ops, [doc_id, "op"])
-    params = checkpoint(kid(get(get(get(get(params, "name", "name"), "in", "location"), "required", "req"), "description", "about"), "schema", "own"))
-    cols = field_columns(spec, contrib, doc_id).withColumnRenamed("schema", "own").drop("has_properties")
+    params = checkpoint(with_children(params, {"name": "name", "in": "location", "required": "req", "description": "about"}, {"schema": "own"}))
+    cols = checkpoint(field_columns(spec, contrib, doc_id))
+    own = cols.withColumnRenamed("schema", "own").drop("has_properties")
     texts = ("type", "format", "enum", "example", "default", "minimum", "maximum", "pattern")
     flags = ("nullable", "readOnly", "writeOnly", "deprecated")
     place, name = t.blank("location"), t.blank("name")
-    p_rows = params.join(cols, [doc_id, "own"], "left").select(
+    p_rows = params.join(own, [doc_id, "own"], "left").select(
         doc_id, "endpoint", F.lit(0).alias("part"), F.lit("").alias("code"), F.array(F.col("pos").cast("bigint")).alias("sort_key"), name.alias("field_name"),
         F.concat(F.lit("["), place, F.lit("] "), name).alias("full_path"), t.yes_no(t.blank("req") == "True").alias("required"), F.coalesce("about", "description", F.lit("")).alias("description"),
         F.concat(F.lit("Parameter ("), place, F.lit(")")).alias("section"), F.lit(0).alias("depth"),
@@ -181,9 +183,10 @@ def endpoint_rows(spec: DataFrame, eps: DataFrame, doc_id: str = "doc_id") -> Da
     req = spec.select(doc_id, F.col("pointer").alias("schema")).join(ops.withColumn("schema", under("requestBody")), [doc_id, "schema"]).withColumn("part", F.lit(1)).withColumn("code", F.lit(""))
     resp = spec.filter(F.col("pointer").rlike(r"/responses/[^/]+$")).select(
         doc_id, F.regexp_replace("pointer", r"/responses/[^/]+$", "").alias("op"), F.col("pointer").alias("schema"), F.col("key").alias("code")).join(ops, [doc_id, "op"]).withColumn("part", F.lit(2))
-    bodies = checkpoint(first_media(get(req.select(doc_id, "endpoint", "schema", "part", "code").unionByName(resp.select(doc_id, "endpoint", "schema", "part", "code")), "description", "about")))
+    both = req.select(doc_id, "endpoint", "schema", "part", "code").unionByName(resp.select(doc_id, "endpoint", "schema", "part", "code"))
+    bodies = checkpoint(first_media(with_children(both, {"description": "about"}, {"content": "content"})))
     label = F.concat(F.when(F.col("part") == 1, "Request Body").otherwise(F.concat(F.lit("Response "), "code")))
-    walked = walk_schema(spec, bodies.filter("body is not null").select(doc_id, F.col("body").alias("schema")), doc_id, contrib=contrib)
+    walked = walk_schema(spec, bodies.filter("body is not null").select(doc_id, F.col("body").alias("schema")), doc_id, contrib=contrib, cols=cols)
     b_rows = bodies.select(doc_id, "endpoint", "part", "code", "media", F.col("body").alias("schema")).join(walked, [doc_id, "schema"]).select(
         doc_id, "endpoint", "part", "code", "sort_key", "field_name", "full_path", "required", "description",
         F.concat(label, F.lit(" ("), "media", F.lit(")")).alias("section"), "depth", *texts, *flags)
