@@ -64,7 +64,7 @@ def contributions(spec: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     found = expand_paths(edges, starts, by=(doc_id,), carry=("schema",), repeat="node")
     walked = found.select(doc_id, "schema", F.col("node").alias("pointer"), F.col("sort_key").alias("rank"), (~F.col("path").contains("/replaced")).alias("own_props"))
     own = plain.select(doc_id, "schema", F.col("schema").alias("pointer"), F.array(F.lit(0).cast("bigint")).alias("rank"), F.lit(True).alias("own_props"))
-    return checkpoint(own.unionByName(walked))
+    return checkpoint(own.unionByName(walked), sized=False)
 
 
 def field_columns(spec: DataFrame, contrib: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -118,13 +118,13 @@ def walk_schema(spec: DataFrame, roots: DataFrame, doc_id: str = "doc_id", max_d
     A property met again on its own path is not opened again.
     """
     contrib = contributions(spec, doc_id) if contrib is None else contrib
-    cols = checkpoint(field_columns(spec, contrib, doc_id)) if cols is None else cols
+    cols = checkpoint(field_columns(spec, contrib, doc_id), sized=False) if cols is None else cols
     props = merged_properties(spec, contrib, doc_id).select(
         doc_id, F.col("schema").alias("parent"), F.col("property").alias("child"), F.concat(F.lit("."), "name").alias("label"), F.col("pos"), "required")
     arrays = cols.filter((F.col("type") == "array") & ~F.col("has_properties"))
     items = child_of(arrays, spec, contrib, "items", "child", doc_id).select(
         doc_id, F.col("schema").alias("parent"), "child", F.lit("[]").alias("label"), F.lit(0).alias("pos"), F.lit(False).alias("required"))
-    edges = checkpoint(props.unionByName(items).withColumn("edge_id", F.xxhash64("parent", "label")))
+    edges = checkpoint(props.unionByName(items).withColumn("edge_id", F.xxhash64("parent", "label")), sized=False)
     starts = roots.select(doc_id, F.col("schema").alias("node"), F.lit("").alias("label"), F.lit(0).alias("pos"), F.col("schema").alias("root")).distinct()
     paths = expand_paths(edges, starts, max_depth, by=(doc_id,), sep="", carry=("root",))
     named = edges.select(doc_id, F.col("child").alias("node"), "edge_id", "required", F.col("label").alias("step"))
@@ -167,8 +167,8 @@ def endpoint_rows(spec: DataFrame, eps: DataFrame, doc_id: str = "doc_id") -> Da
     # parameters
     params = spec.filter(F.col("pointer").rlike(r"/parameters/\d+$")).select(
         doc_id, F.regexp_replace("pointer", r"/parameters/\d+$", "").alias("op"), F.col("pointer").alias("schema"), F.col("node_id").alias("pos")).join(ops, [doc_id, "op"])
-    params = checkpoint(with_children(params, {"name": "name", "in": "location", "required": "req", "description": "about"}, {"schema": "own"}))
-    cols = checkpoint(field_columns(spec, contrib, doc_id))
+    params = checkpoint(with_children(params, {"name": "name", "in": "location", "required": "req", "description": "about"}, {"schema": "own"}), sized=False)
+    cols = checkpoint(field_columns(spec, contrib, doc_id), sized=False)
     own = cols.withColumnRenamed("schema", "own").drop("has_properties")
     texts = ("type", "format", "enum", "example", "default", "minimum", "maximum", "pattern")
     flags = ("nullable", "readOnly", "writeOnly", "deprecated")
@@ -184,7 +184,7 @@ def endpoint_rows(spec: DataFrame, eps: DataFrame, doc_id: str = "doc_id") -> Da
     resp = spec.filter(F.col("pointer").rlike(r"/responses/[^/]+$")).select(
         doc_id, F.regexp_replace("pointer", r"/responses/[^/]+$", "").alias("op"), F.col("pointer").alias("schema"), F.col("key").alias("code")).join(ops, [doc_id, "op"]).withColumn("part", F.lit(2))
     both = req.select(doc_id, "endpoint", "schema", "part", "code").unionByName(resp.select(doc_id, "endpoint", "schema", "part", "code"))
-    bodies = checkpoint(first_media(with_children(both, {"description": "about"}, {"content": "content"})))
+    bodies = checkpoint(first_media(with_children(both, {"description": "about"}, {"content": "content"})), sized=False)
     label = F.concat(F.when(F.col("part") == 1, "Request Body").otherwise(F.concat(F.lit("Response "), "code")))
     walked = walk_schema(spec, bodies.filter("body is not null").select(doc_id, F.col("body").alias("schema")), doc_id, contrib=contrib, cols=cols)
     b_rows = bodies.select(doc_id, "endpoint", "part", "code", "media", F.col("body").alias("schema")).join(walked, [doc_id, "schema"]).select(

@@ -35,7 +35,7 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_depth: int | None = Non
     label = extra(edges, "label", F.col("child"))
     links = edges.select(*by, F.col("parent").alias("node"), F.struct(
         F.col("child").alias("child"), F.col("pos").cast("bigint").alias("pos"), label.alias("label"), edge_id(edges), step(label, F.col("child")).alias("step")).alias("c"))
-    links = checkpoint(links)
+    links = checkpoint(links, sized=False)
     label = extra(roots, "label", F.col("node"))
     rows = roots.select(
         *by, *carry, label.alias("path"), "node", F.lit(0).alias("depth"), F.array(F.col("pos").cast("bigint")).alias("sort_key"),

@@ -38,7 +38,7 @@ def spec_docs(spark, sf_dir):
 
 
 def _spec(spark, sf_dir):
-    return checkpoint(ap.spec_nodes(tr.flatten_json(spec_docs(spark, sf_dir), "doc_id", "json", raw=True)))
+    return checkpoint(ap.spec_nodes(tr.flatten_json(spec_docs(spark, sf_dir), "doc_id", "json", raw=True)), sized=False)
 
 
 S = "s as (select s_nationkey as doc_id, s_suppkey as k, s_name as n from supplier)"

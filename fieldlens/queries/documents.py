@@ -48,7 +48,7 @@ def schema_docs(spark, sf_dir):
 
 def _nodes(spark, sf_dir):
     # read many times by the operators: parsed and stored once
-    return checkpoint(xsd.schema_nodes(schema_docs(spark, sf_dir)))
+    return checkpoint(xsd.schema_nodes(schema_docs(spark, sf_dir)), sized=False)
 
 
 # Expected catalog rows: document order is Document, each type with its parts by key, then Remark.
